@@ -17,42 +17,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.split import SEED
-from holdfast.operators.training import (
-    FEATURES,
-    LABEL,
-    PROBABILITY,
-    RAW_PREDICTION,
-    assemble,
-    boosted_trees,
-    evaluate,
-    prepare,
-)
+from holdfast.operators.training import assemble, boosted_trees, evaluate, prepare, wired
 
 # Fixed value: the time budget of a search, in minutes.
 TIMEOUT_MINUTES = 5
 PARTS = {"test": 20, "validation": 20, "train": 60}
 TRIALS_SCHEMA = "trial_id string, family string, params map<string,string>, metric double"
 
-_COLUMNS = {
-    "featuresCol": FEATURES,
-    "labelCol": LABEL,
-    "predictionCol": RAW_PREDICTION,
-    "probabilityCol": PROBABILITY,
-}
-
 
 def _logistic(seed: int) -> tuple[Estimator, list]:
-    model = LogisticRegression(**_COLUMNS, maxIter=50)
+    model = wired(LogisticRegression(maxIter=50))
     return model, ParamGridBuilder().addGrid(model.regParam, [0.0, 0.1]).build()
 
 
 def _tree(seed: int) -> tuple[Estimator, list]:
-    model = DecisionTreeClassifier(**_COLUMNS, seed=seed)
+    model = wired(DecisionTreeClassifier(seed=seed))
     return model, ParamGridBuilder().addGrid(model.maxDepth, [3, 6]).build()
 
 
 def _forest(seed: int) -> tuple[Estimator, list]:
-    model = RandomForestClassifier(**_COLUMNS, seed=seed)
+    model = wired(RandomForestClassifier(seed=seed))
     return model, ParamGridBuilder().addGrid(model.numTrees, [20]).addGrid(model.maxDepth, [5]).build()
 
 

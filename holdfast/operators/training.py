@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
     Imputer,
@@ -30,7 +30,8 @@ FEATURES = "__features"
 LABEL = "__label"
 RAW_PREDICTION = "__prediction"
 PREDICTION = "prediction"
-PROBABILITY = "probability"
+PROBABILITY = "__probability"
+RAW_SCORE = "__raw"
 
 # The settings of the boosted trees.
 TREES = 100
@@ -167,19 +168,21 @@ class Fit:
     prepared: Prepared
 
 
-def boosted_trees(trees: int = TREES, rate: float = LEARNING_RATE, depth: int = DEPTH, seed: int = SEED) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol=FEATURES,
-        labelCol=LABEL,
-        predictionCol=RAW_PREDICTION,
-        probabilityCol=PROBABILITY,
-        maxIter=trees,
-        stepSize=rate,
-        maxDepth=depth,
-        seed=seed,
+def wired(classifier: Estimator) -> Estimator:
+    """The classifier with the column names the other stages use; they stay clear of the user's columns."""
+    return (
+        classifier.setFeaturesCol(FEATURES)
+        .setLabelCol(LABEL)
+        .setPredictionCol(RAW_PREDICTION)
+        .setProbabilityCol(PROBABILITY)
+        .setRawPredictionCol(RAW_SCORE)
     )
 
 
+def boosted_trees(trees: int = TREES, rate: float = LEARNING_RATE, depth: int = DEPTH, seed: int = SEED) -> GBTClassifier:
+    return wired(GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed))
+
+
 def fit_churn(
     df: DataFrame,
     label: str,
