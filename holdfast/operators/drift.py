@@ -49,8 +49,11 @@ def drift_psi(
         .groupBy("feature", "bin")
         .agg(F.count_if("reference").alias("expected"), F.count_if(~F.col("reference")).alias("actual"))
     )
-    sizes = df.agg(
-        F.struct(F.count_if(is_reference).alias("expected"), (F.count(F.lit(1)) - F.count_if(is_reference)).alias("actual"))
+    # Every row is in one bin of each feature, so all bins together hold each population once per feature.
+    sizes = counts.agg(
+        F.struct(
+            (F.sum("expected") / len(columns)).alias("expected"), (F.sum("actual") / len(columns)).alias("actual")
+        )
     ).scalar()
     p = F.greatest(F.try_divide(F.col("expected"), sizes["expected"]), F.lit(floor))
     q = F.greatest(F.try_divide(F.col("actual"), sizes["actual"]), F.lit(floor))

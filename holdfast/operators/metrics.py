@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+METRICS_SCHEMA = "run_id string, split string, metric string, value double"
+
 
 def _hit(label: str, prediction: str) -> Column:
     return F.col(label) == F.col(prediction)
@@ -15,10 +18,8 @@ def _hit(label: str, prediction: str) -> Column:
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Share of labelled rows predicted right; a NULL prediction is a wrong one."""
-    labelled = df.where(F.col(label).isNotNull())
-    right = F.count_if(_hit(label, prediction))
-    rows = F.count(F.lit(1))
-    return labelled.agg(rows.alias("rows"), right.alias("correct"), F.try_divide(right, rows).alias("accuracy"))
+    rows, right = F.count(label), F.count_if(_hit(label, prediction))
+    return df.agg(rows.alias("rows"), right.alias("correct"), F.try_divide(right, rows).alias("accuracy"))
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -54,33 +55,70 @@ def precision_recall_f1(df: DataFrame, label: str, prediction: str) -> DataFrame
 
 def log_loss(df: DataFrame, label: str, probability: str, positive: str, floor: float = 1e-15) -> DataFrame:
     """Mean negative log likelihood of the labels; probabilities are kept ``floor`` away from 0 and 1."""
+    loss = row_loss(label, probability, positive, floor)
+    return df.agg(F.count(loss).alias("rows"), F.avg(loss).alias("log_loss"))
+
+
+def row_loss(label: str, probability: str, positive: str, floor: float = 1e-15) -> Column:
+    """Negative log likelihood of one row's label; NULL without a label or a probability."""
     p = F.least(F.greatest(F.col(probability), F.lit(floor)), F.lit(1.0 - floor))
     loss = F.when(F.col(label) == F.lit(positive), -F.ln(p)).otherwise(-F.ln(F.lit(1.0) - p))
-    known = F.col(label).isNotNull() & F.col(probability).isNotNull()
-    return df.where(known).agg(F.count(F.lit(1)).alias("rows"), F.avg(loss).alias("log_loss"))
+    return F.when(F.col(label).isNotNull() & F.col(probability).isNotNull(), loss)
 
 
-def score_totals(df: DataFrame, label: str, score: str, positive: str, buckets: int | None = None) -> DataFrame:
+def model_metrics(df: DataFrame, label: str, prediction: str, score: str | None, positive: str | None) -> dict:
+    """Accuracy and, with a score, log loss and ROC AUC, in two passes over the predictions.
+
+    Predicting is the dear part, so what one pass can find is found together: accuracy, loss and the cut points of
+    the scores.
+    """
+    wanted = [F.try_divide(F.count_if(_hit(label, prediction)), F.count(label)).alias("accuracy")]
+    if score:
+        wanted.append(F.avg(row_loss(label, score, positive)).alias("log_loss"))
+        wanted.append(cut_points(F.col(score), ranges_of(df)).alias("cuts"))
+    found = df.agg(*wanted).first().asDict()
+    if score:
+        cuts = found.pop("cuts") or []
+        found["roc_auc"] = roc_auc(df, label, score, positive, cuts=cuts).first()["roc_auc"]
+    return found
+
+
+def cut_points(score: Column, buckets: int) -> Column:
+    """Sketched quantiles that cut the scores into about equal ranges."""
+    return F.percentile_approx(score.cast("double"), [i / buckets for i in range(1, buckets)] or [0.5])
+
+
+def ranges_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def score_totals(
+    df: DataFrame,
+    label: str,
+    score: str,
+    positive: str,
+    buckets: int | None = None,
+    cuts: Sequence[float] | None = None,
+) -> DataFrame:
     """One row per distinct score: its positives and negatives, those with a lower score, and the totals.
 
     This is a running total in global order. Rows are counted per distinct score first, so a score that many rows
     share is one row; the scores are cut at sketched quantiles into as many ranges as there are shuffle partitions,
     and each range sums on its own and adds the totals of the ranges below it. The cut points only balance the
-    ranges, the totals are exact.
+    ranges, the totals are exact; without given ones they are found in a pass over the scores.
     """
-    spark = df.sparkSession
-    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     is_positive = F.col(label) == F.lit(positive)
     scored = df.select(F.col(score).cast("double").alias("score"), is_positive.cast("bigint").alias("positive"))
     scored = scored.where(F.col("score").isNotNull() & F.col("positive").isNotNull())
-    points = [i / count for i in range(1, count)] or [0.5]
-    found = scored.agg(F.percentile_approx("score", points)).first()[0] or []
-    cuts = sorted({float(cut) for cut in found if math.isfinite(cut)}) or [0.0]
+    if cuts is None:
+        cuts = scored.agg(cut_points(F.col("score"), buckets or ranges_of(df))).first()[0] or []
+    inner = sorted({float(cut) for cut in cuts if math.isfinite(cut)}) or [0.0]
     groups = scored.groupBy("score").agg(
         F.sum("positive").alias("positives"), F.sum(1 - F.col("positive")).alias("negatives")
     )
-    splits = [float("-inf"), *cuts, float("inf")]
-    ranges = Bucketizer(splits=splits, inputCol="score", outputCol="range", handleInvalid="keep").transform(groups)
+    splits = [float("-inf"), *inner, float("inf")]
+    bucketizer = Bucketizer(splits=splits, inputCol="score", outputCol="range", handleInvalid="keep")
+    ranges = bucketizer.transform(groups).withColumn("range", F.col("range").cast("int"))
     # At most one row per range, so this ordered window and the broadcast stay as small as the number of partitions.
     below = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -109,9 +147,16 @@ def score_totals(df: DataFrame, label: str, score: str, positive: str, buckets:
     )
 
 
-def roc_auc(df: DataFrame, label: str, score: str, positive: str, buckets: int | None = None) -> DataFrame:
+def roc_auc(
+    df: DataFrame,
+    label: str,
+    score: str,
+    positive: str,
+    buckets: int | None = None,
+    cuts: Sequence[float] | None = None,
+) -> DataFrame:
     """Probability that a positive row scores above a negative one, ties counting half."""
-    totals = score_totals(df, label, score, positive, buckets)
+    totals = score_totals(df, label, score, positive, buckets, cuts)
     won = F.col("positives").cast("double") * (F.col("negatives_below") + F.col("negatives") / 2)
     pairs = F.max("all_positives").cast("double") * F.max("all_negatives")
     return totals.agg(F.try_divide(F.sum(won), pairs).alias("roc_auc"))

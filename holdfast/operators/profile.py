@@ -127,27 +127,29 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
 
 def _profile_exact(df: DataFrame, names: list[str]) -> DataFrame:
     numbers = set(numeric_columns(df))
+    types = [df.schema[name].dataType.simpleString() for name in names]
+    # Cells carry the position of their column and not its name, which keeps the shuffled rows short.
     cells = df.select(
         _rows(
             *[
                 F.struct(
-                    F.lit(name).alias("column"),
-                    F.lit(df.schema[name].dataType.simpleString()).alias("type"),
+                    F.lit(position).alias("position"),
                     F.col(name).cast("string").alias("value"),
                     (F.col(name).cast("double") if name in numbers else F.lit(None).cast("double")).alias("number"),
                 )
-                for name in names
+                for position, name in enumerate(names, start=1)
             ]
         )
     )
-    frequencies = cells.groupBy("column", "type", "value").agg(
+    frequencies = cells.groupBy("position", "value").agg(
         F.count(F.lit(1)).alias("n"), F.max("number").alias("number")
     )
     value, n = F.col("value"), F.col("n")
-    is_text = F.col("type") == "string"
+    texts = [position for position, kind in enumerate(types, start=1) if kind == "string"]
+    is_text = F.col("position").isin(texts) if texts else F.lit(False)
     top = F.min(F.when(value.isNotNull(), F.struct((-n).alias("rank"), value.alias("value"))))
     return (
-        frequencies.groupBy("column", "type")
+        frequencies.groupBy("position")
         .agg(
             F.sum("n").alias("rows"),
             F.sum(F.when(value.isNull(), n).otherwise(0)).alias("nulls"),
@@ -161,8 +163,8 @@ def _profile_exact(df: DataFrame, names: list[str]) -> DataFrame:
             top.alias("top"),
         )
         .select(
-            "column",
-            "type",
+            F.element_at(F.array(*map(F.lit, names)), F.col("position")).alias("column"),
+            F.element_at(F.array(*map(F.lit, types)), F.col("position")).alias("type"),
             "rows",
             "nulls",
             "blanks",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.operators.encode import check_categories, columns_by_type, distinct_counts
-from holdfast.operators.metrics import accuracy, log_loss, metric_rows, roc_auc
+from holdfast.operators.metrics import METRICS_SCHEMA, model_metrics
 from holdfast.operators.split import SEED, hash_split
 from holdfast.session import materialise
 
@@ -47,7 +47,9 @@ def _names(value: str | Sequence[str]) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
 
-def encoder(df: DataFrame, exclude: Sequence[str], remainder: str = "passthrough") -> Pipeline:
+def encoder(
+    df: DataFrame, exclude: Sequence[str], remainder: str = "passthrough", counts: Mapping[str, int] | None = None
+) -> Pipeline:
     """String columns one-hot, numbers and booleans as they are, in one vector.
 
     A category that was not seen in training, and NULL, encodes to zeros; a missing number or flag takes the median.
@@ -59,7 +61,7 @@ def encoder(df: DataFrame, exclude: Sequence[str], remainder: str = "passthrough
     numbers = columns_by_type(df, T.NumericType, T.BooleanType, exclude=exclude) if remainder == "passthrough" else []
     if not texts and not numbers:
         raise ValueError("no column to train on")
-    counts = distinct_counts(df, [*texts, *numbers])
+    counts = counts or distinct_counts(df, [*texts, *numbers])
     check_categories({c: counts[c] for c in texts})
     # A column without a single value carries nothing and has no median.
     texts, numbers = [c for c in texts if counts[c]], [c for c in numbers if counts[c]]
@@ -118,16 +120,18 @@ def prepare(
         "validation": VALIDATION_PERCENT,
         "train": 100 - TEST_PERCENT - VALIDATION_PERCENT,
     }
-    rows = materialise(hash_split(df.where(F.col(label).isNotNull()), keys, shares, seed))
+    rows = materialise(hash_split(df.where(F.col(label).isNotNull()), keys, shares, seed), "training-rows")
     train = rows.where(F.col("split") == "train")
-    check_categories(distinct_counts(train, [label]), limit=MAX_LABELS)
+    used = columns_by_type(df, T.StringType, T.NumericType, T.BooleanType, exclude=excluded)
+    counts = distinct_counts(train, [label, *used])
+    check_categories({label: counts[label]}, limit=MAX_LABELS)
     indexer = StringIndexer(
         inputCol=label, outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="skip"
     ).fit(train)
-    encoded = encoder(train, excluded, remainder).fit(train)
+    encoded = encoder(train, excluded, remainder, counts).fit(train)
     frame = indexer.transform(encoded.transform(rows)).select(*keys, label, "split", LABEL, FEATURES)
     features = tuple(c for c in df.columns if c not in excluded)
-    return Prepared(materialise(frame), encoded, _labels(indexer), label, features)
+    return Prepared(materialise(frame, "training-vectors"), encoded, _labels(indexer), label, features)
 
 
 def _labels(indexer: StringIndexerModel) -> tuple[str, ...]:
@@ -149,14 +153,13 @@ def evaluate(prepared: Prepared, classifier: Transformer, part: str, run_id: str
     """Accuracy, and for two labels log loss and ROC AUC, of one part as long metric rows."""
     back = IndexToString(inputCol=RAW_PREDICTION, outputCol=PREDICTION, labels=list(prepared.labels))
     predicted = back.transform(classifier.transform(prepared.part(part)))
-    label = prepared.label
-    rows = metric_rows(accuracy(predicted, label, PREDICTION).select("accuracy"), run_id, part)
     if len(prepared.labels) == 2:
-        scored, positive = positive_probability(predicted), prepared.labels[1]
-        loss = log_loss(scored, label, "score", positive).select("log_loss")
-        rows = rows.unionByName(metric_rows(loss, run_id, part))
-        rows = rows.unionByName(metric_rows(roc_auc(scored, label, "score", positive), run_id, part))
-    return rows
+        predicted = positive_probability(predicted)
+        found = model_metrics(predicted, prepared.label, PREDICTION, "score", prepared.labels[1])
+    else:
+        found = model_metrics(predicted, prepared.label, PREDICTION, None, None)
+    rows = [(run_id, part, name, value) for name, value in found.items()]
+    return predicted.sparkSession.createDataFrame(rows, METRICS_SCHEMA)
 
 
 @dataclass(frozen=True)

@@ -49,11 +49,15 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{root}/holdfast-{purpose}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage before a frame is read many times, as model fitting does.
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Store a frame that is read many times, as model fitting does, and read it from there.
 
-    The rows go to the shared checkpoint folder, so a lost executor costs a re-read and not a re-join.
+    It goes to the shared folder as parquet: a lost executor costs a re-read and not a re-join, and each reader
+    takes only its columns. A cluster without a shared folder computes the frame again for each reader.
     """
-    if shared_root(df.sparkSession) is None:
+    spark = df.sparkSession
+    if shared_root(spark) is None:
         return df
-    return df.checkpoint(eager=True)
+    path = shared_path(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
