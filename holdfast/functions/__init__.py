@@ -6,6 +6,7 @@ from holdfast.functions.cleaning import (
     sanitise,
     strip_whitespace,
     to_boolean,
+    to_number,
 )
 from holdfast.functions.hashing import key_hash, percent_bucket
 
@@ -19,4 +20,5 @@ __all__ = [
     "sanitise",
     "strip_whitespace",
     "to_boolean",
+    "to_number",
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.functions import blank
+from holdfast.functions import blank, to_number
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -31,7 +31,7 @@ def _rows(*structs: Column) -> Column:
 
 def _as_double(df: DataFrame, name: str) -> Column:
     column = F.col(name)
-    return column.cast("double") if isinstance(df.schema[name].dataType, T.NumericType) else column.try_cast("double")
+    return column.cast("double") if isinstance(df.schema[name].dataType, T.NumericType) else to_number(column)
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -126,45 +126,37 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
 
 
 def _profile_exact(df: DataFrame, names: list[str]) -> DataFrame:
-    numbers = set(numeric_columns(df))
     types = [df.schema[name].dataType.simpleString() for name in names]
-    # Cells carry the position of their column and not its name, which keeps the shuffled rows short.
-    cells = df.select(
-        _rows(
-            *[
-                F.struct(
-                    F.lit(position).alias("position"),
-                    F.col(name).cast("string").alias("value"),
-                    (F.col(name).cast("double") if name in numbers else F.lit(None).cast("double")).alias("number"),
-                )
-                for position, name in enumerate(names, start=1)
-            ]
-        )
-    )
-    frequencies = cells.groupBy("position", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.max("number").alias("number")
+    numbers = set(numeric_columns(df))
+    # One row per cell, labelled by the position of its column and not by its name, which keeps the rows short.
+    labels = [str(i) for i in range(1, len(names) + 1)]
+    cells = df.select(*[F.col(n).cast("string").alias(i) for n, i in zip(names, labels)]).unpivot(
+        [], labels, "label", "value"
     )
+    frequencies = cells.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
     value, n = F.col("value"), F.col("n")
-    texts = [position for position, kind in enumerate(types, start=1) if kind == "string"]
-    is_text = F.col("position").isin(texts) if texts else F.lit(False)
+    is_text = F.col("label").isin([i for i, kind in zip(labels, types) if kind == "string"])
+    is_number = F.col("label").isin([i for i, name in zip(labels, names) if name in numbers])
+    # A number and its text convert into each other without loss, so the distinct texts carry the numbers.
+    number = F.when(is_number, value.try_cast("double"))
     top = F.min(F.when(value.isNotNull(), F.struct((-n).alias("rank"), value.alias("value"))))
     return (
-        frequencies.groupBy("position")
+        frequencies.groupBy("label")
         .agg(
             F.sum("n").alias("rows"),
             F.sum(F.when(value.isNull(), n).otherwise(0)).alias("nulls"),
             F.sum(F.when(is_text & blank("value"), n).otherwise(0)).alias("blanks"),
-            F.sum(F.when(F.col("number") == 0, n).otherwise(0)).alias("zeros"),
+            F.sum(F.when(number == 0, n).otherwise(0)).alias("zeros"),
             F.count("value").alias("distinct_values"),
-            F.min("number").alias("min_number"),
-            F.max("number").alias("max_number"),
+            F.min(number).alias("min_number"),
+            F.max(number).alias("max_number"),
             F.min(F.when(is_text, value)).alias("min_text"),
             F.max(F.when(is_text, value)).alias("max_text"),
             top.alias("top"),
         )
         .select(
-            F.element_at(F.array(*map(F.lit, names)), F.col("position")).alias("column"),
-            F.element_at(F.array(*map(F.lit, types)), F.col("position")).alias("type"),
+            F.element_at(F.array(*map(F.lit, names)), F.col("label").cast("int")).alias("column"),
+            F.element_at(F.array(*map(F.lit, types)), F.col("label").cast("int")).alias("type"),
             "rows",
             "nulls",
             "blanks",
@@ -222,44 +214,43 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
             ]
         )
     ).scalar()
-    cells = df.select(
-        _rows(
-            *[
-                F.struct(
-                    F.lit(n).alias("column"),
-                    _as_double(df, n).alias("value"),
-                    ranges[n]["low"].alias("low"),
-                    ((ranges[n]["high"] - ranges[n]["low"]) / bins).alias("width"),
-                )
-                for n in names
-            ]
-        )
-    ).where(F.col("value").isNotNull())
-    raw = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("width"))), F.lit(0))
-    return (
-        cells.withColumn("bin", F.least(raw, F.lit(bins - 1)).cast("int"))
-        .groupBy("column", "bin", "low", "width")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .select(
-            "column",
-            "bin",
-            (F.col("low") + F.col("bin") * F.col("width")).alias("lower"),
-            (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("upper"),
-            "count",
-        )
+    widths = {n: (ranges[n]["high"] - ranges[n]["low"]) / bins for n in names}
+    labels = [str(i) for i in range(1, len(names) + 1)]
+
+    def bin_of(name: str) -> Column:
+        value = _as_double(df, name)
+        place = F.coalesce(F.floor(F.try_divide(value - ranges[name]["low"], widths[name])), F.lit(0))
+        return F.when(value.isNotNull(), F.least(place, F.lit(bins - 1)).cast("int"))
+
+    # Bins are found per column before the columns are stacked: what is counted is two short values per cell.
+    cells = df.select(*[bin_of(n).alias(i) for n, i in zip(names, labels)]).unpivot([], labels, "label", "bin")
+    counts = cells.where(F.col("bin").isNotNull()).groupBy("label", "bin").agg(F.count(F.lit(1)).alias("count"))
+    position = F.col("label").cast("int")
+    low = F.element_at(F.array(*[ranges[n]["low"] for n in names]), position)
+    width = F.element_at(F.array(*[widths[n] for n in names]), position)
+    return counts.select(
+        F.element_at(F.array(*map(F.lit, names)), position).alias("column"),
+        "bin",
+        (low + F.col("bin") * width).alias("lower"),
+        (low + (F.col("bin") + 1) * width).alias("upper"),
+        "count",
     )
 
 
 def cast_audit(df: DataFrame, columns: Sequence[str] | None = None, target: str = "double") -> DataFrame:
     """Per string column: rows, nulls, blanks and values that do not cast to ``target`` (blanks included)."""
     names = list(columns or string_columns(df))
+
+    def converted(name: str) -> Column:
+        return to_number(name) if target == "double" else F.col(name).try_cast(target)
+
     measures = [
         F.struct(
             F.lit(n).alias("column"),
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.col(n).isNull()).alias("nulls"),
             F.count_if(blank(n)).alias("blanks"),
-            F.count_if(F.col(n).isNotNull() & F.col(n).try_cast(target).isNull()).alias("uncastable"),
+            F.count_if(F.col(n).isNotNull() & converted(n).isNull()).alias("uncastable"),
         ).alias(n)
         for n in names
     ]

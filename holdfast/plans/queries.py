@@ -417,7 +417,8 @@ def score_rule(spark, sf_dir):
 def stream_scores(spark, sf_dir):
     """Customer numbers read as a stream, joined with stored features, scored by the rule, written and read back."""
     schema = table(spark, sf_dir, "customer").schema
-    keys = spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").parquet(sf_dir)
+    # A glob matches the table whether it is one file or a folder of files.
+    keys = spark.readStream.schema(schema).parquet(f"{sf_dir}/customer.parquet*")
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey", map_category("c_mktsegment", SEGMENT_CONTRACTS).alias("contract_name"), "c_acctbal"
     )

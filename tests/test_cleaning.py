@@ -9,6 +9,7 @@ from holdfast.functions import (
     sanitise,
     strip_whitespace,
     to_boolean,
+    to_number,
 )
 from holdfast.operators.featurize import FeatureSpec, assign_where, featurize
 
@@ -84,3 +85,13 @@ def test_hash_is_independent_of_partitioning_and_type(spark):
     other = df.repartition(13).select("id", percent_bucket("text").alias("b"))
     assert one.exceptAll(other).isEmpty()
     assert df.select(key_hash(["id", "text"])).first()[0] != df.select(key_hash(["id", "text"], seed=7)).first()[0]
+
+
+def test_to_number_equals_the_plain_cast(spark):
+    items = [
+        "1", "-1.5", "+2", ".5", "5.", "1e3", "1E-3", " 7 ", "\t8\n", "NaN", "nan", "-inf", "+Infinity", "infinity",
+        "INF", "1d", "1f", "0x10", "0x1p3", "", " ", "abc", "No", "Infix", "name", "-", "+", "e5", "1,000", None,
+        "\u00a01", "\u0661", "--1", "+ 1", "1_000", "NULL", "true", "\x1f9",
+    ]
+    df = strings(spark, *items).select(to_number("s").alias("a"), F.col("s").try_cast("double").alias("b"))
+    assert [(repr(r["a"]), r["a"] is None) for r in df.collect()] == [(repr(r["b"]), r["b"] is None) for r in df.collect()]
