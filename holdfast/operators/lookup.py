@@ -17,6 +17,8 @@ from holdfast.sources.feature_tables import primary_keys_of
 HOT_ROWS = 1_000_000
 # A key that holds at least this share of the rows is hot, so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
+# So many keys, as text a few dozen bytes each, may be broadcast.
+FEW_KEYS = 1_000_000
 
 
 class LabelLeakage(ValueError):
@@ -83,6 +85,19 @@ def hot_key_hashes(
     return [item["item"] for item in found["top"] if item["count"] >= floor]
 
 
+def features_of(keys_frame: DataFrame, keys: Sequence[str], features: DataFrame, joined: Sequence[str]) -> DataFrame:
+    """The feature rows of the given keys only, for a key frame that is small beside the feature table.
+
+    The keys are counted: few of them are broadcast, so that what the lookup shuffles is no more than their features.
+    Many of them are joined as Spark sees fit.
+    """
+    wanted = keys_frame.select(*[F.col(key).alias(f"__want_{i}") for i, key in enumerate(keys)]).distinct()
+    if wanted.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        wanted = F.broadcast(wanted)
+    same = reduce(lambda a, b: a & b, [features[alias] == wanted[f"__want_{i}"] for i, alias in enumerate(joined)])
+    return features.join(wanted, same, "left_semi")
+
+
 def _renamed(features: DataFrame, table_keys: Sequence[str], names: Sequence[str]) -> tuple[DataFrame, list[str]]:
     joined = [f"__key_{i}" for i in range(len(table_keys))]
     columns = [F.col(key).alias(alias) for key, alias in zip(table_keys, joined)]
@@ -104,13 +119,14 @@ def lookup_features(
     without: Sequence[str] = (),
     hot_share: float | None = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Add the features of every lookup, keeping every input row; an unknown or NULL key gets NULL features.
 
     Tables must be unique by their keys, as ``create_feature_table`` checks. Lookups by the same key follow each
     other and share one shuffle of the input. Rows of hot keys (and of NULL, where that is hot) do not enter that
     shuffle: they are joined with a broadcast of just their own feature rows. ``hot_share=None`` turns the search for
-    hot keys off, as for streams.
+    hot keys off, as for streams. ``prefilter`` is for few keys and large tables: see ``features_of``.
     """
     spark = df.sparkSession
     taken = {name.lower() for name in df.columns}
@@ -126,6 +142,8 @@ def lookup_features(
         )
     result = df
     for keys, tables in by_key.items():
+        if prefilter:
+            tables = [(features_of(df, keys, features, joined), joined) for features, joined in tables]
         hashes = []
         if hot_share is not None and not df.isStreaming:
             if all(_same_key_types(df, features, keys, joined) for features, joined in tables):

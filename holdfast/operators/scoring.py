@@ -10,10 +10,17 @@ from holdfast.sources.models import SavedModel, load_model
 
 
 def score_batch(
-    model: str | SavedModel, keys: DataFrame, result_type: str = "string", hot_share: float | None = HOT_SHARE
+    model: str | SavedModel,
+    keys: DataFrame,
+    result_type: str = "string",
+    hot_share: float | None = HOT_SHARE,
+    prefilter: bool = False,
 ) -> DataFrame:
-    """Look up the model's features by key and append ``prediction``; every input row and column is kept."""
+    """Look up the model's features by key and append ``prediction``; every input row and column is kept.
+
+    ``prefilter`` spares the shuffle of a large feature table when only few of its keys are scored.
+    """
     saved = load_model(keys.sparkSession, model) if isinstance(model, str) else model
-    looked_up = lookup_features(keys, saved.lookups, hot_share=hot_share)
+    looked_up = lookup_features(keys, saved.lookups, hot_share=hot_share, prefilter=prefilter)
     scored = predict(saved.model, looked_up)
     return scored.withColumn(PREDICTION, scored[PREDICTION].cast(result_type))

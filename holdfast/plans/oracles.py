@@ -203,24 +203,24 @@ _BLANKS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 _ON_BASE = {
     "select_all": "SELECT * FROM base",
     "input_example": "SELECT * EXCLUDE (churn) FROM features ORDER BY customer_id LIMIT 100",
-    "csv_scan": "SELECT * FROM base",
-    "overwrite_table": "SELECT * REPLACE (monthly_charges * 2 AS monthly_charges) FROM base",
-    "snapshot": "SELECT * FROM base",
+    "read_csv": "SELECT * FROM base",
+    "save_table": "SELECT * REPLACE (monthly_charges * 2 AS monthly_charges) FROM base",
+    "snapshot_table": "SELECT * FROM base",
     "feature_table": "SELECT * EXCLUDE (churn) FROM features",
-    "label_columns": "SELECT customer_id, churn FROM base",
+    "label_frame": "SELECT customer_id, churn FROM base",
     "flag_to_boolean": "SELECT customer_id, senior = 1 AS senior FROM base",
-    "category_to_number": f"SELECT customer_id, contract, {_MONTHS} AS months FROM base",
-    "masked_assignment": """SELECT customer_id, contract,
+    "map_category": f"SELECT customer_id, contract, {_MONTHS} AS months FROM base",
+    "assign_where": """SELECT customer_id, contract,
   CASE WHEN contract = 'Month-to-month' THEN CAST(0 AS DOUBLE) ELSE monthly_charges END AS monthly_charges FROM base""",
-    "numeric_cleaning": """SELECT customer_id, total_charges, CASE WHEN length(trim(total_charges)) = 0 THEN CAST(0 AS DOUBLE)
+    "clean_numeric": """SELECT customer_id, total_charges, CASE WHEN length(trim(total_charges)) = 0 THEN CAST(0 AS DOUBLE)
   ELSE TRY_CAST(total_charges AS DOUBLE) END AS amount FROM base""",
-    "featurized": "SELECT * FROM features",
+    "featurize": "SELECT * FROM features",
     "feature_lookup": _LOOKUP.format(more=""),
     "training_set": "SELECT * EXCLUDE (customer_id) FROM (" + _LOOKUP.format(more=", f.churn") + ")",
-    "label_leakage": _leakage(),
+    "leakage_scan": _leakage(),
     "value_counts": "SELECT churn, count(*) AS count FROM base GROUP BY churn",
     "group_count": "SELECT churn, senior, count(*) AS customers FROM base GROUP BY churn, senior",
-    "pivoted_counts": """SELECT churn, count(*) FILTER (WHERE senior = 0) AS not_senior, count(*) FILTER (WHERE senior = 1) AS senior
+    "pivot_counts": """SELECT churn, count(*) FILTER (WHERE senior = 0) AS not_senior, count(*) FILTER (WHERE senior = 1) AS senior
 FROM base GROUP BY churn""",
     "class_balance": """SELECT churn, count(*) AS count, round(count(*) / (SELECT count(*) FROM base), 6) AS share
 FROM base GROUP BY churn""",
@@ -270,7 +270,7 @@ FROM (SELECT class, count(*) FILTER (WHERE churn = class) AS support, count(*) F
 ) SELECT s.customer_id, s.segment, s.churn, s.split, coalesce(w.majority,
   (SELECT churn FROM counts GROUP BY churn ORDER BY sum(n) DESC, churn LIMIT 1)) AS prediction
 FROM sides s LEFT JOIN winners w USING (segment)""",
-    "trial_choice": _trials(),
+    "best_trial": _trials(),
     "drift_psi": _psi(),
     "metric_decay": f"""SELECT split, metric, round(reference, 6) AS reference, round(current, 6) AS current,
   round(reference - current, 6) AS loss, reference - current > 0.01 AS decayed
@@ -280,9 +280,9 @@ FROM (SELECT split, metric, max(value) FILTER (WHERE run_id = 'train_run') AS re
 }
 
 _ON_TABLES = {
-    "whitespace_stripping": f"""SELECT doc_id,
+    "strip_whitespace": f"""SELECT doc_id,
   regexp_replace(regexp_replace(text, '^{_BLANKS}+', ''), '{_BLANKS}+$', '') AS text FROM documents""",
-    "name_sanitising": r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}_]+', '_', 'g') AS name FROM pages",
+    "sanitise_names": r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}_]+', '_', 'g') AS name FROM pages",
     "scoring_input": """SELECT e.event_id, e.user_id, c.c_mktsegment AS segment, c.c_acctbal AS balance
 FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""",
     "profile_lineitem": _profile(
@@ -299,7 +299,7 @@ FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""",
     "histogram_lineitem": _histogram("lineitem", LINEITEM_NUMBERS, 20),
     "primary_key_audit_lineitem": _key_audit("lineitem", ("l_orderkey", "l_linenumber")),
     "duplicate_keys": "SELECT o_custkey, count(*) AS rows FROM orders GROUP BY o_custkey HAVING count(*) > 1",
-    "stream_scores": f"""SELECT c_custkey, {_MONTHS} AS contract, c_acctbal,
+    "score_stream": f"""SELECT c_custkey, {_MONTHS} AS contract, c_acctbal,
   CASE WHEN contract = 'Month-to-month' THEN 'Yes' ELSE 'No' END AS prediction
 FROM (SELECT c.c_custkey, c.c_acctbal, {_CONTRACT} AS contract FROM customer c)""",
 }

@@ -42,9 +42,12 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 LINEITEM_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -54,17 +57,17 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 # Scans, tables and previews
 
 
-@query
+@query("select_all")
 def select_all(spark, sf_dir):
     return aggregate.sql_over("SELECT * FROM {churn}", churn=churn_frame(spark, sf_dir))
 
 
-@query
+@query("input_example")
 def input_example(spark, sf_dir):
     return customer_features(spark, sf_dir).orderBy(KEY).limit(100)
 
 
-@query
+@query("read_csv")
 def csv_scan(spark, sf_dir):
     """The churn frame written as CSV files and read back with its schema."""
     frame = churn_frame(spark, sf_dir)
@@ -80,7 +83,7 @@ def _database(spark: SparkSession) -> str:
     return name
 
 
-@query
+@query("save_table")
 def overwrite_table(spark, sf_dir):
     """A table overwritten by a frame that reads it."""
     name = f"{_database(spark)}.churn"
@@ -89,7 +92,7 @@ def overwrite_table(spark, sf_dir):
     return spark.table(name)
 
 
-@query
+@query("snapshot_table")
 def snapshot(spark, sf_dir):
     """A copy that keeps what the source held before it was overwritten."""
     database = _database(spark)
@@ -99,7 +102,7 @@ def snapshot(spark, sf_dir):
     return spark.table(f"{database}.churn_copy")
 
 
-@query
+@query("feature_table")
 def feature_table(spark, sf_dir):
     """Features stored as a bucketed feature table and read back."""
     name = f"{_database(spark)}.churn_features"
@@ -110,45 +113,45 @@ def feature_table(spark, sf_dir):
 # Projections and scalar functions
 
 
-@query
+@query("label_frame")
 def label_columns(spark, sf_dir):
     return label_frame(spark, sf_dir)
 
 
-@query
+@query("flag_to_boolean")
 def flag_to_boolean(spark, sf_dir):
     return churn_frame(spark, sf_dir, [KEY, "senior"]).withColumn("senior", to_boolean("senior"))
 
 
-@query
+@query("map_category")
 def category_to_number(spark, sf_dir):
     frame = churn_frame(spark, sf_dir, [KEY, "contract"])
     return frame.withColumn("months", map_category("contract", CONTRACT_MONTHS))
 
 
-@query
+@query("assign_where")
 def masked_assignment(spark, sf_dir):
     frame = churn_frame(spark, sf_dir, [KEY, "contract", "monthly_charges"])
     return assign_where(frame, F.col("contract") == "Month-to-month", "monthly_charges", 0.0)
 
 
-@query
+@query("clean_numeric")
 def numeric_cleaning(spark, sf_dir):
     frame = churn_frame(spark, sf_dir, [KEY, "total_charges"])
     return frame.withColumn("amount", clean_numeric("total_charges"))
 
 
-@query
+@query("strip_whitespace")
 def whitespace_stripping(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strip_whitespace("text").alias("text"))
 
 
-@query
+@query("sanitise_names")
 def name_sanitising(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", sanitise("url").alias("name"))
 
 
-@query
+@query("featurize")
 def featurized(spark, sf_dir):
     return churn_features(spark, sf_dir)
 
@@ -156,13 +159,13 @@ def featurized(spark, sf_dir):
 # Lookups
 
 
-@query
+@query("feature_lookup")
 def feature_lookup(spark, sf_dir):
     keys = churn_frame(spark, sf_dir, [KEY])
     return lookup.lookup_features(keys, churn_lookups(spark, sf_dir))
 
 
-@query
+@query("scoring_input")
 def scoring_input(spark, sf_dir):
     """Events hold many rows per user and users that are no customers; every event is kept."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
@@ -172,13 +175,13 @@ def scoring_input(spark, sf_dir):
     return lookup.lookup_features(events, [lookup.FeatureLookup(customers, "user_id")])
 
 
-@query
+@query("training_set")
 def training_set(spark, sf_dir):
     labels = label_frame(spark, sf_dir)
     return lookup.create_training_set(labels, churn_lookups(spark, sf_dir), LABEL, exclude_columns=KEY).load_df()
 
 
-@query
+@query("leakage_scan")
 def label_leakage(spark, sf_dir):
     return _rounded(lookup.leakage_scan(churn_features(spark, sf_dir), LABEL, POSITIVE), "correlation")
 
@@ -186,12 +189,12 @@ def label_leakage(spark, sf_dir):
 # Aggregates and profiles
 
 
-@query
+@query("value_counts")
 def value_counts(spark, sf_dir):
     return aggregate.value_counts(label_frame(spark, sf_dir), LABEL)
 
 
-@query
+@query("group_count")
 def group_count(spark, sf_dir):
     return aggregate.sql_over(
         "SELECT churn, senior, COUNT(*) AS customers FROM {churn_rows} GROUP BY senior, churn",
@@ -199,67 +202,67 @@ def group_count(spark, sf_dir):
     )
 
 
-@query
+@query("pivot_counts")
 def pivoted_counts(spark, sf_dir):
     counts = aggregate.group_count(churn_frame(spark, sf_dir, ["senior", LABEL]), [LABEL, "senior"], "customers")
     wide = aggregate.pivot_counts(counts, LABEL, "senior", "customers", [0, 1])
     return wide.withColumnsRenamed({"0": "not_senior", "1": "senior"})
 
 
-@query
+@query("class_balance")
 def class_balance(spark, sf_dir):
     return _rounded(aggregate.class_balance(label_frame(spark, sf_dir), LABEL), "share")
 
 
-@query
+@query("describe_numeric")
 def describe_numeric(spark, sf_dir):
     columns = ["contract", "monthly_charges", "total_charges"]
     return _rounded(profile.describe_numeric(churn_features(spark, sf_dir), columns), *columns)
 
 
-@query
+@query("summary_typed")
 def summary_typed(spark, sf_dir):
     return _rounded(profile.summary_typed(churn_features(spark, sf_dir)), "mean", "stddev")
 
 
-@query
+@query("profile_columns")
 def profile_columns(spark, sf_dir):
     return profile.profile_columns(churn_frame(spark, sf_dir))
 
 
-@query
+@query("profile_lineitem")
 def profile_lineitem(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     columns = ["l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
     return profile.profile_columns(rows, columns)
 
 
-@query
+@query("histogram")
 def histogram(spark, sf_dir):
     return _rounded(profile.histogram(churn_features(spark, sf_dir), ["monthly_charges", "total_charges"]), "lower", "upper")
 
 
-@query
+@query("histogram_lineitem")
 def histogram_lineitem(spark, sf_dir):
     return _rounded(profile.histogram(table(spark, sf_dir, "lineitem"), LINEITEM_NUMBERS, bins=20), "lower", "upper")
 
 
-@query
+@query("cast_audit")
 def cast_audit(spark, sf_dir):
     return profile.cast_audit(churn_frame(spark, sf_dir))
 
 
-@query
+@query("primary_key_audit")
 def primary_key_audit(spark, sf_dir):
     return profile.primary_key_audit(churn_frame(spark, sf_dir, [KEY]), KEY)
 
 
-@query
+@query("primary_key_audit_lineitem")
 def primary_key_audit_lineitem(spark, sf_dir):
     return profile.primary_key_audit(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query
+@query("duplicate_keys")
 def duplicate_keys(spark, sf_dir):
     return profile.duplicate_keys(table(spark, sf_dir, "orders"), "o_custkey")
 
@@ -267,17 +270,17 @@ def duplicate_keys(spark, sf_dir):
 # Splits and encoding
 
 
-@query
+@query("hash_split")
 def hash_split(spark, sf_dir):
     return split.hash_split(churn_frame(spark, sf_dir, [KEY]), KEY)
 
 
-@query
+@query("exact_split")
 def exact_split(spark, sf_dir):
     return split.exact_split(churn_frame(spark, sf_dir, [KEY]), KEY)
 
 
-@query
+@query("one_hot_wide")
 def one_hot_wide(spark, sf_dir):
     frame = churn_frame(spark, sf_dir, [KEY, "segment", "contract"])
     known = encode.categories(frame, ["segment"]) | {"contract": list(CONTRACT_MONTHS)}
@@ -287,44 +290,44 @@ def one_hot_wide(spark, sf_dir):
 # Metrics
 
 
-@query
+@query("accuracy")
 def accuracy(spark, sf_dir):
     return _rounded(metrics.accuracy(rule_frame(spark, sf_dir), LABEL, "prediction"), "accuracy")
 
 
-@query
+@query("confusion_matrix")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(rule_frame(spark, sf_dir), LABEL, "prediction")
 
 
-@query
+@query("precision_recall_f1")
 def precision_recall_f1(spark, sf_dir):
     report = metrics.precision_recall_f1(rule_frame(spark, sf_dir), LABEL, "prediction")
     return _rounded(report, "precision", "recall", "f1")
 
 
-@query
+@query("log_loss")
 def log_loss(spark, sf_dir):
     return _rounded(metrics.log_loss(rule_frame(spark, sf_dir), LABEL, "probability", POSITIVE), "log_loss")
 
 
-@query
+@query("roc_auc")
 def roc_auc(spark, sf_dir):
     return _rounded(metrics.roc_auc(rule_frame(spark, sf_dir), LABEL, "monthly_charges", POSITIVE), "roc_auc")
 
 
-@query
+@query("roc_curve")
 def roc_curve(spark, sf_dir):
     return _rounded(metrics.roc_curve(rule_frame(spark, sf_dir), LABEL, "monthly_charges", POSITIVE), "fpr", "tpr")
 
 
-@query
+@query("pr_curve")
 def pr_curve(spark, sf_dir):
     curve = metrics.pr_curve(rule_frame(spark, sf_dir), LABEL, "monthly_charges", POSITIVE)
     return _rounded(curve, "precision", "recall")
 
 
-@query
+@query("metrics_table")
 def metrics_table(spark, sf_dir):
     """The rule's accuracy on both sides of the split, appended to a metrics table run by run."""
     name = f"{_database(spark)}.metrics"
@@ -342,13 +345,13 @@ def _rule_metrics(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     ]
 
 
-@query
+@query("majority_baseline")
 def majority_baseline(spark, sf_dir):
     rows = split.hash_split(churn_frame(spark, sf_dir, [KEY, "segment", LABEL]), KEY)
     return baseline.majority_baseline(rows, rows.where(F.col("split") == "train"), ["segment"], LABEL)
 
 
-@query
+@query("best_trial")
 def trial_choice(spark, sf_dir):
     """Trials are one-threshold rules on the monthly charges, their metric is accuracy; the best one is kept."""
     rows = churn_frame(spark, sf_dir, ["monthly_charges", LABEL])
@@ -364,13 +367,13 @@ def trial_choice(spark, sf_dir):
 # Drift and decay
 
 
-@query
+@query("drift_psi")
 def drift_psi(spark, sf_dir):
     frame = churn_features(spark, sf_dir)
     return _rounded(drift.drift_psi(frame, F.col(LABEL) == "No", ["monthly_charges", "contract", "segment"], 10), "psi")
 
 
-@query
+@query("metric_decay")
 def metric_decay(spark, sf_dir):
     train, test = _rule_metrics(spark, sf_dir)
     decay = drift.metric_decay(train.unionByName(test), "train_run", "test_run", tolerance=0.01)
@@ -380,7 +383,7 @@ def metric_decay(spark, sf_dir):
 # Models and scoring
 
 
-@query
+@query("gbt_predictions")
 def gbt_predictions(spark, sf_dir):
     """Boosted trees fitted on the training keys, applied to every customer."""
     rows = churn_features(spark, sf_dir)
@@ -389,12 +392,12 @@ def gbt_predictions(spark, sf_dir):
     return scored.select(KEY, "split", LABEL, "prediction", F.round("score", 6).alias("score"))
 
 
-@query
+@query("auto_trials")
 def auto_trials(spark, sf_dir):
     return auto_classify(churn_features(spark, sf_dir), LABEL, KEY).trials.select("trial_id", "family", "metric")
 
 
-@query
+@query("score_batch")
 def batch_scores(spark, sf_dir):
     """A model saved with its lookups, loaded, and applied to bare keys."""
     name = f"{_database(spark)}.churn_features"
@@ -406,14 +409,14 @@ def batch_scores(spark, sf_dir):
     return score_batch(path, churn_frame(spark, sf_dir, [KEY]))
 
 
-@query
+@query("score_rule")
 def score_rule(spark, sf_dir):
     """Batch scoring with the fixed rule in the model's place."""
     keys = churn_frame(spark, sf_dir, [KEY])
     return rule_prediction(lookup.lookup_features(keys, churn_lookups(spark, sf_dir)))
 
 
-@query
+@query("score_stream")
 def stream_scores(spark, sf_dir):
     """Customer numbers read as a stream, joined with stored features, scored by the rule, written and read back."""
     schema = table(spark, sf_dir, "customer").schema

@@ -25,14 +25,16 @@ def save_table(
     table_format: str = "parquet",
     bucket_by: Sequence[str] = (),
     buckets: int = 0,
+    swap: bool = True,
 ) -> None:
     """Save a frame as a managed table.
 
     An overwrite writes a new table and swaps it in at the end, so a failed job leaves the old table as it was and
-    the frame may read the table it replaces. Buckets let later joins and lookups by the same key skip their shuffle.
+    the frame may read the table it replaces. A store without renames copies on a swap; ``swap=False`` overwrites in
+    place there. Buckets let later joins and lookups by the same key skip their shuffle.
     """
     spark = df.sparkSession
-    replacing = mode == "overwrite" and spark.catalog.tableExists(name)
+    replacing = swap and mode == "overwrite" and spark.catalog.tableExists(name)
     target = f"{name}__new_{uuid.uuid4().hex[:12]}" if replacing else name
     if buckets:
         keys = list(bucket_by)

@@ -82,6 +82,19 @@ def test_key_types_may_differ(spark, features):
     assert routed.where("id = 1 and cat = 'x'").count() == df.where("id = 1").count()
 
 
+def test_prefilter_broadcasts_the_keys_and_changes_nothing(spark, features):
+    keys = spark.createDataFrame([(1,), (1,), (9,), (None,)], "id int")
+    lookups = [FeatureLookup(features, "id")]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, want = lookup_features(keys, lookups, prefilter=True), lookup_features(keys, lookups)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_composite_key(spark):
     table = spark.createDataFrame([(1, "a", 10), (1, "b", 20)], "id int, k string, v int")
     rows = spark.createDataFrame([(1, "b"), (2, "a")], "id int, k string")

@@ -10,7 +10,7 @@ import __spark_entry__ as contract
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-WITHOUT_SQL = {"gbt_predictions", "auto_trials", "batch_scores"}
+WITHOUT_SQL = {"gbt_predictions", "auto_trials", "score_batch"}
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +58,7 @@ def spark_kind(name):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_types_match_sql(spark, duck, name):
-    if name in {"csv_scan", "overwrite_table", "snapshot", "feature_table", "metrics_table", "stream_scores"}:
+    if name in {"read_csv", "save_table", "snapshot_table", "feature_table", "metrics_table", "score_stream"}:
         pytest.skip("stored query, compared by value only")
     result = QUERIES[name](spark, SF_DIR)
     got = {field.name: spark_kind(field.dataType.simpleString()) for field in result.schema.fields}

@@ -57,6 +57,13 @@ def test_failed_overwrite_keeps_the_old_table(spark, database, people):
     assert [t.name for t in spark.catalog.listTables(database)] == ["people"]
 
 
+def test_overwrite_in_place(spark, database, people):
+    name = f"{database}.people"
+    save_table(people, name)
+    save_table(people.limit(1), name, swap=False)
+    assert spark.table(name).count() == 1
+
+
 def test_snapshot_is_independent_and_written_once(spark, database, people):
     source, copy = f"{database}.people", f"{database}.copy"
     save_table(people, source)
