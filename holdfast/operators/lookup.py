@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.operators.profile import numeric_columns
+from holdfast.operators.sketches import FREQUENT_ITEMS, by_lane, frequent_sketch, merged_frequent
 from holdfast.sources.feature_tables import primary_keys_of
 
 # A group smaller than this is no trouble for one task, whatever its share.
@@ -79,10 +80,14 @@ def hot_key_hashes(
     list has at most 1 / share entries. It decides only which join a row takes, never whether it is kept.
     """
     limit = int(1 / share)
-    sketch = F.call_function("approx_top_k", F.col("key_hash"), F.lit(limit), F.lit(10 * limit))
-    found = df.select(_hash_of(keys).alias("key_hash")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
-    floor = max(share * found["n"], min_rows)
-    return [item["item"] for item in found["top"] if item["count"] >= floor]
+    kept = max(FREQUENT_ITEMS, 4 * limit)
+    found = by_lane(
+        df.select(_hash_of(keys).alias("key_hash")),
+        {"n": F.count(F.lit(1)), "sketch": frequent_sketch(F.col("key_hash"), kept)},
+        {"n": F.sum("n"), "top": merged_frequent(F.col("sketch"), limit, kept)},
+    ).first()
+    floor = max(share * (found["n"] or 0), min_rows)
+    return [item["item"] for item in found["top"] or [] if item["count"] >= floor]
 
 
 def features_of(keys_frame: DataFrame, keys: Sequence[str], features: DataFrame, joined: Sequence[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+
+from holdfast.operators.sketches import BALANCE_SIZE, by_lane, merged_quantiles, quantile_sketch, quantiles
 METRICS_SCHEMA = "run_id string, split string, metric string, value double"
 
 
@@ -72,20 +74,30 @@ def model_metrics(df: DataFrame, label: str, prediction: str, score: str | None,
     Predicting is the dear part, so what one pass can find is found together: accuracy, loss and the cut points of
     the scores.
     """
-    wanted = [F.try_divide(F.count_if(_hit(label, prediction)), F.count(label)).alias("accuracy")]
+    partial = {"right": F.count_if(_hit(label, prediction)), "rows": F.count(label)}
+    final = {"accuracy": F.try_divide(F.sum("right"), F.sum("rows"))}
     if score:
-        wanted.append(F.avg(row_loss(label, score, positive)).alias("log_loss"))
-        wanted.append(cut_points(F.col(score), ranges_of(df)).alias("cuts"))
-    found = df.agg(*wanted).first().asDict()
+        loss = row_loss(label, score, positive)
+        partial |= {"loss": F.sum(loss), "losses": F.count(loss)}
+        partial |= {"scores": F.count(score), "sketch": quantile_sketch(F.col(score), BALANCE_SIZE)}
+        final["log_loss"] = F.try_divide(F.sum("loss"), F.sum("losses"))
+        final["cuts"] = _cuts(ranges_of(df))
+    found = by_lane(df, partial, final).first().asDict()
     if score:
         cuts = found.pop("cuts") or []
         found["roc_auc"] = roc_auc(df, label, score, positive, cuts=cuts).first()["roc_auc"]
     return found
 
 
-def cut_points(score: Column, buckets: int) -> Column:
+def _cuts(buckets: int) -> Column:
     """Sketched quantiles that cut the scores into about equal ranges."""
-    return F.percentile_approx(score.cast("double"), [i / buckets for i in range(1, buckets)] or [0.5])
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    return quantiles(merged_quantiles(F.col("sketch")), F.sum("scores"), shares)
+
+
+def cut_points(scored: DataFrame, buckets: int) -> list[float]:
+    partial = {"scores": F.count("score"), "sketch": quantile_sketch(F.col("score"), BALANCE_SIZE)}
+    return by_lane(scored, partial, {"cuts": _cuts(buckets)}).first()["cuts"] or []
 
 
 def ranges_of(df: DataFrame) -> int:
@@ -111,7 +123,7 @@ def score_totals(
     scored = df.select(F.col(score).cast("double").alias("score"), is_positive.cast("bigint").alias("positive"))
     scored = scored.where(F.col("score").isNotNull() & F.col("positive").isNotNull())
     if cuts is None:
-        cuts = scored.agg(cut_points(F.col("score"), buckets or ranges_of(df))).first()[0] or []
+        cuts = cut_points(scored, buckets or ranges_of(df))
     inner = sorted({float(cut) for cut in cuts if math.isfinite(cut)}) or [0.0]
     groups = scored.groupBy("score").agg(
         F.sum("positive").alias("positives"), F.sum(1 - F.col("positive")).alias("negatives")
