@@ -52,43 +52,40 @@ def _statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
     partial, final = {}, {}
     for i, name in enumerate(names):
         value = _as_double(df, name)
-        text = F.lit(None).cast("string") if name in numbers else F.col(name)
-        number = value if name in numbers else F.lit(None).cast("double")
+        extremes = value if name in numbers else F.col(name)
         partial |= {
-            f"filled{i}": F.count(F.col(name)),
             f"moments{i}": moments(value),
             f"sketch{i}": quantile_sketch(value),
-            f"low{i}": F.min(number),
-            f"high{i}": F.max(number),
-            f"first{i}": F.min(text),
-            f"last{i}": F.max(text),
+            f"low{i}": F.min(extremes),
+            f"high{i}": F.max(extremes),
         }
-        final[f"s{i}"] = F.struct(
-            F.sum(f"filled{i}").alias("count"),
-            merged_moments(F.col(f"moments{i}")).alias("moments"),
-            merged_quantiles(F.col(f"sketch{i}")).alias("sketch"),
-            F.min(f"low{i}").alias("low"),
-            F.max(f"high{i}").alias("high"),
-            F.min(f"first{i}").alias("first"),
-            F.max(f"last{i}").alias("last"),
-        )
-    found = by_lane(df, partial, final)
-    return found.select(
-        *[
-            F.struct(
-                F.lit(name).alias("column"),
-                F.coalesce(found[f"s{i}"]["count"], F.lit(0)).alias("count"),
-                mean_of(found[f"s{i}"]["moments"]).alias("mean"),
-                deviation_of(found[f"s{i}"]["moments"]).alias("stddev"),
-                found[f"s{i}"]["low"].alias("min_number"),
-                quantiles(found[f"s{i}"]["sketch"], found[f"s{i}"]["moments"]["n"], QUARTILES).alias("quartiles"),
-                found[f"s{i}"]["high"].alias("max_number"),
-                found[f"s{i}"]["first"].alias("min_text"),
-                found[f"s{i}"]["last"].alias("max_text"),
-            ).alias(name)
-            for i, name in enumerate(names)
-        ]
-    )
+        final |= {
+            f"moments{i}": merged_moments(F.col(f"moments{i}")),
+            f"sketch{i}": merged_quantiles(F.col(f"sketch{i}")),
+            f"low{i}": F.min(f"low{i}"),
+            f"high{i}": F.max(f"high{i}"),
+        }
+        if name not in numbers:
+            partial[f"filled{i}"] = F.count(extremes)
+            final[f"filled{i}"] = F.coalesce(F.sum(f"filled{i}"), F.lit(0))
+    nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def statistics(i: int, name: str) -> Column:
+        merged, low, high = F.col(f"moments{i}"), F.col(f"low{i}"), F.col(f"high{i}")
+        is_number = name in numbers
+        return F.struct(
+            F.lit(name).alias("column"),
+            (merged["n"] if is_number else F.col(f"filled{i}")).alias("count"),
+            mean_of(merged).alias("mean"),
+            deviation_of(merged).alias("stddev"),
+            (low if is_number else nothing).alias("min_number"),
+            quantiles(F.col(f"sketch{i}"), merged["n"], QUARTILES).alias("quartiles"),
+            (high if is_number else nothing).alias("max_number"),
+            (no_text if is_number else low).alias("min_text"),
+            (no_text if is_number else high).alias("max_text"),
+        ).alias(name)
+
+    return by_lane(df, partial, final).select(*[statistics(i, name) for i, name in enumerate(names)])
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

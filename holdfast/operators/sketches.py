@@ -23,8 +23,11 @@ FREQUENT_ITEMS = 4_096
 
 def by_lane(df: DataFrame, partial: Mapping[str, Column], final: Mapping[str, Column]) -> DataFrame:
     """Aggregate to one row: ``partial`` per lane, ``final`` over the lanes' columns."""
-    lanes = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"))
-    return lanes.agg(*[c.alias(n) for n, c in partial.items()]).agg(*[c.alias(n) for n, c in final.items()])
+    measures = [c.alias(n) for n, c in partial.items()]
+    lanes = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane")).agg(*measures).drop("lane")
+    # Some sketches cannot be merged from nothing, so a frame without rows still has one lane, an empty one.
+    empty = df.limit(0).agg(*measures)
+    return lanes.unionByName(empty).agg(*[c.alias(n) for n, c in final.items()])
 
 
 def quantile_sketch(value: Column, size: int = QUANTILE_SIZE) -> Column:

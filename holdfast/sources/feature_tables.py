@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -38,8 +39,7 @@ def primary_keys_of(spark: SparkSession, name: str) -> list[str]:
     """The primary keys a table was created with; empty for a table that is no feature table."""
     if _is_temporary(spark, name):
         return []
-    stored = _properties(spark, name).get(KEYS_PROPERTY, "")
-    return stored.split(",") if stored else []
+    return json.loads(_properties(spark, name).get(KEYS_PROPERTY, "[]"))
 
 
 def create_feature_table(
@@ -71,7 +71,7 @@ def create_feature_table(
         )
     spark.sql(
         f"ALTER TABLE {quoted(name)} SET TBLPROPERTIES "
-        f"('{KEYS_PROPERTY}' = {_text(','.join(keys))}, '{DESCRIPTION_PROPERTY}' = {_text(description)})"
+        f"('{KEYS_PROPERTY}' = {_text(json.dumps(keys))}, '{DESCRIPTION_PROPERTY}' = {_text(description)})"
     )
     spark.sql(f"COMMENT ON TABLE {quoted(name)} IS {_text(description)}")
     return get_feature_table(spark, name)

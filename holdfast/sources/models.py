@@ -33,7 +33,10 @@ def save_model(
     lookups: Sequence[FeatureLookup] = (),
     description: str = "",
 ) -> None:
-    """Write everything scoring needs below ``path``; lookups must name stored tables, and are saved resolved."""
+    """Write everything scoring needs below ``path``; lookups must name stored tables, and are saved resolved.
+
+    A path holds one model for good: a retrained model takes a new path, so no reader meets half of each.
+    """
     spark = training.sparkSession
     resolved = []
     for lookup in lookups:
@@ -49,11 +52,11 @@ def save_model(
         "signature": json.loads(inputs.schema.json()),
         "description": description,
     }
-    model.write().overwrite().save(f"{path}/model")
-    inputs.limit(EXAMPLE_ROWS).write.mode("overwrite").parquet(f"{path}/input_example")
+    model.write().save(f"{path}/model")
+    inputs.limit(EXAMPLE_ROWS).write.parquet(f"{path}/input_example")
     # The spec goes last: a path with a spec is a complete model.
     spec_row = spark.createDataFrame([(json.dumps(spec),)], "value string")
-    spec_row.coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+    spec_row.coalesce(1).write.text(f"{path}/spec")
 
 
 def load_model(spark: SparkSession, path: str) -> SavedModel:

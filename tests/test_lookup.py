@@ -82,6 +82,12 @@ def test_key_types_may_differ(spark, features):
     assert routed.where("id = 1 and cat = 'x'").count() == df.where("id = 1").count()
 
 
+def test_no_rows_have_no_hot_keys(spark, features):
+    nothing = spark.createDataFrame([], "id int")
+    assert hot_key_hashes(nothing, ["id"]) == []
+    assert lookup_features(nothing, [FeatureLookup(features, "id")], prefilter=True).count() == 0
+
+
 def test_prefilter_broadcasts_the_keys_and_changes_nothing(spark, features):
     keys = spark.createDataFrame([(1,), (1,), (9,), (None,)], "id int")
     lookups = [FeatureLookup(features, "id")]

@@ -103,3 +103,27 @@ def test_hot_value_is_combined_before_the_shuffle(spark):
     hot = spark.range(100_000).select(F.when(F.col("id") % 3 != 1, "hot").otherwise(F.col("id").cast("string")).alias("v"))
     plan = aggregate.value_counts(hot, "v")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_empty_frames_have_empty_statistics(raw):
+    got = by(profile.summary_typed(raw.limit(0)), "column")
+    assert got["number"]["count"] == 0 and got["number"]["mean"] is None and got["number"]["p50"] is None
+    assert by(profile.describe_numeric(raw.limit(0), ["number"]), "statistic")["std"]["number"] is None
+    assert by(profile.profile_columns(raw.limit(0), exact=False), "column")["key"]["rows"] == 0
+
+
+def test_moments_survive_a_large_offset(spark):
+    """Many partitions, tiny spread around a large mean: sums of squares would lose every digit."""
+    df = spark.range(0, 10_000, numPartitions=37).select((F.lit(1e9) + (F.col("id") % 10) / 10).alias("v"))
+    got = by(profile.describe_numeric(df), "statistic")
+    want = df.agg(F.stddev_samp("v"), F.avg("v")).first()
+    assert got["std"]["v"] == pytest.approx(want[0], rel=1e-9) and got["mean"]["v"] == pytest.approx(want[1])
+
+
+def test_large_percentiles_stay_within_their_rank_error(spark):
+    rows = 400_000
+    df = spark.range(0, rows, numPartitions=20).select(F.pmod(F.xxhash64("id"), F.lit(rows)).cast("double").alias("v"))
+    got = by(profile.describe_numeric(df), "statistic")
+    for share, name in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%")):
+        rank = df.where(F.col("v") <= got[name]["v"]).count() / rows
+        assert abs(rank - share) < 0.002

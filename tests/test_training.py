@@ -9,7 +9,7 @@ from holdfast.plans import jobs
 from holdfast.plans.churn import CHURN_SPEC
 from holdfast.session import shared_path
 from holdfast.sources.feature_tables import create_feature_table
-from holdfast.sources.models import load_model
+from holdfast.sources.models import load_model, save_model
 from holdfast.streaming.scoring import score_stream, write_stream
 
 
@@ -132,9 +132,14 @@ def test_saved_model_scores_bare_keys(spark, database, planted, stored):
     assert spark.table(f"{database}.metrics").count() == 3
 
 
-def test_unnamed_tables_cannot_be_saved(spark, planted, fit):
-    from holdfast.sources.models import save_model
+def test_a_model_path_is_written_once(spark, planted, fit):
+    path = shared_path(spark, "m")
+    save_model(fit.model, path, planted, "Churn")
+    with pytest.raises(Exception, match="exists"):
+        save_model(fit.model, path, planted, "Churn")
+
 
+def test_unnamed_tables_cannot_be_saved(spark, planted, fit):
     with pytest.raises(ValueError, match="named tables"):
         save_model(fit.model, shared_path(spark, "m"), planted, "Churn", [FeatureLookup(planted, "customerID")])
 
