@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators.split import SEED
-from holdfast.operators.training import assemble, boosted_trees, evaluate, prepare, wired
+from holdfast.operators.training import Prepared, assemble, boosted_trees, evaluate, prepare, wired
 
 # Fixed value: the time budget of a search, in minutes.
 TIMEOUT_MINUTES = 5
@@ -55,13 +55,13 @@ FAMILIES: dict[str, Callable[[int], tuple[Estimator, list]]] = {
 
 @dataclass(frozen=True)
 class Search:
-    """All trials, their metrics, and the best model."""
+    """All trials, their metrics, the best model, and the data they were fitted on."""
 
     trials: DataFrame
     metrics: DataFrame
     best_trial_id: str
     best_model: PipelineModel
-    features: tuple[str, ...]
+    prepared: Prepared
 
 
 def _candidates(families: Sequence[str], seed: int) -> Iterator[tuple[str, str, Estimator, Mapping]]:
@@ -119,7 +119,7 @@ def auto_classify(
         metrics=validation.unionByName(held_out),
         best_trial_id=best[1],
         best_model=assemble(prepared, best[2]),
-        features=prepared.features,
+        prepared=prepared,
     )
 
 

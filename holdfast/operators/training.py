@@ -86,8 +86,9 @@ def encoder(
 
 @dataclass(frozen=True)
 class Prepared:
-    """An encoded, indexed and split training frame, stored so that every fit reads it and not its lineage."""
+    """A split training frame as it came and encoded, both stored so that every fit reads them and not their lineage."""
 
+    rows: DataFrame
     frame: DataFrame
     encoder: PipelineModel
     labels: tuple[str, ...]
@@ -123,15 +124,14 @@ def prepare(
     rows = materialise(hash_split(df.where(F.col(label).isNotNull()), keys, shares, seed), "training-rows")
     train = rows.where(F.col("split") == "train")
     used = columns_by_type(df, T.StringType, T.NumericType, T.BooleanType, exclude=excluded)
-    counts = distinct_counts(train, [label, *used])
-    check_categories({label: counts[label]}, limit=MAX_LABELS)
-    indexer = StringIndexer(
-        inputCol=label, outputCol=LABEL, stringOrderType="alphabetAsc", handleInvalid="skip"
-    ).fit(train)
+    counts = distinct_counts(train, used)
+    check_categories(distinct_counts(rows, [label]), limit=MAX_LABELS)
+    # Labels come from all parts, so a label that only the test part holds is scored and not lost.
+    indexer = StringIndexer(inputCol=label, outputCol=LABEL, stringOrderType="alphabetAsc").fit(rows)
     encoded = encoder(train, excluded, remainder, counts).fit(train)
     frame = indexer.transform(encoded.transform(rows)).select(*keys, label, "split", LABEL, FEATURES)
     features = tuple(c for c in df.columns if c not in excluded)
-    return Prepared(materialise(frame, "training-vectors"), encoded, _labels(indexer), label, features)
+    return Prepared(rows.drop("split"), materialise(frame, "training-vectors"), encoded, _labels(indexer), label, features)
 
 
 def _labels(indexer: StringIndexerModel) -> tuple[str, ...]:

@@ -55,7 +55,7 @@ def train(
     fit = fit_churn(training, label, key, run_id=run_id, **settings)
     if metrics_table:
         append_metrics(fit.metrics, metrics_table)
-    save_model(fit.model, model_path, training, label, lookups)
+    save_model(fit.model, model_path, fit.prepared.rows, label, lookups)
     return fit
 
 
@@ -98,6 +98,6 @@ def retrain(
     search = auto_classify(rows, label, keys, timeout_minutes=timeout_minutes, families=families)
     if metrics_table:
         append_metrics(search.metrics, metrics_table)
-    best_lookup = FeatureLookup(table, keys, list(search.features))
-    save_model(search.best_model, model_path, rows, label, [best_lookup], description="best trial of the search")
+    best_lookup = FeatureLookup(table, keys, list(search.prepared.features))
+    save_model(search.best_model, model_path, search.prepared.rows, label, [best_lookup], description="best trial of the search")
     return Retrained(search, model_path)

@@ -405,7 +405,8 @@ def batch_scores(spark, sf_dir):
     lookups = [lookup.FeatureLookup(name, KEY)]
     training = lookup.create_training_set(label_frame(spark, sf_dir), lookups, LABEL).load_df()
     path = shared_path(spark, "model")
-    save_model(fit_churn(training, LABEL, KEY, trees=5).model, path, training, LABEL, lookups)
+    fit = fit_churn(training, LABEL, KEY, trees=5)
+    save_model(fit.model, path, fit.prepared.rows, LABEL, lookups)
     return score_batch(path, churn_frame(spark, sf_dir, [KEY]))
 
 

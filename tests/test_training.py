@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from holdfast.operators.lookup import FeatureLookup, create_training_set
 from holdfast.operators.scoring import score_batch
 from holdfast.operators.search import auto_classify, best_trial
+from holdfast.operators.split import hash_split
 from holdfast.operators.training import FEATURES, encoder, fit_churn, predict
 from holdfast.plans import jobs
 from holdfast.plans.churn import CHURN_SPEC
@@ -80,6 +81,14 @@ def test_empty_columns_and_missing_labels_are_left_out(planted):
     assert fit.prepared.frame.count() == 1800
 
 
+def test_a_label_outside_the_training_part_is_not_lost(planted):
+    rows = hash_split(planted, "customerID", {"test": 20, "validation": 20, "train": 60})
+    rare = F.when((F.col("split") == "test") & (F.col("customerID") % 50 == 0), "Rare").otherwise(F.col("Churn"))
+    odd = rows.withColumn("Churn", rare).drop("split")
+    search = auto_classify(odd, "Churn", "customerID", families=("decision_tree",))
+    assert search.prepared.labels == ("No", "Rare", "Yes") and search.prepared.frame.count() == 2000
+
+
 def test_fit_wants_two_labels(planted):
     with pytest.raises(ValueError, match="two labels"):
         fit_churn(planted.withColumn("Churn", F.col("cat_a")), "Churn", "customerID")
