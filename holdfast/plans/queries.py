@@ -32,7 +32,7 @@ from holdfast.session import shared_path
 from holdfast.sources.feature_tables import create_feature_table, read_feature_table
 from holdfast.sources.files import read_csv
 from holdfast.sources.models import save_model
-from holdfast.sources.tables import ensure_database, save_table, snapshot_table
+from holdfast.sources.tables import ensure_database, preview, save_table, snapshot_table
 from holdfast.streaming.scoring import write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,7 @@ def select_all(spark, sf_dir):
 
 @query("input_example")
 def input_example(spark, sf_dir):
-    return customer_features(spark, sf_dir).orderBy(KEY).limit(100)
+    return preview(customer_features(spark, sf_dir), KEY)
 
 
 @query("read_csv")

@@ -1,4 +1,4 @@
-"""Namespaces, managed tables and snapshots."""
+"""Namespaces, managed tables, previews and snapshots."""
 
 from __future__ import annotations
 
@@ -54,6 +54,12 @@ def save_table(
         spark.sql(f"DROP TABLE {quoted(old)}")
 
 
+def preview(df: DataFrame, keys: str | Sequence[str], rows: int = 100) -> DataFrame:
+    """The first rows by key: the same ones each time, found without sorting the frame as a whole."""
+    names = [keys] if isinstance(keys, str) else list(keys)
+    return df.orderBy(*names).limit(rows)
+
+
 def snapshot_table(spark: SparkSession, source: str, target: str, table_format: str = "parquet") -> None:
     """Copy a table under a new name unless that name exists; later writes to the source do not reach the copy."""
     spark.sql(

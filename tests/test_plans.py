@@ -52,3 +52,7 @@ def test_orders_are_reduced_before_their_shuffle(spark):
     plan = physical(contract.queries()["featurize"](spark, SF_DIR))
     shuffle, partial = plan.index("Exchange hashpartitioning(o_custkey"), plan.index("partial_max(o_orderdate")
     assert shuffle < partial
+
+
+def test_a_preview_keeps_a_few_rows_per_task(spark):
+    assert "TakeOrderedAndProject" in physical(contract.queries()["input_example"](spark, SF_DIR))
