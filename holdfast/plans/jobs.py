@@ -99,5 +99,6 @@ def retrain(
     if metrics_table:
         append_metrics(search.metrics, metrics_table)
     best_lookup = FeatureLookup(table, keys, list(search.prepared.features))
-    save_model(search.best_model, model_path, search.prepared.rows, label, [best_lookup], description="best trial of the search")
+    rows_used = search.prepared.rows
+    save_model(search.best_model, model_path, rows_used, label, [best_lookup], "best trial of the search")
     return Retrained(search, model_path)

@@ -104,8 +104,8 @@ def _profile(source: str, columns: dict[str, str]) -> str:
 
 def _histogram(source: str, columns: tuple[str, ...], bins: int) -> str:
     parts = [
-        f"""SELECT '{c}' AS column, bin, round(low + bin * width, 6) AS lower, round(low + (bin + 1) * width, 6) AS upper,
-  count(*) AS count
+        f"""SELECT '{c}' AS column, bin, round(low + bin * width, 6) AS lower,
+  round(low + (bin + 1) * width, 6) AS upper, count(*) AS count
 FROM (SELECT low, width, CAST(least(floor((v - low) / width), {bins - 1}) AS INTEGER) AS bin
   FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {source} WHERE {c} IS NOT NULL),
     (SELECT min({c}) AS low, (max({c}) - min({c})) / {bins} AS width FROM {source}))
@@ -128,7 +128,8 @@ def _cast_audit() -> str:
 
 def _key_audit(source: str, keys: tuple[str, ...]) -> str:
     whole = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-    return f"""SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(CASE WHEN {whole} THEN 0 ELSE n END) AS BIGINT) AS null_key_rows,
+    return f"""SELECT CAST(sum(n) AS BIGINT) AS rows,
+  CAST(sum(CASE WHEN {whole} THEN 0 ELSE n END) AS BIGINT) AS null_key_rows,
   count(*) FILTER (WHERE {whole}) AS distinct_keys, count(*) FILTER (WHERE {whole} AND n > 1) AS duplicated_keys,
   CAST(sum(CASE WHEN {whole} THEN n - 1 ELSE 0 END) AS BIGINT) AS surplus_rows
 FROM (SELECT {", ".join(keys)}, count(*) AS n FROM {source} GROUP BY ALL)"""
@@ -249,8 +250,8 @@ FROM base GROUP BY churn""",
     "accuracy": """SELECT count(*) AS rows, count(*) FILTER (WHERE churn = prediction) AS correct,
   round(count(*) FILTER (WHERE churn = prediction) / count(*), 6) AS accuracy FROM rules""",
     "confusion_matrix": "SELECT churn, prediction, count(*) AS count FROM rules GROUP BY churn, prediction",
-    "precision_recall_f1": """SELECT class, support, round(hits / predicted, 6) AS precision, round(hits / support, 6) AS recall,
-  round(2 * hits / (support + predicted), 6) AS f1
+    "precision_recall_f1": """SELECT class, support, round(hits / predicted, 6) AS precision,
+  round(hits / support, 6) AS recall, round(2 * hits / (support + predicted), 6) AS f1
 FROM (SELECT class, count(*) FILTER (WHERE churn = class) AS support, count(*) FILTER (WHERE prediction = class) AS predicted,
   count(*) FILTER (WHERE churn = class AND prediction = class) AS hits FROM rules, (SELECT unnest(['No', 'Yes']) AS class) GROUP BY class)""",
     "log_loss": """SELECT count(*) AS rows, round(avg(-ln(CASE WHEN churn = 'Yes' THEN probability ELSE 1 - probability END)), 6)

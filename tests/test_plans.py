@@ -31,7 +31,8 @@ def scanned(plan, table):
 
 
 def full_plan(df):
-    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    modes = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return df._jdf.queryExecution().explainString(modes.fromString("formatted"))
 
 
 def test_scans_read_only_what_is_asked_for(spark):
