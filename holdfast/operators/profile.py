@@ -155,7 +155,11 @@ def _profile_exact(df: DataFrame, names: list[str]) -> DataFrame:
     cells = df.select(*[F.col(n).cast("string").alias(i) for n, i in zip(names, labels)]).unpivot(
         [], labels, "label", "value"
     )
-    frequencies = cells.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+    # A cell that counts nothing gives every column its row, also over no rows.
+    empty_cells = df.sparkSession.range(1, len(names) + 1).select(
+        F.col("id").cast("string").alias("label"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("n")
+    )
+    frequencies = cells.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n")).unionByName(empty_cells)
     value, n = F.col("value"), F.col("n")
     is_text = F.col("label").isin([i for i, kind in zip(labels, types) if kind == "string"])
     is_number = F.col("label").isin([i for i, name in zip(labels, names) if name in numbers])
