@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from holdfast.operators.encode import check_categories, columns_by_type, distinct_counts
 from holdfast.operators.metrics import METRICS_SCHEMA, model_metrics
 from holdfast.operators.split import SEED, hash_split
-from holdfast.session import materialise
+from holdfast.session import Stored, materialise
 
 FEATURES = "__features"
 LABEL = "__label"
@@ -88,13 +88,27 @@ def encoder(
 class Prepared:
     """A split training frame as it came and encoded, both stored so that every fit reads them and not their lineage."""
 
-    rows: DataFrame
-    frame: DataFrame
+    stored: tuple[Stored, Stored]
     encoder: PipelineModel
     labels: tuple[str, ...]
     label: str
     features: tuple[str, ...]
 
+    @property
+    def rows(self) -> DataFrame:
+        """The rows as they came."""
+        return self.stored[0].frame.drop("split")
+
+    @property
+    def frame(self) -> DataFrame:
+        """Key, label, split and feature vector per row."""
+        return self.stored[1].frame
+
+    def release(self) -> None:
+        """Delete the stored copies, once models, metrics and examples are saved."""
+        for copy in self.stored:
+            copy.release()
+
     def part(self, *names: str) -> DataFrame:
         return self.frame.where(F.col("split").isin(*names))
 
@@ -121,17 +135,19 @@ def prepare(
         "validation": VALIDATION_PERCENT,
         "train": 100 - TEST_PERCENT - VALIDATION_PERCENT,
     }
-    rows = materialise(hash_split(df.where(F.col(label).isNotNull()), keys, shares, seed), "training-rows")
+    kept = materialise(hash_split(df.where(F.col(label).isNotNull()), keys, shares, seed), "training-rows")
+    rows = kept.frame
     train = rows.where(F.col("split") == "train")
     used = columns_by_type(df, T.StringType, T.NumericType, T.BooleanType, exclude=excluded)
-    counts = distinct_counts(train, used)
-    check_categories(distinct_counts(rows, [label]), limit=MAX_LABELS)
+    in_train = [F.when(F.col("split") == "train", F.col(c)).alias(c) for c in used]
+    counts = distinct_counts(rows.select(label, *in_train), [label, *used])
+    check_categories({label: counts[label]}, limit=MAX_LABELS)
     # Labels come from all parts, so a label that only the test part holds is scored and not lost.
     indexer = StringIndexer(inputCol=label, outputCol=LABEL, stringOrderType="alphabetAsc").fit(rows)
     encoded = encoder(train, excluded, remainder, counts).fit(train)
     frame = indexer.transform(encoded.transform(rows)).select(*keys, label, "split", LABEL, FEATURES)
     features = tuple(c for c in df.columns if c not in excluded)
-    return Prepared(rows.drop("split"), materialise(frame, "training-vectors"), encoded, _labels(indexer), label, features)
+    return Prepared((kept, materialise(frame, "training-vectors")), encoded, _labels(indexer), label, features)
 
 
 def _labels(indexer: StringIndexerModel) -> tuple[str, ...]:

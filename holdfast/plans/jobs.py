@@ -50,12 +50,16 @@ def train(
     run_id: str = "run",
     **settings,
 ) -> Fit:
-    """Training set by lookup, boosted trees, metrics, and a model that can score bare keys."""
+    """Training set by lookup, boosted trees, metrics, and a model that can score bare keys.
+
+    The stored training frame is deleted at the end; the model and the metrics stay.
+    """
     training = create_training_set(labels, lookups, label).load_df()
     fit = fit_churn(training, label, key, run_id=run_id, **settings)
     if metrics_table:
         append_metrics(fit.metrics, metrics_table)
     save_model(fit.model, model_path, fit.prepared.rows, label, lookups)
+    fit.prepared.release()
     return fit
 
 
@@ -87,7 +91,7 @@ def retrain(
 ) -> Retrained:
     """Read a feature table, search models, keep the best one. Scheduling is left to whoever submits the job.
 
-    The label comes from the table or, where it is kept apart, from ``labels`` (keys and label).
+    The stored training frame is deleted at the end. The label comes from the table or, where it is kept apart, from ``labels`` (keys and label).
     """
     keys = list(get_feature_table(spark, table).primary_keys)
     lookup = FeatureLookup(table, keys)
@@ -101,4 +105,5 @@ def retrain(
     best_lookup = FeatureLookup(table, keys, list(search.prepared.features))
     rows_used = search.prepared.rows
     save_model(search.best_model, model_path, rows_used, label, [best_lookup], "best trial of the search")
+    search.prepared.release()
     return Retrained(search, model_path)

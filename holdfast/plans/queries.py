@@ -388,13 +388,16 @@ def gbt_predictions(spark, sf_dir):
     """Boosted trees fitted on the training keys, applied to every customer."""
     rows = churn_features(spark, sf_dir)
     fit = fit_churn(rows, LABEL, KEY)
+    fit.prepared.release()
     scored = positive_probability(fit.model.transform(split.hash_split(rows, KEY)))
     return scored.select(KEY, "split", LABEL, "prediction", F.round("score", 6).alias("score"))
 
 
 @query("auto_trials")
 def auto_trials(spark, sf_dir):
-    return auto_classify(churn_features(spark, sf_dir), LABEL, KEY).trials.select("trial_id", "family", "metric")
+    search = auto_classify(churn_features(spark, sf_dir), LABEL, KEY)
+    search.prepared.release()
+    return search.trials.select("trial_id", "family", "metric")
 
 
 @query("score_batch")
@@ -407,6 +410,7 @@ def batch_scores(spark, sf_dir):
     path = shared_path(spark, "model")
     fit = fit_churn(training, LABEL, KEY, trees=5)
     save_model(fit.model, path, fit.prepared.rows, LABEL, lookups)
+    fit.prepared.release()
     return score_batch(path, churn_frame(spark, sf_dir, [KEY]))
 
 

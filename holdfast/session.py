@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+PREFIX = "holdfast-"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "holdfast") -> SparkSession:
     """A local session with the settings the tests and the bench use. Clusters bring their own."""
@@ -46,10 +49,32 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     root = shared_root(spark)
     if root is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root}/holdfast-{purpose}-{uuid.uuid4().hex}"
+    return f"{root}/{PREFIX}{purpose}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``shared_path`` gave; any other is refused."""
+    root = shared_root(spark)
+    if root is None or ".." in path or not path.startswith(f"{root}/{PREFIX}"):
+        raise ValueError(f"{path} is no intermediate of this library")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A frame and, where it was written, its path."""
+
+    frame: DataFrame
+    path: str | None
+
+    def release(self) -> None:
+        """Delete the written copy; the frame cannot be read afterwards."""
+        if self.path:
+            discard(self.frame.sparkSession, self.path)
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
+def materialise(df: DataFrame, purpose: str) -> Stored:
     """Store a frame that is read many times, as model fitting does, and read it from there.
 
     It goes to the shared folder as parquet: a lost executor costs a re-read and not a re-join, and each reader
@@ -57,7 +82,7 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     if shared_root(spark) is None:
-        return df
+        return Stored(df, None)
     path = shared_path(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path), path)

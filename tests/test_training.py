@@ -8,7 +8,7 @@ from holdfast.operators.split import hash_split
 from holdfast.operators.training import FEATURES, encoder, fit_churn, predict
 from holdfast.plans import jobs
 from holdfast.plans.churn import CHURN_SPEC
-from holdfast.session import shared_path
+from holdfast.session import discard, shared_path, shared_root
 from holdfast.sources.feature_tables import create_feature_table
 from holdfast.sources.models import load_model, save_model
 from holdfast.streaming.scoring import score_stream, write_stream
@@ -141,6 +141,20 @@ def test_saved_model_scores_bare_keys(spark, database, planted, stored):
     assert spark.table(f"{database}.metrics").count() == 3
 
 
+def test_release_deletes_the_stored_copies_and_nothing_else(spark, planted):
+    fit = fit_churn(planted, "Churn", "customerID", trees=1)
+    paths = [copy.path for copy in fit.prepared.stored]
+    assert all(spark.read.parquet(path).count() == 2000 for path in paths)
+    fit.prepared.release()
+    for path in paths:
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path)
+    assert fit.model.transform(planted).count() == 2000 and fit.metrics.count() == 3
+    for other in ("/tmp/other", shared_root(spark), f"{shared_root(spark)}/other"):
+        with pytest.raises(ValueError):
+            discard(spark, other)
+
+
 def test_a_model_path_is_written_once(spark, planted, fit):
     path = shared_path(spark, "m")
     save_model(fit.model, path, planted, "Churn")
