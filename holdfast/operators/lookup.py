@@ -18,8 +18,9 @@ from holdfast.sources.feature_tables import primary_keys_of
 HOT_ROWS = 1_000_000
 # A key that holds at least this share of the rows is hot, so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
-# So many keys, as text a few dozen bytes each, may be broadcast.
+# Keys may be broadcast up to this number and size.
 FEW_KEYS = 1_000_000
+FEW_BYTES = 64 * 1024 * 1024
 
 
 class LabelLeakage(ValueError):
@@ -90,16 +91,19 @@ def hot_key_hashes(
     return [item["item"] for item in found["top"] or [] if item["count"] >= floor]
 
 
-def features_of(keys_frame: DataFrame, keys: Sequence[str], features: DataFrame, joined: Sequence[str]) -> DataFrame:
-    """The feature rows of the given keys only, for a key frame that is small beside the feature table.
+def wanted_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of a frame, to be broadcast if they are counted and measured to be few and short."""
+    wanted = df.select(*[F.col(key).alias(f"__want_{i}") for i, key in enumerate(keys)]).distinct()
+    text = F.concat_ws("", *[F.col(name).cast("string") for name in wanted.columns])
+    size = wanted.limit(FEW_KEYS + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes"))
+    found = size.first()
+    small = found["rows"] <= FEW_KEYS and (found["bytes"] or 0) <= FEW_BYTES
+    return F.broadcast(wanted) if small else wanted
 
-    The keys are counted: few of them are broadcast, so that what the lookup shuffles is no more than their features.
-    Many of them are joined as Spark sees fit.
-    """
-    wanted = keys_frame.select(*[F.col(key).alias(f"__want_{i}") for i, key in enumerate(keys)]).distinct()
-    if wanted.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
-        wanted = F.broadcast(wanted)
-    same = reduce(lambda a, b: a & b, [features[alias] == wanted[f"__want_{i}"] for i, alias in enumerate(joined)])
+
+def features_of(wanted: DataFrame, features: DataFrame, joined: Sequence[str]) -> DataFrame:
+    """The feature rows of the wanted keys only, so that a lookup shuffles no more than these."""
+    same = reduce(lambda a, b: a & b, [features[key] == wanted[w] for key, w in zip(joined, wanted.columns)])
     return features.join(wanted, same, "left_semi")
 
 
@@ -131,7 +135,8 @@ def lookup_features(
     Tables must be unique by their keys, as ``create_feature_table`` checks. Lookups by the same key follow each
     other and share one shuffle of the input. Rows of hot keys (and of NULL, where that is hot) do not enter that
     shuffle: they are joined with a broadcast of just their own feature rows. ``hot_share=None`` turns the search for
-    hot keys off, as for streams. ``prefilter`` is for few keys and large tables: see ``features_of``.
+    hot keys off, as for streams. ``prefilter`` is for few keys and large tables: it reduces each table to
+    the wanted keys first.
     """
     spark = df.sparkSession
     taken = {name.lower() for name in df.columns}
@@ -148,7 +153,8 @@ def lookup_features(
     result = df
     for keys, tables in by_key.items():
         if prefilter:
-            tables = [(features_of(df, keys, features, joined), joined) for features, joined in tables]
+            wanted = wanted_keys(df, keys)
+            tables = [(features_of(wanted, features, joined), joined) for features, joined in tables]
         hashes = []
         if hot_share is not None and not df.isStreaming:
             if all(_same_key_types(df, features, keys, joined) for features, joined in tables):

@@ -13,7 +13,6 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
-    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -38,6 +37,7 @@ TREES = 100
 LEARNING_RATE = 0.1
 DEPTH = 3
 VALIDATION_PERCENT = 10
+STOP_TOLERANCE = 1e-4
 TEST_PERCENT = 20
 # A label with more values than this is no class label.
 MAX_LABELS = 100
@@ -146,12 +146,8 @@ def prepare(
     indexer = StringIndexer(inputCol=label, outputCol=LABEL, stringOrderType="alphabetAsc").fit(rows)
     encoded = encoder(train, excluded, remainder, counts).fit(train)
     frame = indexer.transform(encoded.transform(rows)).select(*keys, label, "split", LABEL, FEATURES)
-    features = tuple(c for c in df.columns if c not in excluded)
-    return Prepared((kept, materialise(frame, "training-vectors")), encoded, _labels(indexer), label, features)
-
-
-def _labels(indexer: StringIndexerModel) -> tuple[str, ...]:
-    return tuple(indexer.labels)
+    vectors = materialise(frame, "training-vectors")
+    return Prepared((kept, vectors), encoded, tuple(indexer.labels), label, tuple(used))
 
 
 def assemble(prepared: Prepared, classifier: Transformer) -> PipelineModel:
@@ -199,7 +195,8 @@ def wired(classifier: Estimator) -> Estimator:
 
 
 def boosted_trees(trees: int = TREES, rate: float = LEARNING_RATE, depth: int = DEPTH, seed: int = SEED) -> GBTClassifier:
-    return wired(GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed))
+    booster = GBTClassifier(maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, validationTol=STOP_TOLERANCE)
+    return wired(booster)
 
 
 def fit_churn(
@@ -216,8 +213,9 @@ def fit_churn(
 ) -> Fit:
     """Boosted trees on 80 % of the keys, stopping early on a tenth, measured on the other 20 %.
 
-    Spark stops at the first tree that improves the validation loss by less than its tolerance; it has no patience
-    of several rounds, so the number of trees is not that of a local booster.
+    Spark stops at the first tree that improves the validation loss by less than the tolerance; it has no patience of
+    several rounds, so the number of trees is not that of a local booster. Its own tolerance of 0.01 would end most
+    fits after a few slow-learning trees.
     """
     prepared = prepare(df, label, key, exclude_cols, None, remainder, seed)
     if len(prepared.labels) != 2:
