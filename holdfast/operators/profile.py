@@ -27,6 +27,17 @@ from holdfast.operators.sketches import (
 )
 
 QUARTILES = (0.25, 0.5, 0.75)
+# The rows of a description and where a column's statistics hold them.
+STATISTICS = {
+    "count": "CAST({c}.count AS DOUBLE)",
+    "mean": "{c}.mean",
+    "std": "{c}.stddev",
+    "min": "{c}.min_number",
+    "25%": "{c}.quartiles[0]",
+    "50%": "{c}.quartiles[1]",
+    "75%": "{c}.quartiles[2]",
+    "max": "{c}.max_number",
+}
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -60,7 +71,7 @@ def _statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
             f"high{i}": F.max(extremes),
         }
         final |= {
-            f"moments{i}": merged_moments(F.col(f"moments{i}")),
+            f"moments{i}": merged_moments(f"moments{i}"),
             f"sketch{i}": merged_quantiles(F.col(f"sketch{i}")),
             f"low{i}": F.min(f"low{i}"),
             f"high{i}": F.max(f"high{i}"),
@@ -95,22 +106,11 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """
     names = list(columns or numeric_columns(df))
     wide = _statistics(df, names)
-
-    def row(statistic: str, pick) -> Column:
-        return F.struct(F.lit(statistic).alias("statistic"), *[pick(F.col(f"`{n}`")).alias(n) for n in names])
-
-    return wide.select(
-        _rows(
-            row("count", lambda c: c["count"].cast("double")),
-            row("mean", lambda c: c["mean"]),
-            row("std", lambda c: c["stddev"]),
-            row("min", lambda c: c["min_number"]),
-            row("25%", lambda c: c["quartiles"][0]),
-            row("50%", lambda c: c["quartiles"][1]),
-            row("75%", lambda c: c["quartiles"][2]),
-            row("max", lambda c: c["max_number"]),
-        )
-    )
+    rows = [
+        ", ".join([f"'{label}' AS statistic", *[f"{path.format(c=f'`{n}`')} AS `{n}`" for n in names]])
+        for label, path in STATISTICS.items()
+    ]
+    return wide.selectExpr("inline(array(" + ", ".join(f"struct({row})" for row in rows) + "))")
 
 
 def summary_typed(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -60,21 +60,19 @@ def moments(value: Column) -> Column:
     return F.struct(count.alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * count).alias("m2"))
 
 
-def merged_moments(lane_moments: Column) -> Column:
+def merged_moments(lane_moments: str) -> Column:
     """Lanes' moments as one, without the cancellation that sums of squares suffer."""
-
-    def merge(a: Column, b: Column) -> Column:
-        n, delta = a["n"] + b["n"], b["mean"] - a["mean"]
-        both = F.struct(
-            n.alias("n"),
-            (a["mean"] + delta * b["n"] / n).alias("mean"),
-            (a["m2"] + b["m2"] + delta * delta * a["n"] * b["n"] / n).alias("m2"),
-        )
-        return F.when(a["n"] == 0, b).otherwise(both)
-
-    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-    filled = F.filter(F.collect_list(lane_moments), lambda lane: lane["n"] > 0)
-    return F.aggregate(filled, none, merge)
+    return F.expr(
+        f"""aggregate(
+            filter(collect_list({lane_moments}), lane -> lane.n > 0),
+            named_struct('n', 0L, 'mean', 0D, 'm2', 0D),
+            (a, b) -> if(a.n = 0, b, named_struct(
+                'n', a.n + b.n,
+                'mean', a.mean + (b.mean - a.mean) * b.n / (a.n + b.n),
+                'm2', a.m2 + b.m2 + (b.mean - a.mean) * (b.mean - a.mean) * a.n * b.n / (a.n + b.n)
+            ))
+        )"""
+    )
 
 
 def mean_of(merged: Column) -> Column:
