@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from holdfast.plans.oracles import ORACLES
+from holdfast.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 WITHOUT_SQL = {"gbt_predictions", "auto_trials", "score_batch"}
 
 
