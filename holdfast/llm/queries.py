@@ -1,4 +1,4 @@
 """The queries of this subpackage; importing the operators registers them."""
 
-from holdfast.llm import quality, sharding  # noqa: F401
+from holdfast.llm import bpe, packing, quality, sharding  # noqa: F401
 from holdfast.llm.registry import ORACLES, QUERIES  # noqa: F401

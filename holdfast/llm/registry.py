@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import holdfast
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+ARCHIVE = "holdfast-tasks.zip"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once; they need not have it installed."""
+    context = spark.sparkContext
+    if any(file.endswith(ARCHIVE) for file in context.listFiles):
+        return
+    root = os.path.dirname(os.path.abspath(holdfast.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="holdfast-"), ARCHIVE)
+    with zipfile.ZipFile(archive, "w") as package:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    package.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where there is one, its SQL."""
 
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        @functools.wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return function
+        return run
 
     return register
 
