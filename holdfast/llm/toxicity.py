@@ -18,10 +18,14 @@ from pyspark.sql import types as T
 
 from holdfast.llm.registry import documents, query
 from holdfast.llm.words import ALNUM, Texts, Words, find_words, hash_words, slices
+from holdfast.session import shared_path
 
 #: Labelled rows that training reads, at most, and the length in bytes of the longest among them.
 POSITIVE_ROWS, NEGATIVE_ROWS, TRAINING_BYTES = 2500, 5000, 200_000
 
+#: A feature stands in so many of these rows at least, and so many features are trained at most, the most telling ones.
+LEAST, FEATURES = 5, 100_000
+
 #: Words count as they are and by their first bytes, which inflected forms share.
 STEMS = (4, 5, 7)
 
@@ -91,41 +95,25 @@ def noisy_or(logits: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    features: np.ndarray, word_sentence: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weights: np.ndarray,
-    least: int = 5, rounds: int = 150, rate: float = 0.1, sparsity: float = 2e-5,
+    hashes: np.ndarray, entry: np.ndarray, sentence: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weights: np.ndarray,
+    rounds: int = 150, rate: float = 0.1, sparsity: float = 2e-5,
 ) -> Model:
     """Train on documents whose sentences have numbers ``offsets[i]`` up to ``offsets[i + 1]``.
 
-    ``features`` has a row per kind and a column per word, ``word_sentence`` the word's sentence. Features of fewer
-    than ``least`` documents are left out; the others start from their log odds and go on by proximal gradient steps on
-    the noisy-or likelihood, which set weak weights to zero.
+    ``entry`` and ``sentence`` list which of the features stands in which sentence. Proximal gradient steps on the noisy-or
+    likelihood set weak weights to zero.
     """
-    document = np.repeat(np.arange(len(labels)), np.diff(offsets))[word_sentence] if len(word_sentence) else word_sentence
-    values, column = np.unique(features, return_inverse=True)
-    column = column.reshape(features.shape)
-    pairs = np.unique(np.concatenate([row.astype(np.int64) * len(labels) + document for row in column]) if len(values) else np.zeros(0, np.int64))
-    owner, where = (pairs % max(len(labels), 1)), (pairs // max(len(labels), 1))
-    positive = np.bincount(where, labels[owner], minlength=len(values))
-    total = np.bincount(where, minlength=len(values))
-    negative = np.bincount(where, (1 - labels[owner]) * weights[owner], minlength=len(values))
-    all_positive, all_negative = labels.sum(), ((1 - labels) * weights).sum()
-    odds = np.log((positive + 0.5) / (all_positive + 1)) - np.log((negative + 0.5) / (all_negative + 1))
-    chosen = np.flatnonzero((total >= least) & (np.abs(odds) > 1.0))
-    number = np.full(len(values), len(chosen))
-    number[chosen] = np.arange(len(chosen))
-    kind, word = np.nonzero(number[column] < len(chosen)) if len(values) else (np.zeros(0, int), np.zeros(0, int))
-    entry, sentence = number[column[kind, word]] if len(values) else kind, word_sentence[word]
     count = int(offsets[-1])
     spread = np.repeat(np.arange(len(labels)), np.diff(offsets))
-    w, bias = np.zeros(len(chosen)), -6.0
-    moment, square, step_bias = np.zeros(len(chosen)), np.zeros(len(chosen)), [0.0, 0.0]
+    w, bias = np.zeros(len(hashes)), -6.0
+    moment, square, step_bias = np.zeros(len(hashes)), np.zeros(len(hashes)), [0.0, 0.0]
     norm = weights.sum()
     for step in range(1, rounds + 1):
         logits = bias + np.bincount(sentence, w[entry], minlength=count)
         mass = np.bincount(spread, np.logaddexp(0.0, logits), minlength=len(labels))
         slope = np.where(labels > 0, -1.0 / np.expm1(np.clip(mass, 1e-6, 50.0)), 1.0) * weights / norm
         down = slope[spread] / (1.0 + np.exp(-logits))
-        gradient, bias_gradient = np.bincount(entry, down[sentence], minlength=len(chosen)), float(down.sum())
+        gradient, bias_gradient = np.bincount(entry, down[sentence], minlength=len(hashes)), float(down.sum())
         moment, square = 0.9 * moment + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         scale = rate / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
         w = w - scale * moment / (1 - 0.9**step)
@@ -133,8 +121,10 @@ def fit(
         step_bias = [0.9 * step_bias[0] + 0.1 * bias_gradient, 0.99 * step_bias[1] + 0.01 * bias_gradient**2]
         bias -= rate * step_bias[0] / (1 - 0.9**step) / (np.sqrt(step_bias[1] / (1 - 0.99**step)) + 1e-6)
     kept = np.flatnonzero(w)
-    order = np.argsort(values[chosen[kept]])
-    return Model(values[chosen[kept]][order].astype(np.uint32), w[kept][order], float(bias))
+    return Model(hashes[kept], w[kept], float(bias))
+
+
+NO_MODEL = Model(np.zeros(0, np.uint32), np.zeros(0), -30.0)
 
 
 def held_out(key: str) -> Column:
@@ -150,48 +140,76 @@ def train(
 
     Labels other than 0 and 1 and null keys are left out, and a key with both is labelled 1. Of each label the rows
     with the least key hashes are taken, up to the bound, so the texts of no others are moved; the likelihood weighs the
-    negatives up to their share among all labels. Without a label of either kind every document scores near 0.
+    negatives up to their share among all labels. Features of fewer than ``LEAST`` of these rows, or about as frequent under
+    either label, are left out. Without a label of either kind every document scores near 0.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & allowed).groupBy(F.col(key).alias("key"))
     known = known.agg(F.max(label).cast("int").alias("label")).withColumn("hash", F.xxhash64("key"))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
-        return Model(np.zeros(0, np.uint32), np.zeros(0), -30.0)
+        return NO_MODEL
     sample = known.where("label = 1").orderBy("hash").limit(positives).union(known.where("label = 0").orderBy("hash").limit(negatives))
-    schema = "label int, features array<binary>, sentence binary, sentences long"
     texts = df.where(F.octet_length(text) <= most_bytes).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    path = shared_path(df.sparkSession, "labelled")
+    # A few thousand rows of keys, bounded above.
+    texts.join(F.broadcast(sample), "key").select("key", "label", "text").write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    rows = {r["label"]: r["count"] for r in stored.groupBy("label").count().collect()}
+    if not rows.get(0) or not rows.get(1):
+        return NO_MODEL
+    weight = (totals[0] / rows[0]) / (totals[1] / rows[1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found_texts in slices(batches, "text"):
+            found = sentences(found_texts)
+            tags = np.array(batch.column("label").to_pylist())[np.repeat(np.arange(len(found_texts)), found.words.counts())]
+            owner = np.repeat(np.arange(len(found_texts), dtype=np.uint64), found.words.counts())
+            for row in word_features(found.words):
+                pairs, first = np.unique((owner << np.uint64(32)) | row, return_index=True)
+                values, inverse = np.unique(pairs & np.uint64(0xFFFFFFFF), return_inverse=True)
+                positive = np.bincount(inverse, tags[first], minlength=len(values)).astype(np.int64)
+                both = np.bincount(inverse, minlength=len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(positive), pa.array(both - positive)], names=["h", "p", "n"])
+
+    counted = stored.mapInArrow(count, "h long, p long, n long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    odds = F.abs(F.log((F.col("p") + 0.5) / (rows[1] + 1)) - F.log((F.col("n") * weight + 0.5) / (rows[0] * weight + 1)))
+    telling = counted.where((F.col("p") + F.col("n") >= LEAST) & (odds > 1)).orderBy(odds.desc(), "h").limit(FEATURES).select("h").toArrow()
+    hashes = np.sort(telling.column("h").to_numpy().astype(np.uint32))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found_texts in slices(batches, "text"):
             found = sentences(found_texts)
-            features = word_features(found.words)
             number = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
-            rows = []
-            for i, tag in enumerate(batch.column("label").to_pylist()):
-                a, b = found.words.offsets[i], found.words.offsets[i + 1]
-                own = (number[a:b] - found.offsets[i]).astype("<i4").tobytes()
-                rows.append((tag, [row[a:b].tobytes() for row in features], own, int(found.offsets[i + 1] - found.offsets[i])))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["label", "features", "sentence", "sentences"])
-
-    # A few thousand rows of keys, bounded above.
-    table = texts.join(F.broadcast(sample), "key").select("label", "text").mapInArrow(measure, schema).toArrow()
-    tags = np.array(table.column("label").to_pylist(), dtype=np.float64)
-    if not len(tags) or tags.min() == tags.max():
-        return Model(np.zeros(0, np.uint32), np.zeros(0), -30.0)
+            entries, places = [], []
+            for row in word_features(found.words):
+                at = np.minimum(np.searchsorted(hashes, row), max(len(hashes) - 1, 0))
+                hit = np.flatnonzero(hashes[at] == row) if len(hashes) else np.zeros(0, np.int64)
+                entries.append(at[hit])
+                places.append(number[hit])
+            entry, place = np.concatenate(entries), np.concatenate(places)
+            order = np.argsort(place, kind="stable")
+            entry, place = entry[order], place[order]
+            ends = np.searchsorted(place, found.offsets)
+            packed = [(entry[a:b].astype("<i4").tobytes(), (place[a:b] - o).astype("<i4").tobytes()) for a, b, o in zip(ends, ends[1:], found.offsets, strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key").cast(pa.string()),
+                    batch.column("label"),
+                    pa.array([e for e, _ in packed], pa.binary()),
+                    pa.array([p for _, p in packed], pa.binary()),
+                    pa.array(np.diff(found.offsets)),
+                ],
+                names=["key", "label", "entry", "sentence", "sentences"],
+            )
+
+    kept = "key string, label int, entry binary, sentence binary, sentences long"
     # In one order whatever the tasks.
-    kinds = len(STEMS) + 1
-    packed = table.column("features").to_pylist()
-    order = sorted(range(len(tags)), key=lambda i: (tags[i], packed[i][0]))
-    tags = tags[order]
-    features = np.stack([np.concatenate([np.frombuffer(packed[i][k], np.uint32) for i in order]) for k in range(kinds)])
-    counts = np.array(table.column("sentences").to_pylist(), dtype=np.int64)[order]
-    offsets = np.concatenate([[0], np.cumsum(counts)])
-    own = table.column("sentence").to_pylist()
-    sentence = np.concatenate([np.frombuffer(own[i], "<i4").astype(np.int64) + offsets[j] for j, i in enumerate(order)])
-    share = {t: totals[int(t)] / max((tags == t).sum(), 1) for t in (0.0, 1.0)}
-    weights = np.where(tags > 0, 1.0, share[0.0] / share[1.0])
-    return fit(features, sentence, offsets, tags, weights)
+    table = stored.mapInArrow(measure, kept).toArrow().sort_by([("label", "ascending"), ("key", "ascending"), ("sentences", "ascending")])
+    tags = table.column("label").to_numpy().astype(np.float64)
+    offsets = np.concatenate([[0], np.cumsum(table.column("sentences").to_numpy())])
+    entry = np.frombuffer(b"".join(table.column("entry").to_pylist()), "<i4")
+    own = [np.frombuffer(p, "<i4") + o for p, o in zip(table.column("sentence").to_pylist(), offsets[:-1], strict=True)]
+    return fit(hashes, entry, np.concatenate(own), offsets, tags, np.where(tags > 0, 1.0, weight))
 
 
 def score(df: DataFrame, text: str, model: Model, out: str = "toxicity", threshold: float = THRESHOLD) -> DataFrame:
