@@ -31,6 +31,9 @@ OPEN_BINS = 1024
 #: Pieces that one lane packs on average. Lanes are packed apart; each ends with at most ``OPEN_BINS`` unfinished bins.
 LANE_PIECES = 200_000
 
+#: Pieces that are looked at together: the longest among them are packed first.
+WINDOW = 2000
+
 #: Words that the tokenizers library encodes as one text.
 JOINED = 2000
 
@@ -153,8 +156,8 @@ def pack(pieces: DataFrame, length: str, spread: list[str], capacity: int = SEQU
     """The frame with ``sequence_id`` and ``offset``; pieces longer than ``capacity`` are an error.
 
     ``spread`` names columns that tell rows apart: their hash deals the pieces evenly into lanes, about one per
-    ``lane_pieces`` rows, and orders them inside, so equal keys do not gather. A lane is packed as a stream: memory is
-    the open bins. The frame is read twice, once for its count, so it should be stored.
+    ``lane_pieces`` rows, and orders them inside, so equal keys do not gather. A lane is packed as a stream, ``WINDOW`` pieces
+    at a time and the longest of these first: memory is the open bins and a window. The frame is read twice, once for its count, so it should be stored.
     """
     lanes = max(1, round(pieces.count() / lane_pieces))
     order = F.xxhash64(*spread)
@@ -165,18 +168,20 @@ def pack(pieces: DataFrame, length: str, spread: list[str], capacity: int = SEQU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane, bins = None, None
-        for batch in batches:
-            numbers, places = [], []
-            for own, size in zip(batch.column("__lane").to_pylist(), batch.column(length).to_pylist(), strict=True):
-                if not 0 < size <= capacity:
-                    raise ValueError(f"a piece of length {size} does not fit a sequence of {capacity}")
-                if own != lane:
-                    lane, bins = own, OpenBins(capacity, open_bins)
-                number, place = bins.put(size)
-                numbers.append((lane << 40) + number)
-                places.append(place)
-            columns = [batch.column(name) for name in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(places, pa.int64())], names=[*kept, "sequence_id", "offset"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, WINDOW):
+                batch = whole.slice(first, WINDOW)
+                lanes_of, sizes = batch.column("__lane").to_pylist(), batch.column(length).to_pylist()
+                numbers, places = [0] * len(sizes), [0] * len(sizes)
+                for i in sorted(range(len(sizes)), key=lambda i: (lanes_of[i], -sizes[i])):
+                    if not 0 < sizes[i] <= capacity:
+                        raise ValueError(f"a piece of length {sizes[i]} does not fit a sequence of {capacity}")
+                    if lanes_of[i] != lane:
+                        lane, bins = lanes_of[i], OpenBins(capacity, open_bins)
+                    number, places[i] = bins.put(sizes[i])
+                    numbers[i] = (lane << 40) + number
+                columns = [batch.column(name) for name in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(places, pa.int64())], names=[*kept, "sequence_id", "offset"])
 
     return ready.repartition(lanes, "__lane").sortWithinPartitions("__lane", "__order", *spread).mapInArrow(run, schema)
 
