@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.registry import documents, query
 
-#: Documents that the estimates look at, at most; only the order of the rules depends on them.
-SAMPLE_ROWS = 200
+#: Documents that the estimates look at, at most, and the longest of them; only the order of the rules depends on them.
+SAMPLE_ROWS, SAMPLE_BYTES = 200, 100_000
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -123,20 +123,18 @@ def rule_order(df: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_r
 
     An empty table keeps the given order. Estimates only order the rules, so they need not repeat exactly.
     """
-    sample = df.select(F.col(text).alias("text")).limit(sample_rows).withColumn("words", words_of(F.col("text"))).cache()
-    try:
-        total = sample.count()
-        if not total:
-            return list(rules)
-        features = features_of(F.col("text"), F.col("words"))
-        value = {}
-        for rule in rules:
-            begin = time.perf_counter()
-            rejected = sample.agg(F.count_if(_condition(rule, features))).first()[0]
-            value[rule.name] = rejected / total / max(time.perf_counter() - begin, 1e-6)
-        return sorted(rules, key=lambda rule: -value[rule.name])
-    finally:
-        sample.unpersist()
+    short = df.select(F.col(text).alias("text")).where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES)
+    rows = short.take(sample_rows)
+    if not rows:
+        return list(rules)
+    sample = df.sparkSession.createDataFrame([(row["text"],) for row in rows], "text string").withColumn("words", words_of(F.col("text")))
+    features = features_of(F.col("text"), F.col("words"))
+    value = {}
+    for rule in rules:
+        begin = time.perf_counter()
+        rejected = sample.agg(F.count_if(_condition(rule, features))).first()[0]
+        value[rule.name] = rejected / len(rows) / max(time.perf_counter() - begin, 1e-6)
+    return sorted(rules, key=lambda rule: -value[rule.name])
 
 
 def rejected_by(ordered: Sequence[Rule], features: dict[str, Column]) -> Column:
