@@ -1,4 +1,4 @@
 """The queries of this subpackage; importing the operators registers them."""
 
-from holdfast.llm import bpe, jaccard, licenses, lm, packing, quality, sharding, toxicity  # noqa: F401
+from holdfast.llm import bpe, jaccard, licenses, lm, packing, quality, secrets, sharding, toxicity  # noqa: F401
 from holdfast.llm.registry import ORACLES, QUERIES  # noqa: F401
