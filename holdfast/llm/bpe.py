@@ -29,6 +29,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words beyond this many symbols run one at a time; trees of shorter ones are built for so many symbols together.
 LONG, CELLS = 128, 1 << 18
 
+#: Bytes of text that a task encodes together.
+ENCODE_BYTES = 6 << 20
+
 _NONE = np.int64(1) << 62
 _SHIFT = np.int64(32)
 
@@ -256,21 +259,32 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[str]) -> Ragged:
     return out, running[ends] - running[ends - per_piece]
 
 
-def encode(df: DataFrame, text: str, path: str, out: str = "ids") -> DataFrame:
+def _spelled(tokens: list[str], ids: np.ndarray) -> str:
+    if len(ids) and ids.max() >= len(tokens):
+        ids = ids[ids < len(tokens)]
+    return " ".join(map(tokens.__getitem__, ids.tolist()))
+
+
+def encode(df: DataFrame, text: str, path: str, out: str = "ids", decoded: str | None = None) -> DataFrame:
     """The frame with a binary column ``out``: the ids of the text as little-endian unsigned 32-bit integers.
 
-    Null and empty texts have no ids. Every row stays; a column already called ``out`` is replaced.
+    ``decoded`` names a column for what ``decode`` makes of them, in the same pass. Null and empty texts have no ids.
+    Every row stays; columns already called so are replaced.
     """
-    df = df.drop(out)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
+    df = df.drop(out, *([decoded] if decoded else []))
+    own = [T.StructField(out, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*df.schema.fields, *own])
+    names = [f.name for f in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
-        for batch, texts in slices(batches, text):
+        for batch, texts in slices(batches, text, ENCODE_BYTES):
             found = encode_texts(texts, lambda w: encode_words(vocabulary, w), lambda w: encode_pieces(vocabulary, w))
-            data = found.ids.astype("<u4")
-            column = [data[a:b].tobytes() for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, pa.binary())], names=[*batch.schema.names, out])
+            each = [found.ids[a:b] for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)]
+            columns = [pa.array([ids.astype("<u4").tobytes() for ids in each], pa.binary())]
+            if decoded:
+                columns.append(pa.array([_spelled(vocabulary.tokens, ids) for ids in each], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -288,12 +302,7 @@ def decode(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFram
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                texts = []
-                for packed in batch.column(ids).to_pylist():
-                    numbers = np.frombuffer(packed or b"", dtype="<u4")
-                    if len(numbers) and numbers.max() >= len(tokens):
-                        numbers = numbers[numbers < len(tokens)]
-                    texts.append(" ".join(map(tokens.__getitem__, numbers.tolist())))
+                texts = [_spelled(tokens, np.frombuffer(packed or b"", dtype="<u4")) for packed in batch.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, schema)
@@ -307,9 +316,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @query("op10_bpe")
 def op10(spark, sf_dir):
-    path = vocabulary_path()
-    encoded = encode(documents(spark, sf_dir), "text", path).drop("text")
-    return decode(encoded, "ids", path).select(
+    return encode(documents(spark, sf_dir), "text", vocabulary_path(), decoded="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
