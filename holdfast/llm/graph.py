@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.session import shared_path
+from holdfast.llm.scratch import Scratch
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and ``component``, the least node that it reaches, of every node in links ``a``, ``b``.
 
     Alternates large and small stars: every node hands its neighbours its least neighbour, first the greater ones,
@@ -16,12 +16,9 @@ def connected(links: DataFrame) -> DataFrame:
     logarithm of the longest path. Each round is written to the shared folder, so that a lost executor costs a
     part of one round, and no node's links are gathered.
     """
-    spark = links.sparkSession
 
     def stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
-        path = shared_path(spark, "links")
-        edges.write.parquet(path)
-        edges = spark.read.parquet(path)
+        edges = scratch.store(edges, "links")
         return edges, tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     edges, state = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

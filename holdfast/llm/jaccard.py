@@ -7,8 +7,9 @@ of a block with itself counts overlaps, the counts of a pair add up over the blo
 of too unlike sizes, are discarded. The rest is compared on whole sets.
 
 Groups of near copies would make a square of their size in pairs. A first product therefore pairs each document in a
-row of the incidence only with the row's least; the links found there form components, and the second, full product
-leaves out pairs inside a component. Equal sets are one node from the start.
+row of the incidence only with the row's least; the links found there form components. The second, full product
+leaves out pairs inside a component, and n-grams too late in either set to be the first that a linked pair shares.
+Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from holdfast.llm.graph import connected
 from holdfast.llm.registry import documents, query
+from holdfast.llm.scratch import Scratch, most_frequent, stored
 from holdfast.llm.words import SOLID, Texts, find_words, hash_windows, hash_words, slices
-from holdfast.session import shared_path
 
 #: N-grams that are put last in the order, at most; which they are changes the work and never the result.
 COMMON = 1 << 16
@@ -54,6 +55,16 @@ class Measure:
     def prefix(self, size: int) -> int:
         return min(size, size - self.required(size) + self.shared(size))
 
+    def overlap(self, a: int | Column, b: int | Column) -> int | Column:
+        """The least intersection of two linked sets of these sizes."""
+        whole = self.percent * (a + b) + 99 + self.percent
+        return F.call_function("div", whole, F.lit(100 + self.percent)) if isinstance(whole, Column) else whole // (100 + self.percent)
+
+    def rest(self, size: Column) -> Column:
+        """The size of a set less its prefix."""
+        required = F.call_function("div", self.percent * size + 99, F.lit(100))
+        return F.greatest(required - 1 - F.call_function("div", size, F.lit(16)), F.lit(0))
+
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = (a, b) if len(a) <= len(b) else (b, a)
         at = np.minimum(np.searchsorted(large, small), len(large) - 1)
@@ -86,13 +97,6 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    spark = df.sparkSession
-    path = shared_path(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def common_ngrams(df: DataFrame, text: str, measure: Measure, most: int = COMMON) -> np.ndarray:
     """The n-grams that the most different sets share, as far as two of them lie near each other in the input."""
 
@@ -104,7 +108,9 @@ def common_ngrams(df: DataFrame, text: str, measure: Measure, most: int = COMMON
             yield pa.RecordBatch.from_arrays([_long(values[often]), pa.array(counts[often].astype(np.int64))], names=["ngram", "n"])
 
     found = df.select(text).mapInArrow(run, "ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "ngram").limit(most).toArrow()
+    scratch = Scratch(df.sparkSession)
+    top = most_frequent(scratch.store(found, "common"), "n", most).select("ngram").toArrow()
+    scratch.clear()
     return np.sort(top.column("ngram").to_numpy().view(np.uint64))
 
 
@@ -149,7 +155,7 @@ def prefixes(df: DataFrame, text: str, measure: Measure, common: np.ndarray) ->
 
 
 def _incidence(nodes: DataFrame) -> DataFrame:
-    """A row per n-gram of a node's prefix."""
+    """A row per n-gram of a node's prefix, with its place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,25 +164,49 @@ def _incidence(nodes: DataFrame) -> DataFrame:
                 parts = [np.frombuffer(p, dtype=np.uint64) for p in batch.column("prefix").to_pylist()]
                 times = np.array([len(p) for p in parts])
                 columns = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("node", "n")]
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(parts)), *map(pa.array, columns)], names=["ngram", "node", "n"])
+                place = np.concatenate([np.arange(t) for t in times])
+                yield pa.RecordBatch.from_arrays([_long(np.concatenate(parts)), *map(pa.array, [*columns, place])], names=["ngram", "node", "n", "place"])
 
-    return nodes.select("node", "n", "prefix").mapInArrow(run, "ngram long, node long, n long")
+    return nodes.select("node", "n", "prefix").mapInArrow(run, "ngram long, node long, n long, place long")
 
 
 def _bounded(pairs: DataFrame, measure: Measure) -> DataFrame:
-    """Pairs whose counted overlap reaches the bound of the smaller set."""
-    bound = 1 + F.floor(F.least("na", "nb") / 16)
+    """Pairs whose counted overlap reaches what their sizes ask of their prefixes.
+
+    Of two prefixes the one that ends first in the order holds all n-grams of its set up to there, and the other one holds
+    those of its own: what they do not share then lies in the first one's rest.
+    """
+    na, nb = F.col("na"), F.col("nb")
+    bound = F.greatest(1 + F.call_function("div", F.least(na, nb), F.lit(16)), measure.overlap(na, nb) - F.greatest(measure.rest(na), measure.rest(nb)))
     return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= bound)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, measure: Measure) -> DataFrame:
+def _prefix_bounded(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
+    """The pairs whose whole prefixes share enough; as ``_bounded``, from the prefixes themselves."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("prefix").alias(f"prefix_{side}")), side)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)
+            for x, y, (na, nb) in zip(batch.column("prefix_a"), batch.column("prefix_b"), sizes, strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                hit.append(both >= measure.overlap(na, nb) - max(na - len(one), nb - len(two)))
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "nb", "prefix_a", "prefix_b").mapInArrow(compare, "a long, b long")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, measure: Measure, scratch: Scratch) -> DataFrame:
     """The pairs ``a``, ``b`` that link by their whole sets.
 
     The sets come from the texts of the nodes in question: these are found by a hash of the text, and told from
     others that share it by the key of the set.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key", "set_key"), "node")
-    asked = _stored(asked, "asked")
+    asked = scratch.store(asked, "asked")
     keys = asked.select("text_key").distinct()
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
@@ -188,7 +218,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, meas
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], names=["set_key", "members"])
 
     members = asked.select("node", "set_key").join(texts.mapInArrow(sets, "set_key binary, members binary").dropDuplicates(["set_key"]), "set_key")
-    members = _stored(members.select("node", "members"), "sets")
+    members = scratch.store(members.select("node", "members"), "sets")
     both = pairs.select("a", "b")
     for side in ("a", "b"):
         both = both.join(members.select(F.col("node").alias(side), F.col("members").alias(f"set_{side}")), side)
@@ -199,46 +229,61 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, meas
             hit = [measure.links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return _stored(both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "verified")
+    return scratch.store(both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "verified")
 
 
-def components(df: DataFrame, row: str, text: str, measure: Measure = Measure()) -> DataFrame:
-    """Per row of the frame the other columns but the text, ``n_ngrams``, and ``component``: the least ``row`` of its component.
+def components(df: DataFrame, text: str, keep: list[str], measure: Measure = Measure()) -> DataFrame:
+    """Per row of the frame the columns ``keep``, ``n_ngrams``, and ``component``, one number per component.
 
-    ``row`` numbers the rows. Null and empty texts, and those without a word, have no n-grams and are alone;
-    repeated texts are one component. The frame is read four times and should be a stored table.
+    Null and empty texts, and those without a word, have no n-grams and are alone; repeated texts are one component.
+    The frame is read four times and should be a stored table.
     """
+    scratch, row = Scratch(df.sparkSession), "__row"
+    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    df = df.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias(row), *kept)
+    text = "text"
     common = common_ngrams(df, text, measure)
-    docs = _stored(prefixes(df, text, measure, common), "prefixes")
+    docs = scratch.store(prefixes(df, text, measure, common), "prefixes")
     least = F.struct(F.col(row).alias("node"), "n", "text_key", "prefix")
     nodes = docs.where("set_key is not null").groupBy("set_key").agg(F.min(least).alias("x")).select("set_key", "x.*")
-    nodes = _stored(nodes, "nodes")
+    nodes = scratch.store(nodes, "nodes")
     bucket = Window.partitionBy("ngram")
     center = F.min(F.struct("node", "n")).over(bucket)
     shared = _incidence(nodes).withColumns({"center": center, "members": F.count(F.lit(1)).over(bucket)}).where("members > 1")
-    shared = _stored(shared.select("ngram", "node", "n", F.col("center.node").alias("center"), F.col("center.n").alias("nc")), "incidence")
+    shared = scratch.store(shared.select("ngram", "node", "n", "place", F.col("center.node").alias("center"), F.col("center.n").alias("nc")), "incidence")
     stars = shared.where((F.col("node") != F.col("center")) & measure.sizes_fit(F.col("n"), F.col("nc")))
     stars = _bounded(stars.select(F.col("node").alias("a"), F.col("center").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb")), measure)
     best = stars.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    first = _verified(_stored(best, "stars"), nodes, df, text, measure)
-    groups = connected(first)
-    placed = shared.select("ngram", "node", "n").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    first = _verified(scratch.store(best, "stars"), nodes, df, text, measure, scratch)
+    groups = connected(first, scratch)
+    # The first n-gram that a pair shares leaves room for the required overlap behind it in both sets.
+    early = shared.where(F.col("place") <= F.col("n") - F.call_function("div", measure.percent * F.col("n") + 99, F.lit(100)))
+    placed = early.select("ngram", "node", "n", "place").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     mixed = placed.withColumns({"low": F.min("group").over(bucket), "high": F.max("group").over(bucket)}).where("low <> high")
-    mixed = _stored(mixed.select("ngram", "node", "n", "group"), "mixed")
-    one = mixed.select("ngram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
-    two = mixed.select("ngram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"))
-    pairs = one.join(two, "ngram").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & measure.sizes_fit(F.col("na"), F.col("nb")))
-    pairs = _stored(_bounded(pairs.select("a", "b", "na", "nb"), measure).select("a", "b"), "pairs")
-    second = _verified(pairs, nodes, df, text, measure)
-    final = connected(first.union(second))
+    mixed = scratch.store(mixed.select("ngram", "node", "n", "place", "group"), "mixed")
+    one = mixed.select("ngram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "group")))
+    two = mixed.select("ngram", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "group")))
+    overlap = measure.overlap(F.col("n_a"), F.col("n_b"))
+    room = (F.col("place_a") <= F.col("n_a") - overlap) & (F.col("place_b") <= F.col("n_b") - overlap)
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b"))
+    pairs = one.join(two, "ngram").where(apart & measure.sizes_fit(F.col("n_a"), F.col("n_b")) & room)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+    pairs = scratch.store(_prefix_bounded(pairs, nodes, measure), "pairs")
+    second = _verified(pairs, nodes, df, text, measure, scratch)
+    final = connected(first.union(second), scratch)
     of_set = nodes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    kept = [c for c in docs.columns if c not in ("text_key", "n", "set_key", "prefix")]
-    return docs.join(of_set, "set_key", "left").select(*kept, F.col("n").alias("n_ngrams"), F.coalesce("component", F.col(row)).alias("component"))
+    placed = docs.join(of_set, "set_key", "left").select(
+        *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)),
+        F.col("n").alias("n_ngrams"),
+        F.coalesce("component", F.col(row)).alias("component"),
+    )
+    result = stored(placed, "components")
+    scratch.clear()
+    return result
 
 
 @query("op6_ngram_jaccard")
 def op6(spark, sf_dir):
-    numbered = documents(spark, sf_dir).withColumn("row", F.monotonically_increasing_id())
-    found = _stored(components(numbered, "row", "text"), "components")
+    found = components(documents(spark, sf_dir), "text", ["doc_id"])
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component").select("doc_id", F.col("n_ngrams").alias("n_shingles"), "component_id")
