@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm.registry import documents, query
+from holdfast.llm.scratch import Scratch, most_frequent, stored
 from holdfast.llm.words import SOLID, Words, distinct, find_words, hash_words, slices
-from holdfast.session import shared_path
 
 #: Words with a class of their own beside the end, classes of other words, and the context before a text.
 OWN, TAILS = 190, 64
 END, CLASSES, BEFORE = OWN, OWN + 1 + TAILS, OWN + 1 + TAILS
 SYMBOLS = BEFORE + 1
 
-#: Frequent words whose counts every task holds, as 16 bytes each; those of other words are joined.
+#: Frequent words whose counts every task holds, at most so many, as 16 bytes each; those of other words are joined.
 FREQUENT = 1 << 18
 
 DIMENSIONS, NOISE, ROUNDS, STEPS, BLOCKS, RATE = 32, 25, 6, 24, 12, 0.02
@@ -52,12 +52,6 @@ def _tail_class(words: Words) -> np.ndarray:
     return (hash_words(ending) % np.uint64(TAILS)).astype(np.int64)
 
 
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    path = shared_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """``word``, its 64-bit ``hash``, ``tail`` (class by its last letters) and count ``c``; the end of a text is the empty word."""
 
@@ -78,7 +72,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
             )
 
     found = df.select(text).mapInArrow(run, "word string, hash long, tail long, n long")
-    return _stored(found.groupBy("word", "hash", "tail").agg(F.sum("n").alias("c")), "words")
+    return stored(found.groupBy("word", "hash", "tail").agg(F.sum("n").alias("c")), "words")
 
 
 @dataclass(frozen=True)
@@ -109,7 +103,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary | None:
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word") == "", F.col("c"))).alias("e")).first()
     if not total["n"]:
         return None
-    top = counts.where("word <> ''").orderBy(F.desc("c"), "word").limit(FREQUENT).select("hash", "c", "tail").toArrow()
+    top = most_frequent(counts.where("word <> ''"), "c", FREQUENT).select("hash", "c", "tail").toArrow()
+    top = top.sort_by([("c", "descending"), ("hash", "ascending")])
     hashes, c, tails = (top.column(name).to_numpy() for name in ("hash", "c", "tail"))
     sums = counts.where("word <> ''").groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     mass = np.zeros(CLASSES)
@@ -239,12 +234,10 @@ def nce_steps(p: Parameters, contexts: np.ndarray, counts: np.ndarray, noise: np
 
 def train(counted: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, blocks: int = BLOCKS) -> Parameters:
     """Parameters trained on all trigram counts, in blocks of contexts whose parameters are averaged by their tokens."""
-    spark = counted.sparkSession
     noise = (mass / mass.sum()).astype(np.float32)
     # At most SYMBOLS**2 contexts exist, so a block is bounded whatever the corpus.
-    path = shared_path(spark, "trigrams")
-    counted.repartition(blocks, "context").write.parquet(path)
-    stored = spark.read.parquet(path)
+    scratch = Scratch(counted.sparkSession)
+    blocked = scratch.store(counted.repartition(blocks, "context"), "trigrams")
     now = Parameters.start(mass)
     shapes = [a.shape for a in now.arrays()]
     for number in range(rounds):
@@ -262,13 +255,14 @@ def train(counted: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, blocks: in
             packed = np.concatenate([a.ravel() for a in after.arrays()]).astype(np.float32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([float(counts.sum())]), pa.array([packed], pa.binary())], names=["weight", "packed"])
 
-        grouped = stored.mapInArrow(run, "weight double, packed binary").toArrow()
+        grouped = blocked.mapInArrow(run, "weight double, packed binary").toArrow()
         weights = np.array(grouped.column("weight").to_pylist())
         order = np.argsort(weights, kind="stable")
         vectors = [np.frombuffer(grouped.column("packed")[int(i)].as_buffer(), np.float32).astype(np.float64) for i in order]
         mean = sum(w * v for w, v in zip(weights[order] / weights.sum(), vectors, strict=True))
         ends = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         now = Parameters(*(part.reshape(s) for part, s in zip(np.split(mean, ends), shapes, strict=True)))
+    scratch.clear()
     return now
 
 
@@ -325,7 +319,7 @@ def score(df: DataFrame, key: str, text: str, known: Vocabulary, counts: DataFra
             )
 
     parts = T.StructType.fromDDL("row long, word string, n long, n_tokens long, n_known long, base double, delta double")
-    scored = _stored(frame.mapInArrow(run, T.StructType([frame.schema["key"], *parts.fields])), "scored")
+    scored = stored(frame.mapInArrow(run, T.StructType([frame.schema["key"], *parts.fields])), "scored")
     smooth = known.tokens + SMOOTHING * (known.distinct + 1)
     rare = scored.where("word is not null").select("row", "word", "n").join(counts.select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
