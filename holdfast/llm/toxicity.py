@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm.registry import documents, query
+from holdfast.llm.scratch import Scratch
 from holdfast.llm.words import ALNUM, Texts, Words, find_words, hash_words, slices
-from holdfast.session import shared_path
 
-#: Labelled rows that training reads, at most, and the length in bytes of the longest among them.
+#: Labelled rows that training reads, about so many at most, and the length in bytes of the longest among them.
 POSITIVE_ROWS, NEGATIVE_ROWS, TRAINING_BYTES = 2500, 5000, 200_000
 
 #: A feature stands in so many of these rows at least, and so many features are trained at most, the most telling ones.
@@ -139,7 +139,7 @@ def train(
     """A model from labelled documents where ``allowed``.
 
     Labels other than 0 and 1 and null keys are left out, and a key with both is labelled 1. Of each label the rows
-    with the least key hashes are taken, up to the bound, so the texts of no others are moved; the likelihood weighs the
+    with the least key hashes are taken, about as many as the bound, so the texts of no others are moved; the likelihood weighs the
     negatives up to their share among all labels. Features of fewer than ``LEAST`` of these rows, or about as frequent under
     either label, are left out. Without a label of either kind every document scores near 0.
     """
@@ -148,12 +148,12 @@ def train(
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return NO_MODEL
-    sample = known.where("label = 1").orderBy("hash").limit(positives).union(known.where("label = 0").orderBy("hash").limit(negatives))
+    part = F.when(F.col("label") == 1, F.lit(positives / totals[1])).otherwise(F.lit(negatives / totals[0]))
+    sample = known.where(F.pmod("hash", F.lit(1 << 30)) < part * (1 << 30))
     texts = df.where(F.octet_length(text) <= most_bytes).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    path = shared_path(df.sparkSession, "labelled")
-    # A few thousand rows of keys, bounded above.
-    texts.join(F.broadcast(sample), "key").select("key", "label", "text").write.parquet(path)
-    stored = df.sparkSession.read.parquet(path)
+    scratch = Scratch(df.sparkSession)
+    # Some thousand keys, by the two bounds.
+    stored = scratch.store(texts.join(F.broadcast(sample), "key").select("key", "label", "text"), "labelled")
     rows = {r["label"]: r["count"] for r in stored.groupBy("label").count().collect()}
     if not rows.get(0) or not rows.get(1):
         return NO_MODEL
@@ -205,6 +205,7 @@ def train(
     kept = "key string, label int, entry binary, sentence binary, sentences long"
     # In one order whatever the tasks.
     table = stored.mapInArrow(measure, kept).toArrow().sort_by([("label", "ascending"), ("key", "ascending"), ("sentences", "ascending")])
+    scratch.clear()
     tags = table.column("label").to_numpy().astype(np.float64)
     offsets = np.concatenate([[0], np.cumsum(table.column("sentences").to_numpy())])
     entry = np.frombuffer(b"".join(table.column("entry").to_pylist()), "<i4")
