@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from holdfast.llm import secrets
+from holdfast.llm.bpe import vocabulary_path
+from holdfast.llm.jaccard import Measure, components
+from holdfast.llm.packing import pack_documents
 from holdfast.llm.quality import filter_quality
-from holdfast.session import shared_path
+from holdfast.llm.registry import ship
+from holdfast.llm.scratch import Scratch, free_name, stored, with_row_key
+from holdfast.llm.toxicity import THRESHOLD, held_out, score, train
+
+#: Near duplicates share at least this percentage of their sets of five-word n-grams.
+NEAR = Measure(words=5, percent=80)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +23,58 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return filter_quality(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that a model of their labels scores at the threshold or above."""
+    ship(spark)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "toxic", ~held_out("doc_id"))
+    out = free_name(docs, "toxicity")
+    return score(docs, "text", model, out).where(F.col(f"{out}.score") < THRESHOLD).select(docs.columns)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component of near duplicates the document with the least id, the first row among equal ids.
+
+    Null ids come last. Documents without a word are no duplicates of one another.
+    """
+    ship(spark)
+    scratch = Scratch(spark)
+    keyed, key = with_row_key(docs, scratch)
+    found = components(keyed, "text", [key, "doc_id"], NEAR)
+    place = F.struct(F.isnull("doc_id"), "doc_id", key)
+    first = found.groupBy("component").agg(F.min(place).alias("first"))
+    surplus = stored(found.join(first, "component").where(F.col("first")[key] != F.col(key)).select(key), "surplus")
+    return keyed.join(surplus, key, "left_anti").select(docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in place of every reported secret; ``n_chars``, if there is one, follows the text.
+
+    Only documents in which some pattern matches go through the scan.
+    """
+    row, parts, spans = (free_name(docs, name) for name in ("__row", "__parts", "__spans"))
+    hit = secrets.has_part(F.col("text"))
+    marked = stored(secrets.find_parts(docs.where(hit).withColumn(row, F.monotonically_increasing_id()), "text", parts), "marked")
+    listed = secrets.spans_by_row(marked, row, parts, spans)
+    redacted = secrets.redact(F.col("text"), F.col(spans))
+    clean = marked.join(listed, row, "left").withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return docs.where(~hit).union(clean.select(docs.columns))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents."""
+    ship(spark)
+    return pack_documents(docs, "doc_id", "text", vocabulary_path())
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", duplicate_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
 
 #: The model of the toxicity stage has no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -23,7 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; each reads what its predecessor wrote to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

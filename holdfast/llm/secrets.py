@@ -128,6 +128,12 @@ def link(parts: DataFrame, row: str, column: str = "parts", reach: int = REACH)
     return spans.where(reported).select(row, "kind", "start", "end", "strong", rank[F.col("kind")].alias("rank"))
 
 
+def spans_by_row(stored: DataFrame, row: str, parts: str, out: str) -> DataFrame:
+    """Per ``row`` with a reported span an array ``out`` of all of them, in order of start and of kind as listed."""
+    spans = link(stored.where(F.size(parts) > 0), row, parts)
+    return spans.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "strong"))).alias(out))
+
+
 def scan(df: DataFrame, text: str) -> DataFrame:
     """The frame without its text, with ``spans``: an array of the reported ``start``, ``rank``, ``end``, ``kind`` and ``strong``.
 
@@ -140,8 +146,7 @@ def scan(df: DataFrame, text: str) -> DataFrame:
     numbered = df.withColumn("__row", F.monotonically_increasing_id())
     find_parts(numbered, text, "__parts").drop(text).write.parquet(path)
     stored = spark.read.parquet(path)
-    spans = link(stored.where(F.size("__parts") > 0), "__row", "__parts")
-    listed = spans.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "strong"))).alias("spans"))
+    listed = spans_by_row(stored, "__row", "__parts", "spans")
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,strong:boolean>>)")
     return stored.select("__row", *rest).join(listed, "__row", "left").select(*rest, F.coalesce("spans", none).alias("spans"))
 
