@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from holdfast.llm.bpe import vocabulary_path
 from holdfast.llm.registry import documents, query
+from holdfast.llm.scratch import stored
 from holdfast.llm.subwords import Ragged, encode_texts
 from holdfast.llm.words import slices
-from holdfast.session import shared_path
 
 SEQUENCE = 2048
 OPEN_BINS = 1024
@@ -192,10 +192,8 @@ def pack_documents(df: DataFrame, key: str, text: str, path: str, sequence: int
     Every row of the frame is a document of its own, also if its key is null or repeated. The pieces, without their
     ids, are written to the shared folder before they are packed.
     """
-    spark = df.sparkSession
-    where = shared_path(spark, "pieces")
-    tokenize(df, key, text, path, sequence).write.parquet(where)
-    packed = pack(spark.read.parquet(where), "length", ["row", "piece"], sequence, open_bins)
+    pieces = stored(tokenize(df, key, text, path, sequence), "pieces")
+    packed = pack(pieces, "length", ["row", "piece"], sequence, open_bins)
     return packed.select(F.col("key").alias(key), *PIECES.names, "sequence_id", "offset")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.registry import documents, query
-from holdfast.session import shared_path
+from holdfast.llm.scratch import free_name, stored
 
 REACH = 300
 
@@ -128,27 +128,26 @@ def link(parts: DataFrame, row: str, column: str = "parts", reach: int = REACH)
     return spans.where(reported).select(row, "kind", "start", "end", "strong", rank[F.col("kind")].alias("rank"))
 
 
-def spans_by_row(stored: DataFrame, row: str, parts: str, out: str) -> DataFrame:
+def spans_by_row(found: DataFrame, row: str, parts: str, out: str) -> DataFrame:
     """Per ``row`` with a reported span an array ``out`` of all of them, in order of start and of kind as listed."""
-    spans = link(stored.where(F.size(parts) > 0), row, parts)
+    spans = link(found.where(F.size(parts) > 0), row, parts)
     return spans.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "strong"))).alias(out))
 
 
-def scan(df: DataFrame, text: str) -> DataFrame:
-    """The frame without its text, with ``spans``: an array of the reported ``start``, ``rank``, ``end``, ``kind`` and ``strong``.
+def scan(df: DataFrame, text: str, out: str = "spans") -> DataFrame:
+    """The frame without its text, with ``out``: an array of the reported ``start``, ``rank``, ``end``, ``kind`` and ``strong``.
 
     Spans stand in order of start, and of kind as listed in ``PATTERNS``. Null and empty texts have none; every row
-    stays. The matches are written to the shared folder, and only their rows go through the windows.
+    stays, and a column already called ``out`` is replaced. The matches are written to the shared folder, and only
+    their rows go through the windows.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, "parts")
-    rest = [c for c in df.columns if c != text]
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    find_parts(numbered, text, "__parts").drop(text).write.parquet(path)
-    stored = spark.read.parquet(path)
-    listed = spans_by_row(stored, "__row", "__parts", "spans")
+    rest = [c for c in df.columns if c not in (text, out)]
+    row, parts = free_name(df, "__row"), free_name(df, "__parts")
+    numbered = df.select(*rest, text).withColumn(row, F.monotonically_increasing_id())
+    found = stored(find_parts(numbered, text, parts).drop(text), "parts")
+    listed = spans_by_row(found, row, parts, out)
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,strong:boolean>>)")
-    return stored.select("__row", *rest).join(listed, "__row", "left").select(*rest, F.coalesce("spans", none).alias("spans"))
+    return found.select(row, *rest).join(listed, row, "left").select(*rest, F.coalesce(out, none).alias(out))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.registry import documents, query
-from holdfast.session import shared_path
+from holdfast.llm.scratch import stored
 
 #: Shards of the registered query.
 SHARDS = 8
@@ -56,16 +56,14 @@ def shard(df: DataFrame, key: str, shards: int, columns: dict[str, Column] | Non
     keys, so a key, or null, that a third of the rows share is numbered by many tasks. The rows are written once
     to the shared folder, which fixes their blocks.
     """
-    spark = df.sparkSession
     columns = {key: F.col(key)} if columns is None else {key: F.col(key)} | columns
-    path = shared_path(spark, "shards")
-    df.select(
+    numbered = df.select(
         *(c.alias(name) for name, c in columns.items()),
         jump_hash(F.col(key), shards).alias("shard"),
         jump_hash(F.col(key), shards + 1).alias("grown_shard"),
         F.monotonically_increasing_id().alias("__row"),
-    ).withColumn("__block", F.shiftright("__row", 33)).write.parquet(path)
-    rows = spark.read.parquet(path)
+    )
+    rows = stored(numbered.withColumn("__block", F.shiftright("__row", 33)), "shards")
     blocks = rows.groupBy("shard", "__block").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("shard", "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))

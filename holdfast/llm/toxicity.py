@@ -90,8 +90,11 @@ class Model:
 
 def noisy_or(logits: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The probability per document from its sentences' logits; without sentences it is 0."""
-    running = np.concatenate([[0.0], np.cumsum(np.logaddexp(0.0, logits))])
-    return -np.expm1(running[offsets[:-1]] - running[offsets[1:]])
+    mass = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        mass[some] = np.add.reduceat(np.logaddexp(0.0, logits), offsets[some])
+    return -np.expm1(-mass)
 
 
 def fit(
