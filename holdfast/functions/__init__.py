@@ -2,6 +2,7 @@ from holdfast.functions.cleaning import (
     assign_value,
     blank,
     clean_numeric,
+    finite,
     map_category,
     sanitise,
     strip_whitespace,
@@ -14,6 +15,7 @@ __all__ = [
     "assign_value",
     "blank",
     "clean_numeric",
+    "finite",
     "key_hash",
     "map_category",
     "percent_bucket",

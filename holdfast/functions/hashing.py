@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 
 def key_hash(keys: str | Sequence[str], seed: int = 42) -> Column:
-    """32 hex digits of the seeded key; evenly spread over all keys."""
+    """32 hex digits of the seeded key; evenly spread over all keys.
+
+    Each part carries its length, and NULL is a part of its own, so different compound keys have different texts.
+    """
     names = [keys] if isinstance(keys, str) else list(keys)
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(name).cast("string") for name in names]))
+    parts = []
+    for name in names:
+        text = F.col(name).cast("string")
+        parts.append(F.coalesce(F.concat(F.lit("|"), F.length(text).cast("string"), F.lit(":"), text), F.lit("|-")))
+    return F.md5(F.concat(F.lit(str(seed)), *parts))
 
 
 def percent_bucket(keys: str | Sequence[str], seed: int = 42) -> Column:

@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.functions import finite
+
 
 def drift_psi(
     df: DataFrame, is_reference: Column, columns: Sequence[str], bins: int = 10, floor: float = 1e-6
 ) -> DataFrame:
     """Population stability index per feature between the reference rows and the others.
 
-    Numbers are cut into equal-width bins over the reference range, values beyond it falling into the end bins;
-    other types are compared by value. NULL is a bin of its own. A bin empty on one side counts as ``floor``.
+    Numbers are cut into equal-width bins over the finite reference range, values beyond it falling into the end
+    bins; other types are compared by value. NULL, NaN and the infinities are bins of their own. A bin empty on one side counts as ``floor``.
     One pass finds the ranges and one counts the bins.
     """
     numbers = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
@@ -26,8 +28,8 @@ def drift_psi(
             F.struct(
                 *[
                     F.struct(
-                        F.min(F.col(c).cast("double")).alias("low"),
-                        F.max(F.col(c).cast("double")).alias("high"),
+                        F.min(finite(F.col(c).cast("double"))).alias("low"),
+                        F.max(finite(F.col(c).cast("double"))).alias("high"),
                     ).alias(c)
                     for c in numbers
                 ]
@@ -37,9 +39,15 @@ def drift_psi(
     for c in columns:
         if c in numbers:
             low, high = ranges[c]["low"], ranges[c]["high"]
-            place = F.floor(F.try_divide(F.col(c).cast("double") - low, (high - low) / bins))
-            bounded = F.greatest(F.least(place, F.lit(bins - 1)), F.lit(0))
-            bin_name = F.when(F.col(c).isNotNull(), F.coalesce(bounded, F.lit(0))).cast("string")
+            value = F.col(c).cast("double")
+            inside = finite(value)
+            if low is None:
+                bounded = F.lit(0).cast("bigint")
+            else:
+                place = F.floor(F.try_divide(inside - low, F.lit((high - low) / bins)))
+                bounded = F.coalesce(F.greatest(F.least(place, F.lit(bins - 1)), F.lit(0)), F.lit(0))
+            # NaN and each infinity are bins of their own, by their names.
+            bin_name = F.when(inside.isNotNull(), bounded.cast("string")).otherwise(value.cast("string"))
         else:
             bin_name = F.col(c).cast("string")
         cells.append(F.struct(F.lit(c).alias("feature"), bin_name.alias("bin")))
@@ -62,13 +70,24 @@ def drift_psi(
     )
 
 
-def metric_decay(metrics: DataFrame, reference_run: str, current_run: str, tolerance: float = 0.05) -> DataFrame:
-    """Per split and metric: the value of both runs, the loss, and whether it exceeds the tolerance."""
+# Metrics that are better when they are smaller.
+LOWER_IS_BETTER = ("log_loss",)
+
+
+def metric_decay(
+    metrics: DataFrame,
+    reference_run: str,
+    current_run: str,
+    tolerance: float = 0.05,
+    lower_is_better: Sequence[str] = LOWER_IS_BETTER,
+) -> DataFrame:
+    """Per split and metric: the value of both runs, by how much it got worse, and whether that exceeds the tolerance."""
 
     def of(run: str) -> Column:
         return F.max(F.when(F.col("run_id") == run, F.col("value")))
 
-    loss = F.col("reference") - F.col("current")
+    fall = F.col("reference") - F.col("current")
+    loss = F.when(F.col("metric").isin(*lower_is_better), -fall).otherwise(fall) if lower_is_better else fall
     return (
         metrics.where(F.col("run_id").isin(reference_run, current_run))
         .groupBy("split", "metric")

@@ -6,14 +6,17 @@ row per column or one row per distinct value.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.functions import blank, to_number
+from holdfast.functions import blank, finite, to_number
 from holdfast.operators.sketches import (
+    BALANCE_SIZE,
     by_lane,
     deviation_of,
     frequent_sketch,
@@ -27,6 +30,10 @@ from holdfast.operators.sketches import (
 )
 
 QUARTILES = (0.25, 0.5, 0.75)
+# How far around a quartile its sketched neighbours are taken, as a share of the rows; some ten times the sketch's error.
+MARGIN = 0.005
+# Pieces into which the values around a quartile are cut before one of them is ordered.
+PIECES = 512
 # The rows of a description and where a column's statistics hold them.
 STATISTICS = {
     "count": "CAST({c}.count AS DOUBLE)",
@@ -58,7 +65,7 @@ def _as_double(df: DataFrame, name: str) -> Column:
 
 
 def _statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row with a struct of statistics per column, from one pass."""
+    """One row with a struct of statistics per column, from two passes."""
     numbers = set(numeric_columns(df))
     partial, final = {}, {}
     for i, name in enumerate(names):
@@ -66,19 +73,26 @@ def _statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
         extremes = value if name in numbers else F.col(name)
         partial |= {
             f"moments{i}": moments(value),
-            f"sketch{i}": quantile_sketch(value),
+            f"sketch{i}": quantile_sketch(_number(df, name), BALANCE_SIZE),
+            f"numbers{i}": F.count(_number(df, name)),
+            f"least{i}": F.min(_number(df, name)),
+            f"greatest{i}": F.max(_number(df, name)),
             f"low{i}": F.min(extremes),
             f"high{i}": F.max(extremes),
         }
         final |= {
             f"moments{i}": merged_moments(f"moments{i}"),
             f"sketch{i}": merged_quantiles(F.col(f"sketch{i}")),
+            f"numbers{i}": F.sum(f"numbers{i}"),
+            f"least{i}": F.min(f"least{i}"),
+            f"greatest{i}": F.max(f"greatest{i}"),
             f"low{i}": F.min(f"low{i}"),
             f"high{i}": F.max(f"high{i}"),
         }
         if name not in numbers:
             partial[f"filled{i}"] = F.count(extremes)
             final[f"filled{i}"] = F.coalesce(F.sum(f"filled{i}"), F.lit(0))
+    around = [min(max(share + side * MARGIN, 0.0), 1.0) for share in QUARTILES for side in (-1, 1)]
     nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def statistics(i: int, name: str) -> Column:
@@ -90,19 +104,91 @@ def _statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
             mean_of(merged).alias("mean"),
             deviation_of(merged).alias("stddev"),
             (low if is_number else nothing).alias("min_number"),
-            quantiles(F.col(f"sketch{i}"), merged["n"], QUARTILES).alias("quartiles"),
+            F.array(*[nothing] * len(QUARTILES)).alias("quartiles"),
+            quantiles(F.col(f"sketch{i}"), F.col(f"numbers{i}"), around).alias("around"),
+            F.col(f"numbers{i}").alias("numbers"),
+            F.col(f"least{i}").alias("least"),
+            F.col(f"greatest{i}").alias("greatest"),
             (high if is_number else nothing).alias("max_number"),
             (no_text if is_number else low).alias("min_text"),
             (no_text if is_number else high).alias("max_text"),
         ).alias(name)
 
-    return by_lane(df, partial, final).select(*[statistics(i, name) for i, name in enumerate(names)])
+    wide = by_lane(df, partial, final).select(*[statistics(i, name) for i, name in enumerate(names)])
+    return _with_quartiles(df, names, wide)
+
+
+def _with_quartiles(df: DataFrame, names: Sequence[str], wide: DataFrame) -> DataFrame:
+    """The one row of statistics with exact nearest-rank quartiles in place of the sketched ones.
+
+    The sketches only say where to look: a quartile lies between two sketched quantiles a little below and above it.
+    One more pass counts the rows below that interval, and inside it the rows per distinct value. The values are
+    cut into ``PIECES`` pieces of the interval; the pieces' totals show in which one the wanted rank lies, and only
+    that piece is ordered. Should a sketch be wrong, the interval becomes the whole range and the pass is repeated.
+    """
+    spark = df.sparkSession
+    row = wide.first()
+    found = {name: [None] * len(QUARTILES) for name in names}
+    wanted, bounds = {}, {}
+    for i, name in enumerate(names):
+        n = row[name]["numbers"]
+        for q, share in enumerate(QUARTILES):
+            if n:
+                label = i * len(QUARTILES) + q
+                wanted[label] = max(n - math.floor(n - share * n), 1)
+                bounds[label] = (row[name]["around"][2 * q], row[name]["around"][2 * q + 1])
+    while wanted:
+        cells = []
+        for label in wanted:
+            value = _number(df, names[label // len(QUARTILES)])
+            low, high = bounds[label]
+            # Rows below the interval share one cell without a value.
+            cell = F.struct(F.lit(label).alias("label"), F.when(value >= low, value).alias("value"))
+            cells.append(F.when(value.isNotNull() & (value <= high), cell))
+        stacked = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
+        counts = stacked.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+        low, high = (F.create_map(*[F.lit(x) for k, b in bounds.items() for x in (k, b[side])]) for side in (0, 1))
+        width = (high[F.col("label")] - low[F.col("label")]) / PIECES
+        piece = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - low[F.col("label")], width)), F.lit(PIECES - 1)), F.lit(0))
+        counts = counts.withColumn("piece", F.when(F.col("value").isNotNull(), piece).otherwise(F.lit(-1)))
+        counts = counts.persist(StorageLevel.DISK_ONLY)
+        totals = counts.groupBy("label", "piece").agg(F.sum("n").alias("n")).collect()
+        hits, failed = {}, {}
+        for label, rank in wanted.items():
+            upto = 0
+            for total in sorted((t for t in totals if t["label"] == label), key=lambda t: t["piece"]):
+                if upto < rank <= upto + total["n"] and total["piece"] >= 0:
+                    hits[label] = (total["piece"], rank - upto)
+                upto += total["n"]
+            if label not in hits:
+                failed[label] = rank
+                column = row[names[label // len(QUARTILES)]]
+                bounds[label] = (column["least"], column["greatest"])
+        if hits:
+            inside = F.lit(False)
+            for label, (number, _) in hits.items():
+                inside = inside | ((F.col("label") == label) & (F.col("piece") == number))
+            rank = F.create_map(*[F.lit(x) for label, (_, r) in hits.items() for x in (label, r)])[F.col("label")]
+            upto = F.sum("n").over(Window.partitionBy("label").orderBy("value"))
+            reached = counts.where(inside).withColumn("upto", upto).where(F.col("upto") >= rank)
+            for hit in reached.groupBy("label").agg(F.min("value").alias("value")).collect():
+                found[names[hit["label"] // len(QUARTILES)]][hit["label"] % len(QUARTILES)] = hit["value"]
+        counts.unpersist()
+        wanted = failed
+    filled = [{**row[name].asDict(), "quartiles": found[name]} for name in names]
+    return spark.createDataFrame([tuple(filled)], wide.schema)
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """The column as a number, NULL for NaN, which has no place among the percentiles."""
+    value = _as_double(df, name)
+    return F.when(~F.isnan(value), value)
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Eight statistics as rows, one column per numeric column.
 
-    Percentiles come from a sketch: exact for small tables, with a rank error near 0.01 % for large ones.
+    Percentiles are exact nearest-rank values at any size, NaN left out; they take a second pass.
     """
     names = list(columns or numeric_columns(df))
     wide = _statistics(df, names)
@@ -147,14 +233,20 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, exact:
     return _profile_exact(df, names) if exact else _profile_sketched(df, names)
 
 
+def _text_of(df: DataFrame, name: str) -> Column:
+    """The value as text; 0.0 and -0.0 are one value."""
+    column = F.col(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        column = F.when(column == 0, F.lit(0).cast(df.schema[name].dataType)).otherwise(column)
+    return column.cast("string")
+
+
 def _profile_exact(df: DataFrame, names: list[str]) -> DataFrame:
     types = [df.schema[name].dataType.simpleString() for name in names]
     numbers = set(numeric_columns(df))
     # One row per cell, labelled by the position of its column and not by its name, which keeps the rows short.
     labels = [str(i) for i in range(1, len(names) + 1)]
-    cells = df.select(*[F.col(n).cast("string").alias(i) for n, i in zip(names, labels)]).unpivot(
-        [], labels, "label", "value"
-    )
+    cells = df.select(*[_text_of(df, n).alias(i) for n, i in zip(names, labels)]).unpivot([], labels, "label", "value")
     # A cell that counts nothing gives every column its row, also over no rows.
     empty_cells = df.sparkSession.range(1, len(names) + 1).select(
         F.col("id").cast("string").alias("label"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("n")
@@ -209,12 +301,12 @@ def _profile_sketched(df: DataFrame, names: list[str]) -> DataFrame:
             f"nulls{i}": F.count_if(column.isNull()),
             f"blanks{i}": F.count_if(blank(text)),
             f"zeros{i}": F.count_if(number == 0),
-            f"distinct{i}": F.hll_sketch_agg(column.cast("string")),
+            f"distinct{i}": F.hll_sketch_agg(_text_of(df, name)),
             f"low{i}": F.min(number),
             f"high{i}": F.max(number),
             f"first{i}": F.min(text),
             f"last{i}": F.max(text),
-            f"top{i}": frequent_sketch(column.cast("string")),
+            f"top{i}": frequent_sketch(_text_of(df, name)),
         }
         final[f"c{i}"] = F.struct(
             F.lit(name).alias("column"),
@@ -237,35 +329,50 @@ def _profile_sketched(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
-    """Rows per equal-width bin and numeric column, from one pass for the ranges and one for the counts."""
+    """Rows per equal-width bin and numeric column, from one pass for the ranges and one for the counts.
+
+    The bins 0 to ``bins - 1`` cut the range of the finite numbers. Bin -1 holds minus infinity, bin ``bins`` infinity,
+    and the one after it NaN.
+    """
     names = list(columns or numeric_columns(df))
     ranges = df.agg(
         F.struct(
             *[
-                F.struct(F.min(_as_double(df, n)).alias("low"), F.max(_as_double(df, n)).alias("high")).alias(n)
+                F.struct(
+                    F.min(finite(_as_double(df, n))).alias("low"), F.max(finite(_as_double(df, n))).alias("high")
+                ).alias(n)
                 for n in names
             ]
         )
     ).scalar()
-    widths = {n: (ranges[n]["high"] - ranges[n]["low"]) / bins for n in names}
+    lows = {n: 0.0 if ranges[n]["low"] is None else ranges[n]["low"] for n in names}
+    highs = {n: 0.0 if ranges[n]["high"] is None else ranges[n]["high"] for n in names}
+    widths = {n: (highs[n] - lows[n]) / bins for n in names}
     labels = [str(i) for i in range(1, len(names) + 1)]
 
     def bin_of(name: str) -> Column:
         value = _as_double(df, name)
-        place = F.coalesce(F.floor(F.try_divide(value - ranges[name]["low"], widths[name])), F.lit(0))
-        return F.when(value.isNotNull(), F.least(place, F.lit(bins - 1)).cast("int"))
+        inside = finite(value)
+        place = F.coalesce(F.floor(F.try_divide(inside - lows[name], F.lit(widths[name]))), F.lit(0))
+        beyond = F.when(F.isnan(value), F.lit(bins + 1)).when(value > 0, F.lit(bins)).otherwise(F.lit(-1))
+        within = F.when(inside.isNotNull(), F.least(place, F.lit(bins - 1)).cast("int")).otherwise(beyond)
+        return F.when(value.isNotNull(), within)
 
     # Bins are found per column before the columns are stacked: what is counted is two short values per cell.
     cells = df.select(*[bin_of(n).alias(i) for n, i in zip(names, labels)]).unpivot([], labels, "label", "bin")
     counts = cells.where(F.col("bin").isNotNull()).groupBy("label", "bin").agg(F.count(F.lit(1)).alias("count"))
     position = F.col("label").cast("int")
-    low = F.element_at(F.array(*[ranges[n]["low"] for n in names]), position)
-    width = F.element_at(F.array(*[widths[n] for n in names]), position)
+    low = F.element_at(F.array(*[F.lit(lows[n]) for n in names]), position)
+    high = F.element_at(F.array(*[F.lit(highs[n]) for n in names]), position)
+    width = F.element_at(F.array(*[F.lit(widths[n]) for n in names]), position)
+    place, infinite, nan = F.col("bin"), F.lit(float("inf")), F.lit(float("nan"))
+    lower = F.when(place == -1, -infinite).when(place == bins, high).when(place > bins, nan)
+    upper = F.when(place == -1, low).when(place == bins, infinite).when(place > bins, nan)
     return counts.select(
         F.element_at(F.array(*map(F.lit, names)), position).alias("column"),
         "bin",
-        (low + F.col("bin") * width).alias("lower"),
-        (low + (F.col("bin") + 1) * width).alias("upper"),
+        lower.otherwise(low + place * width).alias("lower"),
+        upper.otherwise(low + (place + 1) * width).alias("upper"),
         "count",
     )
 

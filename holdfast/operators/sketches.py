@@ -13,9 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANES = 512
-# Size of a quantile sketch: a rank error near 0.01 %, and exact up to so many values.
-QUANTILE_SIZE = 32_768
-# The same where quantiles only balance work.
+# Size of a quantile sketch; quantiles only balance work and bracket exact ones.
 BALANCE_SIZE = 4_096
 # Items that a frequent-items sketch keeps.
 FREQUENT_ITEMS = 4_096
@@ -30,7 +28,7 @@ def by_lane(df: DataFrame, partial: Mapping[str, Column], final: Mapping[str, Co
     return lanes.unionByName(empty).agg(*[c.alias(n) for n, c in final.items()])
 
 
-def quantile_sketch(value: Column, size: int = QUANTILE_SIZE) -> Column:
+def quantile_sketch(value: Column, size: int = BALANCE_SIZE) -> Column:
     return F.call_function("kll_sketch_agg_double", value.cast("double"), F.lit(size))
 
 

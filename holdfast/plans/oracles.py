@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from holdfast.plans.queries import LINEITEM_NUMBERS, SEGMENTS
+from holdfast.plans.queries import DRIFT_FEATURES, SEGMENTS
 
 _CONTRACT = """CASE c.c_mktsegment WHEN 'BUILDING' THEN 'Month-to-month' WHEN 'AUTOMOBILE' THEN 'One year'
     WHEN 'MACHINERY' THEN 'Two year' ELSE c.c_mktsegment END"""
@@ -31,7 +31,7 @@ BASE = f"""WITH last_orders AS (
     least(greatest(monthly_charges / 10000, CAST(0.01 AS DOUBLE)), CAST(0.99 AS DOUBLE)) AS probability
   FROM features
 ), buckets AS (
-  SELECT customer_id, CAST('0x' || substr(md5('42|' || customer_id), 1, 8) AS BIGINT) % 100 AS bucket FROM base
+  SELECT customer_id, CAST('0x' || substr(md5('42|' || length(customer_id) || ':' || customer_id), 1, 8) AS BIGINT) % 100 AS bucket FROM base
 )"""
 
 _SIDE = "CASE WHEN k.bucket < 20 THEN 'test' ELSE 'train' END"
@@ -43,8 +43,20 @@ def _union(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _describe() -> str:
-    columns = ("contract", "monthly_charges", "total_charges")
+# The numeric columns of the line items.
+LINEITEM_NUMBERS = (
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+)
+
+
+def _describe(source: str, columns: tuple[str, ...]) -> str:
     statistics = {
         "count": "CAST(count({c}) AS DOUBLE)",
         "mean": "round(avg({c}), 6)",
@@ -59,7 +71,7 @@ def _describe() -> str:
         [
             f"SELECT '{name}' AS statistic, "
             + ", ".join(f"{text.format(c=c)} AS {c}" for c in columns)
-            + " FROM features"
+            + f" FROM {source}"
             for name, text in statistics.items()
         ]
     )
@@ -85,7 +97,7 @@ def _profile(source: str, columns: dict[str, str]) -> str:
     parts = []
     for name, kind in columns.items():
         is_text = kind == "string"
-        number = f"CAST({name} AS DOUBLE)" if not is_text else "CAST(NULL AS DOUBLE)"
+        number = f"CAST({name} AS DOUBLE)" if kind in ("int", "bigint", "double") else "CAST(NULL AS DOUBLE)"
         text = name if is_text else "CAST(NULL AS VARCHAR)"
         top = (
             f"SELECT CAST({name} AS VARCHAR) AS v, count(*) AS n FROM {source} WHERE {name} IS NOT NULL "
@@ -157,9 +169,9 @@ _SCORES = """, scores AS (
 
 def _psi() -> str:
     parts = []
-    for c in ("monthly_charges", "contract", "segment"):
-        if c == "segment":
-            place, source = c, "features"
+    for c in DRIFT_FEATURES:
+        if c in ("senior", "segment", "nation"):
+            place, source = f"CAST({c} AS VARCHAR)", "features"
         else:
             place = f"CASE WHEN {c} IS NOT NULL THEN greatest(least(floor(({c} - low) / width), 9), 0) END"
             place = f"CAST({place} AS VARCHAR)"
@@ -195,9 +207,16 @@ def _one_hot() -> str:
     return f"SELECT customer_id, {', '.join(flags)} FROM base"
 
 
-_RULE_METRICS = f"""SELECT {_SIDE} || '_run' AS run_id, 'all' AS split, 'accuracy' AS metric,
-  avg(CASE WHEN r.churn = r.prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS value
+_RULE_METRICS = _union(
+    [
+        f"""SELECT {_SIDE} || '_run' AS run_id, 'all' AS split, '{metric}' AS metric, avg({value}) AS value
   FROM rules r JOIN buckets k USING (customer_id) GROUP BY 1"""
+        for metric, value in (
+            ("accuracy", "CASE WHEN r.churn = r.prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"),
+            ("log_loss", "-ln(CASE WHEN r.churn = 'Yes' THEN r.probability ELSE 1 - r.probability END)"),
+        )
+    ]
+)
 
 _BLANKS = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 
@@ -225,7 +244,7 @@ _ON_BASE = {
 FROM base GROUP BY churn""",
     "class_balance": """SELECT churn, count(*) AS count, round(count(*) / (SELECT count(*) FROM base), 6) AS share
 FROM base GROUP BY churn""",
-    "describe_numeric": _describe(),
+    "describe_numeric": _describe("features", ("contract", "monthly_charges", "total_charges")),
     "summary_typed": _summary(),
     "profile_columns": _profile(
         "base",
@@ -240,11 +259,11 @@ FROM base GROUP BY churn""",
             "churn": "string",
         },
     ),
-    "histogram": _histogram("features", ("monthly_charges", "total_charges"), 10),
+    "histogram": _histogram("features", ("contract", "monthly_charges", "total_charges"), 10),
     "cast_audit": _cast_audit(),
     "primary_key_audit": _key_audit("base", ("customer_id",)),
     "hash_split": f"SELECT k.customer_id, {_SIDE} AS split FROM buckets k",
-    "exact_split": """SELECT customer_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || customer_id))
+    "exact_split": """SELECT customer_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || length(customer_id) || ':' || customer_id))
   <= ceil(0.2 * (SELECT count(*) FROM base)) THEN 'test' ELSE 'train' END AS split FROM base""",
     "one_hot_wide": _one_hot(),
     "accuracy": """SELECT count(*) AS rows, count(*) FILTER (WHERE churn = prediction) AS correct,
@@ -274,9 +293,10 @@ FROM sides s LEFT JOIN winners w USING (segment)""",
     "best_trial": _trials(),
     "drift_psi": _psi(),
     "metric_decay": f"""SELECT split, metric, round(reference, 6) AS reference, round(current, 6) AS current,
-  round(reference - current, 6) AS loss, reference - current > 0.01 AS decayed
+  round(worse, 6) AS loss, worse > 0.01 AS decayed
+FROM (SELECT *, CASE WHEN metric = 'log_loss' THEN current - reference ELSE reference - current END AS worse
 FROM (SELECT split, metric, max(value) FILTER (WHERE run_id = 'train_run') AS reference,
-  max(value) FILTER (WHERE run_id = 'test_run') AS current FROM ({_RULE_METRICS}) GROUP BY split, metric)""",
+  max(value) FILTER (WHERE run_id = 'test_run') AS current FROM ({_RULE_METRICS}) GROUP BY split, metric))""",
     "score_rule": _LOOKUP.format(more=", CASE WHEN f.contract = 1 THEN 'Yes' ELSE 'No' END AS prediction"),
 }
 
@@ -289,14 +309,14 @@ FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""",
     "profile_lineitem": _profile(
         "lineitem",
         {
-            "l_partkey": "bigint",
+            **dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey"), "bigint"),
             "l_linenumber": "int",
-            "l_quantity": "double",
-            "l_discount": "double",
-            "l_returnflag": "string",
-            "l_linestatus": "string",
+            **dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "double"),
+            **dict.fromkeys(("l_returnflag", "l_linestatus"), "string"),
+            "l_shipdate": "timestamp",
         },
     ),
+    "describe_lineitem": _describe("lineitem", LINEITEM_NUMBERS),
     "histogram_lineitem": _histogram("lineitem", LINEITEM_NUMBERS, 20),
     "primary_key_audit_lineitem": _key_audit("lineitem", ("l_orderkey", "l_linenumber")),
     "duplicate_keys": "SELECT o_custkey, count(*) AS rows FROM orders GROUP BY o_custkey HAVING count(*) > 1",

@@ -39,7 +39,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-LINEITEM_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+DRIFT_FEATURES = ("senior", "contract", "segment", "nation", "monthly_charges", "total_charges")
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -225,6 +225,12 @@ def summary_typed(spark, sf_dir):
     return _rounded(profile.summary_typed(churn_features(spark, sf_dir)), "mean", "stddev")
 
 
+@query("describe_lineitem")
+def describe_lineitem(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return _rounded(profile.describe_numeric(rows), *profile.numeric_columns(rows))
+
+
 @query("profile_columns")
 def profile_columns(spark, sf_dir):
     return profile.profile_columns(churn_frame(spark, sf_dir))
@@ -232,19 +238,17 @@ def profile_columns(spark, sf_dir):
 
 @query("profile_lineitem")
 def profile_lineitem(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    columns = ["l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
-    return profile.profile_columns(rows, columns)
+    return profile.profile_columns(table(spark, sf_dir, "lineitem"))
 
 
 @query("histogram")
 def histogram(spark, sf_dir):
-    return _rounded(profile.histogram(churn_features(spark, sf_dir), ["monthly_charges", "total_charges"]), "lower", "upper")
+    return _rounded(profile.histogram(churn_features(spark, sf_dir)), "lower", "upper")
 
 
 @query("histogram_lineitem")
 def histogram_lineitem(spark, sf_dir):
-    return _rounded(profile.histogram(table(spark, sf_dir, "lineitem"), LINEITEM_NUMBERS, bins=20), "lower", "upper")
+    return _rounded(profile.histogram(table(spark, sf_dir, "lineitem"), bins=20), "lower", "upper")
 
 
 @query("cast_audit")
@@ -329,7 +333,7 @@ def pr_curve(spark, sf_dir):
 
 @query("metrics_table")
 def metrics_table(spark, sf_dir):
-    """The rule's accuracy on both sides of the split, appended to a metrics table run by run."""
+    """The rule's accuracy and log loss on both sides of the split, appended to a metrics table run by run."""
     name = f"{_database(spark)}.metrics"
     for rows in _rule_metrics(spark, sf_dir):
         metrics.append_metrics(rows, name)
@@ -339,10 +343,13 @@ def metrics_table(spark, sf_dir):
 def _rule_metrics(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     rows = split.hash_split(rule_frame(spark, sf_dir), KEY)
     sides = {side: rows.where(F.col("split") == side) for side in ("train", "test")}
-    return [
-        metrics.metric_rows(metrics.accuracy(frame, LABEL, "prediction").select("accuracy"), f"{side}_run", "all")
-        for side, frame in sides.items()
-    ]
+    found = []
+    for side, frame in sides.items():
+        right = metrics.accuracy(frame, LABEL, "prediction").select("accuracy")
+        loss = metrics.log_loss(frame, LABEL, "probability", POSITIVE).select("log_loss")
+        both = [metrics.metric_rows(rows, f"{side}_run", "all") for rows in (right, loss)]
+        found.append(both[0].unionByName(both[1]))
+    return found
 
 
 @query("majority_baseline")
@@ -370,7 +377,7 @@ def trial_choice(spark, sf_dir):
 @query("drift_psi")
 def drift_psi(spark, sf_dir):
     frame = churn_features(spark, sf_dir)
-    return _rounded(drift.drift_psi(frame, F.col(LABEL) == "No", ["monthly_charges", "contract", "segment"], 10), "psi")
+    return _rounded(drift.drift_psi(frame, F.col(LABEL) == "No", DRIFT_FEATURES, 10), "psi")
 
 
 @query("metric_decay")

@@ -124,3 +124,23 @@ def test_decay(spark):
     flat = spark.createDataFrame([], "feature string, bins bigint, psi double")
     assert drift.needs_retraining(flat, drift.metric_decay(frame, "old", "new"))
     assert not drift.needs_retraining(flat, drift.metric_decay(frame, "new", "old"))
+
+
+def test_decay_of_a_loss(spark):
+    rows = [("old", "test", "log_loss", 0.3), ("new", "test", "log_loss", 0.9), ("old", "test", "accuracy", 0.5), ("new", "test", "accuracy", 0.9)]
+    frame = spark.createDataFrame(rows, "run_id string, split string, metric string, value double")
+    worse = {r["metric"]: r["decayed"] for r in drift.metric_decay(frame, "old", "new").collect()}
+    better = {r["metric"]: r["decayed"] for r in drift.metric_decay(frame, "new", "old").collect()}
+    assert worse == {"log_loss": True, "accuracy": False} and better == {"log_loss": False, "accuracy": True}
+
+
+def test_drift_with_nan_and_infinities(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(True, float(i)) for i in range(100)] + [(False, float(i)) for i in range(100)]
+    plain = spark.createDataFrame(rows, "r boolean, v double")
+    odd = plain.union(spark.createDataFrame([(True, nan), (False, nan), (True, inf), (False, inf), (False, -inf)], "r boolean, v double"))
+    assert drift.drift_psi(plain, F.col("r"), ["v"]).first()["bins"] == 10
+    found = drift.drift_psi(odd, F.col("r"), ["v"]).first()
+    assert found["bins"] == 13 and 0 < found["psi"] < 0.2
+    none = spark.createDataFrame([(True, nan), (False, 1.0)], "r boolean, v double")
+    assert drift.drift_psi(none, F.col("r"), ["v"]).first()["bins"] == 2

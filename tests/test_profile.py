@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,39 @@ def test_large_percentiles_stay_within_their_rank_error(spark):
     for share, name in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%")):
         rank = df.where(F.col("v") <= got[name]["v"]).count() / rows
         assert abs(rank - share) < 0.002
+
+
+def test_histogram_keeps_nan_and_infinities_apart(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(float(i),) for i in range(100)] + [(nan,), (inf,), (-inf,), (None,)], "v double")
+    rows = {r["bin"]: r["count"] for r in profile.histogram(df, ["v"], bins=10).collect()}
+    assert rows == {**dict.fromkeys(range(10), 10), -1: 1, 10: 1, 11: 1}
+
+
+def test_zeros_of_either_sign_are_one_value(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (-0.0,), (1.0,)], "v double")
+    for exact in (True, False):
+        row = profile.profile_columns(df, exact=exact).first()
+        assert row["distinct_values"] == 2 and row["top_count"] == 3 and row["zeros"] == 3
+
+
+def test_quartiles_are_exact_beyond_any_sketch(spark):
+    n = 120_000
+    df = spark.range(n).selectExpr(
+        "id * 7919 % 120000 AS a", "cast(id % 3 AS double) AS b", "CASE WHEN id % 50 = 0 THEN 1e300 ELSE -id / 7 END AS c",
+        "CASE WHEN id % 2 = 0 THEN double('NaN') ELSE double(id) END AS d", "cast(null AS double) AS e", "5 AS f",
+    )
+    want = {r["statistic"]: r for r in profile.describe_numeric(df).collect()}
+    pandas = df.toPandas()
+    for column in "abcdef":
+        values = sorted(v for v in pandas[column].tolist() if v is not None and v == v)
+        for share, label in ((0.25, "25%"), (0.5, "50%"), (0.75, "75%")):
+            rank = max(len(values) - math.floor(len(values) - share * len(values)), 1)
+            assert want[label][column] == (values[rank - 1] if values else None)
+
+
+def test_a_wrong_sketch_only_costs_a_pass(spark, monkeypatch):
+    monkeypatch.setattr(profile, "MARGIN", -0.2)
+    df = spark.range(1000).selectExpr("double(id) AS v")
+    found = {r["statistic"]: r["v"] for r in profile.describe_numeric(df).collect()}
+    assert (found["25%"], found["50%"], found["75%"]) == (249.0, 499.0, 749.0)
