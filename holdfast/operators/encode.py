@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A column with more categories than this is an identifier or free text, not a category.
-MAX_CATEGORIES = 10_000
-
 
 class TooManyCategories(ValueError):
     """A column is no category column."""
@@ -27,18 +24,19 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
 
 
-def check_categories(counts: Mapping[str, int], limit: int = MAX_CATEGORIES) -> None:
-    """Refuse columns whose categories would not fit a model, naming them, before the categories are listed."""
-    wide = {c: n for c, n in counts.items() if n > limit}
+def check_categories(counts: Mapping[str, int], limit: int | None) -> None:
+    """With a limit, refuse columns that have about more categories, naming them, before the categories are listed."""
+    wide = {c: n for c, n in counts.items() if limit is not None and n > limit}
     if wide:
         raise TooManyCategories(f"exclude these columns or group their values, they have too many categories: {wide}")
 
 
-def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """The sorted categories of each column, NULL left out."""
+def categories(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, list[str]]:
+    """The sorted categories of each column, NULL left out; ``limit`` refuses columns with more."""
     if not columns:
         return {}
-    check_categories(distinct_counts(df, columns), limit)
+    if limit is not None:
+        check_categories(distinct_counts(df, columns), limit)
     found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
     return {c: list(found[c]) for c in columns}
 

@@ -22,11 +22,12 @@ from holdfast.operators.training import Prepared, assemble, boosted_trees, evalu
 # Fixed value: the time budget of a search, in minutes.
 TIMEOUT_MINUTES = 5
 PARTS = {"test": 20, "validation": 20, "train": 60}
-TRIALS_SCHEMA = "trial_id string, family string, params map<string,string>, metric double"
+TRIALS_SCHEMA = "trial_id string, family string, params map<string,string>, status string, metric double"
+FITTED, NOT_RUN = "fitted", "not run"
 
 
 def _logistic(seed: int) -> tuple[Estimator, list]:
-    model = wired(LogisticRegression(maxIter=50))
+    model = wired(LogisticRegression(maxIter=100))
     return model, ParamGridBuilder().addGrid(model.regParam, [0.0, 0.1]).build()
 
 
@@ -37,11 +38,11 @@ def _tree(seed: int) -> tuple[Estimator, list]:
 
 def _forest(seed: int) -> tuple[Estimator, list]:
     model = wired(RandomForestClassifier(seed=seed))
-    return model, ParamGridBuilder().addGrid(model.numTrees, [20]).addGrid(model.maxDepth, [5]).build()
+    return model, ParamGridBuilder().addGrid(model.numTrees, [100]).addGrid(model.maxDepth, [5]).build()
 
 
 def _boosted(seed: int) -> tuple[Estimator, list]:
-    model = boosted_trees(trees=20, seed=seed)
+    model = boosted_trees(seed=seed)
     return model, ParamGridBuilder().addGrid(model.maxDepth, [3]).build()
 
 
@@ -78,7 +79,7 @@ def auto_classify(
     target_col: str,
     key: str | Sequence[str],
     exclude_cols: str | Sequence[str] = (),
-    timeout_minutes: float = TIMEOUT_MINUTES,
+    timeout_minutes: float | None = TIMEOUT_MINUTES,
     families: Sequence[str] = tuple(FAMILIES),
     metric: str = "roc_auc",
     remainder: str = "passthrough",
@@ -87,7 +88,8 @@ def auto_classify(
     """Fit candidates until the budget is spent, at least one; the best is the one that leads on the validation part.
 
     The frame is split, encoded and stored once; each fit then reads the stored vectors. The budget is checked
-    between fits. Boosted trees are skipped unless there are exactly two labels, and so is a metric other than
+    between fits, and None is no budget. Every candidate is a row of the trials; those that the budget left out say so
+    in ``status`` and have no metric. Boosted trees are skipped unless there are exactly two labels, and so is a metric other than
     accuracy.
     """
     started = time.monotonic()
@@ -100,13 +102,14 @@ def auto_classify(
     rows, metrics = [], None
     best: tuple[float, str, Transformer] | None = None
     for trial_id, family, estimator, params in _candidates(names, seed):
-        if rows and time.monotonic() - started > timeout_minutes * 60:
-            break
+        shown = {param.name: str(setting) for param, setting in params.items()}
+        if best and timeout_minutes is not None and time.monotonic() - started > timeout_minutes * 60:
+            rows.append((trial_id, family, shown, NOT_RUN, None))
+            continue
         model = estimator.copy(dict(params)).fit(train)
         values = evaluate(prepared, model, "validation", trial_id).collect()
         value = next(row["value"] for row in values if row["metric"] == measure)
-        shown = {param.name: str(setting) for param, setting in params.items()}
-        rows.append((trial_id, family, shown, value))
+        rows.append((trial_id, family, shown, FITTED, value))
         metrics = [*(metrics or []), *values]
         rank = float("-inf") if value is None else (-value if lower_is_better else value)
         if best is None or rank > best[0] or (rank == best[0] and trial_id < best[1]):

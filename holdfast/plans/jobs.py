@@ -15,7 +15,13 @@ from holdfast.operators.metrics import append_metrics
 from holdfast.operators.profile import profile_columns, summary_typed
 from holdfast.operators.search import FAMILIES, TIMEOUT_MINUTES, Search, auto_classify
 from holdfast.operators.training import Fit, fit_churn
-from holdfast.sources.feature_tables import FeatureTable, create_feature_table, get_feature_table, read_feature_table
+from holdfast.sources.feature_tables import (
+    FeatureTable,
+    create_feature_table,
+    get_feature_table,
+    read_feature_table,
+    refresh_feature_table,
+)
 from holdfast.sources.files import read_csv
 from holdfast.sources.models import save_model
 from holdfast.sources.tables import save_table
@@ -36,8 +42,18 @@ def build_features(
     description: str = "",
     buckets: int = 0,
 ) -> FeatureTable:
-    """Type the columns of a table and keep the result as a feature table."""
-    return create_feature_table(name, primary_keys, featurize(spark.table(source), spec), description, buckets)
+    """Type the columns of a table and keep the result as a feature table; a later run refreshes its rows.
+
+    A refresh keeps the table's buckets, and its keys must be the given ones.
+    """
+    features = featurize(spark.table(source), spec)
+    if not spark.catalog.tableExists(name):
+        return create_feature_table(name, primary_keys, features, description, buckets)
+    keys = [primary_keys] if isinstance(primary_keys, str) else list(primary_keys)
+    stored = list(get_feature_table(spark, name).primary_keys)
+    if stored != keys:
+        raise ValueError(f"{name} has the primary keys {stored}, not {keys}")
+    return refresh_feature_table(name, features, description or None)
 
 
 def train(
@@ -85,7 +101,7 @@ def retrain(
     label: str,
     model_path: str,
     metrics_table: str | None = None,
-    timeout_minutes: float = TIMEOUT_MINUTES,
+    timeout_minutes: float | None = TIMEOUT_MINUTES,
     families: Sequence[str] = tuple(FAMILIES),
     labels: DataFrame | None = None,
 ) -> Retrained:

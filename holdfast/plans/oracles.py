@@ -227,6 +227,23 @@ _ON_BASE = {
     "save_table": "SELECT * REPLACE (monthly_charges * 2 AS monthly_charges) FROM base",
     "snapshot_table": "SELECT * FROM base",
     "feature_table": "SELECT * EXCLUDE (churn) FROM features",
+    "feature_table_refresh": """SELECT * EXCLUDE (churn) REPLACE (monthly_charges * 2 AS monthly_charges), true AS same_metadata
+FROM features""",
+    "feature_table_metadata": """SELECT place, name, place = 0 AS is_key, 'customers by name' AS description,
+  (SELECT count(*) FROM base) AS table_rows
+FROM (VALUES (0, 'customer_id'), (1, 'senior'), (2, 'contract'), (3, 'segment'), (4, 'nation'), (5, 'monthly_charges'),
+  (6, 'total_charges')) AS t(place, name)""",
+    "read_csv_inferred": "SELECT * FROM base",
+    "read_csv_pandas": "SELECT * FROM base",
+    "gbt_predictions": f"""SELECT customer_id, {_SIDE} AS split, churn, true AS score_in_range, true AS prediction_agrees
+FROM base JOIN buckets k USING (customer_id)""",
+    "auto_trials": """SELECT trial_id, family, 'fitted' AS status, true AS metric_in_range FROM (VALUES
+  ('logistic_regression_0', 'logistic_regression'), ('logistic_regression_1', 'logistic_regression'),
+  ('decision_tree_0', 'decision_tree'), ('decision_tree_1', 'decision_tree'),
+  ('random_forest_0', 'random_forest'), ('boosted_trees_0', 'boosted_trees')) AS t(trial_id, family)""",
+    "score_batch": "SELECT customer_id, true AS known_label, true AS as_fitted FROM base",
+    "score_stream": """SELECT customer_id, CAST(regexp_extract(customer_id, '[0-9]+') AS BIGINT) AS c_custkey,
+  true AS known_label, true AS as_batch FROM base""",
     "label_frame": "SELECT customer_id, churn FROM base",
     "flag_to_boolean": "SELECT customer_id, senior = 1 AS senior FROM base",
     "map_category": f"SELECT customer_id, contract, {_MONTHS} AS months FROM base",
@@ -313,16 +330,13 @@ FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""",
             "l_linenumber": "int",
             **dict.fromkeys(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), "double"),
             **dict.fromkeys(("l_returnflag", "l_linestatus"), "string"),
-            "l_shipdate": "timestamp",
+            "l_shipdate": "timestamp_ntz",
         },
     ),
     "describe_lineitem": _describe("lineitem", LINEITEM_NUMBERS),
     "histogram_lineitem": _histogram("lineitem", LINEITEM_NUMBERS, 20),
     "primary_key_audit_lineitem": _key_audit("lineitem", ("l_orderkey", "l_linenumber")),
     "duplicate_keys": "SELECT o_custkey, count(*) AS rows FROM orders GROUP BY o_custkey HAVING count(*) > 1",
-    "score_stream": f"""SELECT c_custkey, {_MONTHS} AS contract, c_acctbal,
-  CASE WHEN contract = 'Month-to-month' THEN 'Yes' ELSE 'No' END AS prediction
-FROM (SELECT c.c_custkey, c.c_acctbal, {_CONTRACT} AS contract FROM customer c)""",
 }
 
 ORACLES: dict[str, str] = {

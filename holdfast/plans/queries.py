@@ -18,7 +18,6 @@ from holdfast.plans.churn import (
     KEY,
     LABEL,
     POSITIVE,
-    SEGMENT_CONTRACTS,
     churn_features,
     churn_frame,
     churn_lookups,
@@ -29,11 +28,16 @@ from holdfast.plans.churn import (
     table,
 )
 from holdfast.session import shared_path
-from holdfast.sources.feature_tables import create_feature_table, read_feature_table
-from holdfast.sources.files import read_csv
+from holdfast.sources.feature_tables import (
+    create_feature_table,
+    get_feature_table,
+    read_feature_table,
+    refresh_feature_table,
+)
+from holdfast.sources.files import read_csv, read_csv_pandas
 from holdfast.sources.models import save_model
 from holdfast.sources.tables import ensure_database, preview, save_table, snapshot_table
-from holdfast.streaming.scoring import write_stream
+from holdfast.streaming.scoring import score_stream, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +106,46 @@ def snapshot(spark, sf_dir):
     return spark.table(f"{database}.churn_copy")
 
 
+@query("read_csv_inferred")
+def csv_inference(spark, sf_dir):
+    """The same files with inferred types: a blank among the amounts keeps that column a string."""
+    frame = churn_frame(spark, sf_dir)
+    path = shared_path(spark, "csv")
+    frame.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_csv(spark, path)
+
+
+@query("read_csv_pandas")
+def csv_pandas(spark, sf_dir):
+    """The same files through the pandas API on Spark."""
+    frame = churn_frame(spark, sf_dir)
+    path = shared_path(spark, "csv")
+    frame.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_csv_pandas(path).to_spark()
+
+
+@query("feature_table_refresh")
+def feature_table_refresh(spark, sf_dir):
+    """A feature table refreshed by a frame that reads it: new rows, the same keys and description."""
+    name = f"{_database(spark)}.churn_features"
+    created = create_feature_table(name, KEY, customer_features(spark, sf_dir), "churn features", buckets=8)
+    doubled = read_feature_table(spark, name).withColumn("monthly_charges", F.col("monthly_charges") * 2)
+    refreshed = refresh_feature_table(name, doubled)
+    same = F.lit(refreshed.primary_keys == created.primary_keys and refreshed.description == created.description)
+    return read_feature_table(spark, name).withColumn("same_metadata", same)
+
+
+@query("feature_table_metadata")
+def feature_table_metadata(spark, sf_dir):
+    """Keys, features and description of a stored feature table, a row per column."""
+    name = f"{_database(spark)}.customers"
+    create_feature_table(name, KEY, customer_features(spark, sf_dir), "customers by name")
+    found = get_feature_table(spark, name)
+    rows = [(i, c, c in found.primary_keys, found.description) for i, c in enumerate(found.features)]
+    counted = read_feature_table(spark, name).agg(F.count(F.lit(1)).alias("table_rows"))
+    return spark.createDataFrame(rows, "place int, name string, is_key boolean, description string").crossJoin(counted)
+
+
 @query("feature_table")
 def feature_table(spark, sf_dir):
     """Features stored as a bucketed feature table and read back."""
@@ -392,19 +436,28 @@ def metric_decay(spark, sf_dir):
 
 @query("gbt_predictions")
 def gbt_predictions(spark, sf_dir):
-    """Boosted trees fitted on the training keys, applied to every customer."""
+    """Boosted trees fitted on the training keys, applied to every customer; what any such model must satisfy."""
     rows = churn_features(spark, sf_dir)
     fit = fit_churn(rows, LABEL, KEY)
     fit.prepared.release()
     scored = positive_probability(fit.model.transform(split.hash_split(rows, KEY)))
-    return scored.select(KEY, "split", LABEL, "prediction", F.round("score", 6).alias("score"))
+    likelier = F.when(F.col("score") > 0.5, POSITIVE).when(F.col("score") < 0.5, "No").otherwise(F.col("prediction"))
+    return scored.select(
+        KEY,
+        "split",
+        LABEL,
+        F.col("score").between(0, 1).alias("score_in_range"),
+        (F.col("prediction") == likelier).alias("prediction_agrees"),
+    )
 
 
 @query("auto_trials")
 def auto_trials(spark, sf_dir):
-    search = auto_classify(churn_features(spark, sf_dir), LABEL, KEY)
+    """Every candidate of the search, fitted without a budget, with its status."""
+    search = auto_classify(churn_features(spark, sf_dir), LABEL, KEY, timeout_minutes=None)
     search.prepared.release()
-    return search.trials.select("trial_id", "family", "metric")
+    measured = F.col("metric").between(0, 1)
+    return search.trials.select("trial_id", "family", "status", measured.alias("metric_in_range"))
 
 
 @query("score_batch")
@@ -415,10 +468,14 @@ def batch_scores(spark, sf_dir):
     lookups = [lookup.FeatureLookup(name, KEY)]
     training = lookup.create_training_set(label_frame(spark, sf_dir), lookups, LABEL).load_df()
     path = shared_path(spark, "model")
-    fit = fit_churn(training, LABEL, KEY, trees=5)
+    fit = fit_churn(training, LABEL, KEY)
     save_model(fit.model, path, fit.prepared.rows, LABEL, lookups)
     fit.prepared.release()
-    return score_batch(path, churn_frame(spark, sf_dir, [KEY]))
+    scored = score_batch(path, churn_frame(spark, sf_dir, [KEY]))
+    direct = predict(fit.model, lookup.lookup_features(churn_frame(spark, sf_dir, [KEY]), lookups))
+    both = scored.join(direct.select(KEY, F.col("prediction").alias("direct")), KEY)
+    known = F.col("prediction").isin("No", POSITIVE)
+    return both.select(KEY, known.alias("known_label"), (F.col("prediction") == F.col("direct")).alias("as_fitted"))
 
 
 @query("score_rule")
@@ -430,19 +487,22 @@ def score_rule(spark, sf_dir):
 
 @query("score_stream")
 def stream_scores(spark, sf_dir):
-    """Customer numbers read as a stream, joined with stored features, scored by the rule, written and read back."""
+    """Keys read as a stream, scored by a saved model over its stored features, and held against the batch scores."""
+    name = f"{_database(spark)}.churn_features"
+    create_feature_table(name, KEY, customer_features(spark, sf_dir), "churn features", buckets=8)
+    lookups = [lookup.FeatureLookup(name, KEY)]
+    training = lookup.create_training_set(label_frame(spark, sf_dir), lookups, LABEL).load_df()
+    search = auto_classify(training, LABEL, KEY, timeout_minutes=None, families=("logistic_regression",))
+    path = shared_path(spark, "model")
+    save_model(search.best_model, path, search.prepared.rows, LABEL, lookups)
+    search.prepared.release()
     schema = table(spark, sf_dir, "customer").schema
     # A glob matches the table whether it is one file or a folder of files.
-    keys = spark.readStream.schema(schema).parquet(f"{sf_dir}/customer.parquet*")
-    customers = table(spark, sf_dir, "customer").select(
-        "c_custkey", map_category("c_mktsegment", SEGMENT_CONTRACTS).alias("contract_name"), "c_acctbal"
-    )
-    features = customers.select(
-        "c_custkey", map_category("contract_name", CONTRACT_MONTHS).alias("contract"), "c_acctbal"
-    )
-    looked_up = lookup.lookup_features(
-        keys.select("c_custkey"), [lookup.FeatureLookup(features, "c_custkey")], hot_share=None
-    )
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/customer.parquet*")
+    keys = arriving.select("c_custkey", F.col("c_name").alias(KEY))
     out = shared_path(spark, "scores")
-    write_stream(rule_prediction(looked_up), out, shared_path(spark, "stream"), available_now=True).awaitTermination()
-    return spark.read.parquet(out)
+    write_stream(score_stream(path, keys), out, shared_path(spark, "stream"), available_now=True).awaitTermination()
+    batch = score_batch(path, churn_frame(spark, sf_dir, [KEY])).select(KEY, F.col("prediction").alias("batch"))
+    both = spark.read.parquet(out).join(batch, KEY)
+    known = F.col("prediction").isin("No", POSITIVE)
+    return both.select(KEY, "c_custkey", known.alias("known_label"), (F.col("prediction") == F.col("batch")).alias("as_batch"))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.operators.profile import primary_key_audit
-from holdfast.sources.tables import quoted, save_table
+from holdfast.sources.tables import quoted, save_table, swap_table
 
 KEYS_PROPERTY = "holdfast.primary_keys"
+BUCKETS_PROPERTY = "holdfast.buckets"
 DESCRIPTION_PROPERTY = "holdfast.description"
 
 
@@ -71,12 +73,29 @@ def create_feature_table(
         )
     spark.sql(
         f"ALTER TABLE {quoted(name)} SET TBLPROPERTIES "
-        f"('{KEYS_PROPERTY}' = {_text(json.dumps(keys))}, '{DESCRIPTION_PROPERTY}' = {_text(description)})"
+        f"('{KEYS_PROPERTY}' = {_text(json.dumps(keys))}, '{DESCRIPTION_PROPERTY}' = {_text(description)}, "
+        f"'{BUCKETS_PROPERTY}' = '{buckets}')"
     )
     spark.sql(f"COMMENT ON TABLE {quoted(name)} IS {_text(description)}")
     return get_feature_table(spark, name)
 
 
+def refresh_feature_table(name: str, df: DataFrame, description: str | None = None) -> FeatureTable:
+    """Replace the rows of a feature table; its keys, buckets and, without a new one, its description stay.
+
+    The new table is written and its keys are checked before it takes the old one's place, so the frame may read the table,
+    and a failed refresh leaves it as it was. Saved lookups find the refreshed rows under the same name.
+    """
+    spark = df.sparkSession
+    table = get_feature_table(spark, name)
+    buckets = int(_properties(spark, name).get(BUCKETS_PROPERTY, "0"))
+    said = table.description if description is None else description
+    new = f"{name}__new_{uuid.uuid4().hex[:12]}"
+    create_feature_table(new, table.primary_keys, df, said, buckets)
+    swap_table(spark, name, new)
+    return get_feature_table(spark, name)
+
+
 def get_feature_table(spark: SparkSession, name: str) -> FeatureTable:
     """Metadata only: name, keys, features and description. ``features`` lists every column, as the store keeps it."""
     keys = primary_keys_of(spark, name)

@@ -3,17 +3,20 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from holdfast.operators.featurize import FeatureSpec
 from holdfast.operators.lookup import FeatureLookup, lookup_features
+from holdfast.plans import jobs
 from holdfast.session import shared_path
 from holdfast.sources.feature_tables import (
     create_feature_table,
     drop_feature_table,
     get_feature_table,
     read_feature_table,
+    refresh_feature_table,
 )
 from holdfast.sources.files import read_csv, read_csv_pandas
 from holdfast.sources.online import publish_table
-from holdfast.sources.tables import save_table, snapshot_table
+from holdfast.sources.tables import save_table, snapshot_table, swap_table
 
 
 @pytest.fixture
@@ -136,3 +139,37 @@ def test_publish_round_trip(spark, people):
     assert publish_table(people, jdbc, "NAMES", columns=["name"]) == 3
     stored = spark.read.format("jdbc").options(**jdbc, dbtable="PEOPLE").load()
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, people.collect()))
+
+
+def test_a_refresh_keeps_keys_description_and_saved_lookups(spark, database):
+    name = f"{database}.refreshed"
+    first = spark.range(20).withColumn("v", F.col("id") * 2)
+    created = create_feature_table(name, "id", first, "numbers", buckets=4)
+    refreshed = refresh_feature_table(name, spark.table(name).withColumn("v", F.col("v") + 1))
+    assert refreshed == created
+    assert sorted(tuple(r) for r in read_feature_table(spark, name).collect()) == [(i, 2 * i + 1) for i in range(20)]
+    with pytest.raises(ValueError, match="not unique"):
+        refresh_feature_table(name, first.union(first))
+    assert read_feature_table(spark, name).count() == 20
+    assert [r["tableName"] for r in spark.sql(f"SHOW TABLES IN {database} LIKE 'refreshed*'").collect()] == ["refreshed"]
+
+
+def test_a_failed_swap_is_taken_back(spark, database):
+    name = f"{database}.swapped"
+    save_table(spark.range(3), name)
+    with pytest.raises(Exception):
+        swap_table(spark, name, f"{database}.missing")
+    assert spark.table(name).count() == 3
+
+
+def test_features_can_be_built_twice(spark, database):
+    source, name = f"{database}.raw_rows", f"{database}.built"
+    save_table(spark.createDataFrame([("a", 1), ("b", 0)], "k string, flag int"), source)
+    spec = FeatureSpec(flags={"flag": 1})
+    jobs.build_features(spark, source, spec, name, "k", "built from rows")
+    save_table(spark.createDataFrame([("a", 0), ("c", 1)], "k string, flag int"), source)
+    again = jobs.build_features(spark, source, spec, name, "k")
+    assert again.primary_keys == ("k",) and again.description == "built from rows"
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == [("a", False), ("c", True)]
+    with pytest.raises(ValueError, match="primary keys"):
+        jobs.build_features(spark, source, spec, name, "flag")

@@ -1,11 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from holdfast.operators.encode import TooManyCategories
 from holdfast.operators.lookup import FeatureLookup, create_training_set
 from holdfast.operators.scoring import score_batch
 from holdfast.operators.search import auto_classify, best_trial
 from holdfast.operators.split import hash_split
-from holdfast.operators.training import FEATURES, encoder, fit_churn, predict
+from holdfast.operators.training import FEATURES, encoder, fit_churn, predict, trees_by_patience
 from holdfast.plans import jobs
 from holdfast.plans.churn import CHURN_SPEC
 from holdfast.session import discard, shared_path, shared_root
@@ -106,7 +107,10 @@ def test_search_compares_families_and_picks_the_leader(planted):
 
 def test_search_stops_at_its_budget_but_tries_once(planted):
     search = auto_classify(planted, "Churn", "customerID", timeout_minutes=0)
-    assert search.trials.count() == 1
+    trials = search.trials.collect()
+    assert len(trials) == 6 and sorted(t["status"] for t in trials) == ["fitted"] + ["not run"] * 5
+    assert all((t["metric"] is None) == (t["status"] == "not run") for t in trials)
+    assert best_trial(search.trials).first()["status"] == "fitted"
 
 
 def test_search_over_three_labels(planted):
@@ -221,3 +225,26 @@ def test_excluding_the_label_is_refused(spark, planted):
     labels = planted.select("customerID", "Churn")
     with pytest.raises(ValueError):
         create_training_set(labels, [], "Churn", "Churn")
+
+
+def test_patience_waits_for_a_later_gain():
+    # The second loss gains little, later ones much: the first small gain is not the end.
+    losses = [0.5, 0.49999, *(0.5 - 0.01 * i for i in range(1, 30)), *[0.3] * 20]
+    assert trees_by_patience(losses) > 30
+    assert trees_by_patience([0.5] * 40) == 11
+    assert trees_by_patience([0.5 - 0.01 * i for i in range(40)]) == 40
+    falling = [0.5 - 0.01 * i for i in range(15)]
+    assert trees_by_patience([*falling, *[0.36] * 30], patience=10) == 15 + 10
+    assert trees_by_patience([]) == 0
+
+
+def test_fifty_thousand_categories_train(spark):
+    df = spark.range(60_000).selectExpr(
+        "id", "concat('c', id % 50000) AS city", "double(id % 10) AS x", "if(id % 10 > 4, 'Yes', 'No') AS churn"
+    )
+    fit = fit_churn(df, "churn", "id", trees=2)
+    assert metric(fit, "accuracy") > 0.95
+    assert fit.prepared.frame.first()[FEATURES].size > 30_000
+    fit.prepared.release()
+    with pytest.raises(TooManyCategories):
+        fit_churn(df, "churn", "id", trees=1, max_categories=1000)
