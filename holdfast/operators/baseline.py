@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators.lookup import HOT_SHARE, FeatureLookup, lookup_features
+from holdfast.operators.lookup import FeatureLookup, lookup_features
 
 
 def majority_labels(train: DataFrame, segments: Sequence[str], label: str) -> DataFrame:
@@ -18,18 +18,14 @@ def majority_labels(train: DataFrame, segments: Sequence[str], label: str) -> Da
 
 
 def majority_baseline(
-    df: DataFrame,
-    train: DataFrame,
-    segments: Sequence[str],
-    label: str,
-    prediction: str = "prediction",
-    hot_share: float | None = HOT_SHARE,
+    df: DataFrame, train: DataFrame, segments: Sequence[str], label: str, prediction: str = "prediction"
 ) -> DataFrame:
     """Predict each row's segment majority; an unseen or NULL segment gets the overall majority."""
-    overall = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    fallback = overall.agg(
-        F.min(F.struct((-F.col("n")).alias("rank"), F.col(label).alias("label"))).getField("label")
-    ).scalar()
-    lookup = FeatureLookup(majority_labels(train, segments, label), list(segments), ["majority"])
-    found = lookup_features(df, [lookup], hot_share=hot_share)
-    return found.withColumn(prediction, F.coalesce("majority", fallback)).drop("majority")
+    counts = train.where(F.col(label).isNotNull()).groupBy(*segments, label).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col(label).alias("label")))
+    # The training rows are read once for both: overall counts are sums of the segments' counts.
+    counts = counts.persist()
+    fallback = counts.groupBy(label).agg(F.sum("n").alias("n")).agg(best.getField("label")).first()[0]
+    majorities = counts.groupBy(*segments).agg(best.getField("label").alias("majority"))
+    found = lookup_features(df, [FeatureLookup(majorities, list(segments), ["majority"])])
+    return found.withColumn(prediction, F.coalesce("majority", F.lit(fallback))).drop("majority")

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.operators.profile import numeric_columns
-from holdfast.operators.sketches import FREQUENT_ITEMS, by_lane, frequent_sketch, merged_frequent
+from holdfast.operators.sketches import by_lane, frequent_sketch, merged_frequent
 from holdfast.sources.feature_tables import primary_keys_of
 
-# A group smaller than this is no trouble for one task, whatever its share.
+# A key with fewer rows is no trouble for one task, whatever its share.
 HOT_ROWS = 1_000_000
-# A key that holds at least this share of the rows is hot, so there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.001
-# Keys may be broadcast up to this number and size.
-FEW_KEYS = 1_000_000
+# Hot keys that are joined apart, at most; the most frequent ones.
+HOT_KEYS = 4_096
+# Items that their sketch keeps.
+HOT_ITEMS = 16_384
+# Bytes of keys or features that may be broadcast.
 FEW_BYTES = 64 * 1024 * 1024
+# Parts among which rows that need no partner in a join are dealt.
+SPREAD = 1_024
 
 
 class LabelLeakage(ValueError):
@@ -68,37 +71,44 @@ def label_guard(spark: SparkSession, lookups: Sequence[FeatureLookup], label: st
             raise LabelLeakage(f"{label} is the label and cannot be a looked-up feature")
 
 
-def _hash_of(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(key) for key in keys])
+def _hash_of(columns: Sequence[Column]) -> Column:
+    return F.xxhash64(*columns)
 
 
 def hot_key_hashes(
-    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str | Column], min_rows: int = HOT_ROWS, most: int = HOT_KEYS
 ) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows and at least ``min_rows`` rows.
+    """Hashes of the keys that hold at least ``min_rows`` rows, the ``most`` frequent ones of them.
 
-    A frequent-items sketch finds them in one pass over the key columns without a shuffle; NULL counts as a key. The
-    list has at most 1 / share entries. It decides only which join a row takes, never whether it is kept.
+    A frequent-items sketch finds them in one pass over the key columns without a shuffle; NULL counts as a key. It
+    decides only which join a row takes, never whether it is kept.
     """
-    limit = int(1 / share)
-    kept = max(FREQUENT_ITEMS, 4 * limit)
+    columns = [F.col(key) if isinstance(key, str) else key for key in keys]
     found = by_lane(
-        df.select(_hash_of(keys).alias("key_hash")),
-        {"n": F.count(F.lit(1)), "sketch": frequent_sketch(F.col("key_hash"), kept)},
-        {"n": F.sum("n"), "top": merged_frequent(F.col("sketch"), limit, kept)},
+        df.select(_hash_of(columns).alias("key_hash")),
+        {"sketch": frequent_sketch(F.col("key_hash"), HOT_ITEMS)},
+        {"top": merged_frequent(F.col("sketch"), most, HOT_ITEMS)},
     ).first()
-    floor = max(share * (found["n"] or 0), min_rows)
-    return [item["item"] for item in found["top"] or [] if item["count"] >= floor]
+    return [item["item"] for item in found["top"] or [] if item["count"] >= min_rows]
+
+
+def _measured_bytes(df: DataFrame) -> Column:
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+
+
+def _planned_bytes(df: DataFrame) -> int:
+    """What the optimizer thinks the frame weighs; it broadcasts a join side by the same number."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _broadcast_limit(spark: SparkSession) -> int:
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
 def wanted_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The distinct keys of a frame, to be broadcast if they are counted and measured to be few and short."""
+    """The distinct keys of a frame, to be broadcast if they are measured to be small."""
     wanted = df.select(*[F.col(key).alias(f"__want_{i}") for i, key in enumerate(keys)]).distinct()
-    text = F.concat_ws("", *[F.col(name).cast("string") for name in wanted.columns])
-    size = wanted.limit(FEW_KEYS + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes"))
-    found = size.first()
-    small = found["rows"] <= FEW_KEYS and (found["bytes"] or 0) <= FEW_BYTES
-    return F.broadcast(wanted) if small else wanted
+    return F.broadcast(wanted) if wanted.agg(_measured_bytes(wanted)).first()[0] <= FEW_BYTES else wanted
 
 
 def features_of(wanted: DataFrame, features: DataFrame, joined: Sequence[str]) -> DataFrame:
@@ -113,66 +123,88 @@ def _renamed(features: DataFrame, table_keys: Sequence[str], names: Sequence[str
     return features.select(*columns, *names), joined
 
 
+def _common_types(df: DataFrame, features: DataFrame, keys: Sequence[str], joined: Sequence[str]) -> list[T.DataType]:
+    """The type in which each pair of keys is compared."""
+    pairs = [
+        F.coalesce(F.lit(None).cast(df.schema[k].dataType), F.lit(None).cast(features.schema[j].dataType)).alias(j)
+        for k, j in zip(keys, joined)
+    ]
+    return [f.dataType for f in df.sparkSession.range(0).select(*pairs).schema.fields]
+
+
 def _left_join(df: DataFrame, features: DataFrame, keys: Sequence[str], joined: Sequence[str]) -> DataFrame:
     matches = reduce(lambda a, b: a & b, [df[key] == features[alias] for key, alias in zip(keys, joined)])
     return df.join(features, matches, "left").drop(*joined)
 
 
-def _same_key_types(df: DataFrame, features: DataFrame, keys: Sequence[str], joined: Sequence[str]) -> bool:
-    return all(df.schema[k].dataType == features.schema[j].dataType for k, j in zip(keys, joined))
+def _split_join(
+    df: DataFrame, features: DataFrame, keys: Sequence[str], joined: Sequence[str], names: Sequence[str], hot_rows: int
+) -> DataFrame:
+    """The left join, in which rows of hot keys take their features from a broadcast of just those.
+
+    All rows stay in one frame. In the shuffled join a row of a hot key has no key but a part number, which no
+    feature row has, so such rows are dealt evenly; the broadcast join that follows knows them by their key.
+    """
+    types = _common_types(df, features, keys, joined)
+    key_columns = [F.col(k).cast(t) for k, t in zip(keys, types)]
+    typed = features.withColumns({j: F.col(j).cast(t) for j, t in zip(joined, types)})
+    hashes = hot_key_hashes(df, key_columns, hot_rows)
+    few = typed.where(_hash_of([F.col(j) for j in joined]).isin(hashes))
+    if not hashes or few.agg(_measured_bytes(few)).first()[0] > FEW_BYTES:
+        return _left_join(df, features, keys, joined)
+    is_hot = _hash_of(key_columns).isin(hashes)
+    cold = {f"__cold_{i}": F.when(~is_hot, c) for i, c in enumerate(key_columns)}
+    part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)) + 1).otherwise(0)
+    routed = df.withColumns({**cold, "__hot": is_hot, "__part": part})
+    # Always 0, but not a literal, which the optimizer would make a filter and no longer deal rows by.
+    zero = F.pmod(_hash_of([F.col(j) for j in joined]), F.lit(1)).alias("__zero")
+    plain = typed.select(*[F.col(j).alias(f"__c{j}") for j in joined], *[F.col(n).alias(f"__c_{n}") for n in names], zero)
+    same = [F.col(f"__cold_{i}") == F.col(f"__c{j}") for i, j in enumerate(joined)]
+    result = routed.join(plain, reduce(lambda a, b: a & b, [*same, F.col("__part") == F.col("__zero")]), "left")
+    hot = few.select(*[F.col(j).alias(f"__h{j}") for j in joined], *[F.col(n).alias(f"__h_{n}") for n in names])
+    known = [F.col(k).cast(t) == F.col(f"__h{j}") for k, t, j in zip(keys, types, joined)]
+    result = result.join(F.broadcast(hot), reduce(lambda a, b: a & b, [F.col("__hot"), *known]), "left")
+    chosen = [F.when(F.col("__hot"), F.col(f"__h_{n}")).otherwise(F.col(f"__c_{n}")).alias(n) for n in names]
+    return result.select(*df.columns, *chosen)
 
 
 def lookup_features(
     df: DataFrame,
     lookups: Sequence[FeatureLookup],
     without: Sequence[str] = (),
-    hot_share: float | None = HOT_SHARE,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     prefilter: bool = False,
 ) -> DataFrame:
     """Add the features of every lookup, keeping every input row; an unknown or NULL key gets NULL features.
 
-    Tables must be unique by their keys, as ``create_feature_table`` checks. Lookups by the same key follow each
-    other and share one shuffle of the input. Rows of hot keys (and of NULL, where that is hot) do not enter that
-    shuffle: they are joined with a broadcast of just their own feature rows. ``hot_share=None`` turns the search for
-    hot keys off, as for streams. ``prefilter`` is for few keys and large tables: it reduces each table to
-    the wanted keys first.
+    Tables must be unique by their keys, as ``create_feature_table`` checks. The input is scanned once, whatever the
+    number of keys. A table that the optimizer broadcasts is simply joined. For a larger one, one pass over the keys
+    looks for those with at least ``hot_rows`` rows (NULL included), whose features are measured and broadcast, so
+    their rows are dealt evenly in the shuffled join. ``hot_rows=None`` leaves that out, as does a stream: its
+    batches are as small as its trigger makes them. ``prefilter`` is for few keys and large tables: it reduces each
+    table to the wanted keys first.
     """
     spark = df.sparkSession
     taken = {name.lower() for name in df.columns}
-    by_key: dict[tuple[str, ...], list[tuple[DataFrame, list[str]]]] = {}
+    by_key: dict[tuple[str, ...], list[tuple[DataFrame, list[str], list[str]]]] = {}
     for lookup in lookups:
         names = lookup.features(spark, without)
         clash = taken.intersection(name.lower() for name in names)
         if clash:
             raise ValueError(f"looked-up features already in the frame: {sorted(clash)}")
         taken.update(name.lower() for name in names)
-        by_key.setdefault(tuple(lookup.keys), []).append(
-            _renamed(lookup.frame(spark), lookup.table_keys(spark), names)
-        )
-    result = df
+        renamed, joined = _renamed(lookup.frame(spark), lookup.table_keys(spark), names)
+        by_key.setdefault(tuple(lookup.keys), []).append((renamed, joined, names))
+    result, limit = df, _broadcast_limit(spark)
     for keys, tables in by_key.items():
         if prefilter:
             wanted = wanted_keys(df, keys)
-            tables = [(features_of(wanted, features, joined), joined) for features, joined in tables]
-        hashes = []
-        if hot_share is not None and not df.isStreaming:
-            if all(_same_key_types(df, features, keys, joined) for features, joined in tables):
-                hashes = hot_key_hashes(df, keys, hot_share, hot_rows)
-        if not hashes:
-            for features, joined in tables:
+            tables = [(features_of(wanted, features, joined), joined, names) for features, joined, names in tables]
+        for features, joined, names in tables:
+            if hot_rows is None or df.isStreaming or 0 <= _planned_bytes(features) <= limit:
                 result = _left_join(result, features, keys, joined)
-            continue
-        is_hot = _hash_of(keys).isin(hashes)
-        cold, hot = result.where(~is_hot), result.where(is_hot)
-        for features, joined in tables:
-            cold = _left_join(cold, features, keys, joined)
-            hot_features = features.where(_hash_of(joined).isin(hashes))
-            # One row per hot key if the table is unique by key; a broadcast is forced only once that is counted.
-            if hot_features.count() <= len(hashes):
-                hot_features = F.broadcast(hot_features)
-            hot = _left_join(hot, hot_features, keys, joined)
-        result = cold.unionByName(hot)
+            else:
+                result = _split_join(result, features, keys, joined, names, hot_rows)
     return result
 
 
@@ -193,7 +225,7 @@ def create_training_set(
     lookups: Sequence[FeatureLookup],
     label: str,
     exclude_columns: str | Sequence[str] = (),
-    hot_share: float | None = HOT_SHARE,
+    hot_rows: int | None = HOT_ROWS,
 ) -> TrainingSet:
     """Label frame plus features minus excluded columns, the label last.
 
@@ -205,7 +237,7 @@ def create_training_set(
     excluded = [exclude_columns] if isinstance(exclude_columns, str) else list(exclude_columns)
     if label in excluded:
         raise ValueError("the label cannot be excluded")
-    joined = lookup_features(df, lookups, without=[label], hot_share=hot_share)
+    joined = lookup_features(df, lookups, without=[label], hot_rows=hot_rows)
     kept = [name for name in joined.columns if name not in excluded and name != label]
     return TrainingSet(joined.select(*kept, label), tuple(lookups), label)
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.operators.sketches import BALANCE_SIZE, by_lane, merged_quantiles, quantile_sketch, quantiles
+# Planned input bytes per range of scores, and the fewest and most ranges.
+RANGE_BYTES, MIN_RANGES, MAX_RANGES = 128 * 1024 * 1024, 8, 20_000
 METRICS_SCHEMA = "run_id string, split string, metric string, value double"
 
 
@@ -101,7 +103,9 @@ def cut_points(scored: DataFrame, buckets: int) -> list[float]:
 
 
 def ranges_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """As many ranges as the frame has input tasks, within bounds, so that a range stays as large as a task's input."""
+    plan = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return min(max(int(plan) // RANGE_BYTES, MIN_RANGES), MAX_RANGES)
 
 
 def score_totals(
@@ -146,7 +150,8 @@ def score_totals(
     return (
         ranges.withColumn("p_inside", F.coalesce(F.sum("positives").over(inside), F.lit(0)))
         .withColumn("n_inside", F.coalesce(F.sum("negatives").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "range")
+        # Every range has its offsets; an outer join puts no filter on one side only, so the counts are shuffled once.
+        .join(F.broadcast(offsets), "range", "left")
         .select(
             "score",
             "positives",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from holdfast.operators.lookup import HOT_SHARE, lookup_features
+from holdfast.operators.lookup import HOT_ROWS, lookup_features
 from holdfast.operators.training import PREDICTION, predict
 from holdfast.sources.models import SavedModel, load_model
 
@@ -13,7 +13,7 @@ def score_batch(
     model: str | SavedModel,
     keys: DataFrame,
     result_type: str = "string",
-    hot_share: float | None = HOT_SHARE,
+    hot_rows: int | None = HOT_ROWS,
     prefilter: bool = False,
 ) -> DataFrame:
     """Look up the model's features by key and append ``prediction``; every input row and column is kept.
@@ -21,6 +21,6 @@ def score_batch(
     ``prefilter`` spares the shuffle of a large feature table when only few of its keys are scored.
     """
     saved = load_model(keys.sparkSession, model) if isinstance(model, str) else model
-    looked_up = lookup_features(keys, saved.lookups, hot_share=hot_share, prefilter=prefilter)
+    looked_up = lookup_features(keys, saved.lookups, hot_rows=hot_rows, prefilter=prefilter)
     scored = predict(saved.model, looked_up)
     return scored.withColumn(PREDICTION, scored[PREDICTION].cast(result_type))

@@ -5,17 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from holdfast.functions import key_hash, percent_bucket
 
 TEST_PERCENT = 20
 SEED = 42
-# Hash prefixes of this many hex digits make at most 65,536 groups.
+# Hash prefixes of this many hex digits make at most 65,536 groups, and the next ones cut each of these as finely.
 PREFIX = 4
-# Distinct hashes that may be ranked in one small window.
-RANKED_ROWS = 1_000_000
 
 
 def hash_split(
@@ -56,25 +55,23 @@ def exact_split(
 
 
 def _last_test_hash(hashes: DataFrame, fraction: float) -> str | None:
-    """The hash that closes the test side, found by narrowing the prefix in which the wanted row lies.
+    """The hash that closes the test side, from two passes over the hashes.
 
-    Each step counts rows per longer prefix; only the last one, over few hashes, counts whole hashes.
+    The first one counts rows per hash prefix. The second one counts rows per whole hash under the prefix in which the
+    wanted row lies. Hashes are even, so that is a 65,536th of the keys, however many rows a key has; they are cut
+    by their next digits, and only the hashes under one cut are put in order.
     """
-    length, start, before, wanted = 0, "", 0, None
-    while True:
-        inside = hashes.where(F.col("hash").startswith(start)) if start else hashes
-        groups = _groups(inside, length + PREFIX)
-        if wanted is None:
-            total = groups.agg(F.sum("rows")).first()[0] or 0
-            wanted = math.ceil(round(fraction * total, 9))
-            if wanted == 0:
-                return None
-        hit = _reaching(groups, wanted - before)
-        start, before, length = hit["head"], before + hit["before"], length + PREFIX
-        if hit["rows"] <= RANKED_ROWS or length + PREFIX >= 32:
-            break
-    whole = _groups(hashes.where(F.col("hash").startswith(start)), 32)
-    return _reaching(whole, wanted - before)["head"]
+    heads = _groups(hashes, PREFIX).collect()
+    wanted = math.ceil(round(fraction * sum(row["rows"] for row in heads), 9))
+    if wanted == 0:
+        return None
+    start, wanted = _reaching(heads, wanted)
+    whole = _groups(hashes.where(F.col("hash").startswith(start)), 32).persist(StorageLevel.DISK_ONLY)
+    cuts = whole.groupBy(F.substring("head", 1, 2 * PREFIX).alias("head")).agg(F.sum("rows").alias("rows"))
+    cut, wanted = _reaching(cuts.collect(), wanted)
+    last, _ = _reaching(whole.where(F.col("head").startswith(cut)).collect(), wanted)
+    whole.unpersist()
+    return last
 
 
 def _groups(hashes: DataFrame, length: int) -> DataFrame:
@@ -82,12 +79,10 @@ def _groups(hashes: DataFrame, length: int) -> DataFrame:
     return hashes.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _reaching(groups: DataFrame, wanted: int):
-    """The first group, by prefix, at which the running total reaches ``wanted``. The groups are few."""
-    running = groups.withColumn("upto", F.sum("rows").over(Window.orderBy("head")))
-    return (
-        running.where(F.col("upto") >= wanted)
-        .orderBy("head")
-        .select("head", "rows", (F.col("upto") - F.col("rows")).alias("before"))
-        .first()
-    )
+def _reaching(groups: Sequence[Row], wanted: int) -> tuple[str, int]:
+    """The first group, by prefix, at which the running total reaches ``wanted``, and what is still wanted in it."""
+    for group in sorted(groups, key=lambda row: row["head"]):
+        if wanted <= group["rows"]:
+            return group["head"], wanted
+        wanted -= group["rows"]
+    raise ValueError("there are fewer rows than wanted")

@@ -78,11 +78,10 @@ def materialise(df: DataFrame, purpose: str) -> Stored:
     """Store a frame that is read many times, as model fitting does, and read it from there.
 
     It goes to the shared folder as parquet: a lost executor costs a re-read and not a re-join, and each reader
-    takes only its columns. A cluster without a shared folder computes the frame again for each reader.
+    takes only its columns. A cluster without a shared folder is an error, as computing the frame anew for each reader
+    would be dearer than any fit.
     """
     spark = df.sparkSession
-    if shared_root(spark) is None:
-        return Stored(df, None)
     path = shared_path(spark, purpose)
     df.write.parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)

@@ -22,7 +22,8 @@ def publish_table(
     Every task commits its own partition. A task that is lost after its commit runs again and repeats its rows, so
     the published rows are counted against the source, and a difference is an error rather than a bad table in use.
     """
-    rows = df.select(*columns) if columns else df
+    # Dealt out before the writer narrows its tasks to the connections, which would narrow the query above it too.
+    rows = (df.select(*columns) if columns else df).repartition(connections)
     expected = rows.count()
     options = {**jdbc, "dbtable": table}
     before = 0

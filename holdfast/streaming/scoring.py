@@ -13,7 +13,7 @@ def score_stream(model: str | SavedModel, keys: DataFrame, result_type: str = "s
     """The streaming form of ``score_batch``; it keeps no state, so late and repeated keys are scored as they come."""
     if not keys.isStreaming:
         raise ValueError("score_stream takes a streaming frame, score_batch a static one")
-    return score_batch(model, keys, result_type, hot_share=None)
+    return score_batch(model, keys, result_type, hot_rows=None)
 
 
 def write_stream(

@@ -1,7 +1,10 @@
+from contextlib import contextmanager
+
 import pytest
 from pyspark.sql import functions as F
 
 from holdfast.operators.baseline import majority_baseline
+from holdfast.operators import lookup
 from holdfast.operators.lookup import (
     FeatureLookup,
     LabelLeakage,
@@ -44,42 +47,94 @@ def skewed(spark, rows=30_000):
     return spark.range(rows).select(n.alias("row"), key.cast("int").alias("id"))
 
 
+@contextmanager
+def no_broadcasts(spark):
+    """Tables count as large: the optimizer broadcasts none of them."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hot_keys_are_found_and_do_not_change_the_result(spark, features):
     df = skewed(spark)
-    assert len(hot_key_hashes(df, ["id"], share=0.1, min_rows=1000)) == 2
+    assert len(hot_key_hashes(df, ["id"], min_rows=1000)) == 2
     assert hot_key_hashes(df, ["id"]) == []
     second = features.select("id", F.col("num").alias("other"))
     lookups = [FeatureLookup(features, "id"), FeatureLookup(second, "id")]
-    plain = lookup_features(df, lookups, hot_share=None)
-    routed = lookup_features(df, lookups, hot_share=0.1, hot_rows=1000)
-    assert routed.count() == df.count()
-    assert plain.exceptAll(routed).isEmpty() and routed.exceptAll(plain).isEmpty()
+    plain = lookup_features(df, lookups, hot_rows=None)
+    with no_broadcasts(spark):
+        routed = lookup_features(df, lookups, hot_rows=1000)
+        assert routed.columns == plain.columns and routed.count() == df.count()
+        assert plain.exceptAll(routed).isEmpty() and routed.exceptAll(plain).isEmpty()
 
 
-def test_hot_rows_are_joined_without_a_shuffle(spark, features):
-    df = skewed(spark)
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = lookup_features(df, [FeatureLookup(features, "id")], hot_share=0.1, hot_rows=1000)
-        text = plan._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+def test_hot_rows_take_a_broadcast_and_the_others_a_shuffle(spark, features):
+    with no_broadcasts(spark):
+        text = plan_of(lookup_features(skewed(spark), [FeatureLookup(features, "id")], hot_rows=1000))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
 
 
-def test_hot_features_that_are_not_unique_are_not_broadcast(spark, features):
-    df = skewed(spark)
-    twice = features.union(features)
-    routed = lookup_features(df, [FeatureLookup(twice, "id")], hot_share=0.1, hot_rows=1000)
-    plain = lookup_features(df, [FeatureLookup(twice, "id")], hot_share=None)
-    assert routed.count() == plain.count()
+def test_hot_rows_are_dealt_evenly(spark, features):
+    with no_broadcasts(spark):
+        routed = lookup_features(skewed(spark), [FeatureLookup(features, "id")], hot_rows=1000)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            sizes = [r["count"] for r in routed.groupBy(F.spark_partition_id()).count().collect()]
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 2 * sum(sizes) / 8
+
+
+def test_three_hot_keys_scan_the_input_once(spark, tmp_path, features):
+    skewed(spark, 3000).withColumns({"two": F.col("id"), "three": F.col("id")}).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    lookups = [
+        FeatureLookup(features.select(F.col("id").alias(key), F.col("num").alias(f"n{i}")), key) for i, key in enumerate(("id", "two", "three"))
+    ]
+    with no_broadcasts(spark):
+        routed = lookup_features(df, lookups, hot_rows=500)
+        assert routed._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+        assert routed.count() == 3000
+        assert routed.where("id = 1 and n0 = n1 and n1 = n2").count() == df.where("id = 1").count()
+
+
+def test_tables_that_are_broadcast_need_no_pass(spark, tmp_path, features):
+    def refuse(*_):
+        raise AssertionError("the input was read")
+
+    features.write.parquet(f"{tmp_path}/features")
+    features = spark.read.parquet(f"{tmp_path}/features")
+    broken = skewed(spark).select("row", F.udf(refuse, "int")("id").alias("id"))
+    assert "BroadcastHashJoin" in plan_of(lookup_features(broken, [FeatureLookup(features, "id")], hot_rows=1))
+
+
+def test_tables_that_are_not_unique_keep_all_matches(spark, features):
+    df, twice = skewed(spark), features.union(features)
+    plain = lookup_features(df, [FeatureLookup(twice, "id")], hot_rows=None)
+    with no_broadcasts(spark):
+        assert lookup_features(df, [FeatureLookup(twice, "id")], hot_rows=1000).count() == plain.count()
+
+
+def test_large_hot_features_are_not_broadcast(spark, features, monkeypatch):
+    monkeypatch.setattr(lookup, "FEW_BYTES", 10)
+    with no_broadcasts(spark):
+        text = plan_of(lookup_features(skewed(spark), [FeatureLookup(features, "id")], hot_rows=1000))
+    assert "BroadcastHashJoin" not in text
 
 
 def test_key_types_may_differ(spark, features):
     df = skewed(spark).withColumn("id", F.col("id").cast("bigint"))
-    routed = lookup_features(df, [FeatureLookup(features, "id")], hot_share=0.1, hot_rows=1000)
-    assert routed.where("id = 1 and cat = 'x'").count() == df.where("id = 1").count()
+    with no_broadcasts(spark):
+        routed = lookup_features(df, [FeatureLookup(features, "id")], hot_rows=1000)
+        assert "BroadcastHashJoin" in plan_of(routed)
+        assert routed.where("id = 1 and cat = 'x'").count() == df.where("id = 1").count()
 
 
 def test_no_rows_have_no_hot_keys(spark, features):

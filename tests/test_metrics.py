@@ -144,3 +144,12 @@ def test_drift_with_nan_and_infinities(spark):
     assert found["bins"] == 13 and 0 < found["psi"] < 0.2
     none = spark.createDataFrame([(True, nan), (False, 1.0)], "r boolean, v double")
     assert drift.drift_psi(none, F.col("r"), ["v"]).first()["bins"] == 2
+
+
+def test_curves_shuffle_their_scores_once(spark, tmp_path):
+    rows = [("Yes" if i % 3 else "No", float(i % 97)) for i in range(2000)]
+    spark.createDataFrame(rows, "label string, score double").write.parquet(f"{tmp_path}/scores")
+    curve = metrics.roc_curve(spark.read.parquet(f"{tmp_path}/scores"), "label", "score", "Yes")
+    curve.collect()
+    text = curve._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text

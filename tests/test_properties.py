@@ -22,9 +22,14 @@ def test_lookup_is_a_dictionary_lookup(spark, rows, table):
     df = spark.createDataFrame([(k,) for k in rows], "id int").repartition(3)
     features = spark.createDataFrame(list(small.items()), "id int, v int")
     want = Counter((k, small.get(k)) for k in rows)
-    for share, floor in ((None, 1), (0.3, 1), (0.001, 1)):
-        got = lookup_features(df, [FeatureLookup(features, "id")], hot_share=share, hot_rows=floor)
-        assert Counter(map(tuple, got.collect())) == want
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold, floor in (("-1", None), ("-1", 1), ("-1", 3), (old, 1)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = lookup_features(df, [FeatureLookup(features, "id")], hot_rows=floor)
+            assert Counter(map(tuple, got.collect())) == want
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 @few

@@ -25,19 +25,29 @@ def test_exact_split_has_exact_size(spark, rows, fraction):
     assert got.where("split = 'test'").count() == math.ceil(round(fraction * rows, 9))
 
 
-def test_exact_split_narrows_over_several_prefixes(spark, monkeypatch):
-    """With one-digit prefixes and a tiny ranked group the narrowing loop runs several times."""
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_exact_split_ends_with_the_wanted_hash(spark, monkeypatch, digits):
     df = spark.range(5000)
-    want = split.exact_split(df, "id")
-    monkeypatch.setattr(split, "PREFIX", 1)
-    monkeypatch.setattr(split, "RANKED_ROWS", 3)
+    monkeypatch.setattr(split, "PREFIX", digits)
     got = split.exact_split(df, "id")
-    assert got.exceptAll(want).isEmpty() and got.where("split = 'test'").count() == 1000
+    assert got.where("split = 'test'").count() == 1000
     ranked = sorted(r["h"] for r in df.select(key_hash("id").alias("h")).collect())
     last = got.where("split = 'test'").agg(F.max(key_hash("id"))).first()[0]
     assert last == ranked[999]
 
 
+def test_exact_split_reads_its_input_twice(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    split.exact_split(spark.range(500).mapInArrow(count, "id long"), "id")
+    assert reads.value == 1000
+
+
 def test_exact_split_keeps_a_hot_key_on_one_side(spark):
     df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"))
     got = split.exact_split(df, "id")
