@@ -227,27 +227,22 @@ def _notice_matches(index: Index, words: Words, place: np.ndarray, number: np.nd
             if n < need:
                 continue
             own = starts[low : low + n].tolist()
-            inside: dict[int, int] = {}
-            left, taken_to = 0, -1
-            for right, (start, anchor) in enumerate(own):
-                inside[anchor] = inside.get(anchor, 0) + 1
-                while own[left][0] < start - slack or own[left][0] <= taken_to:
-                    gone = own[left][1]
-                    inside[gone] -= 1
-                    if not inside[gone]:
-                        del inside[gone]
-                    left += 1
-                    if left > right:
-                        break
-                full = right + 1 == len(own) or own[right + 1][0] > own[left][0] + slack if left <= right else False
-                if not full or len(inside) < need:
+            at = 0
+            while at < n:
+                begin, after = own[at][0], at
+                anchors = set()
+                while after < n and own[after][0] <= begin + slack:
+                    anchors.add(own[after][1])
+                    after += 1
+                end = own[after - 1][0] + length + slack
+                inside = (np.searchsorted(phrases[k], begin - slack) < np.searchsorted(phrases[k], end) for k in keys)
+                if len(anchors) < need or not all(inside):
+                    at += 1
                     continue
-                first, after = own[left][0] - slack, start + length + slack
-                if all(len(p := phrases[k]) and (i := np.searchsorted(p, first)) < len(p) and p[i] < after for k in keys):
-                    score = sum(weights[a] for a in inside) / sum(weights)
-                    begins = max(own[left][0], int(words.offsets[text]))
-                    matches.append((text, label, begins, min(length, int(words.offsets[text + 1]) - begins), score))
-                    taken_to = start
+                first = max(begin, int(words.offsets[text]))
+                score = sum(weights[a] for a in anchors) / sum(weights)
+                matches.append((text, label, first, min(length, int(words.offsets[text + 1]) - first), score))
+                at = after
     return matches
 
 
