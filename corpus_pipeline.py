@@ -41,7 +41,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed, key = with_row_key(docs, scratch)
     found = components(keyed, "text", [key, "doc_id"], NEAR)
     place = F.struct(F.isnull("doc_id"), "doc_id", key)
-    first = found.groupBy("component").agg(F.min(place).alias("first"))
+    first = stored(found.groupBy("component").agg(F.min(place).alias("first")), "first")
     surplus = stored(found.join(first, "component").where(F.col("first")[key] != F.col(key)).select(key), "surplus")
     return keyed.join(surplus, key, "left_anti").select(docs.columns)
 

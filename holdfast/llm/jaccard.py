@@ -285,5 +285,6 @@ def components(df: DataFrame, text: str, keep: list[str], measure: Measure = Mea
 @query("op6_ngram_jaccard")
 def op6(spark, sf_dir):
     found = components(documents(spark, sf_dir), "text", ["doc_id"])
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join deals both sides itself and can split a component that holds many rows.
+    least = stored(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return found.join(least, "component").select("doc_id", F.col("n_ngrams").alias("n_shingles"), "component_id")
