@@ -7,7 +7,7 @@ of a block with itself counts overlaps, the counts of a pair add up over the blo
 of too unlike sizes, are discarded. The rest is compared on whole sets.
 
 Groups of near copies would make a square of their size in pairs. A first product therefore pairs each document in a
-row of the incidence only with the row's least; the links found there form components. The second, full product
+row of the incidence only with the one that has the fewest n-grams of its own; the links found there form components. The second, full product
 leaves out pairs inside a component, and n-grams too late in either set to be the first that a linked pair shares.
 Equal sets are one node from the start.
 """
@@ -248,10 +248,15 @@ def components(df: DataFrame, text: str, keep: list[str], measure: Measure = Mea
     nodes = docs.where("set_key is not null").groupBy("set_key").agg(F.min(least).alias("x")).select("set_key", "x.*")
     nodes = scratch.store(nodes, "nodes")
     bucket = Window.partitionBy("ngram")
-    center = F.min(F.struct("node", "n")).over(bucket)
-    shared = _incidence(nodes).withColumns({"center": center, "members": F.count(F.lit(1)).over(bucket)}).where("members > 1")
-    shared = scratch.store(shared.select("ngram", "node", "n", "place", F.col("center.node").alias("center"), F.col("center.n").alias("nc")), "incidence")
-    stars = shared.where((F.col("node") != F.col("center")) & measure.sizes_fit(F.col("n"), F.col("nc")))
+    shared = _incidence(nodes).withColumn("members", F.count(F.lit(1)).over(bucket)).where("members > 1").drop("members")
+    shared = scratch.store(shared, "incidence")
+    # Of near copies the one with the fewest n-grams of its own is the best center.
+    own = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("known"))
+    own = own.select("node", (F.col("n") - measure.rest(F.col("n")) - F.col("known")).alias("own"))
+    center = F.min(F.struct("own", "node", "n")).over(bucket)
+    stars = shared.join(own, "node").withColumn("center", center)
+    stars = stars.select("node", "n", F.col("center.node").alias("center"), F.col("center.n").alias("nc"))
+    stars = stars.where((F.col("node") != F.col("center")) & measure.sizes_fit(F.col("n"), F.col("nc")))
     stars = _bounded(stars.select(F.col("node").alias("a"), F.col("center").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb")), measure)
     best = stars.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     first = _verified(scratch.store(best, "stars"), nodes, df, text, measure, scratch)
