@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 #: Bytes of the words between white space, and of the words of letters and digits.
 SOLID = np.ones(256, dtype=bool)
