@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 from holdfast.plans.churn import churn_frame
+from holdfast.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 MODELS = {"gbt_predictions", "auto_trials", "score_batch"}
@@ -17,9 +17,9 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODELS))
 def test_no_cross_join_no_python_no_global_window(spark, name):
-    plan = physical(contract.queries()[name](spark, SF_DIR))
+    plan = physical(QUERIES[name](spark, SF_DIR))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "InPandas"):
         assert bad not in plan
     if name not in RANGE_TOTALS:
@@ -50,10 +50,10 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_orders_are_reduced_before_their_shuffle(spark):
-    plan = physical(contract.queries()["featurize"](spark, SF_DIR))
+    plan = physical(QUERIES["featurize"](spark, SF_DIR))
     shuffle, partial = plan.index("Exchange hashpartitioning(o_custkey"), plan.index("partial_max(o_orderdate")
     assert shuffle < partial
 
 
 def test_a_preview_keeps_a_few_rows_per_task(spark):
-    assert "TakeOrderedAndProject" in physical(contract.queries()["input_example"](spark, SF_DIR))
+    assert "TakeOrderedAndProject" in physical(QUERIES["input_example"](spark, SF_DIR))
