@@ -162,10 +162,10 @@ def quality_features(df: DataFrame, text: str = "text", rules: Sequence[Rule] =
 
 def filter_quality(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents that no rule rejects. A rejected one costs only the rules up to the one that rejects it."""
-    work = "__quality_words"
-    features = features_of(F.col(text), F.col(work))
     ordered = rule_order(df, text, rules)
-    return df.withColumn(work, words_of(F.col(text))).where(rejected_by(ordered, features).isNull()).drop(work)
+    # A filter over a column of words would be pushed below it, and split the text for every rule.
+    verdict = _let(words_of(F.col(text)), lambda words: rejected_by(ordered, features_of(F.col(text), words)))
+    return df.where(verdict.isNull())
 
 
 _SQL = r"""
