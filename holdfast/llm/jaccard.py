@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from holdfast.llm.graph import connected
 from holdfast.llm.registry import documents, query
 from holdfast.llm.scratch import Scratch, most_frequent, stored
-from holdfast.llm.words import SOLID, Texts, find_words, hash_windows, hash_words, slices
+from holdfast.llm.words import SOLID, Texts, find_words, hash_windows, hash_words, release, slices
 
 #: N-grams that are put last in the order, at most; which they are changes the work and never the result.
 COMMON = 1 << 16
@@ -159,6 +159,7 @@ def _incidence(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            release()
             for first in range(0, whole.num_rows, 2000):
                 batch = whole.slice(first, 2000)
                 parts = [np.frombuffer(p, dtype=np.uint64) for p in batch.column("prefix").to_pylist()]
@@ -228,6 +229,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, meas
             sides = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
             hit = [measure.links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in sides]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        release()
 
     return scratch.store(both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "verified")
 

@@ -6,6 +6,7 @@ The helpers run inside Arrow tasks. A batch is cut into slices of whole texts, s
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,6 +76,15 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(whole[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait for their next task with what they last held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """The batches in pieces of about ``limit`` bytes of text, or of one longer text."""
     for batch in batches:
@@ -86,6 +96,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             low, high = texts.offsets[first], texts.offsets[after]
             yield batch.slice(first, after - first), Texts(texts.data[low:high], texts.offsets[first : after + 1] - low)
             first = after
+        del batch, texts
+        release()
 
 
 def find_words(texts: Texts, inside: np.ndarray, cuts: np.ndarray | None = None) -> Words:
