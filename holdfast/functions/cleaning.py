@@ -26,9 +26,10 @@ def _column(value: ColumnOrName) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def to_boolean(column: ColumnOrName, true_value: Any = 1) -> Column:
-    """True where the flag equals ``true_value``; NULL stays NULL."""
-    return _column(column) == F.lit(true_value)
+def to_boolean(column: ColumnOrName, true_value: Any = 1, null_safe: bool = False) -> Column:
+    """True where the flag equals ``true_value``; NULL stays NULL, or with ``null_safe`` is compared as a value."""
+    flag = _column(column)
+    return flag.eqNullSafe(F.lit(true_value)) if null_safe else flag == F.lit(true_value)
 
 
 def map_category(column: ColumnOrName, mapping: Mapping[Any, Any], default: Any = None) -> Column:

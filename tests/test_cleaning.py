@@ -108,3 +108,9 @@ def test_compound_keys_have_hashes_of_their_own(spark):
     rows = [("a", "b|c"), ("a|b", "c"), ("a", None), (None, "a"), ("a", ""), ("", "a"), (None, None), ("|-", "a")]
     df = spark.createDataFrame(rows, "x string, y string")
     assert df.select(key_hash(["x", "y"]).alias("h")).distinct().count() == len(rows)
+
+
+def test_flags_may_be_compared_with_null_as_a_value(spark):
+    df = spark.createDataFrame([(1,), (0,), (None,)], "flag int")
+    plain, safe = to_boolean("flag"), to_boolean("flag", null_safe=True)
+    assert [tuple(r) for r in df.select(plain, safe).collect()] == [(True, True), (False, False), (None, False)]
