@@ -3,12 +3,16 @@
 A sentence's probability is logistic in its words; a document's is the noisy-or of its sentences', one minus the
 product of their complements. The weights are trained on document labels alone, and afterwards point at the
 offending sentences.
+
+Every sentence has some probability, so neutral ones would add up over a long document. Sentences at or below a neutral
+level count nothing: the least level at which those of labelled clean documents of any length stay under the threshold over
+``REACH`` sentences.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,12 @@ STEMS = (4, 5, 7)
 
 THRESHOLD = 0.3
 
+#: So many clean sentences stay below the threshold together. No sentence beyond the probability ``SUSPECT`` counts as neutral.
+REACH, SUSPECT = 5_000_000, 0.05
+
+#: Logits are counted in bins of so much, from ``-_DEEPEST`` on.
+_BIN, _DEEPEST = 0.05, 50.0
+
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?\n")] = True
 
@@ -64,11 +74,15 @@ def word_features(words: Words) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of feature hashes, in order of hash; features that are not listed weigh nothing."""
+    """Weights of feature hashes, in order of hash; features that are not listed weigh nothing.
+
+    Sentences with a logit up to ``neutral`` add nothing to their document.
+    """
 
     hashes: np.ndarray
     weights: np.ndarray
     bias: float
+    neutral: float = -np.inf
 
     def word_scores(self, words: Words) -> np.ndarray:
         scores = np.zeros(len(words), dtype=np.float64)
@@ -88,12 +102,12 @@ class Model:
         return self.bias + np.add.reduceat(self.word_scores(found.words), found.first[:-1])
 
 
-def noisy_or(logits: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The probability per document from its sentences' logits; without sentences it is 0."""
+def noisy_or(logits: np.ndarray, offsets: np.ndarray, neutral: float = -np.inf) -> np.ndarray:
+    """The probability per document from its sentences' logits above ``neutral``; without any it is 0."""
     mass = np.zeros(len(offsets) - 1)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        mass[some] = np.add.reduceat(np.logaddexp(0.0, logits), offsets[some])
+        mass[some] = np.add.reduceat(np.where(logits > neutral, np.logaddexp(0.0, logits), 0.0), offsets[some])
     return -np.expm1(-mass)
 
 
@@ -127,6 +141,31 @@ def fit(
     return Model(hashes[kept], w[kept], float(bias))
 
 
+def neutral_level(bins: np.ndarray, counts: np.ndarray) -> float:
+    """The neutral logit, from the numbers of clean sentences per bin of logits."""
+    order = np.argsort(bins)
+    top = (bins[order] + 1) * _BIN - _DEEPEST
+    above = np.cumsum((counts[order] * np.logaddexp(0.0, top))[::-1])[::-1]
+    # What the bins after each one add up to, a sentence.
+    left = np.append(above[1:], 0.0) / max(int(counts.sum()), 1)
+    suspect = np.log(SUSPECT / (1.0 - SUSPECT))
+    enough = np.flatnonzero(left * REACH < -np.log1p(-THRESHOLD))
+    return float(min(top[enough[0]], suspect)) if len(enough) else -np.inf
+
+
+def clean_logits(df: DataFrame, text: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the logits of all sentences, and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches, text):
+            logits = np.clip(model.sentence_logits(sentences(texts)), -_DEEPEST, _DEEPEST)
+            bins, n = np.unique(np.floor((logits + _DEEPEST) / _BIN).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n.astype(np.int64))], names=["bin", "n"])
+
+    found = df.select(text).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    return found.column("bin").to_numpy(), found.column("n").to_numpy()
+
+
 NO_MODEL = Model(np.zeros(0, np.uint32), np.zeros(0), -30.0)
 
 
@@ -144,7 +183,8 @@ def train(
     Labels other than 0 and 1 and null keys are left out, and a key with both is labelled 1. Of each label the rows
     with the least key hashes are taken, about as many as the bound, so the texts of no others are moved; the likelihood weighs the
     negatives up to their share among all labels. Features of fewer than ``LEAST`` of these rows, or about as frequent under
-    either label, are left out. Without a label of either kind every document scores near 0.
+    either label, are left out. Texts beyond ``most_bytes`` are left to the neutral level, which clean ones of any length
+    set. Without a label of either kind every document scores near 0.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & allowed).groupBy(F.col(key).alias("key"))
     known = known.agg(F.max(label).cast("int").alias("label")).withColumn("hash", F.xxhash64("key"))
@@ -153,10 +193,11 @@ def train(
         return NO_MODEL
     part = F.when(F.col("label") == 1, F.lit(positives / totals[1])).otherwise(F.lit(negatives / totals[0]))
     sample = known.where(F.pmod("hash", F.lit(1 << 30)) < part * (1 << 30))
-    texts = df.where(F.octet_length(text) <= most_bytes).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     scratch = Scratch(df.sparkSession)
     # Some thousand keys, by the two bounds.
-    stored = scratch.store(texts.join(F.broadcast(sample), "key").select("key", "label", "text"), "labelled")
+    every = scratch.store(texts.join(F.broadcast(sample), "key").select("key", "label", "text"), "labelled")
+    stored = every.where(F.octet_length("text") <= most_bytes)
     rows = {r["label"]: r["count"] for r in stored.groupBy("label").count().collect()}
     if not rows.get(0) or not rows.get(1):
         return NO_MODEL
@@ -208,12 +249,14 @@ def train(
     kept = "key string, label int, entry binary, sentence binary, sentences long"
     # In one order whatever the tasks.
     table = stored.mapInArrow(measure, kept).toArrow().sort_by([("label", "ascending"), ("key", "ascending"), ("sentences", "ascending")])
-    scratch.clear()
     tags = table.column("label").to_numpy().astype(np.float64)
     offsets = np.concatenate([[0], np.cumsum(table.column("sentences").to_numpy())])
     entry = np.frombuffer(b"".join(table.column("entry").to_pylist()), "<i4")
     own = [np.frombuffer(p, "<i4") + o for p, o in zip(table.column("sentence").to_pylist(), offsets[:-1], strict=True)]
-    return fit(hashes, entry, np.concatenate(own), offsets, tags, np.where(tags > 0, 1.0, weight))
+    model = fit(hashes, entry, np.concatenate(own), offsets, tags, np.where(tags > 0, 1.0, weight))
+    neutral = neutral_level(*clean_logits(every.where("label = 0"), "text", model))
+    scratch.clear()
+    return replace(model, neutral=neutral)
 
 
 def score(df: DataFrame, text: str, model: Model, out: str = "toxicity", threshold: float = THRESHOLD) -> DataFrame:
@@ -232,7 +275,7 @@ def score(df: DataFrame, text: str, model: Model, out: str = "toxicity", thresho
         for batch, texts in slices(batches, text):
             found = sentences(texts)
             logits = model.sentence_logits(found)
-            scores = noisy_or(logits, found.offsets)
+            scores = noisy_or(logits, found.offsets, model.neutral)
             own = 1.0 / (1.0 + np.exp(-logits))
             spans: list[list[dict]] = [[] for _ in range(len(texts))]
             for s in np.flatnonzero(own >= threshold).tolist():

@@ -54,6 +54,21 @@ def test_held_out_documents_and_their_sentences(spark):
             assert any(b in text[s.start : s.end] for s in r.toxicity.spans for b in BAD)
 
 
+def test_length_alone_is_not_toxic(spark):
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    tags = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(df, tags, "doc_id", "text", "toxic", ~toxicity.held_out("doc_id"))
+    rng = random.Random(9)
+    said = [" ".join(f"word{rng.randrange(300)}" for _ in range(rng.randrange(3, 12))) for _ in range(80_000)]
+    clean = ". ".join(said)
+    toxic = ". ".join([*said[:40_000], "word1 you loser word2", *said[40_000:]])
+    assert len(clean) > 3_000_000
+    rows = toxicity.score(spark.createDataFrame([(0, clean), (1, toxic)], "doc_id bigint, text string"), "text", model).collect()
+    scores = {r.doc_id: r.toxicity.score for r in rows}
+    assert scores[0] < toxicity.THRESHOLD <= scores[1]
+
+
 def test_odd_rows(spark, frame):
     docs, labels = corpus(300)
     df = frame([*ODD, *((100 + k, t) for k, t in docs)])
