@@ -180,8 +180,8 @@ def train(
 ) -> Model:
     """A model from labelled documents where ``allowed``.
 
-    Labels other than 0 and 1 and null keys are left out, and a key with both is labelled 1. Of each label the rows
-    with the least key hashes are taken, about as many as the bound, so the texts of no others are moved; the likelihood weighs the
+    Labels other than 0 and 1 and null keys are left out, and a key with both is labelled 1. Of each label the keys
+    of least hash are taken, about as many as the bound, and one row of each, whatever their order, so the texts of no others are moved; the likelihood weighs the
     negatives up to their share among all labels. Features of fewer than ``LEAST`` of these rows, or about as frequent under
     either label, are left out. Texts beyond ``most_bytes`` are left to the neutral level, which clean ones of any length
     set. Without a label of either kind every document scores near 0.
@@ -195,8 +195,10 @@ def train(
     sample = known.where(F.pmod("hash", F.lit(1 << 30)) < part * (1 << 30))
     texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     scratch = Scratch(df.sparkSession)
-    # Some thousand keys, by the two bounds.
-    every = scratch.store(texts.join(F.broadcast(sample), "key").select("key", "label", "text"), "labelled")
+    # Some thousand keys, by the two bounds; of a repeated key each task passes on one row.
+    least = F.struct(F.octet_length("text") > most_bytes, F.xxhash64("text"), "text")
+    chosen = texts.join(F.broadcast(sample), "key").groupBy("key", "label").agg(F.min(least).alias("x"))
+    every = scratch.store(chosen.select("key", "label", "x.text"), "labelled")
     stored = every.where(F.octet_length("text") <= most_bytes)
     rows = {r["label"]: r["count"] for r in stored.groupBy("label").count().collect()}
     if not rows.get(0) or not rows.get(1):

@@ -69,6 +69,22 @@ def test_length_alone_is_not_toxic(spark):
     assert scores[0] < toxicity.THRESHOLD <= scores[1]
 
 
+def test_a_repeated_key_is_one_training_row(spark, monkeypatch):
+    docs, labels = corpus(200)
+    hot = next(k for k, toxic in labels if not toxic)
+    again = [(hot, f"word{i} word{i + 1}. {t}") for i, (_, t) in enumerate(docs[:90])]
+    df = spark.createDataFrame([*docs, *again, (hot, "long " * 50_000)], "doc_id bigint, text string").repartition(5)
+    seen = {}
+
+    def fit(hashes, entry, sentence, offsets, tags, weights):
+        seen.update(tags=tags, weights=weights)
+        return toxicity.NO_MODEL
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    toxicity.train(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"), "doc_id", "text", "toxic", F.lit(True))
+    assert len(seen["tags"]) == 200 and np.allclose(seen["weights"], 1.0)
+
+
 def test_odd_rows(spark, frame):
     docs, labels = corpus(300)
     df = frame([*ODD, *((100 + k, t) for k, t in docs)])
