@@ -1,17 +1,19 @@
 """A log-bilinear language model trained by noise-contrastive estimation.
 
 Every word belongs to a class: the most frequent words and the end of a text are classes of their own, the others fall
-into classes by their last letters. The model predicts the class from the two classes before it; within its class a
-word has its smoothed share of the class's counts:
+into classes by their last letters. The model predicts the class from the two classes before it, and the word within its
+class from the two words before it:
 
-    log P(word | context) = log P(class | context) + log m(word) - log m(class)
+    log P(word | context) = log P(class | context) + log P(word | class, context)
 
-with m the additively smoothed unigram. P(class | context) is log-bilinear, a softmax over the product of a predicted
-vector and the class vectors, so probabilities sum to one over the vocabulary and one unseen word per class.
+P(class | context) is log-bilinear, a softmax over the product of a predicted vector and the class vectors. So is
+P(word | class, context) for every word above a count floor, see ``lm_words``; the words of a class below the floor
+share what is left to them by the additively smoothed unigram. Probabilities sum to one over the vocabulary and one unseen
+word per class.
 
 Word counts and class trigrams cover all training texts and are aggregated by Spark. Training starts from the
 unigram. In each round every block of contexts takes gradient steps on the expected NCE objective over its trigram
-counts in numpy, and the parameters, whose size is fixed, are averaged.
+counts in numpy, and the parameters, whose size is fixed, are averaged. The vectors of words learn from the texts themselves.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.llm import lm_words
 from holdfast.llm.registry import documents, query
 from holdfast.llm.scratch import Scratch, most_frequent, stored
 from holdfast.llm.words import SOLID, Words, distinct, find_words, hash_words, slices
@@ -77,7 +81,10 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Totals of the training tokens, the frequent words by hash, and the smoothed mass of every class."""
+    """Totals of the training tokens, the frequent words by hash, and the smoothed mass of every class.
+
+    ``vector`` is a frequent word's number in ``tree``, the words above the floor, or -1.
+    """
 
     tokens: int
     distinct: int
@@ -86,6 +93,8 @@ class Vocabulary:
     own: np.ndarray
     end_count: int
     mass: np.ndarray
+    vector: np.ndarray
+    tree: lm_words.Tree
 
     def log_share(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + SMOOTHING) / (self.tokens + SMOOTHING * (self.distinct + 1)))
@@ -117,8 +126,13 @@ def vocabulary(counts: DataFrame) -> Vocabulary | None:
     mass = np.maximum(mass, SMOOTHING * 1e-3) / (total["n"] + SMOOTHING * (total["v"] + 1))
     own = np.full(len(c), -1)
     own[:OWN] = np.arange(min(OWN, len(c)))
+    above = np.flatnonzero((c >= lm_words.floor_of(total["n"])) & (own < 0))
+    vector = np.full(len(c), -1)
+    vector[above] = np.arange(len(above))
+    share = (c[above] + SMOOTHING) / (total["n"] + SMOOTHING * (total["v"] + 1))
+    tree = lm_words.build_tree(CLASSES, END + 1 + tails[above], share, mass)
     order = np.argsort(hashes.view(np.uint64))
-    return Vocabulary(total["n"], total["v"], hashes.view(np.uint64)[order], c[order], own[order], total["e"], mass)
+    return Vocabulary(total["n"], total["v"], hashes.view(np.uint64)[order], c[order], own[order], total["e"], mass, vector[order], tree)
 
 
 @dataclass(frozen=True)
@@ -148,6 +162,35 @@ def tokens(words: Words, numbers: np.ndarray, vocabulary: Vocabulary) -> Tokens:
     return Tokens(sequence, two * SYMBOLS + one, offsets)
 
 
+def word_events(words: Words, numbers: np.ndarray, found: Tokens, vocabulary: Vocabulary) -> lm_words.Events:
+    """What the tokens say about words within their classes."""
+    word = np.full(len(found.classes), -1)
+    of_text = np.repeat(np.arange(len(words.offsets) - 1), words.counts())
+    if len(vocabulary.vector):
+        word[np.arange(len(words)) + of_text] = np.where(numbers >= 0, vocabulary.vector[numbers], -1)
+    return lm_words.events(vocabulary.tree, word, found.classes, found.offsets, BEFORE)
+
+
+def train_words(df: DataFrame, text: str, known: Vocabulary) -> lm_words.Vectors:
+    """The vectors of words, trained on all texts."""
+    vectors = lm_words.Vectors.start(known.tree, CLASSES)
+    for number in range(lm_words.PASSES if len(known.tree) else 0):
+        shared = df.sparkSession.sparkContext.broadcast((known, vectors))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            known, vectors = shared.value
+            learner = lm_words.Learner(known.tree, vectors, 1000 * TaskContext.get().partitionId() + number)
+            for _, texts in slices(batches, text):
+                words = find_words(texts.lower(), SOLID)
+                numbers = known.look_up(hash_words(words))
+                learner.learn(word_events(words, numbers, tokens(words, numbers, known), known))
+            yield from learner.changes()
+
+        vectors = lm_words.averaged(vectors, df.select(text).mapInArrow(run, lm_words.CHANGES))
+        shared.unpersist()
+    return vectors
+
+
 def trigrams(df: DataFrame, text: str, known: Vocabulary) -> DataFrame:
     """``context``, ``target`` and their count ``n`` over all texts."""
 
@@ -266,18 +309,18 @@ def train(counted: DataFrame, mass: np.ndarray, rounds: int = ROUNDS, blocks: in
     return now
 
 
-def score(df: DataFrame, key: str, text: str, known: Vocabulary, counts: DataFrame, model: Parameters) -> DataFrame:
+def score(df: DataFrame, key: str, text: str, known: Vocabulary, counts: DataFrame, model: Parameters, vectors: lm_words.Vectors) -> DataFrame:
     """Per row of the frame its key, ``n_tokens``, ``n_known``, ``base_score`` and ``score``, log10 probabilities of the whole text.
 
     Null and empty texts are the end alone. The counts of words beyond the frequent ones are joined; equal words of
     a row are one row of that join.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((known, model))
+    shared = spark.sparkContext.broadcast((known, model, vectors))
     frame = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
+        known, model, vectors = shared.value
         table = model.log_probabilities()
         gain = np.log10(known.mass)
         share, end = known.log_share(known.counts), float(known.log_share(np.array([known.end_count]))[0])
@@ -287,6 +330,7 @@ def score(df: DataFrame, key: str, text: str, known: Vocabulary, counts: DataFra
             numbers = known.look_up(hashes)
             found = tokens(words, numbers, known)
             delta = table[found.contexts, found.classes] - gain[found.classes]
+            delta = delta + lm_words.log_gains(known.tree, vectors, word_events(words, numbers, found, known), len(delta))
             of_word = np.repeat(np.arange(len(texts)), words.counts())
             frequent = numbers >= 0
             delta = np.add.reduceat(delta.astype(np.float64), found.offsets[:-1])
@@ -354,7 +398,8 @@ def language_model_scores(df: DataFrame, key: str, text: str, training: Column)
             "train_tokens", F.lit(0).cast("long")
         )
     model = train(trigrams(df.where(training), text, known), known.mass)
-    return score(df, key, text, known, counts, model).withColumn("train_tokens", F.lit(known.tokens).cast("long"))
+    vectors = train_words(df.where(training), text, known)
+    return score(df, key, text, known, counts, model, vectors).withColumn("train_tokens", F.lit(known.tokens).cast("long"))
 
 
 @query("op4_lm_scoring")

@@ -95,6 +95,45 @@ def test_context_helps_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > 0.75 * sum(r.base_score for r in rows)
 
 
+def test_words_of_one_ending_are_told_apart(spark):
+    rng = random.Random(5)
+    pairs = [(f"left{i}", f"a{i}ing") for i in range(300)]
+
+    def text():
+        return " ".join(f"{a} {b}" for a, b in (rng.choice(pairs) for _ in range(100)))
+
+    docs = [(i, text()) for i in range(400)]
+    swapped = [(1000 + i, " ".join(w for k in range(0, 200, 2) for w in (t.split()[k], t.split()[(k + 41) % 200]))) for i, t in docs[:40]]
+    df = spark.createDataFrame([*docs, *swapped], "doc_id bigint, text string").repartition(3)
+    rows = lm.language_model_scores(df, "doc_id", "text", lm.F.col("doc_id") < 1000).collect()
+    scores = {r.doc_id: (r.score, r.base_score) for r in rows}
+    right, wrong = (sum(scores[k + i][0] - scores[k + i][1] for i in range(40)) for k in (0, 1000))
+    assert right > wrong + 40 * 20
+
+
+def test_words_within_a_class_are_normalised():
+    rng = np.random.default_rng(3)
+    of_word, share = rng.integers(0, 4, 60), rng.random(60)
+    mass = np.array([share[of_word == c].sum() + 0.5 for c in range(5)])
+    tree = lm.lm_words.build_tree(5, of_word, share, mass)
+    vectors = lm.lm_words.Vectors.start(tree, 5)
+    vectors.nodes()[:] = rng.normal(0, 1, vectors.nodes().shape)
+    for c in range(4):
+        own = np.flatnonzero(of_word == c)
+        # Each word of the class, and another one, after the same two words.
+        word = np.stack([np.full(len(own) + 1, 7), np.full(len(own) + 1, 9), np.append(own, -1)], axis=1).ravel()
+        classes = np.where(word >= 0, of_word[word], c)
+        found = lm.lm_words.events(tree, word, classes, np.arange(0, len(word) + 1, 3), 5)
+        gains = lm.lm_words.log_gains(tree, vectors, found, len(word))[2::3]
+        unigram = np.append(share[own], mass[c] - share[own].sum()) / mass[c]
+        assert abs((unigram * 10.0**gains).sum() - 1.0) < 1e-5 and np.abs(gains).max() > 0.01
+
+
+def test_vectors_grow_with_the_corpus():
+    assert lm.lm_words.floor_of(10) == lm.lm_words.LEAST
+    assert [lm.lm_words.floor_of(n) / n for n in (10**6, 10**8, 10**10)] == sorted((1e-4, 464 / 10**8, 2154 / 10**10), reverse=True)
+
+
 def test_no_training_rows(spark, frame):
     rows = lm.language_model_scores(frame([(1, "a b"), (2, None)]), "doc_id", "text", lm.F.lit(False)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score, r.train_tokens) for r in rows) == [(1, 3, 0, 0.0, 0.0, 0), (2, 1, 0, 0.0, 0.0, 0)]
