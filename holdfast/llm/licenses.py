@@ -235,7 +235,9 @@ def _notice_matches(index: Index, words: Words, place: np.ndarray, number: np.nd
                     anchors.add(own[after][1])
                     after += 1
                 end = own[after - 1][0] + length + slack
-                inside = (np.searchsorted(phrases[k], begin - slack) < np.searchsorted(phrases[k], end) for k in keys)
+                # A key phrase counts only where it stands in the same text.
+                least, most = max(begin - slack, int(words.offsets[text])), min(end, int(words.offsets[text + 1]))
+                inside = (np.searchsorted(phrases[k], least) < np.searchsorted(phrases[k], most) for k in keys)
                 if len(anchors) < need or not all(inside):
                     at += 1
                     continue

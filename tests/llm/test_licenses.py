@@ -60,6 +60,18 @@ def test_key_phrases_are_mandatory(frame):
         assert not [m for m in rows[0].licenses.matches if m.rule == "notice"]
 
 
+def test_key_phrases_of_the_next_document_do_not_count(spark):
+    isc = licenses.NOTICES[1]
+    cut = isc.text[: isc.text.index("with or without fee")]
+    after = isc.text[isc.text.index("provided that") :]
+    rest = f"with or without fee is hereby granted, {after}"
+    # Enough indexed words stand in the first text, the key phrase at the start of the second.
+    first = f"{cut} provided that above copyright notice appear copies"
+    df = spark.createDataFrame([(1, first), (2, rest)], "doc_id bigint, text string").coalesce(1)
+    rows = {r.doc_id: [m.label for m in r.licenses.matches if m.rule == "notice"] for r in licenses.scan(df, "text", notices=(isc,)).collect()}
+    assert rows[1] == []
+
+
 def test_two_copies_are_two_matches(frame):
     text = licenses.NOTICES[0].text
     rows = licenses.scan(frame([(1, f"{text} between {text}")]), "text").collect()
