@@ -174,8 +174,8 @@ def build_index(total: int, frequency: dict[int, int], phrases: dict[str, str],
     kept = []
     for i, notice in enumerate(notices):
         words = [int(w) for w in _hashes(notice.text)]
-        # Only words that stand once in the notice tell where it starts.
-        single = sorted((w for w in set(words) if words.count(w) == 1), key=lambda w: (-idf(w), words.index(w)))[:anchors]
+        # Only words that stand once in the notice tell where it starts, and those that stand in no document find no copy.
+        single = sorted((w for w in set(words) if words.count(w) == 1), key=lambda w: (not frequency.get(w, 0), -idf(w), words.index(w)))[:anchors]
         for k, w in enumerate(single):
             notice_at.setdefault(w, []).append((i, k, words.index(w)))
         kept.append((notice.label, len(words), tuple(number[key] for key in notice.keys), tuple(max(idf(w), 1e-6) for w in single)))

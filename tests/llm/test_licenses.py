@@ -72,6 +72,16 @@ def test_key_phrases_of_the_next_document_do_not_count(spark):
     assert rows[1] == []
 
 
+def test_anchors_stand_in_the_corpus():
+    bsd = next(n for n in licenses.NOTICES if n.label == "bsd")
+    words = [int(w) for w in licenses._hashes(bsd.text)]
+    gone = {int(licenses._hashes(w)[0]) for w in ("without", "modification", "permitted", "provided", "must", "retain")}
+    assert gone < set(words)
+    index = licenses.build_index(2, {w: int(w not in gone) for w in words}, {}, (bsd,))
+    anchors = {int(w) for w, postings in zip(index.words, index.notice_postings, strict=True) if postings}
+    assert len(anchors) == licenses.ANCHORS and not anchors & gone
+
+
 def test_two_copies_are_two_matches(frame):
     text = licenses.NOTICES[0].text
     rows = licenses.scan(frame([(1, f"{text} between {text}")]), "text").collect()
