@@ -15,13 +15,17 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def store(self, df: DataFrame, purpose: str) -> DataFrame:
-        """Write a frame and read it back."""
+    def store(self, df: DataFrame, purpose: str, *by: str) -> DataFrame:
+        """Write a frame, in folders by the columns ``by``, and read it back."""
         path = shared_path(self.spark, purpose)
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, path: str) -> None:
+        """Delete a stored folder, or a part of one, before the rest."""
+        discard(self.spark, path)
+
     def clear(self) -> None:
         for path in self.paths:
             discard(self.spark, path)

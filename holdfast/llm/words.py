@@ -139,6 +139,11 @@ def hash_words(words: Words) -> np.ndarray:
     return hashes
 
 
+def seeded(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Hashes that depend on a seed each as well; the seeds may themselves be hashes of words."""
+    return _mix(_mix(seeds) ^ hashes)
+
+
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of an example per distinct hash, and for each word the number of its distinct hash."""
     _, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
