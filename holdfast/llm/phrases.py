@@ -23,19 +23,23 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.registry import query
 from holdfast.llm.scratch import Scratch, stored
-from holdfast.llm.words import Texts, Words, find_words, hash_windows, hash_words, seeded, slices
+from holdfast.llm.words import Texts, Words, find_words, hash_words, seeded, slices
 
 #: Words of the longest phrase, and occurrences that a phrase needs.
 LONGEST, THRESHOLD = 4, 30
 
-#: Shards of a cycle. All phrases are done after at most LONGEST cycles.
-SHARDS = 3
+#: Shards of a cycle. All phrases are done after at most LONGEST cycles. More shards begin longer phrases earlier and carry
+#: the counts of unfinished ones through more rounds.
+SHARDS = 2
 
 #: A slot table has a slot per so many bytes of text, a power of two between these bounds. Text of six bytes a word has fewer
 #: phrases of up to three words that reach the threshold than slots. Beyond the greatest table more phrases share slots,
 #: which costs counting phrases that turn out to be rare and changes no result.
 BYTES_PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 20, 1 << 26
 
+#: Bytes of text that a task counts at a time.
+SLICE = 3 << 20
+
 #: Slots whose bits make one row of the bitmap that the driver collects.
 CHUNK = 1 << 15
 
@@ -53,18 +57,59 @@ ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 INSIDE = ~ENDS
 INSIDE[[0x20, 0x09]] = False
 
-_COUNTS = "lang string, phrase string, size int, start int, code long, n long"
-
+#: A phrase is counted under 120 bits of hash of its language and words; the last byte of ``mark`` has its first round and size.
+_COUNTS = "code long, mark long, n long"
+_SPELLED = "code long, mark long, lang string, phrase string"
+_SIZES = 3
 
 def slots_for(text_bytes: int) -> int:
     wanted = max(text_bytes // BYTES_PER_SLOT, 1)
     return min(max(1 << (wanted - 1).bit_length(), LEAST_SLOTS), MOST_SLOTS)
 
 
-def _spelled(words: pa.Array, at: np.ndarray, size: int) -> pa.Array:
-    """The windows that begin at ``at``, their words joined by a space."""
-    parts = [words.take(pa.array(at + k)) for k in range(size)]
-    return parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+class _Windows:
+    """The windows of 1, 2, ... words of some texts: their hashes, and whether they lie inside one piece."""
+
+    def __init__(self, texts: Texts, langs: list[str | None]) -> None:
+        self.words = words = find_words(texts.lower(), INSIDE)
+        self.of_text = np.repeat(np.arange(len(texts)), words.counts())
+        self.names, self.lang = np.unique(np.array(langs, dtype=object), return_inverse=True)
+        self.seeds = hash_words(_as_words(self.names))[self.lang]
+        # Two neighbours are in one piece where no end of a piece stands between them.
+        before = np.cumsum(ENDS[words.data], dtype=np.int32)[words.start]
+        self.joined = np.concatenate([[False], (before[1:] == before[:-1]) & (self.of_text[1:] == self.of_text[:-1])])
+        self.hashes = hash_words(words)
+        self.others = hash_words(words, seed=1)
+
+    def sizes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per size the hash of the window at each place, and whether it is one."""
+        codes, whole = seeded(self.hashes, self.seeds[self.of_text]), np.ones(len(self.words), bool)
+        for size in range(1, min(longest, len(self.words)) + 1):
+            if size > 1:
+                codes, whole = seeded(self.hashes[size - 1 :], codes[:-1]), whole[:-1] & self.joined[size - 1 :]
+            yield size, codes, whole
+
+    def marks(self, at: np.ndarray, size: int, start: np.ndarray) -> np.ndarray:
+        """An independent hash of the windows at some places, its last byte the first round and the size."""
+        codes = seeded(self.others[at], self.seeds[self.of_text[at]])
+        for k in range(1, size):
+            codes = seeded(self.others[at + k], codes)
+        return (codes & ~np.uint64(255)) | (start.astype(np.uint64) << np.uint64(_SIZES)) | np.uint64(size)
+
+    def spelled(self, at: np.ndarray, size: int, words: pa.Array) -> pa.Array:
+        """The windows at some places, their words joined by a space."""
+        parts = [words.take(pa.array(at + k)) for k in range(size)]
+        joined = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+        return joined.cast(pa.string())
+
+    def languages(self, at: np.ndarray) -> pa.Array:
+        return pa.array(self.names[self.lang[self.of_text[at]]], pa.string())
+
+
+def _as_words(names: np.ndarray) -> Words:
+    data = [name.encode() for name in names]
+    ends = np.cumsum([len(d) for d in data])
+    return Words(np.frombuffer(b"".join(data) or b"\0", np.uint8), np.concatenate([[0], ends[:-1]]), ends, np.array([0, len(data)]))
 
 
 def _word_array(words: Words) -> pa.Array:
@@ -74,115 +119,123 @@ def _word_array(words: Words) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
 
 
-def count_slice(texts: Texts, langs: list[str], reached: np.ndarray, turn: int, shards: int, longest: int) -> list[pa.RecordBatch]:
-    """The counts of the phrases that are active in round ``turn`` (from 1), per language, over some texts.
-
-    ``reached`` holds per slot the round in which a phrase of it reached the threshold, 0 if none has.
-    """
-    texts = texts.lower()
-    words = find_words(texts, INSIDE)
-    if not len(words):
-        return []
-    names, lang = np.unique(np.array(langs, dtype=object), return_inverse=True)
-    seeds = hash_words(_as_words(names))
-    of_text = np.repeat(np.arange(len(texts)), words.counts())
-    # Two neighbours are in one piece where no end of a piece stands before the second that does not before the first.
-    before = np.cumsum(ENDS[texts.data], dtype=np.int64)
-    ended = before[words.start]
-    joined = np.concatenate([[False], (ended[1:] == ended[:-1]) & (of_text[1:] == of_text[:-1])])
-    hashes = seeded(hash_words(words), seeds[lang][of_text])
-    spelled = _word_array(words)
-    mask = np.uint64(len(reached) - 1)
-    out, shorter, whole = [], None, np.ones(len(words), bool)
-    for size in range(1, longest + 1):
-        if size > len(words):
-            break
-        codes = hash_windows(hashes, size)
+def _starts(windows: _Windows, reached: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per size the hash of the window at each place and the round in which its phrase becomes active, 0 for never."""
+    mask, shorter = np.uint64(len(reached) - 1), None
+    for size, codes, whole in windows.sizes(longest):
         if size == 1:
-            start = np.ones(len(words), np.int32)
+            start = np.ones(len(codes), np.uint8)
         else:
-            whole = whole[:-1] & joined[size - 1 :]
-            both = np.minimum(shorter[:-1], shorter[1:]) > 0
-            start = np.where(whole & both, np.maximum(shorter[:-1], shorter[1:]).astype(np.int32) + 1, 0)
+            start = np.where(whole & (np.minimum(shorter[:-1], shorter[1:]) > 0), np.maximum(shorter[:-1], shorter[1:]) + np.uint8(1), np.uint8(0))
         shorter = reached[codes & mask]
-        here = np.flatnonzero((start > 0) & (start <= turn) & (turn < start + shards))
-        if not len(here):
-            continue
-        distinct, example, count = np.unique(codes[here], return_index=True, return_counts=True)
+        yield size, codes, start
+
+
+def count_slice(texts: Texts, langs: list[str], reached: np.ndarray, turn: int, shards: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """The counts of the phrases that are active in round ``turn`` (from 1) over some texts.
+
+    ``reached`` holds per slot the round in which a phrase of it reached the threshold, 0 if none has.
+    """
+    windows = _Windows(texts, langs)
+    for size, codes, start in _starts(windows, reached, longest):
+        here = np.flatnonzero((start > 0) & (start <= turn) & (turn < start.astype(np.int16) + shards))
+        if len(here):
+            distinct, example, count = np.unique(codes[here], return_index=True, return_counts=True)
+            at = here[example]
+            marks = windows.marks(at, size, start[at])
+            yield pa.record_batch({"code": distinct.view(np.int64), "mark": marks.view(np.int64), "n": count.astype(np.int64)})
+
+
+def spell_slice(texts: Texts, langs: list[str], reached: np.ndarray, frequent: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
+    """The spelling of the phrases whose slot is marked in ``frequent``, and per language the words as a phrase of none."""
+    windows = _Windows(texts, langs)
+    spelled = _word_array(windows.words)
+    for size, codes, start in _starts(windows, reached, longest):
+        here = np.flatnonzero((start > 0) & (frequent[codes & np.uint64(len(frequent) - 1)] > 0))
+        _, example = np.unique(codes[here], return_index=True)
         at = here[example]
-        out.append(
-            pa.record_batch(
-                {
-                    "lang": pa.array(names[lang[of_text[at]]], pa.string()),
-                    "phrase": _spelled(spelled, at, size).cast(pa.string()),
-                    "size": pa.array(np.full(len(at), size, np.int32)),
-                    "start": pa.array(start[at].astype(np.int32)),
-                    "code": pa.array(distinct.view(np.int64)),
-                    "n": pa.array(count.astype(np.int64)),
-                }
-            )
-        )
-    return out
+        marks = windows.marks(at, size, start[at]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([codes[at].view(np.int64), marks, windows.languages(at), windows.spelled(at, size, spelled)], ["code", "mark", "lang", "phrase"])
 
 
-def _as_words(names: np.ndarray) -> Words:
-    data = [name.encode() for name in names]
-    ends = np.cumsum([len(d) for d in data])
-    return Words(np.frombuffer(b"".join(data) or b"\0", np.uint8), np.concatenate([[0], ends[:-1]]), ends, np.array([0, len(data)]))
+def words_of_slice(texts: Texts, langs: list[str]) -> pa.RecordBatch:
+    """The number of words per language."""
+    names, lang = np.unique(np.array(langs, dtype=object), return_inverse=True)
+    counts = np.zeros(len(names), np.int64)
+    np.add.at(counts, lang, find_words(texts, INSIDE).counts())
+    return pa.record_batch({"lang": pa.array(names, pa.string()), "n": counts})
 
 
 def frequent_phrases(df: DataFrame, lang: Column, text: Column, scratch: Scratch, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words with at least ``threshold`` occurrences in a language, and each one's words.
 
     Gives ``lang``, ``phrase``, ``size``, ``n``, and ``lang``, ``total``. ``lang`` must not be null; null texts are empty. The corpus is
-    written once in shards; between rounds only the counts of active phrases stay, spelled out, and the slots.
+    written once in shards; between rounds only the counts of active phrases stay, and the slots. A last scan
+    spells the frequent ones.
     """
+    if shards * longest >= 1 << (8 - _SIZES) or longest >= 1 << _SIZES:
+        raise ValueError("too many rounds or words")
     spark = df.sparkSession
     whole = F.coalesce(text, F.lit(""))
     dealt = df.select(lang.alias("lang"), whole.alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
     corpus = scratch.store(dealt.where(F.col("text") != ""), "shards", "shard")
     size = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     reached = np.zeros(slots_for(size), np.uint8)
-    active = spark.createDataFrame([], _COUNTS + ", was long")
-    finished, last, turn = [], 0, 0
+    active, finished, last, turn = spark.createDataFrame([], _COUNTS), [], 0, 0
+    first = F.shiftright(F.col("mark").bitwiseAND(F.lit(255)), _SIZES)
+    shorter = F.col("mark").bitwiseAND(F.lit((1 << _SIZES) - 1)) < longest
     # Phrases that the reached ones of round ``last`` made active are done ``shards`` rounds later.
     while turn < last + shards:
         turn += 1
         told = spark.sparkContext.broadcast(reached)
 
         def count(batches: Iterator[pa.RecordBatch], told=told, turn=turn) -> Iterator[pa.RecordBatch]:
-            for batch, texts in slices(batches, "text"):
+            for batch, texts in slices(batches, "text", SLICE):
                 yield from count_slice(texts, batch.column("lang").to_pylist(), told.value, turn, shards, longest)
 
         scanned = corpus.where(F.col("shard") == (turn - 1) % shards).select("lang", "text").mapInArrow(count, _COUNTS)
-        both = active.unionByName(scanned.withColumn("was", F.lit(0).cast("long")))
-        merged = both.groupBy("lang", "phrase").agg(*(F.min(c).alias(c) for c in ("size", "start", "code")), F.sum("n").alias("n"), F.sum("was").alias("was"))
-        merged = merged.withColumn("done", F.col("start") + (shards - 1) <= turn)
-        state = scratch.store(merged.where(~F.col("done") | (F.col("n") >= threshold) | (F.col("size") == 1)), "round", "done")
+        merged = active.unionByName(scanned).groupBy("code", "mark").agg(F.sum("n").alias("n")).withColumn("done", first + (shards - 1) <= turn)
+        state = scratch.store(merged.where(~F.col("done") | (F.col("n") >= threshold)), "round", "done", reclaim=True)
         told.destroy()
         if turn > 1:
             scratch.drop(f"{scratch.paths[-2]}/done=false")
-        if _mark(reached, state.where((F.col("size") < longest) & (F.col("n") >= threshold) & (F.col("was") < threshold)), turn):
+        if _enter(reached, state.where(shorter & (F.col("n") >= threshold)), turn):
             last = turn
-        finished.append(state.where("done"))
-        active = state.where("NOT done").select("lang", "phrase", "size", "start", "code", "n", F.col("n").alias("was"))
+        finished.append(state.where("done").select("code", "mark", "n"))
+        active = state.where("NOT done").select("code", "mark", "n")
     every = functools.reduce(DataFrame.unionByName, finished)
-    totals = every.where("size = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    return every.where(F.col("n") >= threshold).select("lang", "phrase", "size", "n"), totals
+    frequent = np.zeros_like(reached)
+    _enter(frequent, every, 1)
+    both = spark.sparkContext.broadcast((reached, frequent))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text", SLICE):
+            yield from spell_slice(texts, batch.column("lang").to_pylist(), *both.value, longest)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text", SLICE):
+            yield words_of_slice(texts, batch.column("lang").to_pylist())
+
+    spelled = corpus.select("lang", "text").mapInArrow(spell, _SPELLED).groupBy("code", "mark").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    size = F.col("mark").bitwiseAND(F.lit((1 << _SIZES) - 1)).cast("int").alias("size")
+    named = scratch.store(every.join(spelled, ["code", "mark"]).select("lang", "phrase", size, "n"), "phrases", reclaim=True)
+    both.destroy()
+    totals = scratch.store(corpus.select("lang", "text").mapInArrow(tally, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+    return named, totals
 
 
-def _mark(reached: np.ndarray, phrases: DataFrame, turn: int) -> bool:
+def _enter(slots: np.ndarray, phrases: DataFrame, turn: int) -> bool:
     """Enter the round in the free slots of the phrases; whether any slot changed.
 
     The executors make one bitmap per chunk of slots, so the driver gets an eighth of the table at most.
     """
-    slots = phrases.select(F.col("code").bitwiseAND(F.lit(len(reached) - 1)).alias("slot"))
-    bits = slots.groupBy(F.call_function("div", "slot", F.lit(CHUNK)).alias("chunk")).agg(F.bitmap_construct_agg(F.col("slot") % CHUNK).alias("bits"))
+    slot = phrases.select(F.col("code").bitwiseAND(F.lit(len(slots) - 1)).alias("slot"))
+    bits = slot.groupBy(F.call_function("div", "slot", F.lit(CHUNK)).alias("chunk")).agg(F.bitmap_construct_agg(F.col("slot") % CHUNK).alias("bits"))
     changed = False
     for row in bits.toLocalIterator():
         chunk = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
-        at = reached[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK]
-        free = chunk & (at == 0)
+        at = slots[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK]
+        free = chunk[: len(at)] & (at == 0)
         at[free] = turn
         changed = changed or bool(free.any())
     return changed
@@ -227,7 +280,6 @@ def mine_phrases(df: DataFrame, lang: str = "lang", text: str = "text", most: in
     """
     scratch = Scratch(df.sparkSession)
     frequent, totals = frequent_phrases(df, F.coalesce(F.col(lang), F.lit("und")), F.col(text), scratch, threshold, longest, shards)
-    frequent, totals = scratch.store(frequent, "phrases"), scratch.store(totals, "totals")
     best = stored(top_phrases(collocations(frequent, totals), most), "collocations")
     scratch.clear()
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -9,17 +9,29 @@ from pyspark.sql.utils import AnalysisException
 from holdfast.session import discard, shared_path
 
 
+#: Spark's setting for shuffle files that go with their query.
+RECLAIM = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one computation. A lost executor costs a read of them, never what came before."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def store(self, df: DataFrame, purpose: str, *by: str) -> DataFrame:
-        """Write a frame, in folders by the columns ``by``, and read it back."""
+    def store(self, df: DataFrame, purpose: str, *by: str, reclaim: bool = False) -> DataFrame:
+        """Write a frame, in folders by the columns ``by``, and read it back.
+
+        With ``reclaim`` Spark deletes the shuffle files of the job when it is done, not when the driver next collects garbage.
+        """
         path = shared_path(self.spark, purpose)
         self.paths.append(path)
-        df.write.partitionBy(*by).parquet(path)
+        before = self.spark.conf.get(RECLAIM)
+        self.spark.conf.set(RECLAIM, str(reclaim or before == "true").lower())
+        try:
+            df.write.partitionBy(*by).parquet(path)
+        finally:
+            self.spark.conf.set(RECLAIM, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, path: str) -> None:

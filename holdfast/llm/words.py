@@ -125,12 +125,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hash_words(words: Words) -> np.ndarray:
-    """A 64-bit hash per word, the same in every task."""
+def hash_words(words: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash per word, the same in every task; hashes by another seed are independent ones."""
     padded = np.concatenate([words.data, np.zeros(8, np.uint8)])
     eights = np.ndarray((len(words.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     left = words.end - words.start
-    hashes = _mix(left.astype(np.uint64))
+    hashes = _mix(left.astype(np.uint64) ^ np.uint64(seed))
     todo, at = np.arange(len(left)), words.start
     while len(todo):
         hashes[todo] = _mix(hashes[todo] ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
