@@ -37,8 +37,8 @@ SHARDS = 2
 #: which costs counting phrases that turn out to be rare and changes no result.
 BYTES_PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 20, 1 << 26
 
-#: Bytes of text that a task counts at a time.
-SLICE = 3 << 20
+#: Bytes of text that a task counts at a time, and phrases that it remembers to have spelled.
+SLICE, SPELLED = 2 << 20, 1 << 20
 
 #: Slots whose bits make one row of the bitmap that the driver collects.
 CHUNK = 1 << 15
@@ -146,14 +146,18 @@ def count_slice(texts: Texts, langs: list[str], reached: np.ndarray, turn: int,
             yield pa.record_batch({"code": distinct.view(np.int64), "mark": marks.view(np.int64), "n": count.astype(np.int64)})
 
 
-def spell_slice(texts: Texts, langs: list[str], reached: np.ndarray, frequent: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """The spelling of the phrases whose slot is marked in ``frequent``, and per language the words as a phrase of none."""
+def spell_slice(texts: Texts, langs: list[str], reached: np.ndarray, frequent: np.ndarray, longest: int, told: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The spelling of the phrases whose slot is marked in ``frequent``, but for those in ``told``, the hashes of those
+    that this task has spelled lately, per size."""
     windows = _Windows(texts, langs)
     spelled = _word_array(windows.words)
     for size, codes, start in _starts(windows, reached, longest):
         here = np.flatnonzero((start > 0) & (frequent[codes & np.uint64(len(frequent) - 1)] > 0))
-        _, example = np.unique(codes[here], return_index=True)
-        at = here[example]
+        distinct, example = np.unique(codes[here], return_index=True)
+        known = told.get(size, distinct[:0])
+        new = ~np.isin(distinct, known, assume_unique=True)
+        at = here[example[new]]
+        told[size] = np.concatenate([known if len(known) < SPELLED else known[:0], distinct[new]])
         marks = windows.marks(at, size, start[at]).view(np.int64)
         yield pa.RecordBatch.from_arrays([codes[at].view(np.int64), marks, windows.languages(at), windows.spelled(at, size, spelled)], ["code", "mark", "lang", "phrase"])
 
@@ -181,7 +185,8 @@ def frequent_phrases(df: DataFrame, lang: Column, text: Column, scratch: Scratch
     corpus = scratch.store(dealt.where(F.col("text") != ""), "shards", "shard")
     size = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     reached = np.zeros(slots_for(size), np.uint8)
-    active, finished, last, turn = spark.createDataFrame([], _COUNTS), [], 0, 0
+    active, rounds = spark.createDataFrame([], _COUNTS), Scratch(spark)
+    finished, last, turn = [], 0, 0
     first = F.shiftright(F.col("mark").bitwiseAND(F.lit(255)), _SIZES)
     shorter = F.col("mark").bitwiseAND(F.lit((1 << _SIZES) - 1)) < longest
     # Phrases that the reached ones of round ``last`` made active are done ``shards`` rounds later.
@@ -194,23 +199,26 @@ def frequent_phrases(df: DataFrame, lang: Column, text: Column, scratch: Scratch
                 yield from count_slice(texts, batch.column("lang").to_pylist(), told.value, turn, shards, longest)
 
         scanned = corpus.where(F.col("shard") == (turn - 1) % shards).select("lang", "text").mapInArrow(count, _COUNTS)
-        merged = active.unionByName(scanned).groupBy("code", "mark").agg(F.sum("n").alias("n")).withColumn("done", first + (shards - 1) <= turn)
-        state = scratch.store(merged.where(~F.col("done") | (F.col("n") >= threshold)), "round", "done", reclaim=True)
+        merged = active.unionByName(scanned).groupBy("code", "mark").agg(F.sum("n").alias("n"))
+        done = first + (shards - 1) <= turn
+        before, rounds = rounds, Scratch(spark)
+        state = rounds.store(merged.where(~done | (F.col("n") >= threshold)), "round", reclaim=True)
         told.destroy()
-        if turn > 1:
-            scratch.drop(f"{scratch.paths[-2]}/done=false")
+        before.clear()
         if _enter(reached, state.where(shorter & (F.col("n") >= threshold)), turn):
             last = turn
-        finished.append(state.where("done").select("code", "mark", "n"))
-        active = state.where("NOT done").select("code", "mark", "n")
+        finished.append(scratch.store(state.where(done), "done"))
+        active = state.where(~done)
+    rounds.clear()
     every = functools.reduce(DataFrame.unionByName, finished)
     frequent = np.zeros_like(reached)
     _enter(frequent, every, 1)
     both = spark.sparkContext.broadcast((reached, frequent))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lately: dict[int, np.ndarray] = {}
         for batch, texts in slices(batches, "text", SLICE):
-            yield from spell_slice(texts, batch.column("lang").to_pylist(), *both.value, longest)
+            yield from spell_slice(texts, batch.column("lang").to_pylist(), *both.value, longest, lately)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", SLICE):

@@ -34,10 +34,6 @@ class Scratch:
             self.spark.conf.set(RECLAIM, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, path: str) -> None:
-        """Delete a stored folder, or a part of one, before the rest."""
-        discard(self.spark, path)
-
     def clear(self) -> None:
         for path in self.paths:
             discard(self.spark, path)
