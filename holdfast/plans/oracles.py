@@ -190,6 +190,70 @@ def _psi() -> str:
 GROUP BY feature"""
 
 
+def _correlations(source: str, columns: dict[str, str]) -> str:
+    names = list(columns)
+    return _union(
+        [
+            f"SELECT '{a}' AS column, '{b}' AS other, regr_count({columns[b]}, {columns[a]})::BIGINT AS rows, "
+            f"round(corr({columns[b]}, {columns[a]}), 6) AS correlation FROM {source}"
+            for i, a in enumerate(names)
+            for b in names[i + 1 :]
+        ]
+    )
+
+
+def _report() -> str:
+    def long(section: str, subject: str, rows: str, numbers: tuple[str, ...], texts: tuple[str, ...] = (), other: str = "CAST(NULL AS VARCHAR)") -> list[str]:
+        head = f"SELECT '{section}' AS section, t.{subject} AS subject, {other} AS other"
+        return [f"{head}, '{n}' AS measure, round(CAST(t.{n} AS DOUBLE), 6) AS number, CAST(NULL AS VARCHAR) AS text FROM ({rows}) AS t" for n in numbers] + [
+            f"{head}, '{n}' AS measure, CAST(NULL AS DOUBLE) AS number, CAST(t.{n} AS VARCHAR) AS text FROM ({rows}) AS t" for n in texts
+        ]
+
+    kinds = {
+        "customer_id": "string",
+        "senior": "boolean",
+        "contract": "int",
+        "segment": "string",
+        "nation": "string",
+        "monthly_charges": "double",
+        "total_charges": "double",
+        "churn": "string",
+    }
+    counted = ("rows", "nulls", "blanks", "zeros", "distinct_values", "min_number", "max_number", "top_count")
+    balance = "SELECT churn, count(*) AS count, count(*) / (SELECT count(*) FROM features) AS share FROM features GROUP BY churn"
+    numbers = {"senior": "senior::INTEGER", **{c: c for c in ("contract", "monthly_charges", "total_charges")}, "churn": "(churn = 'Yes')::INTEGER"}
+    related = _correlations("features", numbers)
+    return _union(
+        long("profile", "column", _profile("features", kinds), counted, ("type", "min_text", "max_text", "top_value"))
+        + long("summary", "column", _summary(), ("count", "mean", "stddev", "p25", "p50", "p75"))
+        + long("balance", "churn", balance, ("count", "share"))
+        + long("correlation", "column", related, ("rows", "correlation"), other="t.other")
+    )
+
+
+def _decisions() -> str:
+    found = _psi()
+    return f"""WITH psi AS ({found}), worse AS (
+  SELECT split || '/' || metric AS name
+  FROM (SELECT split, metric, max(value) FILTER (WHERE run_id = 'train_run') AS reference,
+    max(value) FILTER (WHERE run_id = 'test_run') AS current FROM ({_RULE_METRICS}) GROUP BY split, metric)
+  WHERE CASE WHEN metric = 'log_loss' THEN current - reference ELSE reference - current END > 0
+), second AS (
+  SELECT coalesce((SELECT string_agg(feature, ', ' ORDER BY feature) FROM psi WHERE psi > 0.01), '') AS drifted,
+    (SELECT max(psi) FROM psi) AS greatest_psi, coalesce((SELECT string_agg(name, ', ' ORDER BY name) FROM worse), '') AS decayed
+), decided AS (
+  SELECT *, drifted <> '' OR decayed <> '' AS retrain,
+    CASE WHEN drifted <> '' AND decayed <> '' THEN 'drift, metrics' WHEN drifted <> '' THEN 'drift'
+      WHEN decayed <> '' THEN 'metrics' ELSE 'nothing changed' END AS reason
+  FROM second
+)
+SELECT 1 AS place, 'first' AS run_id, CAST(NULL AS VARCHAR) AS reference_run, '' AS drifted, CAST(NULL AS DOUBLE) AS greatest_psi,
+  '' AS decayed, true AS retrain, 'first run' AS reason
+UNION ALL SELECT 2, 'second', 'first', drifted, greatest_psi, decayed, retrain, reason FROM decided
+UNION ALL SELECT 3, 'third', CASE WHEN retrain THEN 'second' ELSE 'first' END, CASE WHEN retrain THEN '' ELSE drifted END,
+  CASE WHEN retrain THEN 0.0::DOUBLE ELSE greatest_psi END, CASE WHEN retrain THEN '' ELSE decayed END, false, 'nothing changed' FROM decided"""
+
+
 def _trials() -> str:
     parts = [
         f"SELECT 'below_{p:03d}' AS trial_id, "
@@ -309,6 +373,13 @@ FROM (SELECT class, count(*) FILTER (WHERE churn = class) AS support, count(*) F
 FROM sides s LEFT JOIN winners w USING (segment)""",
     "best_trial": _trials(),
     "drift_psi": _psi(),
+    "stored_profile_psi": _psi(),
+    "retrain_decision": ", " + _decisions().removeprefix("WITH "),
+    "exploration_report": _report(),
+    "feature_table_drop": """SELECT *, 'customers, labels, orders' AS tables_left, true AS plain_table_refused
+FROM (SELECT 'customers' AS "table", 'customer_id' AS primary_keys, 6 AS features, 'customers by name' AS description,
+  count(*) AS rows, true AS keys_hold FROM features
+UNION ALL SELECT 'orders', 'customer_id', 2, 'orders by customer', count(*), true FROM order_features)""",
     "metric_decay": f"""SELECT split, metric, round(reference, 6) AS reference, round(current, 6) AS current,
   round(worse, 6) AS loss, worse > 0.01 AS decayed
 FROM (SELECT *, CASE WHEN metric = 'log_loss' THEN current - reference ELSE reference - current END AS worse
@@ -333,6 +404,7 @@ FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""",
             "l_shipdate": "timestamp_ntz",
         },
     ),
+    "correlation_matrix": _correlations("lineitem", {c: c for c in LINEITEM_NUMBERS}),
     "describe_lineitem": _describe("lineitem", LINEITEM_NUMBERS),
     "histogram_lineitem": _histogram("lineitem", LINEITEM_NUMBERS, 20),
     "primary_key_audit_lineitem": _key_audit("lineitem", ("l_orderkey", "l_linenumber")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.functions import clean_numeric, map_category, sanitise, strip_whitespace, to_boolean
-from holdfast.operators import aggregate, baseline, drift, encode, lookup, metrics, profile, split
+from holdfast.operators import aggregate, baseline, drift, encode, explore, lookup, metrics, profile, split
 from holdfast.operators.featurize import assign_where
 from holdfast.operators.scoring import score_batch
 from holdfast.operators.search import auto_classify, best_trial
@@ -23,13 +23,17 @@ from holdfast.plans.churn import (
     churn_lookups,
     customer_features,
     label_frame,
+    order_features,
     rule_frame,
     rule_prediction,
     table,
 )
+from holdfast.plans.retraining import RunState, decide, decisions
 from holdfast.session import shared_path
 from holdfast.sources.feature_tables import (
     create_feature_table,
+    drop_feature_table,
+    feature_table_audit,
     get_feature_table,
     read_feature_table,
     refresh_feature_table,
@@ -154,6 +158,27 @@ def feature_table(spark, sf_dir):
     return read_feature_table(spark, name)
 
 
+@query("feature_table_drop")
+def feature_table_drop(spark, sf_dir):
+    """Three tables, of which one feature table is dropped and a plain one refused: what the audit then finds."""
+    database = _database(spark)
+    features = customer_features(spark, sf_dir)
+    create_feature_table(f"{database}.customers", KEY, features, "customers by name", buckets=4)
+    create_feature_table(f"{database}.spent", KEY, features.select(KEY, "monthly_charges"), "to be dropped")
+    create_feature_table(f"{database}.orders", KEY, order_features(spark, sf_dir), "orders by customer")
+    save_table(label_frame(spark, sf_dir), f"{database}.labels")
+    drop_feature_table(spark, f"{database}.spent")
+    drop_feature_table(spark, f"{database}.spent")
+    try:
+        drop_feature_table(spark, f"{database}.labels")
+        refused = False
+    except ValueError:
+        refused = True
+    left = feature_table_audit(spark, database)
+    tables = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+    return left.withColumns({"tables_left": F.lit(", ".join(tables)), "plain_table_refused": F.lit(refused)})
+
+
 # Projections and scalar functions
 
 
@@ -295,6 +320,16 @@ def histogram_lineitem(spark, sf_dir):
     return _rounded(profile.histogram(table(spark, sf_dir, "lineitem"), bins=20), "lower", "upper")
 
 
+@query("correlation_matrix")
+def correlation_matrix(spark, sf_dir):
+    return _rounded(explore.correlation_matrix(table(spark, sf_dir, "lineitem")), "correlation")
+
+
+@query("exploration_report")
+def exploration_report(spark, sf_dir):
+    return _rounded(explore.exploration_report(churn_features(spark, sf_dir), LABEL, POSITIVE), "number")
+
+
 @query("cast_audit")
 def cast_audit(spark, sf_dir):
     return profile.cast_audit(churn_frame(spark, sf_dir))
@@ -431,6 +466,35 @@ def metric_decay(spark, sf_dir):
     return _rounded(decay, "reference", "current", "loss")
 
 
+@query("stored_profile_psi")
+def stored_profile_psi(spark, sf_dir):
+    """Drift of one part of the customers against the stored profile of two others, which were profiled apart."""
+    frame = churn_features(spark, sf_dir)
+    staying = frame.where(F.col(LABEL) == "No")
+    whole = drift.distribution_profile(staying, DRIFT_FEATURES)
+    parts = [staying.where(F.col("senior") == flag) for flag in (True, False)]
+    halves = [drift.distribution_profile(part, DRIFT_FEATURES, like=whole) for part in parts]
+    name = f"{_database(spark)}.profile"
+    save_table(drift.merge_profiles(*halves), name)
+    known = spark.table(name)
+    current = drift.distribution_profile(frame.where(F.col(LABEL) != "No"), DRIFT_FEATURES, like=known)
+    return _rounded(drift.profile_psi(known, current), "psi")
+
+
+@query("retrain_decision")
+def retrain_decision(spark, sf_dir):
+    """Three runs over stored state: the first, one over other customers, and one over rows like those last trained on."""
+    state = RunState(_database(spark))
+    frame = churn_features(spark, sf_dir)
+    train, test = _rule_metrics(spark, sf_dir)
+    staying, leaving = frame.where(F.col(LABEL) == "No"), frame.where(F.col(LABEL) != "No")
+    settings = {"psi_limit": 0.01, "tolerance": 0.0}
+    decide(staying, DRIFT_FEATURES, state, "first", train, **settings)
+    decide(leaving, DRIFT_FEATURES, state, "second", test, **settings)
+    decide(leaving, DRIFT_FEATURES, state, "third", test, **settings)
+    return _rounded(decisions(spark, state), "greatest_psi")
+
+
 # Models and scoring
 
 

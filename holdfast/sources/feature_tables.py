@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from holdfast.operators.profile import primary_key_audit
 from holdfast.sources.tables import quoted, save_table, swap_table
@@ -118,3 +119,31 @@ def drop_feature_table(spark: SparkSession, name: str) -> None:
     if not primary_keys_of(spark, name):
         raise ValueError(f"{name} is not a feature table")
     spark.sql(f"DROP TABLE {quoted(name)}")
+
+
+def list_feature_tables(spark: SparkSession, database: str) -> list[FeatureTable]:
+    """The feature tables of a database by name; its other tables and views are left out."""
+    names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.tableType != "VIEW")
+    tables = [f"{database}.{name}" for name in names]
+    return [get_feature_table(spark, name) for name in tables if primary_keys_of(spark, name)]
+
+
+def feature_table_audit(spark: SparkSession, database: str) -> DataFrame:
+    """One row per feature table of a database: its keys, number of features, description and rows, and whether keys still hold.
+
+    Keys are checked when a table is created or refreshed by this library; anything else that writes to it may break them.
+    """
+    rows = None
+    for table in list_feature_tables(spark, database):
+        audit = primary_key_audit(spark.table(table.name), table.primary_keys)
+        row = audit.select(
+            F.lit(table.name.rsplit(".", 1)[1]).alias("table"),
+            F.lit(", ".join(table.primary_keys)).alias("primary_keys"),
+            F.lit(len(table.features) - len(table.primary_keys)).alias("features"),
+            F.lit(table.description).alias("description"),
+            "rows",
+            ((F.col("null_key_rows") == 0) & (F.col("surplus_rows") == 0)).alias("keys_hold"),
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    empty = "table string, primary_keys string, features int, description string, rows long, keys_hold boolean"
+    return spark.createDataFrame([], empty) if rows is None else rows
