@@ -7,8 +7,9 @@ from collections import deque
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import (
     Imputer,
     IndexToString,
@@ -43,6 +44,8 @@ VALIDATION_PERCENT = 8
 PATIENCE = 10
 STOP_TOLERANCE = 1e-4
 TEST_PERCENT = 20
+# Stored vectors that a task of a fit should have at least.
+TASK_BYTES = 4 * 1024 * 1024
 
 
 def _names(value: str | Sequence[str]) -> list[str]:
@@ -117,7 +120,10 @@ class Prepared:
             copy.release()
 
     def part(self, *names: str) -> DataFrame:
-        return self.frame.where(F.col("split").isin(*names))
+        """The rows of some parts, in as few partitions as hold ``TASK_BYTES`` each: a fit runs hundreds of short stages."""
+        rows = self.frame.where(F.col("split").isin(*names))
+        stored = int(self.frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return rows.coalesce(max(math.ceil(stored / TASK_BYTES), 1))
 
 
 def prepare(
@@ -218,6 +224,27 @@ def trees_by_patience(losses: Sequence[float], patience: int = PATIENCE, toleran
     return len(losses)
 
 
+def first_trees(model: GBTClassificationModel, kept: int) -> GBTClassificationModel:
+    """The model of the first trees of a boosted ensemble, as fitting only these would give; nothing is fitted.
+
+    Trees follow from those before them and the seed, so the first ones of a long fit are those of a shorter one.
+    """
+    java = model._java_obj
+    trees, weights = java.trees(), java.treeWeights()
+    if not 1 <= kept <= len(trees):
+        raise ValueError(f"the model has {len(trees)} trees, so {kept} cannot be kept")
+    gateway = SparkContext._active_spark_context._gateway
+    some = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, kept)
+    shares = gateway.new_array(gateway.jvm.double, kept)
+    for i in range(kept):
+        some[i], shares[i] = trees[i], weights[i]
+    made = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), some, shares, java.numFeatures(), java.numClasses())
+    cut = GBTClassificationModel(java.copyValues(made, java.extractParamMap()))
+    cut._resetUid(model.uid)
+    cut._transfer_params_from_java()
+    return cut
+
+
 def fit_churn(
     df: DataFrame,
     label: str,
@@ -234,8 +261,8 @@ def fit_churn(
 ) -> Fit:
     """Boosted trees on 80 % of the keys, a tenth of them for early stopping, measured on the other 20 %.
 
-    All ``trees`` are fitted once, and the validation loss after each tells by ``trees_by_patience`` how many to keep.
-    Trees follow from those before them and the seed, so the shorter fit repeats the first ones.
+    All ``trees`` are fitted once, the validation loss after each tells by ``trees_by_patience`` how many to keep, and the
+    others are cut off.
     """
     prepared = prepare(df, label, key, exclude_cols, None, remainder, seed, max_categories)
     if len(prepared.labels) != 2:
@@ -245,7 +272,7 @@ def fit_churn(
     if not validation.isEmpty():
         kept = trees_by_patience(classifier.evaluateEachIteration(validation), patience)
         if kept < trees:
-            classifier = boosted_trees(kept, rate, depth, seed).fit(train)
+            classifier = first_trees(classifier, kept)
     metrics = evaluate(prepared, classifier, "test", run_id)
     return Fit(assemble(prepared, classifier), metrics, prepared)
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from holdfast.operators import training
 from holdfast.operators.encode import TooManyCategories
 from holdfast.operators.lookup import FeatureLookup, create_training_set
 from holdfast.operators.scoring import score_batch
@@ -248,3 +249,30 @@ def test_fifty_thousand_categories_train(spark):
     fit.prepared.release()
     with pytest.raises(TooManyCategories):
         fit_churn(df, "churn", "id", trees=1, max_categories=1000)
+
+
+def test_the_first_trees_are_those_of_a_shorter_fit(planted):
+    prepared = training.prepare(planted, "Churn", "customerID")
+    train, test = prepared.part("train"), prepared.part("test")
+    whole = training.boosted_trees(12).fit(train)
+    cut, short = training.first_trees(whole, 5), training.boosted_trees(5).fit(train)
+    assert (cut.getNumTrees, cut.treeWeights, cut.numFeatures, cut.uid) == (5, short.treeWeights, short.numFeatures, whole.uid)
+
+    def scores(model):
+        columns = ["customerID", training.RAW_PREDICTION, training.PROBABILITY]
+        return [tuple(r) for r in model.transform(test).select(*columns).orderBy("customerID").collect()]
+
+    assert scores(cut) == scores(short)
+    with pytest.raises(ValueError, match="cannot be kept"):
+        training.first_trees(whole, 13)
+    prepared.release()
+
+
+def test_trials_one_at_a_time_give_the_same(planted):
+    row = lambda r: (r["trial_id"], r["status"], r["metric"])
+    searches = [auto_classify(planted, "Churn", "customerID", families=["logistic_regression", "decision_tree"], timeout_minutes=None, at_once=n) for n in (1, 4)]
+    found = [[row(r) for r in s.trials.collect()] for s in searches]
+    assert found[0] == found[1]
+    assert searches[0].best_trial_id == searches[1].best_trial_id
+    for search in searches:
+        search.prepared.release()
