@@ -6,6 +6,7 @@ row per column or one row per distinct value.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from holdfast.functions import blank, finite, to_number
+from holdfast.functions import blank, to_number
 from holdfast.operators.sketches import (
     BALANCE_SIZE,
     by_lane,
@@ -122,9 +123,10 @@ def _with_quartiles(df: DataFrame, names: Sequence[str], wide: DataFrame) -> Dat
     """The one row of statistics with exact nearest-rank quartiles in place of the sketched ones.
 
     The sketches only say where to look: a quartile lies between two sketched quantiles a little below and above it.
-    One more pass counts the rows below that interval, and inside it the rows per distinct value. The values are
-    cut into ``PIECES`` pieces of the interval; the pieces' totals show in which one the wanted rank lies, and only
-    that piece is ordered. Should a sketch be wrong, the interval becomes the whole range and the pass is repeated.
+    Rows below the interval are merely counted, in one aggregate for all quartiles; only the few values inside an
+    interval are stacked, and counted per distinct value. These are cut into ``PIECES`` pieces of the interval; the
+    pieces' totals show in which one the wanted rank lies, and only that piece is ordered. Should a sketch be
+    wrong, the interval becomes the whole range and the pass is repeated.
     """
     spark = df.sparkSession
     row = wide.first()
@@ -138,26 +140,23 @@ def _with_quartiles(df: DataFrame, names: Sequence[str], wide: DataFrame) -> Dat
                 wanted[label] = max(n - math.floor(n - share * n), 1)
                 bounds[label] = (row[name]["around"][2 * q], row[name]["around"][2 * q + 1])
     while wanted:
-        cells = []
-        for label in wanted:
-            value = _number(df, names[label // len(QUARTILES)])
-            low, high = bounds[label]
-            # Rows below the interval share one cell without a value.
-            cell = F.struct(F.lit(label).alias("label"), F.when(value >= low, value).alias("value"))
-            cells.append(F.when(value.isNotNull() & (value <= high), cell))
-        stacked = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
-        counts = stacked.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+        values = {label: F.col(f"v{label // len(QUARTILES)}") for label in wanted}
+        numbers = df.select(*[_number(df, names[i]).alias(f"v{i}") for i in sorted({label // len(QUARTILES) for label in wanted})])
+        below = numbers.agg(*[F.count_if(values[label] < bounds[label][0]).alias(str(label)) for label in wanted]).first().asDict()
+        inside = [F.when(values[label].between(*map(F.lit, bounds[label])), values[label]).alias(str(label)) for label in wanted]
+        stacked = numbers.select(*inside).unpivot([], [str(label) for label in wanted], "label", "value")
+        counts = stacked.where(F.col("value").isNotNull()).groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.withColumn("label", F.col("label").cast("int"))
         low, high = (F.create_map(*[F.lit(x) for k, b in bounds.items() for x in (k, b[side])]) for side in (0, 1))
         width = (high[F.col("label")] - low[F.col("label")]) / PIECES
         piece = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - low[F.col("label")], width)), F.lit(PIECES - 1)), F.lit(0))
-        counts = counts.withColumn("piece", F.when(F.col("value").isNotNull(), piece).otherwise(F.lit(-1)))
-        counts = counts.persist(StorageLevel.DISK_ONLY)
+        counts = counts.withColumn("piece", piece).persist(StorageLevel.DISK_ONLY)
         totals = counts.groupBy("label", "piece").agg(F.sum("n").alias("n")).collect()
         hits, failed = {}, {}
         for label, rank in wanted.items():
-            upto = 0
+            upto = below[str(label)]
             for total in sorted((t for t in totals if t["label"] == label), key=lambda t: t["piece"]):
-                if upto < rank <= upto + total["n"] and total["piece"] >= 0:
+                if upto < rank <= upto + total["n"]:
                     hits[label] = (total["piece"], rank - upto)
                 upto += total["n"]
             if label not in hits:
@@ -242,52 +241,67 @@ def _text_of(df: DataFrame, name: str) -> Column:
 
 
 def _profile_exact(df: DataFrame, names: list[str]) -> DataFrame:
-    types = [df.schema[name].dataType.simpleString() for name in names]
-    numbers = set(numeric_columns(df))
-    # One row per cell, labelled by the position of its column and not by its name, which keeps the rows short.
-    labels = [str(i) for i in range(1, len(names) + 1)]
-    cells = df.select(*[_text_of(df, n).alias(i) for n, i in zip(names, labels)]).unpivot([], labels, "label", "value")
-    # A cell that counts nothing gives every column its row, also over no rows.
-    empty_cells = df.sparkSession.range(1, len(names) + 1).select(
-        F.col("id").cast("string").alias("label"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("n")
+    plain = _plain_statistics(df, names)
+    kinds: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        kinds.setdefault(df.schema[name].dataType.json(), []).append(i)
+    frequent = functools.reduce(DataFrame.unionByName, [_frequencies(df, names, places) for places in kinds.values()])
+    return plain.join(F.broadcast(frequent), "place", "left").select(
+        *[c for c in plain.columns if c != "place"][:6],
+        F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
+        "min_number",
+        "max_number",
+        "min_text",
+        "max_text",
+        "top_value",
+        "top_count",
     )
-    frequencies = cells.groupBy("label", "value").agg(F.count(F.lit(1)).alias("n")).unionByName(empty_cells)
-    value, n = F.col("value"), F.col("n")
-    is_text = F.col("label").isin([i for i, kind in zip(labels, types) if kind == "string"])
-    is_number = F.col("label").isin([i for i, name in zip(labels, names) if name in numbers])
-    # A number and its text convert into each other without loss, so the distinct texts carry the numbers.
-    number = F.when(is_number, value.try_cast("double"))
-    top = F.min(F.when(value.isNotNull(), F.struct((-n).alias("rank"), value.alias("value"))))
-    return (
-        frequencies.groupBy("label")
-        .agg(
-            F.sum("n").alias("rows"),
-            F.sum(F.when(value.isNull(), n).otherwise(0)).alias("nulls"),
-            F.sum(F.when(is_text & blank("value"), n).otherwise(0)).alias("blanks"),
-            F.sum(F.when(number == 0, n).otherwise(0)).alias("zeros"),
-            F.count("value").alias("distinct_values"),
-            F.min(number).alias("min_number"),
-            F.max(number).alias("max_number"),
-            F.min(F.when(is_text, value)).alias("min_text"),
-            F.max(F.when(is_text, value)).alias("max_text"),
-            top.alias("top"),
-        )
-        .select(
-            F.element_at(F.array(*map(F.lit, names)), F.col("label").cast("int")).alias("column"),
-            F.element_at(F.array(*map(F.lit, types)), F.col("label").cast("int")).alias("type"),
-            "rows",
-            "nulls",
-            "blanks",
-            "zeros",
-            "distinct_values",
-            "min_number",
-            "max_number",
-            "min_text",
-            "max_text",
-            F.col("top.value").alias("top_value"),
-            (-F.col("top.rank")).alias("top_count"),
+
+
+def _plain_statistics(df: DataFrame, names: list[str]) -> DataFrame:
+    """A row per column, by its place, of what one aggregate over the columns finds."""
+    nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    measures, rows = [], []
+    for i, name in enumerate(names):
+        column, kind = F.col(name), df.schema[name].dataType
+        number = column.cast("double") if isinstance(kind, T.NumericType) else None
+        is_text = isinstance(kind, T.StringType)
+        found = {"nulls": F.count_if(column.isNull())}
+        found |= {"blanks": F.count_if(blank(column)), "min_text": F.min(column), "max_text": F.max(column)} if is_text else {}
+        found |= {"zeros": F.count_if(number == 0), "min_number": F.min(number), "max_number": F.max(number)} if number is not None else {}
+        measures += [measure.alias(f"{part}{i}") for part, measure in found.items()]
+        of = lambda part, missing: F.col(f"{part}{i}").alias(part) if part in found else missing.alias(part)  # noqa: B023, E731
+        rows.append(
+            F.struct(
+                F.lit(i).alias("place"),
+                F.lit(name).alias("column"),
+                F.lit(kind.simpleString()).alias("type"),
+                F.col("rows"),
+                of("nulls", F.lit(0).cast("long")),
+                of("blanks", F.lit(0).cast("long")),
+                of("zeros", F.lit(0).cast("long")),
+                of("min_number", nothing),
+                of("max_number", nothing),
+                of("min_text", no_text),
+                of("max_text", no_text),
+            )
         )
-    )
+    return df.agg(F.count(F.lit(1)).alias("rows"), *measures).select(_rows(*rows))
+
+
+def _frequencies(df: DataFrame, names: list[str], places: list[int]) -> DataFrame:
+    """Distinct values and the most frequent one of columns of one type, which are stacked and counted as they are.
+
+    Among equally frequent values the first by its text is taken; only distinct values are ever made text.
+    """
+    labels = [str(i) for i in places]
+    kind = df.schema[names[places[0]]].dataType
+    plain = isinstance(kind, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType))
+    cells = df.select(*[(F.col(names[i]) if plain else F.col(names[i]).cast("string")).alias(str(i)) for i in places]).unpivot([], labels, "label", "value")
+    counts = cells.where(F.col("value").isNotNull()).groupBy("label", "value").agg(F.count(F.lit(1)).alias("n"))
+    top = F.min(F.struct((-F.col("n")).alias("rank"), _text_of(counts, "value").alias("value")))
+    found = counts.groupBy("label").agg(F.count(F.lit(1)).alias("distinct_values"), top.alias("top"))
+    return found.select(F.col("label").cast("int").alias("place"), "distinct_values", F.col("top.value").alias("top_value"), (-F.col("top.rank")).alias("top_count"))
 
 
 def _profile_sketched(df: DataFrame, names: list[str]) -> DataFrame:
@@ -335,31 +349,23 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 1
     and the one after it NaN.
     """
     names = list(columns or numeric_columns(df))
-    ranges = df.agg(
-        F.struct(
-            *[
-                F.struct(
-                    F.min(finite(_as_double(df, n))).alias("low"), F.max(finite(_as_double(df, n))).alias("high")
-                ).alias(n)
-                for n in names
-            ]
-        )
-    ).scalar()
-    lows = {n: 0.0 if ranges[n]["low"] is None else ranges[n]["low"] for n in names}
-    highs = {n: 0.0 if ranges[n]["high"] is None else ranges[n]["high"] for n in names}
+    wide = df.select(*[_as_double(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    ends = [F.when(F.abs(c) < F.lit(float("inf")), F.col(c)) for c in wide.columns]
+    found = wide.agg(*[end(c) for c in ends for end in (F.min, F.max)]).first()
+    lows = {n: found[2 * i] if found[2 * i] is not None else 0.0 for i, n in enumerate(names)}
+    highs = {n: found[2 * i + 1] if found[2 * i + 1] is not None else 0.0 for i, n in enumerate(names)}
     widths = {n: (highs[n] - lows[n]) / bins for n in names}
     labels = [str(i) for i in range(1, len(names) + 1)]
 
-    def bin_of(name: str) -> Column:
-        value = _as_double(df, name)
-        inside = finite(value)
-        place = F.coalesce(F.floor(F.try_divide(inside - lows[name], F.lit(widths[name]))), F.lit(0))
-        beyond = F.when(F.isnan(value), F.lit(bins + 1)).when(value > 0, F.lit(bins)).otherwise(F.lit(-1))
-        within = F.when(inside.isNotNull(), F.least(place, F.lit(bins - 1)).cast("int")).otherwise(beyond)
-        return F.when(value.isNotNull(), within)
+    def bin_of(i: int, name: str) -> Column:
+        value = F.col(f"v{i}")
+        place = F.least(F.floor((value - lows[name]) / F.lit(widths[name])), F.lit(bins - 1)).cast("int") if widths[name] > 0 else F.lit(0)
+        beyond = F.when(F.isnan(value), F.lit(bins + 1)).when(value > 0, F.lit(bins)).when(value < 0, F.lit(-1))
+        # False for NaN and the infinities, null for NULL, which has no bin.
+        return F.when(F.abs(value) < F.lit(float("inf")), place).otherwise(beyond)
 
     # Bins are found per column before the columns are stacked: what is counted is two short values per cell.
-    cells = df.select(*[bin_of(n).alias(i) for n, i in zip(names, labels)]).unpivot([], labels, "label", "bin")
+    cells = wide.select(*[bin_of(k, n).alias(i) for k, (n, i) in enumerate(zip(names, labels))]).unpivot([], labels, "label", "bin")
     counts = cells.where(F.col("bin").isNotNull()).groupBy("label", "bin").agg(F.count(F.lit(1)).alias("count"))
     position = F.col("label").cast("int")
     low = F.element_at(F.array(*[F.lit(lows[n]) for n in names]), position)
