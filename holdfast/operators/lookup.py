@@ -24,6 +24,8 @@ HOT_ITEMS = 16_384
 FEW_BYTES = 64 * 1024 * 1024
 # Parts among which rows that need no partner in a join are dealt.
 SPREAD = 1_024
+# Parts among which rows of hot keys are dealt where their features are too large to be broadcast; those are repeated per part.
+SALTS = 32
 
 
 class LabelLeakage(ValueError):
@@ -142,16 +144,18 @@ def _split_join(
 ) -> DataFrame:
     """The left join, in which rows of hot keys take their features from a broadcast of just those.
 
-    All rows stay in one frame. In the shuffled join a row of a hot key has no key but a part number, which no
+    Features of hot keys that are too large for that are salted instead, see ``_salted_join``. All rows stay in one frame. In the shuffled join a row of a hot key has no key but a part number, which no
     feature row has, so such rows are dealt evenly; the broadcast join that follows knows them by their key.
     """
     types = _common_types(df, features, keys, joined)
     key_columns = [F.col(k).cast(t) for k, t in zip(keys, types)]
     typed = features.withColumns({j: F.col(j).cast(t) for j, t in zip(joined, types)})
     hashes = hot_key_hashes(df, key_columns, hot_rows)
-    few = typed.where(_hash_of([F.col(j) for j in joined]).isin(hashes))
-    if not hashes or few.agg(_measured_bytes(few)).first()[0] > FEW_BYTES:
+    if not hashes:
         return _left_join(df, features, keys, joined)
+    few = typed.where(_hash_of([F.col(j) for j in joined]).isin(hashes))
+    if few.agg(_measured_bytes(few)).first()[0] > FEW_BYTES:
+        return _salted_join(df, typed, key_columns, joined, names, hashes)
     is_hot = _hash_of(key_columns).isin(hashes)
     cold = {f"__cold_{i}": F.when(~is_hot, c) for i, c in enumerate(key_columns)}
     part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)) + 1).otherwise(0)
@@ -168,6 +172,28 @@ def _split_join(
     return result.select(*df.columns, *chosen)
 
 
+def _salted_join(
+    df: DataFrame, features: DataFrame, keys: Sequence[Column], joined: Sequence[str], names: Sequence[str], hashes: Sequence[int]
+) -> DataFrame:
+    """The left join by key and part: rows of hot keys are dealt over the parts, their features are repeated in each.
+
+    All other rows and features are in part 0, so nothing but the features of hot keys grows. Rows of a NULL key, which
+    finds no features, are dealt like those of any hot key.
+    """
+    one, many = F.array(F.lit(0)), F.sequence(F.lit(1), F.lit(SALTS))
+    repeated = features.select(
+        *[F.col(j).alias(f"__s{j}") for j in joined],
+        *[F.col(n).alias(f"__s_{n}") for n in names],
+        F.explode(F.when(_hash_of([F.col(j) for j in joined]).isin(list(hashes)), many).otherwise(one)).alias("__of_part"),
+    )
+    is_hot = _hash_of(keys).isin(list(hashes))
+    part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    routed = df.withColumns({**{f"__salted_{i}": key for i, key in enumerate(keys)}, "__part": part})
+    same = [F.col(f"__salted_{i}") == F.col(f"__s{j}") for i, j in enumerate(joined)]
+    result = routed.join(repeated, reduce(lambda a, b: a & b, [*same, F.col("__part") == F.col("__of_part")]), "left")
+    return result.select(*df.columns, *[F.col(f"__s_{n}").alias(n) for n in names])
+
+
 def lookup_features(
     df: DataFrame,
     lookups: Sequence[FeatureLookup],
@@ -179,8 +205,8 @@ def lookup_features(
 
     Tables must be unique by their keys, as ``create_feature_table`` checks. The input is scanned once, whatever the
     number of keys. A table that the optimizer broadcasts is simply joined. For a larger one, one pass over the keys
-    looks for those with at least ``hot_rows`` rows (NULL included), whose features are measured and broadcast, so
-    their rows are dealt evenly in the shuffled join. ``hot_rows=None`` leaves that out, as does a stream: its
+    looks for those with at least ``hot_rows`` rows (NULL included), whose features are measured and broadcast or, if they
+    are too large, repeated per part, so their rows are dealt evenly in the shuffled join. ``hot_rows=None`` leaves that out, as does a stream: its
     batches are as small as its trigger makes them. ``prefilter`` is for few keys and large tables: it reduces each
     table to the wanted keys first.
     """

@@ -122,11 +122,22 @@ def test_tables_that_are_not_unique_keep_all_matches(spark, features):
         assert lookup_features(df, [FeatureLookup(twice, "id")], hot_rows=1000).count() == plain.count()
 
 
-def test_large_hot_features_are_not_broadcast(spark, features, monkeypatch):
+def test_large_hot_features_are_salted_on_both_sides(spark, features, monkeypatch):
+    """No broadcast and no task with a hot key: its rows lie in many partitions, NULL keys too, and find their features."""
+    plain = lookup_features(skewed(spark), [FeatureLookup(features, "id")], hot_rows=None)
     monkeypatch.setattr(lookup, "FEW_BYTES", 10)
     with no_broadcasts(spark):
-        text = plan_of(lookup_features(skewed(spark), [FeatureLookup(features, "id")], hot_rows=1000))
-    assert "BroadcastHashJoin" not in text
+        salted = lookup_features(skewed(spark), [FeatureLookup(features, "id")], hot_rows=1000)
+        text = plan_of(salted)
+        assert "BroadcastHashJoin" not in text and text.count("SortMergeJoin") == 1
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            sizes = [r["count"] for r in salted.groupBy(F.spark_partition_id()).count().collect()]
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert salted.columns == plain.columns
+        assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
+    assert max(sizes) < 2 * sum(sizes) / 8
 
 
 def test_key_types_may_differ(spark, features):
