@@ -18,9 +18,18 @@ ORACLES: dict[str, str] = {}
 
 ARCHIVE = "holdfast-tasks.zip"
 
+#: Bytes of an Arrow batch, at most, but for a row that alone has more; and Spark's own choice, in its spelling.
+BATCH_SETTING, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, "67108864"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the session's Python workers, once; they need not have it installed."""
+    """Prepare the session for Arrow tasks: the package goes to its Python workers, once, and batches become small.
+
+    A batch of texts is held by the JVM and by Python at the same time, for each task of an executor. A size that the
+    session was given is left alone.
+    """
+    if spark.conf.get(BATCH_SETTING).rstrip("bB") == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     context = spark.sparkContext
     if any(file.endswith(ARCHIVE) for file in context.listFiles):
         return

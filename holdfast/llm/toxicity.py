@@ -38,6 +38,9 @@ THRESHOLD = 0.3
 #: So many clean sentences stay below the threshold together. No sentence beyond the probability ``SUSPECT`` counts as neutral.
 REACH, SUSPECT = 5_000_000, 0.05
 
+#: What the sentences up to the neutral level may add to a score, all together.
+TRACE = 0.01
+
 #: Logits are counted in bins of so much, from ``-_DEEPEST`` on.
 _BIN, _DEEPEST = 0.05, 50.0
 
@@ -76,7 +79,7 @@ def word_features(words: Words) -> np.ndarray:
 class Model:
     """Weights of feature hashes, in order of hash; features that are not listed weigh nothing.
 
-    Sentences with a logit up to ``neutral`` add nothing to their document.
+    Sentences with a logit up to ``neutral`` add no more than a trace to their document.
     """
 
     hashes: np.ndarray
@@ -103,12 +106,18 @@ class Model:
 
 
 def noisy_or(logits: np.ndarray, offsets: np.ndarray, neutral: float = -np.inf) -> np.ndarray:
-    """The probability per document from its sentences' logits above ``neutral``; without any it is 0."""
-    mass = np.zeros(len(offsets) - 1)
+    """The probability per document, from its sentences' logits above ``neutral`` and a trace of what all of them say.
+
+    The trace keeps documents without a suspect sentence in order; it grows with every logit and adds ``TRACE`` at most, however
+    many sentences there are. Documents without sentences get 0.
+    """
+    mass, every = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        mass[some] = np.add.reduceat(np.where(logits > neutral, np.logaddexp(0.0, logits), 0.0), offsets[some])
-    return -np.expm1(-mass)
+        weight = np.logaddexp(0.0, logits)
+        every[some] = np.add.reduceat(weight, offsets[some])
+        mass[some] = np.add.reduceat(np.where(logits > neutral, weight, 0.0), offsets[some])
+    return (1.0 - TRACE) * -np.expm1(-mass) + TRACE * -np.expm1(-every)
 
 
 def fit(

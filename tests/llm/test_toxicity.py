@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,40 @@ def test_length_alone_is_not_toxic(spark):
     assert scores[0] < toxicity.THRESHOLD <= scores[1]
 
 
+def test_scores_equal_plain_python(spark):
+    docs, labels = corpus(300, seed=8)
+    df = spark.createDataFrame([*docs, *ODD], "doc_id bigint, text string").repartition(4)
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"), "doc_id", "text", "toxic", ~toxicity.held_out("doc_id"))
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+
+    def brute(text):
+        every, above = 1.0, 1.0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            words = re.findall(rb"[0-9a-z\x80-\xff]+", sentence.encode().lower())
+            if not words:
+                continue
+            logit = model.bias
+            for k, stem in enumerate((None, *toxicity.STEMS)):
+                hashes = toxicity.hash_words(words_of(*(w[:stem] for w in words))) ^ np.uint64(0x51ED270B * k)
+                logit += sum(weight.get(int(h) >> 16 & 0xFFFFFFFF, 0.0) for h in hashes)
+            every *= 1 - 1 / (1 + math.exp(-logit))
+            above *= 1 - 1 / (1 + math.exp(-logit)) if logit > model.neutral else 1
+        return (1 - toxicity.TRACE) * (1 - above) + toxicity.TRACE * (1 - every)
+
+    def words_of(*words):
+        return toxicity.find_words(texts_of(pa.array([b" ".join(words).decode("latin-1").encode("latin-1")], pa.binary()).cast(pa.string(), safe=False)), toxicity.ALNUM)
+
+    found = toxicity.score(df, "text", model).collect()
+    assert len(weight) > 10 and any(r.toxicity.score > 0.3 for r in found)
+    assert all(abs(r.toxicity.score - brute(r.text)) < 1e-9 for r in found)
+
+
+def test_neutral_documents_keep_their_order():
+    logits = np.array([-9.0, -4.0, -9.0, -8.0, *[-3.5] * 10_000])
+    scores = toxicity.noisy_or(logits, np.array([0, 2, 4, 10_004]), neutral=-3.0)
+    assert 0 < scores[1] < scores[0] < scores[2] <= toxicity.TRACE
+
+
 def test_a_repeated_key_is_one_training_row(spark, monkeypatch):
     docs, labels = corpus(200)
     hot = next(k for k, toxic in labels if not toxic)
