@@ -40,6 +40,9 @@ BYTES_PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 64, 1 << 20, 1 << 26
 #: Bytes of text that a task counts at a time, and phrases that it remembers to have spelled.
 SLICE, SPELLED = 2 << 20, 1 << 20
 
+#: One text in so many is read first for the spelling of frequent phrases.
+SAMPLE = 8
+
 #: Slots whose bits make one row of the bitmap that the driver collects.
 CHUNK = 1 << 15
 
@@ -211,27 +214,43 @@ def frequent_phrases(df: DataFrame, lang: Column, text: Column, scratch: Scratch
         active = state.where(~done)
     rounds.clear()
     every = functools.reduce(DataFrame.unionByName, finished)
-    frequent = np.zeros_like(reached)
-    _enter(frequent, every, 1)
-    both = spark.sparkContext.broadcast((reached, frequent))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lately: dict[int, np.ndarray] = {}
-        for batch, texts in slices(batches, "text", SLICE):
-            yield from spell_slice(texts, batch.column("lang").to_pylist(), *both.value, longest, lately)
+    spelled = _spellings(corpus, every, reached, longest, scratch)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", SLICE):
             yield words_of_slice(texts, batch.column("lang").to_pylist())
 
-    spelled = corpus.select("lang", "text").mapInArrow(spell, _SPELLED).groupBy("code", "mark").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
     size = F.col("mark").bitwiseAND(F.lit((1 << _SIZES) - 1)).cast("int").alias("size")
     named = scratch.store(every.join(spelled, ["code", "mark"]).select("lang", "phrase", size, "n"), "phrases", reclaim=True)
-    both.destroy()
     totals = scratch.store(corpus.select("lang", "text").mapInArrow(tally, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     return named, totals
 
 
+def _spellings(corpus: DataFrame, every: DataFrame, reached: np.ndarray, longest: int, scratch: Scratch) -> DataFrame:
+    """``lang`` and ``phrase`` of all phrases in ``every``, by ``code`` and ``mark``.
+
+    A frequent phrase stands nearly anywhere, so one text in ``SAMPLE`` tells nearly all of them; the others, whatever their
+    number, are then looked for in all texts.
+    """
+    found, missing = None, every.select("code", "mark")
+    for texts_read in (corpus.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), corpus):
+        wanted = np.zeros_like(reached)
+        _enter(wanted, missing, 1)
+        both = corpus.sparkSession.sparkContext.broadcast((reached, wanted))
+
+        def spell(batches: Iterator[pa.RecordBatch], both=both) -> Iterator[pa.RecordBatch]:
+            lately: dict[int, np.ndarray] = {}
+            for batch, texts in slices(batches, "text", SLICE):
+                yield from spell_slice(texts, batch.column("lang").to_pylist(), *both.value, longest, lately)
+
+        told = texts_read.select("lang", "text").mapInArrow(spell, _SPELLED).join(missing, ["code", "mark"], "left_semi")
+        told = scratch.store(told.groupBy("code", "mark").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase")), "spelled", reclaim=True)
+        both.destroy()
+        found = told if found is None else found.unionByName(told)
+        missing = every.select("code", "mark").join(told, ["code", "mark"], "left_anti")
+    return found
+
+
 def _enter(slots: np.ndarray, phrases: DataFrame, turn: int) -> bool:
     """Enter the round in the free slots of the phrases; whether any slot changed.
 
