@@ -47,4 +47,4 @@ from holdfast.sources.files import read_csv, read_csv_pandas
 from holdfast.sources.models import load_model, save_model
 from holdfast.sources.online import publish_table
 from holdfast.sources.tables import ensure_database, preview, save_table, snapshot_table
-from holdfast.streaming.scoring import score_stream, write_stream
+from holdfast.streaming.scoring import score_arrivals, score_stream, write_stream

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -85,13 +85,24 @@ def hot_key_hashes(
     A frequent-items sketch finds them in one pass over the key columns without a shuffle; NULL counts as a key. It
     decides only which join a row takes, never whether it is kept.
     """
+    return [found for found, rows in key_counts(df, keys, most).items() if rows >= min_rows]
+
+
+def key_counts(df: DataFrame, keys: Sequence[str | Column], most: int = HOT_KEYS) -> dict[int, int]:
+    """The hashes of the ``most`` frequent keys and about their rows, from the same sketch."""
     columns = [F.col(key) if isinstance(key, str) else key for key in keys]
     found = by_lane(
         df.select(_hash_of(columns).alias("key_hash")),
         {"sketch": frequent_sketch(F.col("key_hash"), HOT_ITEMS)},
         {"top": merged_frequent(F.col("sketch"), most, HOT_ITEMS)},
     ).first()
-    return [item["item"] for item in found["top"] or [] if item["count"] >= min_rows]
+    return {item["item"]: item["count"] for item in found["top"] or []}
+
+
+def lookup_key_columns(df: DataFrame, lookup: FeatureLookup) -> list[Column]:
+    """The keys of a frame in the types in which a lookup compares, and hashes, them."""
+    features, joined = _renamed(lookup.frame(df.sparkSession), lookup.table_keys(df.sparkSession), [])
+    return [F.col(key).cast(kind) for key, kind in zip(lookup.keys, _common_types(df, features, lookup.keys, joined))]
 
 
 def _measured_bytes(df: DataFrame) -> Column:
@@ -139,18 +150,24 @@ def _left_join(df: DataFrame, features: DataFrame, keys: Sequence[str], joined:
     return df.join(features, matches, "left").drop(*joined)
 
 
+def _dealt(df: DataFrame) -> Column:
+    """A number by which rows are dealt over parts; a stream numbers no rows, so there those of a task stay together."""
+    return F.spark_partition_id() if df.isStreaming else F.monotonically_increasing_id()
+
+
 def _split_join(
-    df: DataFrame, features: DataFrame, keys: Sequence[str], joined: Sequence[str], names: Sequence[str], hot_rows: int
+    df: DataFrame, features: DataFrame, keys: Sequence[str], joined: Sequence[str], names: Sequence[str], hot: int | Sequence[int]
 ) -> DataFrame:
     """The left join, in which rows of hot keys take their features from a broadcast of just those.
 
     Features of hot keys that are too large for that are salted instead, see ``_salted_join``. All rows stay in one frame. In the shuffled join a row of a hot key has no key but a part number, which no
-    feature row has, so such rows are dealt evenly; the broadcast join that follows knows them by their key.
+    feature row has, so such rows are dealt evenly; the broadcast join that follows knows them by their key. ``hot`` are
+    the hashes of these keys, or the rows from which on a key is looked for as one.
     """
     types = _common_types(df, features, keys, joined)
     key_columns = [F.col(k).cast(t) for k, t in zip(keys, types)]
     typed = features.withColumns({j: F.col(j).cast(t) for j, t in zip(joined, types)})
-    hashes = hot_key_hashes(df, key_columns, hot_rows)
+    hashes = hot_key_hashes(df, key_columns, hot) if isinstance(hot, int) else list(hot)
     if not hashes:
         return _left_join(df, features, keys, joined)
     few = typed.where(_hash_of([F.col(j) for j in joined]).isin(hashes))
@@ -158,7 +175,7 @@ def _split_join(
         return _salted_join(df, typed, key_columns, joined, names, hashes)
     is_hot = _hash_of(key_columns).isin(hashes)
     cold = {f"__cold_{i}": F.when(~is_hot, c) for i, c in enumerate(key_columns)}
-    part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)) + 1).otherwise(0)
+    part = F.when(is_hot, F.pmod(_dealt(df), F.lit(SPREAD)) + 1).otherwise(0)
     routed = df.withColumns({**cold, "__hot": is_hot, "__part": part})
     # Always 0, but not a literal, which the optimizer would make a filter and no longer deal rows by.
     zero = F.pmod(_hash_of([F.col(j) for j in joined]), F.lit(1)).alias("__zero")
@@ -187,7 +204,7 @@ def _salted_join(
         F.explode(F.when(_hash_of([F.col(j) for j in joined]).isin(list(hashes)), many).otherwise(one)).alias("__of_part"),
     )
     is_hot = _hash_of(keys).isin(list(hashes))
-    part = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    part = F.when(is_hot, F.pmod(_dealt(df), F.lit(SALTS)) + 1).otherwise(0).cast("int")
     routed = df.withColumns({**{f"__salted_{i}": key for i, key in enumerate(keys)}, "__part": part})
     same = [F.col(f"__salted_{i}") == F.col(f"__s{j}") for i, j in enumerate(joined)]
     result = routed.join(repeated, reduce(lambda a, b: a & b, [*same, F.col("__part") == F.col("__of_part")]), "left")
@@ -200,14 +217,15 @@ def lookup_features(
     without: Sequence[str] = (),
     hot_rows: int | None = HOT_ROWS,
     prefilter: bool = False,
+    known_hot: Mapping[tuple[str, ...], Sequence[int]] | None = None,
 ) -> DataFrame:
     """Add the features of every lookup, keeping every input row; an unknown or NULL key gets NULL features.
 
     Tables must be unique by their keys, as ``create_feature_table`` checks. The input is scanned once, whatever the
     number of keys. A table that the optimizer broadcasts is simply joined. For a larger one, one pass over the keys
     looks for those with at least ``hot_rows`` rows (NULL included), whose features are measured and broadcast or, if they
-    are too large, repeated per part, so their rows are dealt evenly in the shuffled join. ``hot_rows=None`` leaves that out, as does a stream: its
-    batches are as small as its trigger makes them. ``prefilter`` is for few keys and large tables: it reduces each
+    are too large, repeated per part, so their rows are dealt evenly in the shuffled join. ``hot_rows=None`` leaves that out, and a stream cannot
+    be searched so: its hot keys, or those of any frame, can be given as ``known_hot``, hashes by lookup key. ``prefilter`` is for few keys and large tables: it reduces each
     table to the wanted keys first.
     """
     spark = df.sparkSession
@@ -227,10 +245,11 @@ def lookup_features(
             wanted = wanted_keys(df, keys)
             tables = [(features_of(wanted, features, joined), joined, names) for features, joined, names in tables]
         for features, joined, names in tables:
-            if hot_rows is None or df.isStreaming or 0 <= _planned_bytes(features) <= limit:
+            hot = known_hot.get(keys, ()) if known_hot is not None else None if df.isStreaming else hot_rows
+            if hot is None or 0 <= _planned_bytes(features) <= limit:
                 result = _left_join(result, features, keys, joined)
             else:
-                result = _split_join(result, features, keys, joined, names, hot_rows)
+                result = _split_join(result, features, keys, joined, names, hot)
     return result
 
 

@@ -308,6 +308,9 @@ FROM base JOIN buckets k USING (customer_id)""",
     "score_batch": "SELECT customer_id, true AS known_label, true AS as_fitted FROM base",
     "score_stream": """SELECT customer_id, CAST(regexp_extract(customer_id, '[0-9]+') AS BIGINT) AS c_custkey,
   true AS known_label, true AS as_batch FROM base""",
+    "score_arrivals": """SELECT customer_id, c_custkey, CAST(c_custkey % 2 AS INTEGER) AS run,
+  monthly_charges + c_custkey % 2 AS monthly_charges, true AS as_batch
+FROM (SELECT *, CAST(regexp_extract(customer_id, '[0-9]+') AS BIGINT) AS c_custkey FROM features)""",
     "label_frame": "SELECT customer_id, churn FROM base",
     "flag_to_boolean": "SELECT customer_id, senior = 1 AS senior FROM base",
     "map_category": f"SELECT customer_id, contract, {_MONTHS} AS months FROM base",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,9 @@ from holdfast.sources.feature_tables import (
     refresh_feature_table,
 )
 from holdfast.sources.files import read_csv, read_csv_pandas
-from holdfast.sources.models import save_model
+from holdfast.sources.models import load_model, save_model
 from holdfast.sources.tables import ensure_database, preview, save_table, snapshot_table
-from holdfast.streaming.scoring import score_stream, write_stream
+from holdfast.streaming.scoring import score_arrivals, score_stream, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -570,3 +571,31 @@ def stream_scores(spark, sf_dir):
     both = spark.read.parquet(out).join(batch, KEY)
     known = F.col("prediction").isin("No", POSITIVE)
     return both.select(KEY, "c_custkey", known.alias("known_label"), (F.col("prediction") == F.col("batch")).alias("as_batch"))
+
+
+@query("score_arrivals")
+def arrivals_scored(spark, sf_dir):
+    """Two deliveries of keys, with the feature table refreshed between them; the first run's version is scored again in batch."""
+    name = f"{_database(spark)}.churn_features"
+    create_feature_table(name, KEY, customer_features(spark, sf_dir), "churn features")
+    lookups = [lookup.FeatureLookup(name, KEY)]
+    fit = fit_churn(lookup.create_training_set(label_frame(spark, sf_dir), lookups, LABEL).load_df(), LABEL, KEY, trees=1)
+    path, inbox, out, checkpoint = (shared_path(spark, purpose) for purpose in ("model", "inbox", "scores", "stream"))
+    save_model(fit.model, path, fit.prepared.rows, LABEL, lookups)
+    fit.prepared.release()
+    keys = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias(KEY))
+    runs = []
+    for delivery in range(2):
+        keys.where(F.col("c_custkey") % 2 == delivery).write.mode("append").parquet(inbox)
+        if delivery:
+            refresh_feature_table(name, spark.table(name).withColumn("monthly_charges", F.col("monthly_charges") + 1), keep=1)
+        arriving = spark.readStream.schema(keys.schema).parquet(inbox)
+        runs.append(score_arrivals(path, arriving, out, checkpoint))
+    saved = load_model(spark, path)
+    batch = None
+    for run in runs:
+        pinned = replace(saved, lookups=run.pinned(spark, saved.lookups))
+        scored = score_batch(pinned, keys).select("c_custkey", F.lit(run.number).alias("run"), F.col("prediction").alias("batch"))
+        batch = scored if batch is None else batch.union(scored)
+    both = spark.read.parquet(out).join(batch, ["c_custkey", "run"])
+    return both.select(KEY, "c_custkey", "run", "monthly_charges", (F.col("prediction") == F.col("batch")).alias("as_batch"))

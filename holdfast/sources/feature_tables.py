@@ -16,6 +16,7 @@ from holdfast.sources.tables import quoted, save_table, swap_table
 KEYS_PROPERTY = "holdfast.primary_keys"
 BUCKETS_PROPERTY = "holdfast.buckets"
 DESCRIPTION_PROPERTY = "holdfast.description"
+VERSION_PROPERTY = "holdfast.version"
 
 
 @dataclass(frozen=True)
@@ -81,22 +82,54 @@ def create_feature_table(
     return get_feature_table(spark, name)
 
 
-def refresh_feature_table(name: str, df: DataFrame, description: str | None = None) -> FeatureTable:
+def refresh_feature_table(name: str, df: DataFrame, description: str | None = None, keep: int = 0) -> FeatureTable:
     """Replace the rows of a feature table; its keys, buckets and, without a new one, its description stay.
 
     The new table is written and its keys are checked before it takes the old one's place, so the frame may read the table,
-    and a failed refresh leaves it as it was. Saved lookups find the refreshed rows under the same name.
+    and a failed refresh leaves it as it was. Saved lookups find the refreshed rows under the same name. Each refresh counts
+    the version up by one; the last ``keep`` versions before it stay under names of their own, see ``table_at``.
     """
     spark = df.sparkSession
     table = get_feature_table(spark, name)
     buckets = int(_properties(spark, name).get(BUCKETS_PROPERTY, "0"))
     said = table.description if description is None else description
+    version = feature_table_version(spark, name)
     new = f"{name}__new_{uuid.uuid4().hex[:12]}"
     create_feature_table(new, table.primary_keys, df, said, buckets)
-    swap_table(spark, name, new)
+    spark.sql(f"ALTER TABLE {quoted(new)} SET TBLPROPERTIES ('{VERSION_PROPERTY}' = '{version + 1}')")
+    swap_table(spark, name, new, _kept_name(name, version) if keep else None)
+    for old in _kept_versions(spark, name):
+        if old <= version - keep:
+            spark.sql(f"DROP TABLE IF EXISTS {quoted(_kept_name(name, old))}")
     return get_feature_table(spark, name)
 
 
+def feature_table_version(spark: SparkSession, name: str) -> int:
+    """1 for a table as it was created, and one more after each refresh."""
+    return int(_properties(spark, name).get(VERSION_PROPERTY, "1"))
+
+
+def table_at(spark: SparkSession, name: str, version: int) -> str:
+    """The table that holds a version of a feature table: the table itself, or the one that a refresh kept."""
+    if feature_table_version(spark, name) == version:
+        return name
+    kept = _kept_name(name, version)
+    if not spark.catalog.tableExists(kept):
+        raise ValueError(f"version {version} of {name} is not kept; its last refreshes kept {_kept_versions(spark, name)}")
+    return kept
+
+
+def _kept_name(name: str, version: int) -> str:
+    return f"{name}__v{version}"
+
+
+def _kept_versions(spark: SparkSession, name: str) -> list[int]:
+    *database, short = name.split(".")
+    tables = spark.catalog.listTables(".".join(database) or None)
+    marked = [t.name.rpartition("__v") for t in tables if not t.isTemporary]
+    return sorted(int(version) for table, _, version in marked if table.lower() == short.lower() and version.isdigit())
+
+
 def get_feature_table(spark: SparkSession, name: str) -> FeatureTable:
     """Metadata only: name, keys, features and description. ``features`` lists every column, as the store keeps it."""
     keys = primary_keys_of(spark, name)
@@ -113,17 +146,25 @@ def read_feature_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def drop_feature_table(spark: SparkSession, name: str) -> None:
-    """Drop a feature table; any other table is refused, a missing one is no error."""
+    """Drop a feature table and its kept versions; any other table is refused, a missing one is no error."""
     if not spark.catalog.tableExists(name):
         return
     if not primary_keys_of(spark, name):
         raise ValueError(f"{name} is not a feature table")
+    for version in _kept_versions(spark, name):
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(_kept_name(name, version))}")
     spark.sql(f"DROP TABLE {quoted(name)}")
 
 
+def _is_kept(name: str, tables: set[str]) -> bool:
+    table, _, version = name.rpartition("__v")
+    return version.isdigit() and table in tables
+
+
 def list_feature_tables(spark: SparkSession, database: str) -> list[FeatureTable]:
-    """The feature tables of a database by name; its other tables and views are left out."""
-    names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.tableType != "VIEW")
+    """The feature tables of a database by name; kept versions, its other tables and views are left out."""
+    found = {t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.tableType != "VIEW"}
+    names = sorted(name for name in found if not _is_kept(name, found))
     tables = [f"{database}.{name}" for name in names]
     return [get_feature_table(spark, name) for name in tables if primary_keys_of(spark, name)]
 

@@ -51,20 +51,21 @@ def save_table(
         swap_table(spark, name, target)
 
 
-def swap_table(spark: SparkSession, name: str, new: str) -> None:
-    """Put the table ``new`` in the place of ``name`` and drop what was there.
+def swap_table(spark: SparkSession, name: str, new: str, keep_as: str | None = None) -> None:
+    """Put the table ``new`` in the place of ``name`` and drop what was there, or keep it as ``keep_as``.
 
     These are two renames, so a reader between them meets no table. Should the second one fail, the first is taken
     back and the error raised.
     """
-    old = f"{name}__old_{uuid.uuid4().hex[:12]}"
+    old = keep_as or f"{name}__old_{uuid.uuid4().hex[:12]}"
     spark.sql(f"ALTER TABLE {quoted(name)} RENAME TO {quoted(old)}")
     try:
         spark.sql(f"ALTER TABLE {quoted(new)} RENAME TO {quoted(name)}")
     except Exception:
         spark.sql(f"ALTER TABLE {quoted(old)} RENAME TO {quoted(name)}")
         raise
-    spark.sql(f"DROP TABLE {quoted(old)}")
+    if not keep_as:
+        spark.sql(f"DROP TABLE {quoted(old)}")
 
 
 def preview(df: DataFrame, keys: str | Sequence[str], rows: int = 100) -> DataFrame:
