@@ -25,6 +25,30 @@ def test_hash_is_the_jump_recurrence(spark):
             assert row[f"s{n}"] == reference(row.seed, n)
 
 
+@pytest.mark.parametrize("chunk", [1, 4])
+def test_many_shards_and_long_walks(spark, monkeypatch, chunk):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "CHUNK", chunk)
+    # No chunk but the first: all others go through the exact tail.
+    if chunk == 1:
+        monkeypatch.setattr(sharding, "SPREAD", -9)
+    for n in (60, 10_000) if chunk > 1 else (60,):
+        both = sharding.jump_hashes(F.col("id"), n, n + 1).alias("b")
+        for row in spark.range(300).select(sharding.key_seed(F.col("id")).alias("seed"), both).select("seed", "b.*").collect():
+            assert (row.s0, row.s1) == (reference(row.seed, n), reference(row.seed, n + 1))
+
+
+def test_names_of_its_own_and_refused_ones(spark):
+    from pyspark.sql import functions as F
+
+    odd = spark.range(20).select(F.col("id").alias("row"), F.lit("x").alias("block"), F.lit(1).alias("n"))
+    rows = sharding.shard(odd, "row", 2, {"block": F.col("block"), "n": F.col("n")}).collect()
+    assert {(r.block, r.n) for r in rows} == {("x", 1)} and len({(r.shard, r.slot) for r in rows}) == 20
+    with pytest.raises(ValueError, match="slot"):
+        sharding.shard(odd.withColumnRenamed("n", "slot"), "slot", 2)
+
+
 def test_one_more_shard_takes_rows_only_into_itself(spark):
     rows = sharding.shard(spark.range(4000).withColumnRenamed("id", "k").repartition(5), "k", 8).collect()
     assert all(r.grown_shard in (r.shard, 8) for r in rows)
