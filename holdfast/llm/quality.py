@@ -1,8 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects a document when its condition over derived columns holds. On a bounded sample the cascade
-estimates the time of each rule's features per document and the share that it rejects, and orders the rules by
-rejection per cost; a CASE evaluates them in that order and leaves out what a rejected document no longer needs.
+estimates the time of each feature and which rows each rule rejects, and orders the rules by rejection per cost; a CASE evaluates them in that order and leaves out what a rejected document no longer needs.
 The order changes the cost and which rule is named first, never the verdict.
 """
 
@@ -16,10 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.registry import documents, query
+from holdfast.llm.scratch import free_name
 
 #: Documents that the estimates look at, at most, and the longest of them; only the order of the rules depends on them.
 SAMPLE_ROWS, SAMPLE_BYTES = 200, 100_000
 
+#: How often the sample is repeated for timing, at most, and characters that the repeated sample has, about.
+SAMPLE_COPIES, SAMPLE_WORK = 10, 1_000_000
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -118,23 +121,58 @@ def _condition(rule: Rule, features: dict[str, Column]) -> Column:
     return rule.rejects(*(features[name] for name in rule.features))
 
 
+def sample_texts(df: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> list[str | None]:
+    """At most ``rows`` texts from all over the table: those of least hash of text and place, so copies do not come together."""
+    short = df.select(F.col(text).alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    drawn = short.withColumn("draw", F.xxhash64("text", F.monotonically_increasing_id()))
+    return [row["text"] for row in drawn.orderBy("draw").limit(rows).select("text").collect()]
+
+
+def feature_costs(sample: DataFrame, features: dict[str, Column], copies: int) -> dict[str, float]:
+    """Seconds that each feature takes for one pass over a sample with the columns ``text`` and ``words``.
+
+    One job reads the clock before and after each feature of each row, so what a job costs whatever its rows is not in it. The
+    sample is gone through ``copies`` times, in a job like one that ran just before.
+    """
+    clock = F.expr("cast(reflect('java.lang.System', 'nanoTime') as bigint)")
+    repeated = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
+    timed = repeated.select(*(F.array(clock, value, clock).alias(name) for name, value in features.items()))
+    # The value is summed as well, so that it has to be computed.
+    sums = timed.agg(*(F.struct(F.sum(F.get(n, F.lit(2)) - F.get(n, F.lit(0))), F.sum(F.get(n, F.lit(1)))).alias(n) for n in features))
+    for _ in range(2):
+        found = sums.first()
+    return {name: max((found[name][0] or 0) / copies / 1e9, 1e-9) for name in features}
+
+
 def rule_order(df: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected share per second on a sample of at most ``sample_rows`` documents.
+    """The rules by what each rejects per second of the documents that the rules before it leave of a sample.
 
-    An empty table keeps the given order. Estimates only order the rules, so they need not repeat exactly.
+    A rule pays for those of its features that no rule before it has paid for. An empty table keeps the given order.
+    Estimates only order the rules, so they need not repeat exactly.
     """
-    short = df.select(F.col(text).alias("text")).where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES)
-    rows = short.take(sample_rows)
-    if not rows:
+    texts = sample_texts(df, text, sample_rows)
+    if not texts:
         return list(rules)
-    sample = df.sparkSession.createDataFrame([(row["text"],) for row in rows], "text string").withColumn("words", words_of(F.col("text")))
+    spark = df.sparkSession
+    drawn = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).withColumn("words", words_of(F.col("text")))
+    # Words are kept as a column, so that no feature is charged for splitting the text again.
+    drawn = drawn.select("text", F.when(F.rand() >= 0, F.col("words")).alias("words"))
     features = features_of(F.col("text"), F.col("words"))
-    value = {}
-    for rule in rules:
-        begin = time.perf_counter()
-        rejected = sample.agg(F.count_if(_condition(rule, features))).first()[0]
-        value[rule.name] = rejected / len(rows) / max(time.perf_counter() - begin, 1e-6)
-    return sorted(rules, key=lambda rule: -value[rule.name])
+    size = sum(len(t or "") for t in texts) + 1
+    costs = feature_costs(drawn, features, max(1, min(SAMPLE_COPIES, SAMPLE_WORK // size)))
+    verdicts = drawn.select(*(_condition(rule, features).alias(rule.name) for rule in rules)).collect()
+    left, paid, ordered = [row.asDict() for row in verdicts], set(), []
+    while len(ordered) < len(rules):
+
+        def value(rule: Rule) -> float:
+            cost = sum(costs[name] for name in set(rule.features) - paid)
+            return sum(bool(row[rule.name]) for row in left) / max(cost, 1e-9)
+
+        best = max((rule for rule in rules if rule not in ordered), key=value)
+        ordered.append(best)
+        paid.update(best.features)
+        left = [row for row in left if not row[best.name]]
+    return ordered
 
 
 def rejected_by(ordered: Sequence[Rule], features: dict[str, Column]) -> Column:
@@ -151,7 +189,7 @@ def quality_features(df: DataFrame, text: str = "text", rules: Sequence[Rule] =
     Null texts count as empty and are rejected as short. Every row stays, repeated ones included; the other columns
     are left alone, and one called ``out`` is replaced.
     """
-    work = f"__{out}_words"
+    work = free_name(df, f"{out}_words")
     ordered = rule_order(df, text, rules)
     features = features_of(F.col(text), F.col(work))
     measured = df.withColumn(work, words_of(F.col(text))).withColumn(out, F.struct(*(c.alias(n) for n, c in features.items())))

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from llm_cases import ODD
+from pyspark.sql import functions as F
 
 from holdfast.llm import quality
 
@@ -80,3 +81,37 @@ def test_sql(spark, name):
     rows = QUERIES[name](spark, sf_dir)
     assert rows.columns == list(relation.columns)
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(relation.fetchall(), key=str)
+
+
+def test_costs_follow_the_work_and_not_the_job(spark):
+    import random
+
+    rng = random.Random(4)
+    text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(4000))
+
+    def costs(rows):
+        sample = spark.createDataFrame([(text,)] * rows, "text string").coalesce(1)
+        sample = sample.withColumn("words", quality.words_of(F.col("text")))
+        return quality.feature_costs(sample, quality.features_of(F.col("text"), F.col("words")), 4)
+
+    one, many = costs(1), costs(60)
+    # The dearest feature of 60 texts costs far more than that of one, and counting words far less than sorting windows.
+    assert many["n_repeat_words"] > 8 * one["n_repeat_words"]
+    assert many["n_repeat_words"] > 3 * many["n_symbols"]
+
+
+def test_samples_come_from_all_over_the_table(spark):
+    rows = spark.range(0, 20_000, 1, 20).select(F.spark_partition_id().cast("string").alias("text"))
+    drawn = quality.sample_texts(rows, "text", 200)
+    assert len(drawn) == 200 and len(set(drawn)) > 15
+
+
+def test_order_takes_what_rejects_most_for_least(spark):
+    names = quality.rule_order(spark.createDataFrame([("too short",)] * 50, "text string"), "text")
+    assert names[0].name == "short" and {r.name for r in names} == {r.name for r in quality.RULES}
+
+
+def test_a_column_of_the_working_name_stays(spark):
+    df = spark.createDataFrame([("a b", 7)], "text string, quality_words int")
+    row = quality.quality_features(df).first()
+    assert row.quality_words == 7 and row.quality.n_words == 2
