@@ -98,3 +98,58 @@ def test_redaction(spark):
 
 def test_no_rows(spark):
     assert secrets.scan(spark.createDataFrame([], "text string"), "text").collect() == []
+
+
+WEAK = {
+    "blob": re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}"),
+    "account": re.compile(r"""(user|username|user_?id|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.I | re.A),
+    "endpoint": re.compile(
+        r"""([a-z][a-z0-9+.-]{1,15}://|(host|hostname|server|endpoint)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9._:/@%?=&-]{3,}""", re.I | re.A
+    ),
+}
+ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "blob": "secret", "account": "identifier", "endpoint": "endpoint"}
+
+
+def all_pairs(text):
+    """Every weak candidate held against every other part of its paragraph."""
+    strong = [(a, b, kind) for a, _, b, kind in base(text)]
+    weak = []
+    for kind, pattern in WEAK.items():
+        for m in pattern.finditer(text):
+            if kind == "blob" and not all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]")):
+                continue
+            if not any(a < m.end() and m.start() < b for a, b, _ in strong):
+                weak.append((m.start(), m.end(), kind))
+    breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
+    scope = lambda at: sum(b < at for b in breaks)
+    parts, reported = strong + weak, list(strong)
+    for a, b, kind in weak:
+        near = {
+            ROLES[k]
+            for c, d, k in parts
+            if (c, d, k) != (a, b, kind) and scope(c) == scope(a) and max(c - b, a - d) <= secrets.REACH
+        }
+        if kind == "endpoint":
+            complete = {"identifier", "secret"} <= near
+        else:
+            complete = "secret" in near if kind == "account" else bool({"identifier", "endpoint"} & near)
+        if complete:
+            reported.append((a, b, kind))
+    return sorted(reported)
+
+
+def test_linked_spans_equal_all_pairs(spark):
+    rng = random.Random(17)
+    parts = [KEY, BLOB, "user=bob", "login: alice", "host=db.example.com", "https://a.example/x", "password=hunter22", "a1" * 13, "\n\n", "é"]
+    texts = []
+    for _ in range(300):
+        pieces = []
+        for _ in range(rng.randrange(1, 9)):
+            pieces += [rng.choice(parts), rng.choice([" ", "\n", " plain words ", " w" * rng.randrange(100, 200)])]
+        texts.append("".join(pieces))
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text").collect()
+    got = {r.id: sorted((s.start, s.end, s.kind) for s in r.spans) for r in rows}
+    for i, text in enumerate(texts):
+        assert got[i] == all_pairs(text), text
+    weak = sum(k in WEAK for spans in got.values() for *_, k in spans)
+    assert 100 < weak < sum(len(p.findall(t)) for t in texts for p in WEAK.values())
