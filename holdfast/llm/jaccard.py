@@ -32,6 +32,9 @@ from holdfast.llm.words import SOLID, Texts, find_words, hash_windows, hash_word
 #: N-grams that are put last in the order, at most; which they are changes the work and never the result.
 COMMON = 1 << 16
 
+#: Parts over which rows of a common n-gram are dealt.
+PARTS = 16
+
 #: Beyond so many candidates their keys are joined by a shuffle instead of a broadcast.
 BROADCAST_KEYS = 500_000
 
@@ -154,8 +157,13 @@ def prefixes(df: DataFrame, text: str, measure: Measure, common: np.ndarray) ->
     return df.withColumn("text_key", F.xxhash64(text)).mapInArrow(run, schema)
 
 
-def _incidence(nodes: DataFrame) -> DataFrame:
-    """A row per n-gram of a node's prefix, with its place there."""
+def _incidence(nodes: DataFrame, common: np.ndarray) -> DataFrame:
+    """A row per n-gram of a node's prefix, with its place there, and ``part``.
+
+    Rows of common n-grams are dealt over parts 1 .. ``PARTS``, all others are in part 0. So no task holds the bucket of an
+    n-gram that a third of the sets share.
+    """
+    shared = nodes.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -165,10 +173,24 @@ def _incidence(nodes: DataFrame) -> DataFrame:
                 parts = [np.frombuffer(p, dtype=np.uint64) for p in batch.column("prefix").to_pylist()]
                 times = np.array([len(p) for p in parts])
                 columns = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("node", "n")]
-                place = np.concatenate([np.arange(t) for t in times])
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(parts)), *map(pa.array, [*columns, place])], names=["ngram", "node", "n", "place"])
+                place, ngrams, often = np.concatenate([np.arange(t) for t in times]), np.concatenate(parts), shared.value
+                at = np.searchsorted(often, ngrams)
+                known = often[np.minimum(at, len(often) - 1)] == ngrams if len(often) else np.zeros(len(ngrams), bool)
+                part = np.where(known, np.repeat(np.arange(len(times)) % PARTS + 1, times), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([_long(ngrams), *map(pa.array, [*columns, place, part])], names=["ngram", "node", "n", "place", "part"])
+
+    return nodes.select("node", "n", "prefix").mapInArrow(run, "ngram long, node long, n long, place long, part int")
 
-    return nodes.select("node", "n", "prefix").mapInArrow(run, "ngram long, node long, n long, place long")
+
+def _per_ngram(rows: DataFrame, scratch: Scratch, **values: Column) -> DataFrame:
+    """The rows with ``values``, aggregates over their n-gram's bucket.
+
+    Counted in each task before rows are shuffled; the one row of a common n-gram is repeated for all parts and joined to the rows there.
+    """
+    found = rows.groupBy("ngram").agg(F.max("part").alias("dealt"), *(v.alias(name) for name, v in values.items()))
+    parts = F.when(F.col("dealt") > 0, F.sequence(F.lit(1), F.lit(PARTS))).otherwise(F.array(F.lit(0)))
+    found = scratch.store(found.select("ngram", *values, F.explode(parts).alias("part")), "buckets", reclaim=True)
+    return rows.join(found, ["ngram", "part"])
 
 
 def _bounded(pairs: DataFrame, measure: Measure) -> DataFrame:
@@ -249,14 +271,15 @@ def components(df: DataFrame, text: str, keep: list[str], measure: Measure = Mea
     least = F.struct(F.col(row).alias("node"), "n", "text_key", "prefix")
     nodes = docs.where("set_key is not null").groupBy("set_key").agg(F.min(least).alias("x")).select("set_key", "x.*")
     nodes = scratch.store(nodes, "nodes")
-    bucket = Window.partitionBy("ngram")
-    shared = _incidence(nodes).withColumn("members", F.count(F.lit(1)).over(bucket)).where("members > 1").drop("members")
+    # N-grams of one set link nothing; common ones are in more than one. No other bucket is larger than theirs.
+    bucket = Window.partitionBy("ngram", "part")
+    shared = _incidence(nodes, common).withColumn("members", F.count(F.lit(1)).over(bucket)).where("members > 1 or part > 0").drop("members")
     shared = scratch.store(shared, "incidence")
     # Of near copies the one with the fewest n-grams of its own is the best center.
     own = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("known"))
     own = own.select("node", (F.col("n") - measure.rest(F.col("n")) - F.col("known")).alias("own"))
-    center = F.min(F.struct("own", "node", "n")).over(bucket)
-    stars = shared.join(own, "node").withColumn("center", center)
+    known = scratch.store(shared.join(own, "node").drop("place"), "own")
+    stars = _per_ngram(known, scratch, center=F.min(F.struct("own", "node", "n")))
     stars = stars.select("node", "n", F.col("center.node").alias("center"), F.col("center.n").alias("nc"))
     stars = stars.where((F.col("node") != F.col("center")) & measure.sizes_fit(F.col("n"), F.col("nc")))
     stars = _bounded(stars.select(F.col("node").alias("a"), F.col("center").alias("b"), F.col("n").alias("na"), F.col("nc").alias("nb")), measure)
@@ -265,8 +288,9 @@ def components(df: DataFrame, text: str, keep: list[str], measure: Measure = Mea
     groups = connected(first, scratch)
     # The first n-gram that a pair shares leaves room for the required overlap behind it in both sets.
     early = shared.where(F.col("place") <= F.col("n") - F.call_function("div", measure.percent * F.col("n") + 99, F.lit(100)))
-    placed = early.select("ngram", "node", "n", "place").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    mixed = placed.withColumns({"low": F.min("group").over(bucket), "high": F.max("group").over(bucket)}).where("low <> high")
+    placed = early.select("ngram", "node", "n", "place", "part").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    placed = scratch.store(placed.drop("component"), "placed")
+    mixed = _per_ngram(placed, scratch, low=F.min("group"), high=F.max("group")).where("low <> high")
     mixed = scratch.store(mixed.select("ngram", "node", "n", "place", "group"), "mixed")
     one = mixed.select("ngram", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "group")))
     two = mixed.select("ngram", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "group")))

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from llm_cases import ODD
 
+from pyspark.sql import functions as F
+
 from holdfast.llm import jaccard
 from holdfast.llm.graph import connected
 from holdfast.llm.jaccard import Measure
@@ -117,3 +119,22 @@ def test_query(spark, tmp_path):
 
 def test_no_rows(spark):
     assert jaccard.components(spark.createDataFrame([], "place bigint, text string"), "text", ["place"]).collect() == []
+
+
+def test_rows_of_a_common_ngram_are_dealt_over_parts(spark):
+    import numpy as np
+
+    from holdfast.llm.scratch import Scratch
+
+    # One n-gram in a third of all sets, and one of each set's own.
+    sets = [(i, 2, np.array([7, 1000 + i] if i % 3 == 0 else [1000 + i, 5000 + i // 2], np.uint64).tobytes()) for i in range(960)]
+    nodes = spark.createDataFrame(sets, "node long, n long, prefix binary").coalesce(1)
+    rows = jaccard._incidence(nodes, np.array([3, 7], np.uint64))
+    counted = {(r.ngram == 7, r.part): r["count"] for r in rows.groupBy(F.expr("ngram = 7").alias("h"), "part", F.expr("if(ngram = 7, 7, 0)").alias("ngram")).count().collect()}
+    assert sum(n for (hot, _), n in counted.items() if hot) == 320 and counted[False, 0] == 1600
+    # Each part holds its share.
+    assert max(n for (hot, _), n in counted.items() if hot) <= 20 and len(counted) == jaccard.PARTS + 1
+    scratch = Scratch(spark)
+    low = jaccard._per_ngram(rows, scratch, low=F.min("node"), members=F.count(F.lit(1))).where("ngram = 7").collect()
+    scratch.clear()
+    assert len(low) == 320 and {(r.low, r.members) for r in low} == {(0, 320)}
