@@ -152,7 +152,7 @@ def feature_costs(sample: DataFrame, features: dict[str, Column], copies: int) -
 def rule_order(df: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by what each rejects per second of the documents that the rules before it leave of a sample.
 
-    A rule pays for those of its features that no rule before it has paid for. An empty table keeps the given order.
+    Rules equal in that, as are all once no document is left, go by what they reject of the whole sample. A rule pays for those of its features that no rule before it has paid for. An empty table keeps the given order.
     Estimates only order the rules, so they need not repeat exactly.
     """
     texts = sample_texts(df, text, sample_rows)
@@ -166,12 +166,13 @@ def rule_order(df: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_r
     size = sum(len(t or "") for t in texts) + 1
     costs = feature_costs(drawn, features, max(1, min(SAMPLE_COPIES, SAMPLE_WORK // size)))
     verdicts = drawn.select(*(_condition(rule, features).alias(rule.name) for rule in rules)).collect()
-    left, paid, ordered = [row.asDict() for row in verdicts], set(), []
+    every = left = [row.asDict() for row in verdicts]
+    paid, ordered = set(), []
     while len(ordered) < len(rules):
 
-        def value(rule: Rule) -> float:
-            cost = sum(costs[name] for name in set(rule.features) - paid)
-            return sum(bool(row[rule.name]) for row in left) / max(cost, 1e-9)
+        def value(rule: Rule) -> tuple[float, float]:
+            cost = max(sum(costs[name] for name in set(rule.features) - paid), 1e-9)
+            return sum(bool(row[rule.name]) for row in left) / cost, sum(bool(row[rule.name]) for row in every) / cost
 
         best = max((rule for rule in rules if rule not in ordered), key=value)
         ordered.append(best)
