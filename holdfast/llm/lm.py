@@ -83,7 +83,8 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 class Vocabulary:
     """Totals of the training tokens, the frequent words by hash, and the smoothed mass of every class.
 
-    ``vector`` is a frequent word's number in ``tree``, the words above the floor, or -1.
+    ``vector`` is a frequent word's number in ``tree``, the words above the floor, or -1. Hashes whose first bits read b
+    are the numbers ``buckets[b]`` up to ``buckets[b + 1]``, few each.
     """
 
     tokens: int
@@ -95,6 +96,7 @@ class Vocabulary:
     mass: np.ndarray
     vector: np.ndarray
     tree: lm_words.Tree
+    buckets: np.ndarray
 
     def log_share(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + SMOOTHING) / (self.tokens + SMOOTHING * (self.distinct + 1)))
@@ -103,8 +105,22 @@ class Vocabulary:
         """The number of each frequent word, or -1."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        first = (hashes >> np.uint64(64 - (len(self.buckets) - 1).bit_length() + 1)).astype(np.int64)
+        found = np.full(len(hashes), -1)
+        todo, at, end = np.arange(len(hashes)), self.buckets[first], self.buckets[first + 1]
+        while len(todo):
+            left = at < end
+            todo, at, end = todo[left], at[left], end[left]
+            same = self.hashes[at] == hashes[todo]
+            found[todo[same]] = at[same]
+            todo, at, end = todo[~same], at[~same] + 1, end[~same]
+        return found
+
+
+def bucket_starts(hashes: np.ndarray) -> np.ndarray:
+    """Where the buckets of sorted hashes begin: by as many first bits as give about one hash a bucket, and the end."""
+    bits = max(1, len(hashes).bit_length())
+    return np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary | None:
@@ -132,7 +148,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary | None:
     share = (c[above] + SMOOTHING) / (total["n"] + SMOOTHING * (total["v"] + 1))
     tree = lm_words.build_tree(CLASSES, END + 1 + tails[above], share, mass)
     order = np.argsort(hashes.view(np.uint64))
-    return Vocabulary(total["n"], total["v"], hashes.view(np.uint64)[order], c[order], own[order], total["e"], mass, vector[order], tree)
+    ordered = hashes.view(np.uint64)[order]
+    return Vocabulary(total["n"], total["v"], ordered, c[order], own[order], total["e"], mass, vector[order], tree, bucket_starts(ordered))
 
 
 @dataclass(frozen=True)

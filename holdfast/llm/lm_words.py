@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 SIZE, DRAWS, BATCH, RATE, PASSES = 16, 4, 16384, 0.1, 1
 
+#: Events of a step whose gradients are worked out together.
+PIECE = 2048
+
 #: The least count of a word with vectors, at the least.
 LEAST = 5
 
@@ -147,17 +150,27 @@ def log_gains(tree: Tree, vectors: Vectors, found: Events, tokens: int) -> np.nd
 
 
 def nce_gradient(tree: Tree, vectors: Vectors, found: Events, at: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and their gradients of the loss of some events, each against its row of ``drawn`` nodes."""
+    """Rows and their gradients of the loss of some events, each against its row of ``drawn`` nodes.
+
+    The gradients lie in memory one dimension after the other, as they are summed.
+    """
     far, near = found.far[at], vectors.symbols + found.near[at]
-    context = vectors.rows[far] + vectors.rows[near]
     nodes = np.concatenate([found.node[at][:, None], drawn], axis=1) + 2 * vectors.symbols
-    own = vectors.rows[nodes]
-    margin = np.einsum("ekd,ed->ek", own, context) - np.float32(np.log(drawn.shape[1]))
-    slope = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
-    slope[:, 0] -= 1.0
-    back = np.einsum("ek,ekd->ed", slope, own)
-    size = context.shape[1]
-    return np.concatenate([far, near, nodes.ravel()]), np.concatenate([back, back, (slope[:, :, None] * context[:, None, :]).reshape(-1, size)])
+    count, size = len(at), vectors.rows.shape[1]
+    gradients = np.empty((size, 2 * count + nodes.size), np.float32)
+    for_nodes = gradients[:, 2 * count :].reshape(size, *nodes.shape)
+    # A few thousand events at a time stay in the processor's cache.
+    for a in range(0, count, PIECE):
+        b = min(a + PIECE, count)
+        context = vectors.rows[far[a:b]] + vectors.rows[near[a:b]]
+        own = vectors.rows[nodes[a:b]]
+        margin = np.einsum("ekd,ed->ek", own, context) - np.float32(np.log(drawn.shape[1]))
+        slope = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
+        slope[:, 0] -= 1.0
+        gradients[:, a:b] = np.einsum("ek,ekd->ed", slope, own).T
+        np.multiply(np.ascontiguousarray(context.T)[:, :, None], slope, out=for_nodes[:, a:b])
+    gradients[:, count : 2 * count] = gradients[:, :count]
+    return np.concatenate([far, near, nodes.ravel()]), gradients.T
 
 
 class Learner:
@@ -168,6 +181,7 @@ class Learner:
         self.now = Vectors(vectors.rows.copy(), vectors.symbols)
         self.square = np.full(vectors.rows.shape, 1e-2, np.float32)
         self.met = np.zeros(len(vectors.rows), np.int64)
+        self.last = np.zeros(len(vectors.rows), np.int64)
         self.random = np.random.default_rng(seed)
         self.ends = np.concatenate([[0.0], np.cumsum(tree.mass)])
 
@@ -177,17 +191,24 @@ class Learner:
         drawn = np.searchsorted(self.ends, spread, side="right") - 1
         return np.clip(drawn, low[:, None], high[:, None] - 1)
 
+    def distinct(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct rows, and for each row its number among them, without sorting."""
+        place = np.arange(len(rows))
+        self.last[rows] = place
+        last = self.last[rows]
+        chosen = last == place
+        return rows[chosen], (np.cumsum(chosen) - 1)[last]
+
     def learn(self, found: Events) -> None:
         order = self.random.permutation(len(found.token))
         for a in range(0, len(order), BATCH):
             at = order[a : a + BATCH]
             rows, gradients = nce_gradient(self.tree, self.now, found, at, self.draw(found.family[at]))
-            values, inverse, met = np.unique(rows, return_inverse=True, return_counts=True)
-            flat = (inverse.astype(np.int64)[:, None] * SIZE + np.arange(SIZE)).ravel()
-            summed = np.bincount(flat, gradients.ravel(), len(values) * SIZE).reshape(-1, SIZE).astype(np.float32)
+            values, number = self.distinct(rows)
+            summed = np.stack([np.bincount(number, g, len(values)) for g in gradients.T], axis=1).astype(np.float32)
             self.square[values] += summed * summed
             self.now.rows[values] -= RATE * summed / np.sqrt(self.square[values])
-            self.met[values] += met
+            self.met[values] += np.bincount(number)
 
     def changes(self) -> Iterator[pa.RecordBatch]:
         touched = np.flatnonzero(self.met)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm_cases import ODD
 
-from holdfast.llm import lm
+from holdfast.llm import lm, lm_words
 
 
 def words_of(text):
@@ -139,3 +139,45 @@ def test_no_training_rows(spark, frame):
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score, r.train_tokens) for r in rows) == [(1, 3, 0, 0.0, 0.0, 0), (2, 1, 0, 0.0, 0.0, 0)]
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert lm.language_model_scores(empty, "doc_id", "text", ~lm.held_out("doc_id")).collect() == []
+
+
+def test_gradient_of_words_is_that_of_their_loss():
+    random = np.random.default_rng(5)
+    tree = lm_words.build_tree(2, np.array([0, 0, 1, 1, 1]), np.full(5, 0.1), np.array([0.4, 0.6]))
+    vectors = lm_words.Vectors.start(tree, 2)
+    vectors = lm_words.Vectors(random.normal(0, 0.5, vectors.rows.shape), vectors.symbols)
+    n = lm_words.PIECE + 7
+    family = random.integers(0, 2, n)
+    node = tree.first[family] + random.integers(0, 2, n)
+    found = lm_words.Events(np.arange(n), random.integers(0, 8, n), random.integers(0, 8, n), family, node)
+    drawn = tree.first[family][:, None] + random.integers(0, 2, (n, 4))
+
+    def loss(rows):
+        context = rows[found.far] + rows[vectors.symbols + found.near]
+        margin = np.einsum("ekd,ed->ek", rows[2 * vectors.symbols + np.concatenate([node[:, None], drawn], axis=1)], context) - np.log(4)
+        return np.log1p(np.exp(-margin[:, 0])).sum() + np.log1p(np.exp(margin[:, 1:])).sum()
+
+    rows, parts = lm_words.nce_gradient(tree, vectors, found, np.arange(n), drawn)
+    gradient = np.zeros_like(vectors.rows)
+    np.add.at(gradient, rows, parts)
+    for at in [(0, 0), (3, 2), (vectors.symbols + 4, 1), (2 * vectors.symbols, 5), (2 * vectors.symbols + 4, 3)]:
+        moved = vectors.rows.copy()
+        moved[at] += 1e-4
+        back = vectors.rows.copy()
+        back[at] -= 1e-4
+        assert abs((loss(moved) - loss(back)) / 2e-4 - gradient[at]) < 1e-2
+    learner = lm_words.Learner(tree, vectors, 1)
+    values, number = learner.distinct(rows)
+    assert sorted(values) == sorted(set(rows.tolist())) and (values[number] == rows).all()
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 1000])
+def test_hashes_are_found_by_their_first_bits(size):
+    random = np.random.default_rng(size)
+    hashes = np.sort(random.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+    if size == 1000:
+        hashes = np.sort(np.concatenate([hashes, np.arange(50, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(50, dtype=np.uint64)]))
+    known = lm.Vocabulary(0, 0, hashes, None, None, 0, None, None, None, lm.bucket_starts(hashes))
+    asked = np.concatenate([hashes, random.integers(0, 1 << 63, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    place = {h: i for i, h in enumerate(hashes.tolist())}
+    assert known.look_up(asked).tolist() == [place.get(h, -1) for h in asked.tolist()]
