@@ -19,12 +19,20 @@ NEAR = Measure(words=5, percent=80)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that a quality rule rejects."""
+    """Drops the documents that a quality rule rejects.
+
+    Null and empty texts have no words and are rejected; equal rows are judged alike, and an empty table stays empty.
+    Other columns are kept as they are.
+    """
     return filter_quality(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that a model of their labels scores at the threshold or above."""
+    """Drops the documents that a model of their labels scores at the threshold or above.
+
+    Null and empty texts hold no sentence and stay; a document at the threshold itself goes. Rows with a null ``doc_id`` have no
+    label and are scored like any other. Equal texts get equal scores. An empty table, or one without labels, loses nothing.
+    """
     ship(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "text", "toxic", ~held_out("doc_id"))
     out = free_name(docs, "toxicity")
@@ -49,7 +57,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in place of every reported secret; ``n_chars``, if there is one, follows the text.
 
-    Only documents in which some pattern matches go through the scan.
+    Only documents in which some pattern matches go through the scan. Null and empty texts stay as they are, equal rows are
+    treated alike, and spans that touch or overlap become one mark.
     """
     row, parts, spans = (free_name(docs, name) for name in ("__row", "__parts", "__spans"))
     hit = secrets.has_part(F.col("text"))
@@ -63,7 +72,11 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents."""
+    """The packed pieces of the documents.
+
+    Null and empty texts are their end token alone. Each of several equal rows is packed; pieces of equal length take their
+    places in any order. No document, no piece.
+    """
     ship(spark)
     return pack_documents(docs, "doc_id", "text", vocabulary_path())
 
