@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from holdfast.llm.bpe import vocabulary_path
 from holdfast.llm.registry import documents, query
-from holdfast.llm.scratch import stored
+from holdfast.llm.scratch import free_name, stored
 from holdfast.llm.subwords import Ragged, encode_texts
 from holdfast.llm.words import slices
 
@@ -152,16 +152,21 @@ class OpenBins:
         return number, self.capacity - free
 
 
-def pack(pieces: DataFrame, length: str, spread: list[str], capacity: int = SEQUENCE, open_bins: int = OPEN_BINS, lane_pieces: int = LANE_PIECES) -> DataFrame:
+def pack(
+    pieces: DataFrame, length: str, spread: list[str], capacity: int = SEQUENCE, open_bins: int = OPEN_BINS,
+    lane_pieces: int = LANE_PIECES, window: int = WINDOW,
+) -> DataFrame:
     """The frame with ``sequence_id`` and ``offset``; pieces longer than ``capacity`` are an error.
 
     ``spread`` names columns that tell rows apart: their hash deals the pieces evenly into lanes, about one per
-    ``lane_pieces`` rows, and orders them inside, so equal keys do not gather. A lane is packed as a stream, ``WINDOW`` pieces
-    at a time and the longest of these first: memory is the open bins and a window. The frame is read twice, once for its count, so it should be stored.
+    ``lane_pieces`` rows, and orders them inside, so equal keys do not gather. A lane is packed as a stream, ``window`` pieces
+    at a time and the longest of these first, an extension of online best fit, which ``window=1`` is: memory is the open bins and
+    a window. Columns called ``sequence_id`` or ``offset`` are replaced. The frame is read twice, once for its count, so it should be stored.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     lanes = max(1, round(pieces.count() / lane_pieces))
-    order = F.xxhash64(*spread)
-    ready = pieces.withColumn("__order", order).withColumn("__lane", F.pmod(F.xxhash64("__order"), F.lit(lanes)).cast("int"))
+    place, lane_of = free_name(pieces, "__order"), free_name(pieces, "__lane")
+    ready = pieces.withColumn(place, F.xxhash64(*spread)).withColumn(lane_of, F.pmod(F.xxhash64(place), F.lit(lanes)).cast("int"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     kept = pieces.columns
@@ -169,9 +174,9 @@ def pack(pieces: DataFrame, length: str, spread: list[str], capacity: int = SEQU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane, bins = None, None
         for whole in batches:
-            for first in range(0, whole.num_rows, WINDOW):
-                batch = whole.slice(first, WINDOW)
-                lanes_of, sizes = batch.column("__lane").to_pylist(), batch.column(length).to_pylist()
+            for first in range(0, whole.num_rows, window):
+                batch = whole.slice(first, window)
+                lanes_of, sizes = batch.column(lane_of).to_pylist(), batch.column(length).to_pylist()
                 numbers, places = [0] * len(sizes), [0] * len(sizes)
                 for i in sorted(range(len(sizes)), key=lambda i: (lanes_of[i], -sizes[i])):
                     if not 0 < sizes[i] <= capacity:
@@ -183,7 +188,7 @@ def pack(pieces: DataFrame, length: str, spread: list[str], capacity: int = SEQU
                 columns = [batch.column(name) for name in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(places, pa.int64())], names=[*kept, "sequence_id", "offset"])
 
-    return ready.repartition(lanes, "__lane").sortWithinPartitions("__lane", "__order", *spread).mapInArrow(run, schema)
+    return ready.repartition(lanes, lane_of).sortWithinPartitions(lane_of, place, *spread).mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, key: str, text: str, path: str, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:

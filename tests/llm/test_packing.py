@@ -75,3 +75,15 @@ def test_no_rows(spark):
 def test_too_long_a_piece(spark):
     with pytest.raises(Exception, match="does not fit"):
         packing.pack(spark.range(1).selectExpr("id", "11L as length"), "length", ["id"], capacity=10).collect()
+
+
+def test_plain_online_and_clashing_names(spark):
+    pieces = spark.range(500).selectExpr("id", "cast(id % 90 + 1 as bigint) as length", "'x' as __lane", "'y' as __order", "7 as offset").repartition(3)
+    for window in (1, packing.WINDOW):
+        rows = packing.pack(pieces, "length", ["id"], capacity=100, open_bins=20, window=window).collect()
+        assert len(rows) == 500 and {(r["__lane"], r["__order"]) for r in rows} == {("x", "y")}
+        used = {}
+        for r in rows:
+            used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(sum(n for _, n in places) <= 100 and min(places)[0] == 0 for places in used.values())
+        assert len(used) <= 1.15 * sum(r.length for r in rows) / 100
