@@ -161,7 +161,7 @@ def pack(
     ``spread`` names columns that tell rows apart: their hash deals the pieces evenly into lanes, about one per
     ``lane_pieces`` rows, and orders them inside, so equal keys do not gather. A lane is packed as a stream, ``window`` pieces
     at a time and the longest of these first, an extension of online best fit, which ``window=1`` is: memory is the open bins and
-    a window. Columns called ``sequence_id`` or ``offset`` are replaced. The frame is read twice, once for its count, so it should be stored.
+    a window. With few open bins a wide window does harm, as long pieces close them before short ones come. Columns called ``sequence_id`` or ``offset`` are replaced. The frame is read twice, once for its count, so it should be stored.
     """
     pieces = pieces.drop("sequence_id", "offset")
     lanes = max(1, round(pieces.count() / lane_pieces))
