@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.llm.registry import documents, query
-from holdfast.llm.subwords import Ragged, encode_texts
+from holdfast.llm.subwords import Ragged, encode_texts, known_words
 from holdfast.llm.words import ragged, slices
 
 VOCABULARY = "word_bpe_49k.json"
@@ -279,7 +279,7 @@ def encode(df: DataFrame, text: str, path: str, out: str = "ids", decoded: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
         for batch, texts in slices(batches, text, ENCODE_BYTES):
-            found = encode_texts(texts, lambda w: encode_words(vocabulary, w), lambda w: encode_pieces(vocabulary, w))
+            found = encode_texts(texts, lambda w: encode_words(vocabulary, w), lambda w: encode_pieces(vocabulary, w), known_words(path, "tree"))
             each = [found.ids[a:b] for a, b in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)]
             columns = [pa.array([ids.astype("<u4").tobytes() for ids in each], pa.binary())]
             if decoded:

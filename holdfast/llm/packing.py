@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from holdfast.llm.bpe import vocabulary_path
 from holdfast.llm.registry import documents, query
 from holdfast.llm.scratch import free_name, stored
-from holdfast.llm.subwords import Ragged, encode_texts
+from holdfast.llm.subwords import Ragged, encode_texts, known_words
 from holdfast.llm.words import slices
 
 SEQUENCE = 2048
@@ -90,7 +90,7 @@ def tokenize(df: DataFrame, key: str, text: str, path: str, sequence: int = SEQU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            found = encode_texts(texts, lambda w: library_words(path, w), lambda w: library_pieces(path, w))
+            found = encode_texts(texts, lambda w: library_words(path, w), lambda w: library_pieces(path, w), known_words(path, "library"))
             data, offsets = found.ids.astype("<u4"), found.offsets
             which, piece, start, length, checksum = [], [], [], [], []
             for i in range(len(texts)):

@@ -1,4 +1,4 @@
-"""Subword ids of texts under a word-end vocabulary: every distinct word of a slice of texts is encoded once.
+"""Subword ids of texts under a word-end vocabulary: every distinct word is encoded once, as long as a worker remembers it.
 
 A text is cut at white space, and between a plain letter or digit and a run of plain punctuation; both are places
 where neither normalisation nor the vocabulary's own splitting looks across. What the pieces give is therefore what
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -28,6 +29,9 @@ _LATIN_CAPITAL = np.zeros(256, dtype=bool)
 _LATIN_CAPITAL[0x80:0x9F] = True
 _LATIN_CAPITAL[0x97] = False
 
+#: Words whose ids a worker remembers, at most, about 40 bytes each; or those of one slice of texts.
+MOST_KNOWN = 1 << 20
+
 #: Ids of many units in one array, and the number of ids per unit.
 Ragged = tuple[np.ndarray, np.ndarray]
 
@@ -57,10 +61,53 @@ def _inside(flags: np.ndarray, words: Words) -> np.ndarray:
     return np.add.reduceat(flags, words.start, dtype=np.int64)
 
 
-def encode_texts(texts: Texts, simple: Callable[[list[bytes]], Ragged], other: Callable[[list[str]], Ragged]) -> TextIds:
+class Known:
+    """The ids of words that were encoded before, by hash: ``pool[start[i]:start[i] + length[i]]`` are those of ``hashes[i]``.
+
+    Beyond ``most`` words only those of the latest slice of texts are kept, so memory is bounded by these.
+    """
+
+    def __init__(self, most: int = MOST_KNOWN) -> None:
+        self.most = most
+        self.hashes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def missing(self, wanted: np.ndarray) -> np.ndarray:
+        """Which of the ascending ``wanted`` are not known."""
+        if not len(self.hashes):
+            return np.arange(len(wanted))
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.flatnonzero(self.hashes[at] != wanted)
+
+    def add(self, wanted: np.ndarray, fresh: np.ndarray, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Learn ``wanted[fresh]``, whose ids are given; all of ``wanted`` are known then."""
+        if len(self.hashes) + len(fresh) > self.most:
+            used = np.isin(self.hashes, wanted, assume_unique=True)
+            n = self.length[used]
+            self.pool = self.pool[ragged(self.start[used], n)]
+            self.hashes, self.start, self.length = self.hashes[used], np.cumsum(n) - n, n
+        at = np.searchsorted(self.hashes, wanted[fresh])
+        self.start = np.insert(self.start, at, start + len(self.pool))
+        self.length = np.insert(self.length, at, length)
+        self.hashes = np.insert(self.hashes, at, wanted[fresh])
+        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+
+    def places(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.hashes, wanted)
+        return self.start[at], self.length[at]
+
+
+@lru_cache(maxsize=4)
+def known_words(path: str, method: str) -> Known:
+    """What this worker knows of a vocabulary, by the method that encodes; it outlasts tasks, as ids depend on the word alone."""
+    return Known()
+
+
+def encode_texts(texts: Texts, simple: Callable[[list[bytes]], Ragged], other: Callable[[list[str]], Ragged], known: Known | None = None) -> TextIds:
     """The ids of every text.
 
-    ``simple`` encodes lower-case runs of plain letters or of plain punctuation, ``other`` any other piece as it stands.
+    ``simple`` encodes lower-case runs of plain letters or of plain punctuation, ``other`` any other piece as it stands. Words
+    that are ``known`` go through neither, and the others become known.
     """
     letters, lowered = _letters(texts.data)
     marks, plain = MARKS[texts.data], letters | _DIGITS[texts.data]
@@ -76,17 +123,24 @@ def encode_texts(texts: Texts, simple: Callable[[list[bytes]], Ragged], other: C
     at = ragged(words.start[rough], size[rough])
     lowered[at] = texts.data[at]
     words = Words(lowered, words.start, words.end, words.offsets)
-    example, inverse = distinct(hash_words(words))
-    spelled = [words.word(i) for i in example]
-    kind = is_simple[example]
+    hashes = hash_words(words)
+    example, inverse = distinct(hashes)
+    wanted = hashes[example]
+    del hashes
+    known = Known() if known is None else known
+    fresh = known.missing(wanted)
+    spelled = [words.word(i) for i in example[fresh]]
+    kind = is_simple[example[fresh]]
     simple_ids, simple_n = simple([w for w, k in zip(spelled, kind, strict=True) if k])
     other_ids, other_n = other([w.decode() for w, k in zip(spelled, kind, strict=True) if not k])
-    length = np.zeros(len(example), dtype=np.int64)
+    length = np.zeros(len(fresh), dtype=np.int64)
     length[kind], length[~kind] = simple_n, other_n
-    start = np.zeros(len(example), dtype=np.int64)
+    start = np.zeros(len(fresh), dtype=np.int64)
     start[kind] = np.cumsum(simple_n) - simple_n
     start[~kind] = len(simple_ids) + np.cumsum(other_n) - other_n
-    pool = np.concatenate([simple_ids, other_ids]).astype(np.uint32)
+    known.add(wanted, fresh, np.concatenate([simple_ids, other_ids]), start, length)
+    pool = known.pool
+    start, length = known.places(wanted)
     n = length[inverse]
     ids = np.empty(int(n.sum()), dtype=np.uint32)
     done = 0

@@ -90,3 +90,28 @@ def test_plain_online_and_clashing_names(spark):
         sequences.append(len(used))
     # Best fit takes at most 1.7 times the least number, and pieces over half a sequence share none.
     assert max(sequences) <= 1.7 * sum(r.length > 50 for r in rows)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_words_are_encoded_once_while_they_are_known(most):
+    import pyarrow as pa
+
+    from holdfast.llm.subwords import Known, encode_texts
+    from holdfast.llm.words import texts_of
+
+    library, asked, known = bpe.load(PATH).library, [], Known(most)
+
+    def simple(words):
+        asked.extend(words)
+        return packing.library_words(PATH, words)
+
+    for column in (["One two, two", "é <|x|> THREE"], ["two three (one)", None], ["four"], ["four ONE"]):
+        texts = texts_of(pa.array(column, pa.string()))
+        found = encode_texts(texts, simple, lambda w: packing.library_pieces(PATH, w), known)
+        for i, text in enumerate(column):
+            assert found.ids[found.offsets[i] : found.offsets[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert len(known.hashes) == len(set(known.hashes.tolist())) and (np.diff(known.hashes.astype(object)) > 0).all()
+    if most > 3:
+        assert len(asked) == len(set(asked))
+    else:
+        assert len(known.hashes) == 2
