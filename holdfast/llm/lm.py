@@ -63,11 +63,10 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
         for _, texts in slices(batches, text):
             words = find_words(texts.lower(), SOLID)
             hashes, example, counts = np.unique(hash_words(words), return_index=True, return_counts=True)
-            found = [words.word(i) for i in example]
             tails = _tail_class(words)[example] if len(words) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*found, b""], pa.binary()).cast(pa.string()),
+                    pa.concat_arrays([words.spelled(example), pa.array([""])]),
                     pa.array(np.append(hashes.view(np.int64), 0)),
                     pa.array(np.append(tails, 0)),
                     pa.array(np.append(counts, len(texts)).astype(np.int64)),
@@ -364,7 +363,7 @@ def score(df: DataFrame, key: str, text: str, known: Vocabulary, counts: DataFra
                 return pa.array(np.concatenate([of_text, of_rare]), kind)
 
             keys = pa.concat_arrays([batch.column("key"), pa.nulls(len(rare), batch.column("key").type)])
-            spelled = pa.array([None] * len(texts) + [words.word(i).decode() for i in rare], pa.string())
+            spelled = pa.concat_arrays([pa.nulls(len(texts), pa.string()), words.spelled(rare)])
             yield pa.RecordBatch.from_arrays(
                 [
                     keys,

@@ -181,3 +181,23 @@ def test_hashes_are_found_by_their_first_bits(size):
     asked = np.concatenate([hashes, random.integers(0, 1 << 63, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
     place = {h: i for i, h in enumerate(hashes.tolist())}
     assert known.look_up(asked).tolist() == [place.get(h, -1) for h in asked.tolist()]
+
+
+def test_words_are_spelled_without_an_object_each(monkeypatch):
+    import pyarrow as pa
+
+    from holdfast.llm.words import SOLID, Words, find_words, texts_of
+
+    words = find_words(texts_of(pa.array(["one é  two", None, "", "ÜÄ three 日本"], pa.string())), SOLID)
+    each = [words.word(i).decode() for i in range(len(words))]
+    monkeypatch.setattr(Words, "word", None)
+    for chosen in (np.arange(len(words)), np.array([4, 0, 0, 2]), np.zeros(0, np.int64)):
+        column = words.spelled(chosen)
+        column.validate(full=True)
+        assert column.to_pylist() == [each[i] for i in chosen]
+
+
+def test_word_counts_equal_splitting_each_text(spark):
+    texts = ["A b a", None, "", "É b\tc"]
+    rows = lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text").collect()
+    assert {r["word"]: r["c"] for r in rows} == {"a": 2, "b": 2, "É": 1, "c": 1, "": 4}
