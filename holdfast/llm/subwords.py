@@ -30,7 +30,7 @@ _LATIN_CAPITAL[0x80:0x9F] = True
 _LATIN_CAPITAL[0x97] = False
 
 #: Words whose ids a worker remembers, at most, about 40 bytes each; or those of one slice of texts.
-MOST_KNOWN = 1 << 20
+MOST_KNOWN = 1 << 19
 
 #: Ids of many units in one array, and the number of ids per unit.
 Ragged = tuple[np.ndarray, np.ndarray]
