@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from holdfast.llm import lm_words
 from holdfast.llm.registry import documents, query
 from holdfast.llm.scratch import Scratch, most_frequent, stored
-from holdfast.llm.words import SOLID, Words, distinct, find_words, hash_words, slices
+from holdfast.llm.words import SOLID, Words, distinct, equal_runs, find_words, hash_words, slices
 
 #: Words with a class of their own beside the end, classes of other words, and the context before a text.
 OWN, TAILS = 190, 64
@@ -41,8 +41,14 @@ SYMBOLS = BEFORE + 1
 #: Frequent words whose counts every task holds, at most so many, as 16 bytes each; those of other words are joined.
 FREQUENT = 1 << 18
 
+#: Bytes of counts that a task holds to add up those of its batches.
+HELD_BYTES = 32 << 20
+
 DIMENSIONS, NOISE, ROUNDS, STEPS, BLOCKS, RATE = 32, 25, 6, 24, 12, 0.02
 
+#: Contexts whose gradients are worked out together.
+PIECE = 512
+
 SMOOTHING = 0.1
 
 
@@ -51,6 +57,29 @@ def held_out(key: str, folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def added_up(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """A task's batches of counts ``n``, those of equal keys added up, while about ``HELD_BYTES`` are held."""
+
+    def add_up(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        order, begins = equal_runs(table.column(key).to_numpy())
+        summed = pa.array(np.add.reduceat(table.column("n").to_numpy()[order], begins))
+        rows = table.take(pa.array(order[begins]))
+        return rows.set_column(rows.schema.get_field_index("n"), "n", summed).combine_chunks().to_batches()[0]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) > HELD_BYTES:
+            held = [add_up(held)]
+            if held[0].nbytes > HELD_BYTES // 2:
+                yield held.pop()
+    if held:
+        yield add_up(held)
+
+
 def _tail_class(words: Words) -> np.ndarray:
     ending = Words(words.data, np.maximum(words.start, words.end - 2), words.end, words.offsets)
     return (hash_words(ending) % np.uint64(TAILS)).astype(np.int64)
@@ -62,7 +91,10 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches, text):
             words = find_words(texts.lower(), SOLID)
-            hashes, example, counts = np.unique(hash_words(words), return_index=True, return_counts=True)
+            hashes = hash_words(words)
+            order, begins = equal_runs(hashes)
+            example, counts = order[begins], np.diff(begins, append=len(order))
+            hashes = hashes[example]
             tails = _tail_class(words)[example] if len(words) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -74,7 +106,10 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
                 names=["word", "hash", "tail", "n"],
             )
 
-    found = df.select(text).mapInArrow(run, "word string, hash long, tail long, n long")
+    def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added_up(run(batches), "hash")
+
+    found = df.select(text).mapInArrow(run_merged, "word string, hash long, tail long, n long")
     return stored(found.groupBy("word", "hash", "tail").agg(F.sum("n").alias("c")), "words")
 
 
@@ -217,7 +252,10 @@ def trigrams(df: DataFrame, text: str, known: Vocabulary) -> DataFrame:
             codes, n = np.unique(found.contexts * CLASSES + found.classes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-    summed = df.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added_up(run(batches), "code")
+
+    summed = df.select(text).mapInArrow(run_merged, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return summed.select((F.col("code") / CLASSES).cast("int").alias("context"), (F.col("code") % CLASSES).cast("int").alias("target"), "n")
 
 
@@ -259,6 +297,12 @@ class Parameters:
         return table
 
 
+def _add_rows(table: np.ndarray, rows: np.ndarray, parts: np.ndarray) -> None:
+    """Add parts to rows of the table, several to one row."""
+    order, begins = equal_runs(rows)
+    table[rows[order[begins]]] += np.add.reduceat(parts.take(order, axis=0), begins, axis=0)
+
+
 def nce_gradient(p: Parameters, contexts: np.ndarray, counts: np.ndarray, noise: np.ndarray) -> list[np.ndarray]:
     """The gradient of the expected NCE loss per token.
 
@@ -267,16 +311,31 @@ def nce_gradient(p: Parameters, contexts: np.ndarray, counts: np.ndarray, noise:
     """
     total = counts.sum()
     far, near = contexts // SYMBOLS, contexts % SYMBOLS
-    in_far, in_near = p.inputs[far], p.inputs[near]
+    in_far, in_near = p.inputs.take(far, axis=0), p.inputs.take(near, axis=0)
     predicted = in_far @ p.far + in_near @ p.near
-    margin = predicted @ p.outputs.T + p.bias - np.log(NOISE * noise)
-    real = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
-    slope = (NOISE * counts.sum(axis=1, keepdims=True) * noise * real - counts * (1.0 - real)) / total
-    back = slope @ p.outputs
+    back = np.empty_like(predicted)
+    outputs, bias = np.zeros_like(p.outputs), np.zeros_like(p.bias)
+    shift = p.bias - np.log(NOISE * noise)
+    # A few hundred contexts at a time stay in the processor's cache.
+    for a in range(0, len(contexts), PIECE):
+        given, real = counts[a : a + PIECE], predicted[a : a + PIECE] @ p.outputs.T
+        real += shift
+        np.clip(real, -30, 30, out=real)
+        np.exp(np.negative(real, out=real), out=real)
+        real += 1.0
+        # Noise that passes for a token, less the tokens that pass for noise.
+        slope = (NOISE * given.sum(axis=1, keepdims=True)) * noise
+        slope += given
+        slope /= real
+        slope -= given
+        slope /= total
+        back[a : a + PIECE] = slope @ p.outputs
+        outputs += slope.T @ predicted[a : a + PIECE]
+        bias += slope.sum(axis=0)
     inputs = np.zeros_like(p.inputs)
-    np.add.at(inputs, far, back @ p.far.T)
-    np.add.at(inputs, near, back @ p.near.T)
-    return [inputs, slope.T @ predicted, in_far.T @ back, in_near.T @ back, slope.sum(axis=0)]
+    _add_rows(inputs, far, back @ p.far.T)
+    _add_rows(inputs, near, back @ p.near.T)
+    return [inputs, outputs, in_far.T @ back, in_near.T @ back, bias]
 
 
 def nce_steps(p: Parameters, contexts: np.ndarray, counts: np.ndarray, noise: np.ndarray, steps: int, rate: float) -> Parameters:

@@ -28,6 +28,9 @@ SIZE, DRAWS, BATCH, RATE, PASSES = 16, 4, 16384, 0.1, 1
 #: Events of a step whose gradients are worked out together.
 PIECE = 2048
 
+#: Families of at least so many events in a step, and of at most so many nodes, are worked out as matrices.
+SHARED, WIDE = 32, 64
+
 #: The least count of a word with vectors, at the least.
 LEAST = 5
 
@@ -121,56 +124,118 @@ class Vectors:
         return Vectors(rows, symbols)
 
     def context(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
-        return self.rows[far] + self.rows[self.symbols + near]
+        # Rows are copied whole by take(); an index in brackets copies them number by number.
+        return self.rows.take(far, axis=0) + self.rows.take(self.symbols + near, axis=0)
 
     def nodes(self) -> np.ndarray:
         return self.rows[2 * self.symbols :]
 
 
+def _small(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Numbers up to ``most`` in the least type for them: integers of 16 bits are sorted without comparing."""
+    return numbers.astype(np.min_scalar_type(most))
+
+
 def log_gains(tree: Tree, vectors: Vectors, found: Events, tokens: int) -> np.ndarray:
     """Per token log10 P(word | class, context) less that of the unigram, normalised over every family."""
     gains = np.zeros(tokens)
-    order = np.argsort(found.family, kind="stable")
+    order = np.argsort(_small(found.family, len(tree.first)), kind="stable")
     families, begin = np.unique(found.family[order], return_index=True)
-    log_mass = np.log(tree.mass)
+    token, far, near, node = (x.take(order) for x in (found.token, found.far, found.near, found.node))
+    priors = np.log(tree.mass / np.repeat(np.add.reduceat(tree.mass, tree.first[:-1]), np.diff(tree.first))).astype(np.float32)
     end = np.append(begin, len(order))[1:]
     for f, a, b in zip(families.tolist(), begin.tolist(), end.tolist(), strict=True):
         low, high = int(tree.first[f]), int(tree.first[f + 1])
         own = vectors.nodes()[low:high]
-        prior = (log_mass[low:high] - np.log(tree.mass[low:high].sum())).astype(np.float32)
-        for c in range(a, b, BATCH):
-            at = order[c : min(c + BATCH, b)]
-            product = vectors.context(found.far[at], found.near[at]) @ own.T
-            chosen = product[np.arange(len(at)), found.node[at] - low].astype(np.float64)
-            product += prior
-            top = product.max(axis=1)
-            total = np.exp(product - top[:, None]).sum(axis=1)
-            gains[found.token[at]] += (chosen - top - np.log(total)) / np.log(10)
+        for c in range(a, b, PIECE):
+            d = min(c + PIECE, b)
+            # A row per node: families are small, so that sums down the columns run over long rows.
+            product = own @ vectors.context(far[c:d], near[c:d]).T
+            chosen = product[node[c:d] - low, np.arange(d - c)].astype(np.float64)
+            product += priors[low:high, None]
+            top = product.max(axis=0)
+            product -= top
+            total = np.exp(product, out=product).sum(axis=0)
+            gains[token[c:d]] += (chosen - top - np.log(total)) / np.log(10)
     return gains
 
 
+def _slopes(margin: np.ndarray) -> np.ndarray:
+    """The loss by the margin of each event's nodes, its own node first."""
+    slope = 1.0 / (1.0 + np.exp(-np.clip(margin - np.float32(np.log(margin.shape[1] - 1)), -30, 30)))
+    slope[:, 0] -= 1.0
+    return slope
+
+
+def _shared_gradient(tree: Tree, own: np.ndarray, families: np.ndarray, ends: np.ndarray, nodes: np.ndarray, context: np.ndarray, back: np.ndarray):
+    """The nodes of some families, and their gradients, one row each; ``back`` gets those of the contexts.
+
+    Events lie family by family up to ``ends``. Events by nodes is a matrix, in which those that were not drawn stay zero.
+    """
+    begins, low, high = np.append(0, ends)[:-1], tree.first[families], tree.first[families + 1]
+    stops = np.cumsum((ends - begins) * (high - low))
+    starts = np.append(0, stops)[:-1]
+    of_event = np.repeat(np.arange(len(families)), ends - begins)
+    cell = (starts - low - begins * (high - low))[of_event] + np.arange(len(nodes)) * (high - low)[of_event]
+    cell = (cell[:, None] + nodes).ravel()
+    bounds = list(zip(begins.tolist(), ends.tolist(), low.tolist(), high.tolist(), starts.tolist(), stops.tolist(), strict=True))
+    product = np.empty(stops[-1], np.float32)
+    for a, b, c, d, e, f in bounds:
+        np.matmul(context[a:b], own[c:d].T, out=product[e:f].reshape(b - a, d - c))
+    slope = _slopes(product.take(cell).reshape(nodes.shape))
+    product = np.bincount(cell, slope.ravel(), len(product)).astype(np.float32)
+    gradients = []
+    for a, b, c, d, e, f in bounds:
+        slope = product[e:f].reshape(b - a, d - c)
+        np.matmul(slope, own[c:d], out=back[a:b])
+        gradients.append(slope.T @ context[a:b])
+    return np.concatenate([np.arange(c, d) for _, _, c, d, _, _ in bounds]), np.concatenate(gradients)
+
+
 def nce_gradient(tree: Tree, vectors: Vectors, found: Events, at: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and their gradients of the loss of some events, each against its row of ``drawn`` nodes.
 
+    Small families with many events have a row per node, summed as products of matrices; others a row per event and node.
     The gradients lie in memory one dimension after the other, as they are summed.
     """
-    far, near = found.far[at], vectors.symbols + found.near[at]
-    nodes = np.concatenate([found.node[at][:, None], drawn], axis=1) + 2 * vectors.symbols
-    count, size = len(at), vectors.rows.shape[1]
-    gradients = np.empty((size, 2 * count + nodes.size), np.float32)
-    for_nodes = gradients[:, 2 * count :].reshape(size, *nodes.shape)
+    family = found.family.take(at)
+    width, events = np.diff(tree.first), np.bincount(family, minlength=len(tree.first) - 1)
+    shared = (events >= SHARED) & (width <= WIDE)
+    # Families of matrices first, each together.
+    place = np.where(shared, np.arange(len(shared)), len(shared))
+    order = np.argsort(_small(place, len(shared)).take(family), kind="stable")
+    at, drawn = at.take(order), drawn.take(order, axis=0)
+    families = np.flatnonzero(shared)
+    ends = np.cumsum(events[families])
+    single = int(ends[-1]) if len(ends) else 0
+    far, near = found.far.take(at), vectors.symbols + found.near.take(at)
+    nodes = np.concatenate([found.node.take(at)[:, None], drawn], axis=1)
+    context = vectors.context(far, near - vectors.symbols)
+    back = np.empty(context.shape, np.float32)
+    together, of_together = np.zeros(0, np.int64), np.zeros((0, context.shape[1]), np.float32)
+    if single:
+        together, of_together = _shared_gradient(tree, vectors.nodes(), families, ends, nodes[:single], context[:single], back[:single])
+    nodes, context = nodes[single:] + 2 * vectors.symbols, context[single:]
+    count, (pairs, size) = len(at), context.shape
+    gradients = np.empty((size, 2 * count + len(together) + nodes.size), np.float32)
+    gradients[:, 2 * count : 2 * count + len(together)] = of_together.T
+    for_nodes = gradients[:, 2 * count + len(together) :].reshape(size, nodes.shape[1], pairs)
     # A few thousand events at a time stay in the processor's cache.
-    for a in range(0, count, PIECE):
-        b = min(a + PIECE, count)
-        context = vectors.rows[far[a:b]] + vectors.rows[near[a:b]]
-        own = vectors.rows[nodes[a:b]]
-        margin = np.einsum("ekd,ed->ek", own, context) - np.float32(np.log(drawn.shape[1]))
-        slope = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
-        slope[:, 0] -= 1.0
-        gradients[:, a:b] = np.einsum("ek,ekd->ed", slope, own).T
-        np.multiply(np.ascontiguousarray(context.T)[:, :, None], slope, out=for_nodes[:, a:b])
+    for a in range(0, pairs, PIECE):
+        b = min(a + PIECE, pairs)
+        own = vectors.rows.take(nodes[a:b], axis=0)
+        slope = _slopes(np.einsum("ekd,ed->ek", own, context[a:b]))
+        back[single + a : single + b] = np.einsum("ek,ekd->ed", slope, own)
+        np.multiply(np.ascontiguousarray(context[a:b].T)[:, None], np.ascontiguousarray(slope.T), out=for_nodes[:, :, a:b])
+    gradients[:, :count] = back.T
     gradients[:, count : 2 * count] = gradients[:, :count]
-    return np.concatenate([far, near, nodes.ravel()]), gradients.T
+    return np.concatenate([far, near, 2 * vectors.symbols + together, nodes.T.ravel()]), gradients.T
+
+
+def _put(table: np.ndarray, rows: np.ndarray, new: np.ndarray) -> None:
+    """``table[rows] = new``, a row at a time as one item, without going over its numbers."""
+    whole = np.dtype((np.void, table.dtype.itemsize * table.shape[1]))
+    np.put(table.view(whole)[:, 0], rows, new.view(whole)[:, 0])
 
 
 class Learner:
@@ -181,14 +246,27 @@ class Learner:
         self.now = Vectors(vectors.rows.copy(), vectors.symbols)
         self.square = np.full(vectors.rows.shape, 1e-2, np.float32)
         self.met = np.zeros(len(vectors.rows), np.int64)
+        self.met_nodes = self.met[2 * vectors.symbols :]
         self.last = np.zeros(len(vectors.rows), np.int64)
         self.random = np.random.default_rng(seed)
         self.ends = np.concatenate([[0.0], np.cumsum(tree.mass)])
+        steps = 4 << len(tree.mass).bit_length()
+        self.scale = steps / self.ends[-1]
+        self.guess = np.searchsorted(self.ends, np.arange(steps + 1) / self.scale, side="right") - 1
+        self.guess = np.minimum(self.guess, len(tree.mass) - 1)
+
+    def place(self, spread: np.ndarray) -> np.ndarray:
+        """The node at each place along the masses of all nodes: guessed from equal steps, and searched where that is wrong."""
+        found = self.guess.take((spread * self.scale).astype(np.int64), mode="clip")
+        wrong = np.flatnonzero((self.ends.take(found) > spread) | (self.ends.take(found + 1) <= spread))
+        found[wrong] = np.searchsorted(self.ends, spread[wrong], side="right") - 1
+        return found
 
     def draw(self, family: np.ndarray) -> np.ndarray:
-        low, high = self.tree.first[family], self.tree.first[family + 1]
-        spread = self.random.random((len(family), DRAWS)) * (self.ends[high] - self.ends[low])[:, None] + self.ends[low][:, None]
-        drawn = np.searchsorted(self.ends, spread, side="right") - 1
+        low, high = self.tree.first.take(family), self.tree.first.take(family + 1)
+        start = self.ends.take(low)
+        spread = self.random.random((len(family), DRAWS)) * (self.ends.take(high) - start)[:, None] + start[:, None]
+        drawn = self.place(spread.ravel()).reshape(spread.shape)
         return np.clip(drawn, low[:, None], high[:, None] - 1)
 
     def distinct(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,14 +279,22 @@ class Learner:
 
     def learn(self, found: Events) -> None:
         order = self.random.permutation(len(found.token))
+        for rows, met in ((found.far, self.met), (found.near, self.met[self.now.symbols :]), (found.node, self.met_nodes)):
+            met[: rows.max(initial=-1) + 1] += np.bincount(rows)
         for a in range(0, len(order), BATCH):
             at = order[a : a + BATCH]
-            rows, gradients = nce_gradient(self.tree, self.now, found, at, self.draw(found.family[at]))
+            drawn = self.draw(found.family.take(at))
+            rows, gradients = nce_gradient(self.tree, self.now, found, at, drawn)
             values, number = self.distinct(rows)
             summed = np.stack([np.bincount(number, g, len(values)) for g in gradients.T], axis=1).astype(np.float32)
-            self.square[values] += summed * summed
-            self.now.rows[values] -= RATE * summed / np.sqrt(self.square[values])
-            self.met[values] += np.bincount(number)
+            square = self.square.take(values, axis=0)
+            square += summed * summed
+            _put(self.square, values, square)
+            np.divide(summed, np.sqrt(square, out=square), out=summed)
+            summed *= np.float32(-RATE)
+            summed += self.now.rows.take(values, axis=0)
+            _put(self.now.rows, values, summed)
+            self.met_nodes += np.bincount(drawn.ravel(), minlength=len(self.met_nodes))
 
     def changes(self) -> Iterator[pa.RecordBatch]:
         touched = np.flatnonzero(self.met)

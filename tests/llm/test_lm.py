@@ -201,3 +201,84 @@ def test_word_counts_equal_splitting_each_text(spark):
     texts = ["A b a", None, "", "É b\tc"]
     rows = lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text").collect()
     assert {r["word"]: r["c"] for r in rows} == {"a": 2, "b": 2, "É": 1, "c": 1, "": 4}
+
+
+def random_events(random, tree, vectors, n):
+    family = random.integers(0, len(tree.first) - 1, n)
+    width = np.diff(tree.first)[family]
+    node = tree.first[family] + random.integers(0, width)
+    drawn = tree.first[family][:, None] + random.integers(0, width[:, None], (n, 4))
+    symbols = random.integers(0, vectors.symbols, (2, n))
+    return lm_words.Events(np.arange(n), *symbols, family, node), drawn
+
+
+@pytest.mark.parametrize("shared, wide", [(1, 10**9), (40, 10**9), (40, 3), (10**9, 64)])
+def test_families_of_many_events_have_one_gradient_a_node(monkeypatch, shared, wide):
+    random = np.random.default_rng(8)
+    tree = lm_words.build_tree(3, random.integers(0, 3, 40), random.random(40), np.full(3, 30.0))
+    vectors = lm_words.Vectors.start(tree, 3)
+    vectors.rows[:] = random.normal(0, 0.5, vectors.rows.shape)
+    n = lm_words.PIECE + 900
+    found, drawn = random_events(random, tree, vectors, n)
+    monkeypatch.setattr(lm_words, "SHARED", shared)
+    monkeypatch.setattr(lm_words, "WIDE", wide)
+    rows, parts = lm_words.nce_gradient(tree, vectors, found, np.arange(n), drawn)
+    got = np.zeros(vectors.rows.shape)
+    np.add.at(got, rows, parts)
+    # Event by event, in plain Python.
+    want = np.zeros(vectors.rows.shape)
+    for e in range(n):
+        far, near = found.far[e], vectors.symbols + found.near[e]
+        context = vectors.rows[far] + vectors.rows[near]
+        for k, node in enumerate([found.node[e], *drawn[e]]):
+            own = 2 * vectors.symbols + node
+            slope = 1 / (1 + math.exp(math.log(4) - vectors.rows[own] @ context)) - (k == 0)
+            want[own] += slope * context
+            want[[far, near]] += slope * vectors.rows[own]
+    assert np.allclose(got, want, atol=1e-3)
+    if (shared, wide) == (1, 10**9):
+        assert len(rows) == 2 * n + len(tree.mass)
+
+
+def test_learner_counts_every_meeting():
+    random = np.random.default_rng(9)
+    tree = lm_words.build_tree(3, random.integers(0, 3, 40), random.random(40), np.full(3, 30.0))
+    vectors = lm_words.Vectors.start(tree, 3)
+    found, _ = random_events(random, tree, vectors, lm_words.BATCH + 100)
+    learner = lm_words.Learner(tree, vectors, 1)
+    drawn, draw = [], learner.draw
+    learner.draw = lambda family: drawn.append(draw(family)) or drawn[-1]
+    learner.learn(found)
+    rows = [found.far, vectors.symbols + found.near, *(2 * vectors.symbols + x.ravel() for x in (found.node, *drawn))]
+    assert learner.met.tolist() == np.bincount(np.concatenate(rows), minlength=len(vectors.rows)).tolist()
+
+
+def test_draws_are_places_along_the_masses():
+    random = np.random.default_rng(10)
+    share = random.random(3000) ** 30
+    tree = lm_words.build_tree(2, random.integers(0, 2, 3000), share, np.array([share.sum(), 1e-9]))
+    learner = lm_words.Learner(tree, lm_words.Vectors.start(tree, 2), 1)
+    ends = learner.ends
+    spread = np.concatenate([random.random(5000) * ends[-1], ends, np.nextafter(ends, -1)[1:], np.nextafter(ends, 9)])
+    assert (learner.place(spread) == np.searchsorted(ends, spread, side="right") - 1).all()
+
+
+@pytest.mark.parametrize("held", [lm.HELD_BYTES, 2000, 0])
+def test_counts_of_a_task_are_added_up(monkeypatch, held):
+    import pyarrow as pa
+
+    random = np.random.default_rng(11)
+    monkeypatch.setattr(lm, "HELD_BYTES", held)
+    want, batches = Counter(), []
+    for size in (0, 50, 1, 300, 50, 50):
+        keys, n = random.integers(-(2**63), -(2**63) + 60, size), random.integers(1, 9, size)
+        for k, c in zip(keys.tolist(), n.tolist(), strict=True):
+            want[k] += c
+        batches.append(pa.RecordBatch.from_arrays([pa.array([f"w{k}" for k in keys], pa.string()), pa.array(keys), pa.array(n)], names=["word", "hash", "n"]))
+    got, rows = Counter(), 0
+    for batch in lm.added_up(iter(batches), "hash"):
+        rows += batch.num_rows
+        for row in batch.to_pylist():
+            assert row["word"] == f"w{row['hash']}"
+            got[row["hash"]] += row["n"]
+    assert got == want and (rows == len(want) if held > 10**6 else rows > len(want))
