@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +81,23 @@ def added_up(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordB
         yield add_up(held)
 
 
+@cache
+def _tails() -> tuple[np.ndarray, np.ndarray]:
+    """The class of every ending of two bytes, and of every word of one."""
+
+    def classes(data: np.ndarray, size: int) -> np.ndarray:
+        start = np.arange(0, len(data), size)
+        endings = Words(data, start, start + size, np.array([0, len(start)]))
+        return (hash_words(endings) % np.uint64(TAILS)).astype(np.int64)
+
+    every = np.arange(256, dtype=np.uint8)
+    return classes(np.stack([np.repeat(every, 256), np.tile(every, 256)], axis=1).ravel(), 2), classes(every, 1)
+
+
 def _tail_class(words: Words) -> np.ndarray:
-    ending = Words(words.data, np.maximum(words.start, words.end - 2), words.end, words.offsets)
-    return (hash_words(ending) % np.uint64(TAILS)).astype(np.int64)
+    pairs, singles = _tails()
+    last, before = words.data.take(words.end - 1), words.data.take(words.end - 2, mode="clip")
+    return np.where(words.end - words.start > 1, pairs.take(before * np.int64(256) + last), singles.take(last))
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -140,8 +155,12 @@ class Vocabulary:
         if not len(self.hashes):
             return np.full(len(hashes), -1)
         first = (hashes >> np.uint64(64 - (len(self.buckets) - 1).bit_length() + 1)).astype(np.int64)
-        found = np.full(len(hashes), -1)
-        todo, at, end = np.arange(len(hashes)), self.buckets[first], self.buckets[first + 1]
+        # Most words are the first of their bucket; a hash that equals one of the next bucket would lie there itself.
+        at = self.buckets.take(first)
+        same = self.hashes.take(at, mode="clip") == hashes
+        found = np.where(same, at, -1)
+        todo = np.flatnonzero(~same)
+        at, end = at[todo] + 1, self.buckets[first[todo] + 1]
         while len(todo):
             left = at < end
             todo, at, end = todo[left], at[left], end[left]

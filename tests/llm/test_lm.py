@@ -282,3 +282,14 @@ def test_counts_of_a_task_are_added_up(monkeypatch, held):
             assert row["word"] == f"w{row['hash']}"
             got[row["hash"]] += row["n"]
     assert got == want and (rows == len(want) if held > 10**6 else rows > len(want))
+
+
+def test_classes_go_by_the_last_two_bytes():
+    import pyarrow as pa
+
+    from holdfast.llm.words import SOLID, Words, find_words, hash_words, texts_of
+
+    texts = ["a", "ab é z", None, "running 日本 \x00 x\x00 q", "zz"]
+    words = find_words(texts_of(pa.array(texts, pa.string())), SOLID)
+    endings = Words(words.data, np.maximum(words.start, words.end - 2), words.end, words.offsets)
+    assert lm._tail_class(words).tolist() == (hash_words(endings) % np.uint64(lm.TAILS)).tolist()
